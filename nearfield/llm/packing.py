@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,11 +15,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import cut, map_text
 
-#: Chunks whose ids a worker remembers before it starts afresh.
-REMEMBERED = 250_000
-#: One space between two characters that no tokenizer takes for white space: no pre-token crosses it.
-_GAP = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
-_ENCODERS: dict[tuple, "ChunkEncoder"] = {}
+_ENCODERS: dict[tuple, "Encoder"] = {}
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -30,62 +25,34 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class ChunkEncoder:
-    """Ids of whole texts by a byte-level BPE file, encoding each distinct chunk between single spaces once.
+class Encoder:
+    """Ids of whole texts by a byte-level BPE file for tokenizers.
 
-    Chunks not met before are encoded joined, a thousand at a time, and told apart again by the bytes that their
-    tokens stand for: no token crosses a space that follows a character which is not white. Where the same
-    vocabulary is also given as ranks, the joined chunks go through tiktoken, which is faster and gives the same
-    ids; a chunk that may hold a special string goes through tokenizers.
+    Where the same vocabulary is also given as ranks, texts go through tiktoken, which is faster and gives the same
+    ids; a text that may hold a special string still goes through tokenizers.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = t = Tokenizer.from_file(path)
-        added = {i: x.content for i, x in t.get_added_tokens_decoder().items()}
-        self.marks = tuple(x[:2] for x in added.values())
-        # In a byte-level vocabulary each character of a token stands for one byte.
-        self.width = np.array([len(added[i].encode()) if i in added else len(t.id_to_token(i) or "") for i in range(max(t.get_vocab().values()) + 1)])
-        self.seen: dict[str, bytes] = {}
-        self.encode = lambda text: np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.marks = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = None
         if ranks:
             import public_tokenizers
             import tiktoken
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            self.encode = lambda text: np.array(plain.encode_ordinary(text), "<u4")
-
-    def learn(self, new: list[str]) -> None:
-        joined, apart = [], []
-        for w in new:
-            (apart if w[:1] != " " or w[-1].isspace() or any(m in w for m in self.marks) else joined).append(w)
-        for w, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False), strict=True):
-            self.seen[w] = np.array(e.ids, "<u4").tobytes()
-        for run in (joined[i : i + 1000] for i in range(0, len(joined), 1000)):
-            ids = self.encode("".join(run))
-            ends = np.concatenate(([0], np.cumsum(self.width[ids])))
-            cuts = np.concatenate(([0], np.cumsum([len(w.encode()) for w in run])))
-            at = np.searchsorted(ends, cuts)
-            if (ends[at] != cuts).any():
-                raise ValueError("a token crosses two chunks")
-            raw, at = ids.tobytes(), (4 * at).tolist()
-            self.seen.update(zip(run, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        docs = []
-        for text in texts:
-            first, *rest = _GAP.split(text or "") if "  " in (text or "") else (text or "").split(" ")
-            docs.append([first, *[" " + w for w in rest]])
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        self.learn(list({w for d in docs for w in d if w not in self.seen}))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, d)) for d in docs]
+            self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def ids(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids; null counts as empty."""
+        text = text or ""
+        if self.plain is None or any(m in text for m in self.marks):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def token_pieces(df: DataFrame, capacity: int = 2048, end: int = 1, text: str = "text", key: str = "doc_id", tokenizer: tuple | None = None, tail: int = 512) -> DataFrame:
@@ -98,8 +65,8 @@ def token_pieces(df: DataFrame, capacity: int = 2048, end: int = 1, text: str =
     paths, last = tokenizer or default_tokenizer(), np.array([end], "<u4").tobytes()
 
     def fn(texts: list[str | None]) -> dict:
-        encoder = _ENCODERS.get(paths) or _ENCODERS.setdefault(paths, ChunkEncoder(*paths))
-        return {"pieces": [_pieces(x + last, capacity, tail) for x in encoder.ids(texts)]}
+        encoder = _ENCODERS.get(paths) or _ENCODERS.setdefault(paths, Encoder(*paths))
+        return {"pieces": [_pieces(encoder.ids(t) + last, capacity, tail) for t in texts]}
 
     piece = "start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint"
     rows = map_text(df, text, [key], fn, f"pieces array<struct<{piece}>>")
