@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker holds as words at any time.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
+#: Bytes of a batch between the JVM and a Python worker, unless the session sets its own.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")
 
 
 def use_shared_folder(spark: SparkSession) -> None:
@@ -23,9 +25,21 @@ def use_shared_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="nearfield-"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches small whatever the length of texts: their buffers lie outside the JVM's heap and wait for its GC."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
+
+
+def once(value: Column) -> Column:
+    """``value`` as a generated column, so that no later expression computes it again."""
+    return F.explode(F.array(value))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, so that lost executors cost no recomputation."""
     use_shared_folder(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -46,6 +60,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], fn: Callable[[list[str |
 
     ``schema`` describes the new columns. Rows stay in their partitions; nothing is shuffled.
     """
+    bound_batches(df.sparkSession)
     source = df.select(*[F.col(k) for k in keep], F.col(text).cast("string").alias("__nf_text"))
     fields = df.select(*keep).schema
     for f in df.sparkSession.createDataFrame([], schema).schema:

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import once
+
 # Notices by which texts state their licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -54,9 +56,9 @@ def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id", templa
     each = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("unit")))
     units = df.select(F.col(key), F.explode(F.concat(F.coalesce(whole, F.array().cast("array<struct<line_no:int,unit:string>>")), each)).alias("u"))
     words = F.split(F.trim(F.regexp_replace(F.lower("u.unit"), "[^a-z0-9]+", " ")), " ")
-    sized = units.select(key, "u.line_no", words.alias("w")).filter(F.size("w") > low)
+    sized = units.select(key, "u.line_no", once(words).alias("w")).filter(F.size("w") > low)
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = sized.select(key, "line_no", F.array_distinct(pairs).alias("g")).filter(F.size("g").between(low, high))
+    grams = sized.select(key, "line_no", once(F.array_distinct(pairs)).alias("g")).filter(F.size("g").between(low, high))
     likely = grams.filter(F.arrays_overlap("g", F.array(*map(F.lit, signs))))
     best = F.array_max(F.array(*[_dice(F.col("g"), name, i, b, least) for i, (name, b) in enumerate(sets)]))
     found = likely.withColumn("best", best).filter("best.dice IS NOT NULL")

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut, once
 
 
 def _windows(rows: DataFrame, text: str, width: int) -> DataFrame:
     """__nf_key, __nf_hash, pos, h1, h2 of each window of ``width`` lines that holds a character other than white space."""
-    lines = F.split(F.col(text), "\n", -1)
+    lines = F.col("__nf_lines")
     window = lambda i: F.array_join(F.slice(lines, i + 1, width), "\n")
     places = F.when(F.size(lines) >= width, F.sequence(F.lit(0), F.size(lines) - width)).otherwise(F.array().cast("array<int>"))
-    found = rows.select("__nf_key", "__nf_hash", F.posexplode(F.transform(places, window)).alias("pos", "w"))
+    found = rows.select("__nf_key", "__nf_hash", once(F.split(F.col(text), "\n", -1)).alias("__nf_lines")).select("__nf_key", "__nf_hash", F.posexplode(F.transform(places, window)).alias("pos", "w"))
     filled = found.filter(F.col("w").rlike(r"[^\x20\x09-\x0D]"))
     return filled.select("__nf_key", "__nf_hash", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("second"), "w").alias("h2"))
 
@@ -37,7 +37,8 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", width: i
     covered = later.groupBy("__nf_key", "__nf_hash").agg(F.collect_set("pos").alias("__nf_pos"))
     covered = covered.select(F.col("__nf_key").alias("__nf_k"), F.col("__nf_hash").alias("__nf_h"), "__nf_pos")
     both = rows.join(covered, F.col("__nf_key").eqNullSafe(F.col("__nf_k")) & (F.col("__nf_hash") == F.col("__nf_h")), "left")
-    lines = F.split(F.col(text), "\n", -1)
+    both = both.withColumn("__nf_lines", once(F.split(F.col(text), "\n", -1)))
+    lines = F.col("__nf_lines")
     gone = F.array_distinct(F.flatten(F.transform("__nf_pos", lambda p: F.sequence(p, p + width - 1))))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     new = F.when(F.col("__nf_pos").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
