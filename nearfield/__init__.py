@@ -1,0 +1 @@
+"""Content-based similarity retrieval and corpus preparation on Spark."""
