@@ -264,22 +264,23 @@ def _metrics(spark: SparkSession, sf_dir: str, k: int, variants: dict) -> DataFr
     return evaluate.query_metrics(evaluate.leave_one_out(f, "id", "label", variants, k), evaluate.class_sizes(f, "label"), k)
 
 
-_SIX = [F.round("precision", 6).alias("precision"), F.round("map", 6).alias("map"), "n_queries"]
+def _six(df: DataFrame, *keep) -> DataFrame:
+    return df.select(*keep, F.round("precision", 6).alias("precision"), F.round("map", 6).alias("map"), "n_queries")
 
 
 @query("eval_loo_overall", loo(10, evaluate.BASE) + " SELECT round(avg(p), 6) AS precision, round(avg(ap), 6) AS map, count(*) AS n_queries FROM met")
 def eval_loo_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.overall(_metrics(spark, sf_dir, 10, evaluate.BASE)).select(*_SIX)
+    return _six(evaluate.overall(_metrics(spark, sf_dir, 10, evaluate.BASE)))
 
 
 @query("eval_loo_per_class", loo(10, evaluate.BASE) + " SELECT CAST(label AS VARCHAR) AS label, round(avg(p), 6) AS precision, round(avg(ap), 6) AS map, count(*) AS n_queries FROM met GROUP BY 1")
 def eval_loo_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.per_class(_metrics(spark, sf_dir, 10, evaluate.BASE)).select(F.col("query_label").alias("label"), *_SIX)
+    return _six(evaluate.per_class(_metrics(spark, sf_dir, 10, evaluate.BASE)), F.col("query_label").alias("label"))
 
 
 @query("eval_ablation", loo(10, weights.ablations()) + " SELECT variant, round(avg(p), 6) AS precision, round(avg(ap), 6) AS map, count(*) AS n_queries FROM met GROUP BY 1")
 def eval_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.overall(_metrics(spark, sf_dir, 10, weights.ablations())).select("variant", *_SIX)
+    return _six(evaluate.overall(_metrics(spark, sf_dir, 10, weights.ablations())), "variant")
 
 
 @query("eval_p5_map10", loo(10, evaluate.BASE) + ", p5 AS (SELECT query_id, avg(rel) AS p FROM rel WHERE rank <= 5 GROUP BY 1) SELECT CAST(round((SELECT avg(p) FROM p5), 4) AS DOUBLE) AS precision_at_5, CAST(round(avg(ap), 4) AS DOUBLE) AS map_at_10 FROM met")
