@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.schema import DEFAULT_WEIGHTS, FEATURES, EvaluationError
-
-#: Items in a block of the all-pairs product.
-BLOCK = 1024
+from nearfield.operators.blocks import blocks, each_pair, unpacked
 
 
 def labelled(features: DataFrame, items: DataFrame, id_col: str, label: str, dims: dict[str, int] | None = None) -> DataFrame:
@@ -30,6 +28,42 @@ def guard(items: DataFrame, label: str) -> None:
         raise EvaluationError("evaluation needs two items and two labels")
 
 
+def _packed(features: DataFrame, id_col: str, label: str) -> DataFrame:
+    """Blocks in a fixed order, so that blocks worked out again after a loss are the same ones."""
+    dealt = features.repartition(F.col(id_col)).sortWithinPartitions(id_col)
+    return blocks(dealt, id_col, FEATURES, F.col(label)).withColumn("block", F.monotonically_increasing_id()).persist()
+
+
+def label_pairs(features: DataFrame, id_col: str, label: str, weights: dict[str, float]) -> DataFrame:
+    """left_label, right_label, n, mean, best: fused similarity over the ordered pairs of different items, by their labels.
+
+    A pair of blocks leaves one row for each pair of labels in it.
+    """
+    packed = _packed(features, id_col, label)
+    scale = [weights.get(f, 0.0) for f in FEATURES]
+
+    def add(row: dict) -> pa.RecordBatch | None:
+        (q_ids, q), (ids, c) = unpacked(row, "q_"), unpacked(row)
+        scores = (q * np.repeat(scale, row["widths"])) @ c.T
+        other = q_ids[:, None] != ids[None, :]
+        out: dict[str, list] = {x: [] for x in ("left_label", "right_label", "n", "total", "best")}
+        right = {y: np.array([z == y for z in row["labels"]]) for y in dict.fromkeys(row["labels"])}
+        for x in dict.fromkeys(row["q_labels"]):
+            mine = np.array([z == x for z in row["q_labels"]])
+            for y, theirs in right.items():
+                some = scores[np.ix_(mine, theirs)][other[np.ix_(mine, theirs)]]
+                if len(some):
+                    for name, value in zip(out, (x, y, len(some), float(some.sum()), float(some.max())), strict=True):
+                        out[name].append(value)
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+
+    q = packed.select(*[F.col(c).alias(f"q_{c}") for c in packed.columns])
+    rows = each_pair(q.crossJoin(packed).repartition("q_block", "block"), add, "left_label string, right_label string, n long, total double, best double")
+    found = rows.groupBy("left_label", "right_label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
+    return found.select("left_label", "right_label", "n", (F.col("total") / F.col("n")).alias("mean"), "best")
+
+
 def leave_one_out(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> DataFrame:
     """variant, query_id, query_label, rank, id, label, rel: each item's ``top_k`` others under each variant's weights.
 
@@ -38,23 +72,9 @@ def leave_one_out(features: DataFrame, id_col: str, label: str, variants: dict[s
     id. An item is never its own result.
     """
     scales = {v: np.sqrt([w.get(f, 0.0) for f in FEATURES]) for v, w in variants.items()}
-    flat = features.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), *[F.col(f).cast("array<double>").alias(f) for f in FEATURES])
-    flat = flat.repartition(F.col("id"))
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                vectors = [np.array(part.column(f).to_pylist(), float).reshape(part.num_rows, -1) for f in FEATURES]
-                row = {
-                    "ids": [part.column("id").to_numpy().astype(np.int64).tobytes()], "labels": [part.column("label").to_pylist()],
-                    "widths": [[v.shape[1] for v in vectors]], "vectors": [np.hstack(vectors).tobytes()],
-                }
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.binary()), pa.array(row["labels"], pa.list_(pa.string())), pa.array(row["widths"], pa.list_(pa.int32())), pa.array(row["vectors"], pa.binary())], list(row))
-
-    blocks = flat.mapInArrow(pack, "ids binary, labels array<string>, widths array<int>, vectors binary").withColumn("block", F.monotonically_increasing_id()).persist()
-    q = blocks.select(*[F.col(c).alias(f"q_{c}") for c in blocks.columns])
-    pairs = q.crossJoin(blocks).repartition("q_block").sortWithinPartitions("q_block", "block")  # of blocks: the square of items / 1024
+    packed = _packed(features, id_col, label)
+    q = packed.select(*[F.col(c).alias(f"q_{c}") for c in packed.columns])
+    pairs = q.crossJoin(packed).repartition("q_block").sortWithinPartitions("q_block", "block")  # of blocks: the square of items / 1024
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = {}, None

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.schema import CANDIDATE_K, FEATURES, MAX_TOP_K, TOP_K, EmptyCorpusError
 from nearfield.functions.vectors import dot
 from nearfield.functions.weights import as_map, normalise
-
-#: Queries that are sent to every task at once; more are joined by shuffling.
-FEW_QUERIES = 2_000
+from nearfield.operators.blocks import best, blocks, dots, each_pair, pairs, unpacked
 
 
 def long_features(features: DataFrame, id_col: str, feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -19,18 +19,47 @@ def long_features(features: DataFrame, id_col: str, feature_names: tuple[str, ..
     return features.select(F.col(id_col).alias("id"), F.explode(pairs).alias("p")).select("id", "p.feature", "p.vec")
 
 
-def similarities(corpus: DataFrame, queries: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """query_id, feature, id, sim: each query against every corpus vector of the same feature (both long, unit vectors).
+def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """query_id, feature, place, id, sim: the ``k`` nearest items of each query by each feature (unit vectors).
 
-    A small query set is broadcast, so that the corpus is scanned once where it lies.
+    Both sides meet block by block; a pair of blocks leaves at most ``k`` rows for each query and feature.
     """
-    q = queries.select(F.col("id").alias("query_id"), "feature", F.col("vec").alias("q_vec"))
-    if q.limit(FEW_QUERIES * len(FEATURES) + 1).count() <= FEW_QUERIES * len(FEATURES):
-        q = F.broadcast(q)
-    pairs = corpus.join(q, "feature")
-    if exclude_self:
-        pairs = pairs.filter("id <> query_id")
-    return pairs.select("query_id", "feature", "id", dot("vec", "q_vec").alias("sim"))
+
+    def search(row: dict) -> pa.RecordBatch | None:
+        (q_ids, q), (ids, c), at = unpacked(row, "q_"), unpacked(row), np.concatenate(([0], np.cumsum(row["widths"])))
+        same = q_ids[:, None] == ids[None, :] if exclude_self else None
+        parts = []
+        for name, lo, hi in zip(feature_names, at, at[1:]):
+            a, b = q[:, lo:hi], c[:, lo:hi]
+            approx = a @ b.T
+            if same is not None:
+                approx[same] = -np.inf
+            i, j = best(approx, k, lambda i, j: dots(a[i], b[j]), ids)  # noqa: B023
+            parts.append((q_ids[i], np.full(len(i), name, object), ids[j], dots(a[i], b[j])))
+        query, feature, item, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_pydict({"query_id": query, "feature": pa.array(feature, pa.string()), "id": item, "sim": sim})
+
+    met = pairs(blocks(queries.repartition(F.col(id_col)), id_col, feature_names), blocks(corpus, id_col, feature_names))
+    return ranked(each_pair(met, search, "query_id long, feature string, id long, sim double"), ["query_id", "feature"], "sim", k, name="place")
+
+
+def best_fused(corpus: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, exclude_self: bool = False, id_col: str = "id") -> DataFrame:
+    """query_id, id and the six sub-scores: each query's ``k`` best of each block by fused score, its ``k`` best of all among them."""
+    used = [f for f in FEATURES if weights.get(f)]
+
+    def search(row: dict) -> pa.RecordBatch | None:
+        (q_ids, q), (ids, c), at = unpacked(row, "q_"), unpacked(row), np.concatenate(([0], np.cumsum(row["widths"])))
+        side = dict(zip(FEATURES, zip(at, at[1:])))
+        sims = lambda f, i, j: dots(q[i, slice(*side[f])], c[j, slice(*side[f])])
+        scale = np.repeat([weights.get(f, 0.0) for f in FEATURES], row["widths"])
+        approx = (q * scale) @ c.T
+        if exclude_self:
+            approx[q_ids[:, None] == ids[None, :]] = -np.inf
+        i, j = best(approx, k, lambda i, j: sum((weights[f] * sims(f, i, j) for f in used), np.zeros(len(i))), ids)
+        return pa.RecordBatch.from_pydict({"query_id": q_ids[i], "id": ids[j], **{f: sims(f, i, j) for f in FEATURES}})
+
+    met = pairs(blocks(queries.repartition(F.col(id_col)), id_col, FEATURES), blocks(corpus, id_col, FEATURES))
+    return each_pair(met, search, "query_id long, id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def ranked(df: DataFrame, by: list[str], score: str, k: int | None, id_col: str = "id", name: str = "rank") -> DataFrame:
@@ -40,11 +69,6 @@ def ranked(df: DataFrame, by: list[str], score: str, k: int | None, id_col: str
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def candidates(sims: DataFrame, candidate_k: int = CANDIDATE_K) -> DataFrame:
-    """The ``candidate_k`` nearest items of each query by each feature, with place."""
-    return ranked(sims, ["query_id", "feature"], "sim", candidate_k, name="place")
-
-
 def dense(sims: DataFrame, feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
     """query_id, id and a column for each feature; a feature that did not propose the item counts 0."""
     return sims.groupBy("query_id", "id").pivot("feature", list(feature_names)).agg(F.first("sim")).fillna(0.0, list(feature_names))
@@ -77,9 +101,9 @@ def search(
     corpus = corpus.filter(F.col("role") == role) if role else corpus
     if corpus.isEmpty():
         raise EmptyCorpusError("the corpus is empty")
-    sims = similarities(long_features(corpus, id_col), long_features(queries, id_col), exclude_self)
-    sub = dense(candidates(sims, candidate_k) if mode == "candidate" else sims)
-    return ranked(sub.withColumn("score", fused(w)), ["query_id"], "score", checked_k(top_k))
+    k = checked_k(top_k)
+    sub = dense(nearest(corpus, queries, candidate_k, exclude_self, id_col)) if mode == "candidate" else best_fused(corpus, queries, w, k, exclude_self, id_col)
+    return ranked(sub.withColumn("score", fused(w)), ["query_id"], "score", k)
 
 
 def assembled(results: DataFrame) -> DataFrame:

@@ -48,9 +48,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.slices(table(spark, sf_dir, "embeddings"), "embedding", BOUNDS).select(F.col("vec_id").alias("id"), "label", *FEATURES)
 
 
-def asked(df: DataFrame, n: int) -> DataFrame:
-    """The query set: the items numbered below ``n``."""
-    return df.filter(F.col("id") < n)
+def asked(df: DataFrame) -> DataFrame:
+    """The query set: the items whose number is divisible by 20."""
+    return df.filter(F.col("id") % 20 == 0)
 
 
 # --- SQL parts -----------------------------------------------------------------------------------------------
@@ -79,7 +79,7 @@ def top(w: dict[str, float], k: int, source: str = "sub", name: str = "res") ->
 
 
 ROUNDED = ", ".join(f"round({f}, 6) AS {f}" for f in FEATURES)
-CANDIDATE = sims("q.id < 10") + placed() + wide("cand")
+CANDIDATE = sims("q.id % 20 = 0") + placed() + wide("cand")
 
 
 def rounded(df: DataFrame, *keep: str) -> DataFrame:
@@ -89,46 +89,42 @@ def rounded(df: DataFrame, *keep: str) -> DataFrame:
 # --- retrieval -----------------------------------------------------------------------------------------------
 
 
-@query("search_topk", sims("q.id = 0") + placed() + wide("cand") + top(DEFAULT_WEIGHTS, 5) + f" SELECT CAST(rank AS INTEGER) AS rank, id AS vec_id, e.label, round(score, 6) AS score, {ROUNDED} FROM res JOIN embeddings e ON e.vec_id = id")
+@query("search_topk", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + f" SELECT query_id, CAST(rank AS INTEGER) AS rank, id AS vec_id, e.label, round(score, 6) AS score, {ROUNDED} FROM res JOIN embeddings e ON e.vec_id = id")
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    found = retrieval.search(f.drop("label"), f.filter("id = 0"), exclude_self=True)
-    return rounded(retrieval.hydrate(found, f.select("id", "label")), "rank", "id", "label").withColumnRenamed("id", "vec_id")
+    found = retrieval.search(f.drop("label"), asked(f), exclude_self=True)
+    return rounded(retrieval.hydrate(found, f.select("id", "label")), "query_id", "rank", "id", "label").withColumnRenamed("id", "vec_id")
 
 
-@query("search_exact_topk", sims("q.id < 10") + wide("sims") + top(DEFAULT_WEIGHTS, 5) + f" SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, {ROUNDED} FROM res")
+@query("search_exact_topk", sims("q.id % 20 = 0") + wide("sims") + top(DEFAULT_WEIGHTS, 5) + f" SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, {ROUNDED} FROM res")
 def search_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    return rounded(retrieval.search(f, asked(f, 10), mode="exact", exclude_self=True), "query_id", "rank", "id")
+    return rounded(retrieval.search(f, asked(f), mode="exact", exclude_self=True), "query_id", "rank", "id")
 
 
 @query("search_batch_topk", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + f" SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, {ROUNDED} FROM res")
 def search_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    return rounded(retrieval.search(f, asked(f, 10), exclude_self=True), "query_id", "rank", "id")
+    return rounded(retrieval.search(f, asked(f), exclude_self=True), "query_id", "rank", "id")
 
 
 @query("search_custom_weights", CANDIDATE + top(weights.normalise(CUSTOM), 10) + f" SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, {ROUNDED} FROM res")
 def search_custom_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    return rounded(retrieval.search(f, asked(f, 10), CUSTOM, 10, exclude_self=True), "query_id", "rank", "id")
+    return rounded(retrieval.search(f, asked(f), CUSTOM, 10, exclude_self=True), "query_id", "rank", "id")
 
 
-def _sims(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    long = retrieval.long_features(features(spark, sf_dir), "id")
-    return retrieval.similarities(long, asked(long, n), exclude_self=True)
-
-
-def _candidates(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    return retrieval.candidates(_sims(spark, sf_dir, n))
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features(spark, sf_dir)
+    return retrieval.nearest(f, asked(f), exclude_self=True)
 
 
-@query("search_per_feature_topk", sims("q.id < 10") + placed() + " SELECT query_id, feature, CAST(place AS INTEGER) AS place, id, round(sim, 6) AS sim FROM cand")
+@query("search_per_feature_topk", sims("q.id % 20 = 0") + placed() + " SELECT query_id, feature, CAST(place AS INTEGER) AS place, id, round(sim, 6) AS sim FROM cand")
 def search_per_feature_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("query_id", "feature", "place", "id", F.round("sim", 6).alias("sim"))
 
 
-@query("candidate_union", sims("q.id < 10") + placed() + " SELECT query_id, id, count(*) AS n_features FROM cand GROUP BY 1, 2")
+@query("candidate_union", sims("q.id % 20 = 0") + placed() + " SELECT query_id, id, count(*) AS n_features FROM cand GROUP BY 1, 2")
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).groupBy("query_id", "id").agg(F.count("*").alias("n_features"))
 
@@ -136,22 +132,22 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mode_overlap", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + wide("sims", "exact") + top(DEFAULT_WEIGHTS, 5, "exact", "ex") + " SELECT ex.query_id, count(res.id) AS shared, count(*) AS k FROM ex LEFT JOIN res ON ex.query_id = res.query_id AND ex.id = res.id GROUP BY 1")
 def mode_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    a = retrieval.search(f, asked(f, 10), exclude_self=True).select("query_id", "id", F.lit(1).alias("hit"))
-    b = retrieval.search(f, asked(f, 10), mode="exact", exclude_self=True).select("query_id", "id")
+    a = retrieval.search(f, asked(f), exclude_self=True).select("query_id", "id", F.lit(1).alias("hit"))
+    b = retrieval.search(f, asked(f), mode="exact", exclude_self=True).select("query_id", "id")
     return b.join(a, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("hit").alias("shared"), F.count("*").alias("k"))
 
 
 @query("fusion_contributions", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + ", long AS (" + " UNION ALL ".join(f"SELECT query_id, rank, id, '{f}' AS feature, {f} AS sim, {w!r}::DOUBLE AS weight FROM res" for f, w in DEFAULT_WEIGHTS.items()) + ") SELECT query_id, CAST(rank AS INTEGER) AS rank, id, feature, round(weight, 6) AS weight, round(sim, 6) AS sim, round(weight * sim, 4) AS contribution, round(greatest(0.0, least(1.0, sim)), 6) AS shown FROM long")
 def fusion_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    rows = retrieval.contributions(retrieval.search(f, asked(f, 10), exclude_self=True))
+    rows = retrieval.contributions(retrieval.search(f, asked(f), exclude_self=True))
     return rows.select("query_id", "rank", "id", "feature", F.round("weight", 6).alias("weight"), F.round("sim", 6).alias("sim"), "contribution", F.round(vectors.clamp01("sim"), 6).alias("shown"))
 
 
 @query("hydrate_results", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + " SELECT query_id, CAST(rank AS INTEGER) AS rank, res.id, d.lang, d.source, l.quality FROM res LEFT JOIN documents d ON d.doc_id = res.id LEFT JOIN labels l ON l.doc_id = res.id")
 def hydrate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    found = retrieval.search(f, asked(f, 10), exclude_self=True).select("query_id", "rank", "id")
+    found = retrieval.search(f, asked(f), exclude_self=True).select("query_id", "rank", "id")
     named = retrieval.hydrate(found, table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
     return retrieval.hydrate(named, table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("query_id", "rank", "id", "lang", "source", "quality")
 
@@ -159,10 +155,10 @@ def hydrate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOTS = ", ".join(f"list_inner_product(max(CASE WHEN feature = '{f}' THEN lv END), max(CASE WHEN feature = '{f}' THEN rv END)) AS {f}" for f in FEATURES)
 
 
-@query("pairwise_compare", f"WITH {FEAT}, p AS (SELECT l.id AS \"left\", r.id AS \"right\", l.feature, l.v AS lv, r.v AS rv FROM feat l JOIN feat r ON r.id = l.id + 1 AND l.feature = r.feature WHERE l.id < 200), c AS (SELECT \"left\", \"right\", {_DOTS} FROM p GROUP BY 1, 2) SELECT \"left\", \"right\", {ROUNDED}, round({' + '.join(f'{w!r}::DOUBLE * {f}' for f, w in DEFAULT_WEIGHTS.items())}, 6) AS fused, CAST(64 AS BIGINT) AS total_dims FROM c")
+@query("pairwise_compare", f"WITH {FEAT}, p AS (SELECT l.id AS \"left\", r.id AS \"right\", l.feature, l.v AS lv, r.v AS rv FROM feat l JOIN feat r ON r.id = l.id + 1 AND l.feature = r.feature), c AS (SELECT \"left\", \"right\", {_DOTS} FROM p GROUP BY 1, 2) SELECT \"left\", \"right\", {ROUNDED}, round({' + '.join(f'{w!r}::DOUBLE * {f}' for f, w in DEFAULT_WEIGHTS.items())}, 6) AS fused, CAST(64 AS BIGINT) AS total_dims FROM c")
 def pairwise_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    pairs = f.filter("id < 200").select(F.col("id").alias("left"), (F.col("id") + 1).alias("right"))
+    pairs = f.select(F.col("id").alias("left"), (F.col("id") + 1).alias("right"))
     got = retrieval.compare(f, pairs)
     dims = F.aggregate("left_dims", F.lit(0), lambda s, x: s + x).cast("long")
     return got.select("left", "right", *[F.round(f, 6).alias(f) for f in FEATURES], F.round("fused", 6).alias("fused"), dims.alias("total_dims"))
@@ -176,22 +172,16 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("similarity_matrix_stats", sims("TRUE") + wide("sims") + f", sc AS (SELECT query_id, id, {' + '.join(f'{w!r}::DOUBLE * {f}' for f, w in DEFAULT_WEIGHTS.items())} AS score FROM sub) SELECT a.label AS left_label, b.label AS right_label, count(*) AS n, round(avg(score), 6) AS mean, round(max(score), 6) AS best FROM sc JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = sc.id GROUP BY 1, 2")
 def similarity_matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and best fused similarity by pair of labels. The mean over pairs is the product of the labels' vector sums
-    (less an item with itself), so only the best needs pairs; those come from the blocked all-pairs product."""
-    f = features(spark, sf_dir)
-    n = f.count()
-    hits = evaluate.leave_one_out(f, "id", "label", evaluate.BASE, max(1, n - 1))
-    got = hits.groupBy(F.col("query_label").cast("int").alias("left_label"), F.col("label").cast("int").alias("right_label"))
-    return got.agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("best"))
+    got = evaluate.label_pairs(features(spark, sf_dir), "id", "label", DEFAULT_WEIGHTS)
+    return got.select(F.col("left_label").cast("int").alias("left_label"), F.col("right_label").cast("int").alias("right_label"), "n", F.round("mean", 6).alias("mean"), F.round("best", 6).alias("best"))
 
 
 @query("lsh_recall")
 def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of hashed candidates against exact search, for every 20th vector as a query."""
     long = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.l2_normalize(vectors.to_doubles("embedding")).alias("vec"))
-    queries = long.filter("id % 20 = 0")
-    exact = retrieval.similarities(long.withColumn("feature", F.lit("all")), queries.withColumn("feature", F.lit("all")), exclude_self=True)
-    exact = retrieval.ranked(exact, ["query_id"], "sim", 5)
+    queries = asked(long)
+    exact = retrieval.nearest(long, queries, 5, exclude_self=True, feature_names=("vec",))
     return ann.recall(ann.lsh_candidates(long, queries, 5), exact)
 
 
@@ -406,22 +396,22 @@ def events_live_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- plot data -----------------------------------------------------------------------------------------------
 
-_POS = f"WITH {FEAT}, x AS (SELECT id, feature, v, unnest(range(0, len(v))) AS pos FROM feat WHERE id < 50)"
+_POS = f"WITH {FEAT}, x AS (SELECT id, feature, v, unnest(range(0, len(v))) AS pos FROM feat)"
 
 
 @query("plot_bars_long", _POS + f" SELECT id, pos::INTEGER AS pos, [{', '.join(repr(m) for m in plots.MOMENTS)}][pos + 1] AS label, round(v[pos + 1], 6) AS value FROM x WHERE feature = 'cm'")
 def plot_bars_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plots.bars(asked(features(spark, sf_dir), 50), "id", "cm").select("id", "pos", "label", F.round("value", 6).alias("value"))
+    return plots.bars(features(spark, sf_dir), "id", "cm").select("id", "pos", "label", F.round("value", 6).alias("value"))
 
 
 @query("plot_heatmap_grid", _POS + " SELECT id, (pos // 5)::INTEGER AS row, (pos % 5)::INTEGER AS col, round(v[pos + 1], 6) AS value FROM x WHERE feature = 'glcm'")
 def plot_heatmap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plots.grid(asked(features(spark, sf_dir), 50), "id", columns=5).select("id", "row", "col", F.round("value", 6).alias("value"))
+    return plots.grid(features(spark, sf_dir), "id", columns=5).select("id", "row", "col", F.round("value", 6).alias("value"))
 
 
 @query("plot_subsample", _POS + " SELECT id, (pos // 3)::INTEGER AS nth, pos::INTEGER AS pos, round(v[pos + 1], 6) AS value FROM x WHERE feature = 'hog' AND pos % 3 = 0 AND pos // 3 < 4")
 def plot_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plots.subsample(asked(features(spark, sf_dir), 50), "id", most=4).select("id", "nth", "pos", F.round("value", 6).alias("value"))
+    return plots.subsample(features(spark, sf_dir), "id", most=4).select("id", "nth", "pos", F.round("value", 6).alias("value"))
 
 
 @query("extract_features_synthetic")
@@ -434,6 +424,6 @@ def extract_features_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = lambda i: F.hex(F.pmod(i * (F.col("p_partkey") % 7 + 1) + F.floor(i / (side * 3)) * 5, F.lit(256)).cast("int"))
     data = F.unhex(F.array_join(F.transform(cells, lambda i: F.lpad(value(i), 2, "0")), ""))
     image = F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), data.alias("data")).alias("image")
-    items = table(spark, sf_dir, "part").filter("p_partkey <= 40").select(F.col("p_partkey").alias("id"), image)
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), image)
     long = retrieval.long_features(extract(items), "id")
     return long.select("id", "feature", F.size("vec").alias("width"), F.round(vectors.norm(F.col("vec").cast("array<double>")), 4).alias("norm"))

@@ -115,3 +115,28 @@ def test_kernels():
             kernels.preprocess(bad)
     with pytest.raises(ValueError):
         kernels.hog(img)
+
+
+def test_blocks_agree_with_brute_force(spark, monkeypatch):
+    from nearfield.operators import blocks
+
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(60, 4))
+    vecs = np.vstack([vecs, vecs[:20], np.zeros((1, 4))])  # ties, and a vector that is like nothing
+    vecs[:-1] /= np.linalg.norm(vecs[:-1], axis=1, keepdims=True)
+    f = items(spark, [list(map(float, v)) for v in vecs], [str(i % 3) for i in range(len(vecs))]).repartition(4)
+    monkeypatch.setattr(blocks, "SENT_BYTES", 0)  # as with a query set too large to broadcast
+    for mode in ("exact", "candidate"):
+        got = {(r["query_id"], r["rank"]): r["id"] for r in retrieval.search(f, f.filter("id % 20 = 0"), top_k=9, mode=mode, exclude_self=True).collect()}
+        for q in range(0, len(vecs), 20):
+            sim = [float(sum(a * b for a, b in zip(v, vecs[q], strict=True))) for v in vecs]
+            order = sorted((i for i in range(len(vecs)) if i != q), key=lambda i: (-round(sim[i], 12), i))
+            assert [got[q, k + 1] for k in range(9)] == order[:9]
+    sums = {(r["left_label"], r["right_label"]): r["n"] for r in evaluate.label_pairs(f, "id", "label", DEFAULT_WEIGHTS).collect()}
+    assert sum(sums.values()) == len(vecs) * (len(vecs) - 1) and sums["0", "1"] == 27 * 27
+
+
+def test_blocks_refuse_missing_vectors(spark):
+    f = spark.createDataFrame([(1, [1.0]), (2, None)], "id long, vec array<double>")
+    with pytest.raises(Exception, match="missing or differ in width"):
+        retrieval.nearest(f, f.filter("id = 1"), 1, feature_names=("vec",)).collect()
