@@ -74,7 +74,7 @@ def mix(
     place. ``tokens`` is the word count of ``text`` unless given.
 
     A leaf of any size spreads over 4096 ranges of the order: their sums find the range in which the prefix ends,
-    and only that range's rows are put in order.
+    and only that range's keys are put in order, rows of one key added up before.
     """
     levels = {f"__nf_path_{k}": F.coalesce(v.cast("string"), F.lit("")) for k, v in path.items()}
     names = list(levels)
@@ -94,7 +94,7 @@ def mix(
     upto = F.sum("n").over(Window.partitionBy(*names).orderBy("range"))
     ranges = ranges.withColumn("upto", upto).filter("upto > left AND upto - n <= left").select(*names, "range", (F.col("upto") - F.col("n")).alias("before"))
     ranges = cut(ranges)
-    inside = placed.join(near(ranges), [*names, "range"])
+    inside = placed.join(near(ranges), [*names, "range"]).groupBy(*names, "left", "before", "range", "at").agg(F.sum("__nf_n").alias("__nf_n"))
     running = F.col("before") + F.sum("__nf_n").over(Window.partitionBy(*names).orderBy("at"))
     ends = inside.withColumn("run", running).groupBy(*names).agg(F.max(F.when(F.col("run") <= F.col("left"), F.col("at"))).alias("last"), F.min("range").alias("range"))
     limits = cut(budgets.join(ends, names, "left").select(*names, "whole", F.when(F.col("left") > 0, F.coalesce("last", "range")).alias("last")))

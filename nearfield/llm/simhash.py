@@ -7,7 +7,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import components, cut, map_text, union_find
@@ -140,14 +140,18 @@ def _links(key: np.ndarray, fp: np.ndarray, budget: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": signed[rows], "b": signed[roots]})
 
 
+def rooted(each: DataFrame, budget: int = 2) -> DataFrame:
+    """``each`` (distinct fp and what else it has) with root: one of the fingerprints that links reach, the same for all of them."""
+    roots = components(fingerprint_links(each.select("fp"), budget))
+    return each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def link(prints: DataFrame, key: str = "doc_id", budget: int = 2) -> DataFrame:
     """``prints`` (key, fp and what else it has) with component_id: the smallest key reachable over linked fingerprints.
 
     Equal fingerprints are linked. A null key never names a component unless all keys of one are null.
     """
-    each = cut(prints.groupBy("fp").agg(F.min(key).alias("low")))
-    roots = components(fingerprint_links(each.select("fp"), budget))
-    named = each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted(cut(prints.groupBy("fp").agg(F.min(key).alias("low"))), budget)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     # Written, so that both sides of the last join are dealt anew and a fingerprint with very many rows can be split.
     return prints.join(cut(named.select("fp", "root").join(lows, "root").drop("root")), "fp")
@@ -159,17 +163,20 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, budget: int = 2) -> DataFrame:
-    """One row of each component of ``df``, that of the smallest key; among rows that share it the first by text and a hash of the row.
+    """One row of each component of ``df``: that of the smallest key (null last), then the smallest text hash.
 
-    Rows whose key is null stay only where a whole component has no other key.
+    Of rows with the same key and text the one with the smallest hash over its columns stays. Texts are shuffled
+    only for rows that stay; groups of any size are aggregated before they are shuffled.
     """
-    tag = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
-    found = near_duplicates(df.select(F.col(key), F.col(text)), text, key, size, budget)
-    heads = found.select(F.coalesce(F.concat(F.lit("k"), F.col("component_id").cast("string")), F.lit("")).alias("__nf_tag")).distinct()
-    kept = df.withColumn("__nf_tag", tag).join(heads, "__nf_tag", "left_semi")
-    plain = [F.col(c) for c, t in df.dtypes if not t.startswith("map")]
-    order = Window.partitionBy("__nf_tag").orderBy(text, F.xxhash64(*plain))
-    return kept.withColumn("__nf_nth", F.row_number().over(order)).filter("__nf_nth = 1").select(*df.columns)
+    tagged = df.withColumn("__nf_hash", F.xxhash64(text))
+    prints = cut(simhash(tagged.select(F.col(key).alias("__nf_k"), "__nf_hash", F.col(text).alias("t")), "t", ["__nf_k", "__nf_hash"], size))
+    first = F.min(F.struct(F.col("__nf_k").isNull().alias("none"), F.col("__nf_k").alias("k"), F.col("__nf_hash").alias("h")))
+    each = cut(prints.groupBy("fp").agg(first.alias("low")))
+    heads = rooted(each, budget).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.k").alias("__nf_k"), F.col("low.h").alias("__nf_h"))
+    kept = tagged.join(heads, F.col(key).eqNullSafe(F.col("__nf_k")) & (F.col("__nf_hash") == F.col("__nf_h")), "left_semi")
+    plain = [F.col(c) for c, t in df.dtypes if "map<" not in t]
+    row = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.xxhash64(*plain))
+    return kept.groupBy(F.col(key).alias("__nf_k"), "__nf_hash").agg(row.alias("__nf_row")).select("__nf_row.*")
 
 
 def op4(df: DataFrame) -> DataFrame:

@@ -245,3 +245,156 @@ def test_pipeline_stages(spark, docs):
             assert have.groupBy("doc_id").count().filter("count > 1").count() == 0
     out = corpus_pipeline.STAGES[-1][1](spark, have, "")
     assert out.select("doc_id").distinct().count() == have.count() and out.filter(F.col("offset") + F.col("length") > 2048).count() == 0
+
+
+def brute_languages(rows):
+    """rows: (key, text, lang). Expectation maximisation and scores over every segmentation, word by word."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokencount.default_model())
+    pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    longest = max(map(len, pieces))
+
+    def cuts(text):
+        return [w[i : i + 32] for w in text.lower().split() for i in range(0, len(w), 32)]
+
+    def steps(w):
+        for i in range(len(w)):
+            if w[i] not in pieces:
+                yield i, i + 1, None
+            for j in range(i + 1, min(len(w), i + longest) + 1):
+                if w[i:j] in pieces:
+                    yield i, j, w[i:j]
+
+    def sums(w, p):
+        a = [1.0] + [0.0] * len(w)
+        for i, j, x in steps(w):
+            a[j] += a[i] * p(x)
+        return a
+
+    train = [(t, k) for d, t, k in rows if d is not None and t is not None and k is not None and zlib.crc32(str(d).encode()) % 3 != 1]
+    langs, size, models = sorted({k for _, k in train}), len(pieces) + 1, {}
+    for lang in langs:
+        words, now = Counter(w for t, k in train if k == lang for w in cuts(t)), {}
+        p = lambda x: 1.0 / size
+        for _ in range(3):
+            total = Counter()
+            for w, n in words.items():
+                w = "▁" + w
+                a, b = sums(w, p), [0.0] * len(w) + [1.0]
+                for i, j, x in sorted(steps(w), reverse=True, key=lambda s: s[0]):
+                    b[i] += p(x) * b[j]
+                for i, j, x in steps(w):
+                    total[x] += n * a[i] * p(x) * b[j] / a[-1]
+            whole = sum(total.values()) + 0.01 * size
+            now = {x: max((n + 0.01) / whole, 1e-8) for x, n in total.items()}
+            p = lambda x, now=now, low=max(0.01 / whole, 1e-8): now.get(x, low)
+        models[lang] = p
+    out = {}
+    for d, t, _ in rows:
+        if not t or not re.search(r"[^\W\d_]", t):
+            out[d, t] = ("und", 0.0)
+            continue
+        logs = [sum(np.log(sums("▁" + w, models[k])[-1]) * n for w, n in Counter(cuts(t)).items()) for k in langs]
+        out[d, t] = (langs[int(np.argmax(logs))], 1 / sum(np.exp(x - max(logs)) for x in logs))
+    return out
+
+
+def test_language_id_brute_force(docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    want = brute_languages(set(rows))
+    for r in langid.identify(docs, keep=["doc_id", "text"]).collect():
+        lang, score = want[r["doc_id"], r["text"]]
+        assert (r["lang_pred"] == lang or abs(score - 0.5) < 1e-3) and abs(r["score"] - score) < 1e-3
+
+
+def brute_print(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_share(budget, kids):
+    """kids: {name: (cap, weight)}; what one leaves goes to the others by weight."""
+    full, got = set(), {}
+    while True:
+        rest = budget - sum(kids[k][0] for k in full)
+        weight = sum(w for k, (_, w) in kids.items() if k not in full)
+        got = {k: c if k in full else rest * w / weight for k, (c, w) in kids.items()}
+        more = {k for k in kids if k not in full and kids[k][0] <= got[k]}
+        if not more:
+            return {k: int(v + 1e-9) for k, v in got.items()}
+        full |= more
+
+
+def brute_mix(rows, num, den):
+    """rows: (key, text, lang, source), keys not repeated."""
+    import hashlib
+
+    def leaf(r):
+        n = re.search("([0-9]+)$", r[3] or "")
+        return ("web", "books", "code")[int(n[1]) % 3] if n else "other", r[2] or "", r[3] or ""
+
+    words = lambda r: len(WORD.findall(r[1] or ""))
+    have = Counter()
+    for r in rows:
+        have[leaf(r)] += words(r)
+    budgets = {(): sum(have.values()) * num // den}
+    for level in range(3):
+        for up in [x for x in budgets if len(x) == level]:
+            listed, other = mixing.WEIGHTS[level]
+            kids = {}
+            for path in {leaf(r) for r in rows}:
+                if path[:level] == up:
+                    cap, _ = kids.get(path[level], (0, 0))
+                    kids[path[level]] = (cap + have[path], listed.get(path[level], other))
+            budgets.update({(*up, k): v for k, v in brute_share(budgets[up], kids).items()})
+    kept = []
+    for path in {leaf(r) for r in rows}:
+        mine, budget = [r for r in rows if leaf(r) == path], budgets[path]
+        if have[path] and budget >= have[path]:
+            kept += mine
+            continue
+        run = 0
+        for r in sorted(mine, key=lambda r: hashlib.md5(f"42:0:{'' if r[0] is None else r[0]}".encode()).hexdigest()):
+            run += words(r)
+            if budget <= 0 or run > budget:
+                break
+            kept.append(r)
+    return kept
+
+
+def test_pipeline_brute_force(spark, docs, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    langs = brute_languages({r[:3] for r in rows})
+    rows = [r for r in rows if langs[r[0], r[1]][0] != "und" and langs[r[0], r[1]][1] >= 0.5]
+    null = {r[1] for r in rows if r[0] is None}
+    new = brute_lines([(-1, t) for t in null] + list({r[:2] for r in rows if r[0] is not None}))
+    rows = [(k, new[-1 if k is None else k], *rest) for k, old, *rest in rows if new[-1 if k is None else k] == old or WORD.search(new[-1 if k is None else k])]
+    rows = list(dict.fromkeys(rows))
+    prints = [brute_print(r[1]) for r in rows]
+    groups = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+    rows = [min((r for r, g in zip(rows, groups, strict=True) if g == one), key=lambda r: (r[0] is None, r[0])) for one in set(groups)]
+    rows = brute_mix(rows, 4, 5)
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r[0]: [*tok.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows}
+    assert 5 < len(ids) and {r["doc_id"] for r in got} == ids.keys()
+    assert sum(r["length"] for r in got) == sum(map(len, ids.values()))
+    for r in got:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(ids[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+
+
+def test_null_keys_keep_a_document_for_each_component(spark):
+    rows = [(None, "one text about rivers and boats"), (None, "a quite different note on winter bread"), (None, "one text about rivers and boats"), (3, "A quite different note on winter bread"), (4, None)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got) == [(0, rows[0][1]), (3, rows[3][1]), (4, "")]
