@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import components, cut, union_find
 
-#: Vectors in a block, leading dimensions that order them, dimensions of the boxes, and rows below which a matrix product settles a pair.
-BLOCK, LEADING, BOXED, SMALL = 256, 4, 16, 64
+#: Vectors and bytes in a block at most, leading dimensions that order them, dimensions of the boxes, and rows below
+#: which a matrix product settles a pair.
+BLOCK, BLOCK_BYTES, LEADING, BOXED, SMALL = 1024, 4 << 20, 4, 16, 128
+#: Links that a task holds before it folds them into a forest.
+HELD = 1 << 18
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
@@ -106,8 +109,8 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     a row without links is its own component (null for a null key, and not kept).
 
     Vectors of a label are put in the order of grid cells of edge eps on the leading principal dimensions (eps: the
-    distance at that cosine), dealt into blocks of a few hundred, and block pairs whose boxes may be near are
-    joined as tasks of their own, so a hot label or a dense group spreads over tasks. A task gives for each vector of
+    distance at that cosine), dealt into blocks of about a thousand, and block pairs whose boxes may be near are
+    joined in tasks dealt by block, so a hot label or a dense group spreads over tasks. A task gives for each vector of
     its two blocks the links counted and one spanning link, never all pairs.
     """
     rows = cut(unit_vectors(df, key, vector, label))
@@ -130,7 +133,7 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "rep", "weight", "unit")), strict=True):
-                if held and (held[0][0] != row[0] or len(held) >= BLOCK):
+                if held and (held[0][0] != row[0] or len(held) >= min(BLOCK, max(1, BLOCK_BYTES // len(row[3])))):
                     yield _block(held, axes)
                     held = []
                 held.append(row)
@@ -145,6 +148,9 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     gaps = F.zip_with(F.zip_with("a_low", "b_high", lambda x, y: x - y), F.zip_with("b_low", "a_high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
     near = a.join(b, ["grp", "c"]).filter((F.col("a_block") <= F.col("b_block")) & (apart <= eps * eps)).select("a_block", "b_block").distinct()
+    # Every other pair is turned round, so that each block stands second in about half of its pairs.
+    odd = (F.col("a_block") + F.col("b_block")) % 2 == 1
+    near = near.select(F.when(odd, F.col("b_block")).otherwise(F.col("a_block")).alias("a_block"), F.when(odd, F.col("a_block")).otherwise(F.col("b_block")).alias("b_block"))
     side = lambda s: blocks.select(F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in ("reps", "weights", "units")])
     pairs = near.join(side("a"), "a_block").join(side("b"), "b_block")
 
@@ -156,17 +162,20 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
                 ua, ub = np.frombuffer(row["a_units"]).reshape(len(ra), -1), np.frombuffer(row["b_units"]).reshape(len(rb), -1)
                 same, axis = row["a_block"] == row["b_block"], axes[ua.shape[1]]
                 na, nb = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
-                root = np.arange(len(ra) + (0 if same else len(rb)))
+                root, links, held = np.arange(len(ra) + (0 if same else len(rb))), [], 0
                 for i, j in interval_links(ua, ua @ axis.T, ub, ub @ axis.T, least, eps, same):
                     np.add.at(na, i, wb[j])
                     np.add.at(na if same else nb, j, wa[i])
-                    old = np.arange(len(root))
-                    root = union_find(np.concatenate((i, old)), np.concatenate((j if same else j + len(ra), root)), len(root))
+                    links.append((i, j if same else j + len(ra)))
+                    held += len(i)
+                    if held >= HELD:
+                        root, links, held = _folded(root, links), [], 0
+                root = _folded(root, links)
                 ids, n = (ra, na) if same else (np.concatenate((ra, rb)), np.concatenate((na, nb)))
                 some = n > 0
                 yield pa.RecordBatch.from_pydict({"rep": ids[some], "n": n[some], "root": ids[root[some]]})
 
-    found = cut(pairs.repartition("a_block", "b_block").mapInArrow(search, "rep long, n long, root long"))
+    found = cut(pairs.mapInArrow(search, "rep long, n long, root long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = reps.select("rep", "grp", "digest", "weight", "low").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -179,6 +188,11 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     return both.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _folded(root: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    a, b = zip((np.arange(len(root)), root), *links)
+    return union_find(np.concatenate(a), np.concatenate(b), len(root))
+
+
 def _block(held: list[tuple], axes: dict[int, np.ndarray]) -> pa.RecordBatch:
     units = np.frombuffer(b"".join(x[3] for x in held)).reshape(len(held), -1)
     at = units @ axes[units.shape[1]].T
