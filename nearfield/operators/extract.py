@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.kernels import EXTRACTORS, preprocess
+from nearfield.functions.kernels import EXTRACTORS, preprocess, stages
 from nearfield.functions.schema import EXTRACTOR_VERSION
 
 
@@ -35,3 +35,21 @@ def extract(images: DataFrame, id_col: str = "id", image: str = "image") -> Data
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     return rows.mapInArrow(run, "id long, extractor_ver string, " + ", ".join(f"{f} array<float>" for f in EXTRACTORS))
+
+
+def preprocess_stages(images: DataFrame, id_col: str = "id", image: str = "image") -> DataFrame:
+    """id, nth, stage, height, width, data: each image before and after every preprocessing step, for a panel of plots."""
+    rows = images.select(F.col(id_col).cast("long").alias("id"), *[F.col(f"{image}.{c}").alias(c) for c in ("height", "width", "data")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                found = stages(decode(r["height"], r["width"], r["data"]))
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.array([r["id"]] * len(found), pa.int64()), "nth": pa.array(range(len(found)), pa.int32()), "stage": list(found),
+                    "height": pa.array([x.shape[0] for x in found.values()], pa.int32()), "width": pa.array([x.shape[1] for x in found.values()], pa.int32()),
+                    "data": pa.array([x.tobytes() for x in found.values()], pa.binary()),
+                })
+
+    return rows.mapInArrow(run, "id long, nth int, stage string, height int, width int, data binary")

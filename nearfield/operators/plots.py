@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.functions.schema import EXTRACTOR_VERSION
+from nearfield.sources.ingest import _exists
+
 # Names of the colour moments' bars and of the texture grid's rows.
 MOMENTS = tuple(f"{c}_{m}" for c in ("H", "S", "V") for m in ("mean", "std", "skew"))
 TEXTURES = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")
@@ -33,3 +36,17 @@ def subsample(features: DataFrame, id_col: str, feature: str = "hog", most: int
     stride = F.greatest(F.lit(1), F.floor(F.size(feature) / most).cast("int"))
     rows = features.select(id_col, stride.alias("stride"), F.posexplode(feature).alias("pos", "value")).filter("pos % stride = 0")
     return rows.withColumn("nth", (F.col("pos") / F.col("stride")).cast("int")).filter(F.col("nth") < most).select(id_col, "nth", "pos", "value")
+
+
+def kept(spark: SparkSession, root: str, features: DataFrame, id_col: str, feature: str, version: str = EXTRACTOR_VERSION) -> DataFrame:
+    """The plot data of ``feature`` for the items of ``features``, kept below ``root`` by feature and version.
+
+    Items whose data are there are read, not worked out again; only the others are added.
+    """
+    make = {"glcm": grid, "hog": subsample}.get(feature, lambda f, i: bars(f, i, feature))
+    path = f"{root}/plots/{feature}_v{version}"
+    stored = _exists(spark, path)
+    known = spark.read.parquet(path).select(id_col).distinct() if stored else None
+    new = features.join(known, id_col, "left_anti") if stored else features
+    make(new, id_col).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(features.select(id_col), id_col, "left_semi")

@@ -81,8 +81,10 @@ def seed(spark: SparkSession, root: str, out: str, per_class: int | None = None,
     files = cap(files, "label", "path", per_class) if per_class else files
     name = F.regexp_extract("path", "([^/]+)$", 1)
     decoded = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
-    sizes = decoded.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-    rows = files.join(sizes, "path", "left").withColumn("filename", name).withColumn("reason", reject_reason(F.col("content"), F.col("label"), F.col("width") > 0))
+    # The image source writes an origin as an encoded URL, binaryFile a path as it is.
+    origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    sizes = decoded.select(_place(origin).alias("place"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    rows = files.withColumn("place", _place(F.col("path"))).join(sizes, "place", "left").drop("place").withColumn("filename", name).withColumn("reason", reject_reason(F.col("content"), F.col("label"), F.col("width") > 0))
     rows = statuses(addressed(rows, "content", "label", "filename"), "sha256", "path", "reason")
     if dry_run:
         return rows.groupBy("label").agg(F.count("*").alias("files_seen"), F.lit(0).cast("long").alias("inserted"))
@@ -98,6 +100,10 @@ def seed(spark: SparkSession, root: str, out: str, per_class: int | None = None,
     return result
 
 
+def _place(path: Column) -> Column:
+    return F.regexp_replace(path, "^([A-Za-z0-9]+:)/+", "$1/")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
