@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import once
+from nearfield.llm.notices import PASSAGES
 
 # Notices by which texts state their licence.
 TEMPLATES = (
@@ -26,8 +28,12 @@ TEMPLATES = (
 )
 
 
+def template_words(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    words = template_words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
@@ -55,10 +61,8 @@ def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id", templa
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.col(text).alias("unit"))))
     each = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("unit")))
     units = df.select(F.col(key), F.explode(F.concat(F.coalesce(whole, F.array().cast("array<struct<line_no:int,unit:string>>")), each)).alias("u"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("u.unit"), "[^a-z0-9]+", " ")), " ")
-    sized = units.select(key, "u.line_no", once(words).alias("w")).filter(F.size("w") > low)
-    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = sized.select(key, "line_no", once(F.array_distinct(pairs)).alias("g")).filter(F.size("g").between(low, high))
+    sized = units.select(key, "u.line_no", once(_words(F.col("u.unit"))).alias("w")).filter(F.size("w") > low)
+    grams = sized.select(key, "line_no", once(F.array_distinct(_pairs(F.col("w")))).alias("g")).filter(F.size("g").between(low, high))
     likely = grams.filter(F.arrays_overlap("g", F.array(*map(F.lit, signs))))
     best = F.array_max(F.array(*[_dice(F.col("g"), name, i, b, least) for i, (name, b) in enumerate(sets)]))
     found = likely.withColumn("best", best).filter("best.dice IS NOT NULL")
@@ -66,6 +70,83 @@ def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id", templa
     return found.select(key, "line_no", F.get(names, -F.col("best.at")).alias("license"), F.round("best.dice", 6).alias("dice"), F.size("g").cast("long").alias("n_bigrams"))
 
 
+def _words(unit: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " ")), " ")
+
+
+def _pairs(w: Column) -> Column:
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of ``value``, computed once inside a higher-order function."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def scan_passages(
+    df: DataFrame, text: str = "text", key: str = "doc_id", templates: tuple = TEMPLATES, passages: tuple = PASSAGES, least: float = 0.8
+) -> DataFrame:
+    """A row for each passage that states a licence across lines or within a longer one, as ``scan_licenses`` has it for units.
+
+    The whole text is one run of words, line breaks as white space. Where one of a template's first bigrams occurs,
+    as many words as the template has are compared with it. Of passages that overlap, the one of the highest Dice
+    coefficient counts, then that of the longest template. line_no is the line of its first word, n_bigrams its own
+    number. A passage goes without a row where a line it touches, or the whole text, is a unit that states the same
+    licence. Only texts that hold enough bigrams of a template are looked into; nothing is joined or shuffled.
+    """
+    rows = [(i, name, len(template_words(t)), template_bigrams(t)) for i, (name, t) in enumerate(templates + passages)]
+    need = [least_shared(len(b), least) for *_, b in rows]
+    known = F.array(*map(F.lit, sorted({x for *_, b in rows for x in b})))
+    shown = [
+        F.struct(F.lit(i).alias("at"), F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(k).alias("need"), F.array(*map(F.lit, b)).alias("b"))
+        for (i, name, n, b), k in zip(rows, need, strict=True)
+    ]
+    sized = df.select(F.col(key), F.col(text).alias("t"), once(_words(F.coalesce(F.col(text), F.lit("")))).alias("w")).filter(F.size("w") > min(need))
+    paired = sized.select(key, "t", once(_pairs(F.col("w"))).alias("p"))
+    held = paired.select(key, "t", "p", once(F.array_intersect("p", known)).alias("s")).filter(F.size("s") >= min(need))
+    likely = F.filter(F.array(*shown), lambda t: F.size(F.array_intersect(t["b"], F.col("s"))) >= t["need"])
+    few = held.select(key, "t", "p", once(likely).alias("ts")).filter(F.size("ts") > 0)
+
+    def windows(t: Column) -> Column:
+        size, signs = F.size(t["b"]), F.size(t["b"]) - t["need"] + 1
+
+        def at(ids: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.get(ids, i).between(1, signs))
+            return F.filter(F.transform(starts, lambda i: one(ids, i)), lambda x: x["dice"] >= least)
+
+        def one(ids: Column, i: Column) -> Column:
+            own = F.size(F.array_distinct(F.slice("p", i + 1, t["n"] - 1)))
+            shared = F.size(F.array_distinct(F.filter(F.slice(ids, i + 1, t["n"] - 1), lambda x: x > 0)))
+            end = F.least(i + t["n"], F.size("p") + 1) - 1
+            return _let(own, lambda n: F.struct((2.0 * shared / (n + size)).alias("dice"), size.alias("m"), i.alias("start"), end.alias("end"), n.alias("n"), t["license"].alias("license"), t["at"].alias("at")))
+
+        return _let(F.transform("p", lambda x: F.array_position(t["b"], x)), at)
+
+    found = few.select(key, "t", once(F.flatten(F.transform("ts", windows))).alias("x")).filter(F.size("x") > 0)
+    order = F.array_sort(F.transform("x", lambda x: F.struct((-x["dice"]).alias("a"), (-x["m"]).alias("b"), x["start"].alias("start"), x["at"].alias("c"), x["end"].alias("end"), x["n"].alias("n"), x["license"].alias("license"), x["dice"].alias("dice"))))
+    free = lambda got, x: ~F.exists(got, lambda y: (y["start"] <= x["end"]) & (x["start"] <= y["end"]))
+    chosen = F.aggregate("o", F.filter("o", lambda x: F.lit(False)), lambda got, x: F.when(free(got, x), F.array_append(got, x)).otherwise(got))
+    best = found.select(key, "t", once(order).alias("o")).select(key, "t", once(chosen).alias("x"))
+    lines = best.select(key, "x", once(F.split("t", "\n", -1)).alias("ls"), "t")
+    of_word = F.flatten(F.transform("ls", lambda x, i: F.array_repeat(i, F.size(F.filter(_words(x), lambda w: w != "")))))
+    sets = [(name, template_bigrams(t)) for name, t in templates]
+    names = F.array(*[F.lit(name) for name, _ in sets])
+
+    def stated(unit: Column) -> Column:
+        best = lambda g: F.get(names, -F.array_max(F.array(*[_dice(g, name, i, b, least) for i, (name, b) in enumerate(sets)])).cast("struct<dice:double,at:int>")["at"])
+        return _let(F.array_distinct(_pairs(_words(unit))), best)
+
+    told = lines.select(key, "x", once(of_word).alias("line"), once(F.transform("ls", stated)).alias("told"), once(stated(F.col("t"))).alias("all"))
+
+    def is_new(x: Column) -> Column:
+        first, last = F.get("line", x["start"]), F.get("line", x["end"])
+        return ~F.coalesce(F.col("all") == x["license"], F.lit(False)) & ~F.exists(F.slice("told", first + 1, last - first + 1), lambda k: k.eqNullSafe(x["license"]))
+
+    new = told.select(key, "line", F.explode(F.filter("x", is_new)).alias("x"))
+    return new.select(key, F.get("line", F.col("x.start")).alias("line_no"), "x.license", F.round("x.dice", 6).alias("dice"), F.col("x.n").cast("long").alias("n_bigrams"))
+
+
 def _dice(g: Column, name: str, at: int, bigrams: list[str], least: float) -> Column:
     m = len(bigrams)
     fits = F.size(g).between(least_shared(m, least), math.floor(m * (2 - least) / least + 1e-9))
@@ -74,7 +155,7 @@ def _dice(g: Column, name: str, at: int, bigrams: list[str], least: float) -> Co
 
 
 def sql(templates: tuple = TEMPLATES, least: float = 0.8) -> str:
-    """The scan for DuckDB: every unit against every template."""
+    """``scan_licenses`` for DuckDB: every unit against every template."""
     rows = ", ".join("({}, '{}', [{}])".format(i, n, ", ".join(f"'{b}'" for b in template_bigrams(t))) for i, (n, t) in enumerate(templates))
     return rf"""
 WITH t(tno, license, b) AS (VALUES {rows}),
@@ -89,4 +170,4 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, license, round(dice, 6) AS d
 
 
 def op3(df: DataFrame) -> DataFrame:
-    return scan_licenses(df)
+    return scan_licenses(df).unionByName(scan_passages(df))

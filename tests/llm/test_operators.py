@@ -213,6 +213,36 @@ def test_licenses(spark):
     assert got == {(1, 1, "MIT"), (4, 0, "CC-BY-NC-4.0")}
 
 
+def test_license_passages(spark):
+    from nearfield.llm import notices
+
+    gpl = licenses.TEMPLATES[7][1].split()
+    wrapped = "\n".join("# " + " ".join(gpl[i : i + 12]) for i in range(0, len(gpl), 12))
+    mit = dict((len(t), t) for k, t in notices.PASSAGES if k == "MIT")
+    first, full = mit[min(mit)], mit[max(mit)]
+    prose = " ".join(f"w{i}" for i in range(90))
+    words = full.split()
+    narrow = "\n".join(" ".join(words[i : i + 8]) for i in range(0, len(words), 8))
+    texts = {
+        1: f"#!/bin/sh\n\n{wrapped}\nprint {prose}",
+        2: first,
+        3: f"{prose}\n{narrow}\n{prose}",
+        4: f"{prose} it is Released under the MIT License, {prose}",
+        5: f"{prose}\nReleased under the MIT License\n{prose}",  # a line: one row as before
+        6: wrapped.replace("version 3", "version 2") + "\n" + prose,
+        7: prose,
+        8: f"{wrapped}\n{prose}\n{first}",
+        9: None,
+        10: "Licensed under the Apache\nLicense, Version 2.0",
+        11: next(t for k, t in notices.PASSAGES if k == "BSD-3-Clause").replace(". ", ".\n"),
+    }
+    df = spark.createDataFrame(list(texts.items()) + [(1, texts[1]), (None, first)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["line_no"], r["license"], r["dice"]) for r in licenses.op3(df).collect())
+    one = {(1, 2, "GPL-3.0", 1.0): 2, (2, 0, "MIT", 1.0): 1, (None, 0, "MIT", 1.0): 1, (3, 1, "MIT", 1.0): 1, (4, 0, "MIT", 1.0): 1, (5, 1, "MIT", 1.0): 1}
+    one |= {(6, 0, "GPL-2.0", 1.0): 1, (8, 0, "GPL-3.0", 1.0): 1, (8, 5, "MIT", 1.0): 1, (10, -1, "Apache-2.0", 1.0): 1, (11, 0, "BSD-3-Clause", 1.0): 1}
+    assert got == one
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(12, 8))
