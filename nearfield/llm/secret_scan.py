@@ -78,22 +78,34 @@ def dense_windows(run: str, window: int, least: float) -> list[tuple[int, int]]:
     return found
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of start to end without ``spans``, which are in order of their starts."""
+    left = []
+    for s, e in spans:
+        if e > start and s < end:
+            if s > start:
+                left.append((start, s))
+            start = e
+    return [*left, (start, end)] if start < end else left
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]], allow: re.Pattern) -> list[tuple[int, int, int]]:
-    """Spans of dense windows in candidate strings off the allow list, merged over classes, beside those of ``base``."""
+    """Spans of dense windows in candidate strings off the allow list, merged over classes, outside those of ``base``."""
     spans = []
     for m in CANDIDATE.finditer(text):
         if m[0].isalpha() or allow.search(m[0]):
             continue
-        for runs, window, least in CLASSES:
-            for r in runs.finditer(m[0]):
-                spans += [(m.start() + r.start() + a, m.start() + r.start() + b) for a, b in dense_windows(r[0], window, least)]
+        for at, to in outside(m.start(), m.end(), [(s, e) for s, _, e in base]):
+            for runs, window, least in CLASSES:
+                for r in runs.finditer(text, at, to):
+                    spans += [(r.start() + a, r.start() + b) for a, b in dense_windows(r[0], window, least)]
     merged: list[list[int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
-    return [(a, 3, b) for a, b in merged if not any(s < b and a < e for s, _, e in base)]
+    return [(a, 3, b) for a, b in merged]
 
 
 def scan(text: str | None, allow: re.Pattern) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -109,7 +121,7 @@ def secret_spans(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """Each row's counts of base spans, their digest, and all spans with what they hold.
 
     Spans count code points, end exclusive. ``found`` has kind, start, end and the matched characters. A null text is
-    an empty one and has none. The allow list suppresses entropy spans only. Rows are scanned one by one.
+    an empty one and has none. Entropy windows lie wholly outside base spans. The allow list suppresses entropy spans only. Rows are scanned one by one.
     """
     pattern = "|".join(f"(?:{a})" for a in allow) or r"(?!)"
 
