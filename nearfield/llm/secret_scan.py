@@ -23,13 +23,24 @@ CLASSES = (
     (re.compile(r"[0-9a-fA-F]{20,}"), 20, 2.9),
     (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.8),
 )
-#: Candidates that hold one of these are no secrets: identifiers, counting sequences, placeholders, addresses.
+
+
+def _ascending(letters: str) -> str:
+    """Ten letters of a counting sequence, and as many more as follow."""
+    return letters[:10] + "(?:".join(["", *letters[10:]]) + ")?" * len(letters[10:])
+
+
+#: What these match in a candidate is no secret: identifiers, counting sequences, placeholders with the letters and digits
+#: that follow, samples that end in one, paths. The rest of the candidate is scanned.
 ALLOW = (
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-    r"0123456789|abcdefghij|ABCDEFGHIJ",
-    r"example|EXAMPLE|placeholder|PLACEHOLDER|changeme|lorem",
-    r"^//|^/?[a-z]+(/[a-z_-]+){2,}$",
+    "|".join(map(_ascending, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))),
+    r"(?<![A-Za-z0-9])(?:example|EXAMPLE|placeholder|PLACEHOLDER|changeme|lorem)[A-Za-z0-9]*",
+    r"[A-Za-z0-9+/]*[A-Za-z0-9]EXAMPLE(?:KEY)?(?![A-Za-z0-9+/=_-])",
+    r"^/{0,2}[a-z]{1,19}(?:/[a-z_-]{1,19}){2,}$",
 )
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CONSONANTS = re.compile(r"[^aeiouy]{8}", re.I)
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, 257)]
 
 
@@ -46,8 +57,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def like_words(text: str) -> bool:
+    """Whether most letters lie in words: three letters or more in one case (a capital may lead) that can be spoken."""
+    words = [w for w in _WORD.findall(text) if len(w) > 2 and not _CONSONANTS.search(w)]
+    spoken = sum(len(w) for w in words if 4 * sum(map(w.lower().count, "aeiouy")) >= len(w))
+    return 10 * spoken >= 7 * sum(map(str.isalpha, text))
+
+
 def dense_windows(run: str, window: int, least: float) -> list[tuple[int, int]]:
-    """Merged windows of ``run`` with ``least`` bits of entropy or more that hold a digit and a letter.
+    """Merged windows of ``run`` with ``least`` bits of entropy or more that hold a letter, and a digit unless the letters are unlike words.
 
     Counts change by the character that leaves and the one that enters; the entropy of a window of w characters is
     log2(w) less the mean of c * log2(c) over its counts c.
@@ -69,7 +87,7 @@ def dense_windows(run: str, window: int, least: float) -> list[tuple[int, int]]:
             total += _TERM[k - 1] - _TERM[k]
             digits -= old.isdigit()
             letters -= old.isalpha()
-        if i >= window - 1 and total <= need and digits and letters:
+        if i >= window - 1 and total <= need and letters and (digits or not like_words(run[i - window + 1 : i + 1])):
             start = i - window + 1
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], i + 1)
@@ -90,12 +108,11 @@ def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]], allow: re.Pattern) -> list[tuple[int, int, int]]:
-    """Spans of dense windows in candidate strings off the allow list, merged over classes, outside those of ``base``."""
+    """Spans of dense windows in candidate strings, merged over classes, outside the allow list's matches and ``base``."""
     spans = []
     for m in CANDIDATE.finditer(text):
-        if m[0].isalpha() or allow.search(m[0]):
-            continue
-        for at, to in outside(m.start(), m.end(), [(s, e) for s, _, e in base]):
+        harmless = [(m.start() + x.start(), m.start() + x.end()) for x in allow.finditer(m[0])]
+        for at, to in outside(m.start(), m.end(), sorted(harmless + [(s, e) for s, _, e in base])):
             for runs, window, least in CLASSES:
                 for r in runs.finditer(text, at, to):
                     spans += [(r.start() + a, r.start() + b) for a, b in dense_windows(r[0], window, least)]
@@ -121,7 +138,8 @@ def secret_spans(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """Each row's counts of base spans, their digest, and all spans with what they hold.
 
     Spans count code points, end exclusive. ``found`` has kind, start, end and the matched characters. A null text is
-    an empty one and has none. Entropy windows lie wholly outside base spans. The allow list suppresses entropy spans only. Rows are scanned one by one.
+    an empty one and has none. Entropy windows lie wholly outside base spans. What the allow list matches in a candidate is left
+    out of entropy windows, the rest of it is not. Rows are scanned one by one.
     """
     pattern = "|".join(f"(?:{a})" for a in allow) or r"(?!)"
 

@@ -169,6 +169,22 @@ def test_secrets_beside_base_spans(spark):
     assert got[2] == "entropy:0:35,access:35:55,entropy:55:90" and got[3] == "access:0:20" and got[4] == "assign:0:40"
 
 
+def test_secrets_beside_allowed_strings(spark):
+    key, mixed, low = "wJalrXUtnFEM1K7MDENGbPxRfiCYz9qLmT", "qZtKvXwRbNpLsGdHcJmFyQxVkTzWrB", "qzjxkvwpbmtrghdnsclfqwzxvkjt"
+    texts = {
+        f"https://{key}@host": [key], f"//{key} note": [key], f"example_key={key}": [key], f"changeme={key}": [key],
+        f"123e4567-e89b-12d3-a456-426614174000/{key}": [key], f"{key}0123456789{key[::-1]}": [key, key[::-1]],
+        f"x {mixed} y": [mixed], f"x {low} y": [low], f"example{key}": [], "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY": [],
+        "getElementsByClassNameFromDocument": [], "Rechtsschutzversicherungsgesellschaften": [], "abcdefghijklmnopqrstuvwxyz234567": [],
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": [], "see usr/share/python-modules/documentation": [],
+        "https://some-house.org and //comment-about-the-following-lines": [], "state-of-the-art/well_known_and_unremarkable": [],
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [f["value"] for f in r["found"]] for r in secret_scan.secret_spans(rows).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert len(got[i]) == len(want) and all(w in g for w, g in zip(want, got[i], strict=True)), (text, got[i])
+
+
 def test_language_id(spark):
     en, fr = "the thing of other ones and there is more to it ", "les choses de cette ville sont dans une autre rue "
     rows = [(i, (en, fr)[i % 2] * (1 + i % 3), ("en", "fr")[i % 2]) for i in range(120)] + [(500, None, "en"), (501, "12 !!", "fr"), (None, en, "en"), (502, "x" * 5000, None)]
