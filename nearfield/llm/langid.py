@@ -17,6 +17,8 @@ from nearfield.llm.common import cut, in_parts, map_text
 LONGEST = 32
 FLOOR = 1e-8
 REMEMBERED = 300_000
+#: Copies of a text that count in learning; more count as so many.
+COPIES = 16
 _LETTER = re.compile(r"[^\W\d_]")
 _VOCABULARIES: dict[str, "Vocabulary"] = {}
 
@@ -141,11 +143,11 @@ def held_out(key: str) -> Column:
 def learn(docs: DataFrame, text: str, lang: str, model: str, per_language: int, rounds: int) -> tuple[list[str], np.ndarray]:
     """Languages in order, and piece probabilities (pieces x languages) by expectation maximisation.
 
-    About ``per_language`` rows of each language are used, chosen by a hash of the text, which bounds the words
-    counted. What reaches the driver is one number for each piece and language.
+    About ``per_language`` distinct texts of each language are used, all if there are no more, chosen by a hash of the
+    text, which bounds the words counted; up to ``COPIES`` copies of one count. What reaches the driver is one number for each piece and language.
     """
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l", F.xxhash64("t").alias("h")).agg(F.lit(1)).groupBy("l").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, 0))
@@ -156,12 +158,15 @@ def learn(docs: DataFrame, text: str, lang: str, model: str, per_language: int,
         for batch in batches:
             for piece in in_parts(batch, "t"):
                 seen: dict[str, Counter] = {}
-                for t, k in zip(piece.column("t").to_pylist(), piece.column("l").to_pylist(), strict=True):
-                    seen.setdefault(k, Counter()).update(pre_tokens(t))
+                for t, k, n in zip(*(piece.column(c).to_pylist() for c in ("t", "l", "n")), strict=True):
+                    words = seen.setdefault(k, Counter())
+                    for w, m in Counter(pre_tokens(t)).items():
+                        words[w] += m * n
                 flat = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
                 yield pa.RecordBatch.from_pydict({"l": [x[0] for x in flat], "w": [x[1] for x in flat], "n": pa.array([x[2] for x in flat], pa.int64())})
 
-    words = cut(rows.filter(part).mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")))
+    texts = rows.filter(part).groupBy("l", "t").agg(F.least(F.count("*"), F.lit(COPIES)).alias("n"))
+    words = cut(texts.mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")))
     number = {k: i for i, k in enumerate(langs)}
     size = vocabulary(model).size
     p = np.full((size, len(langs)), 1.0 / size)
@@ -225,8 +230,8 @@ def identify(
 ) -> DataFrame:
     """Each row's predicted language, learned from the rows that are not held out and have text and a language.
 
-    ``per_language``: about so many rows of each language are learned from, chosen by a hash (all rows if there are
-    fewer). Piece probabilities come from ``rounds`` of expectation maximisation over all segmentations. A null text,
+    ``per_language``: about so many distinct texts of each language are learned from, chosen by a hash (all if there
+    are fewer). Piece probabilities come from ``rounds`` of expectation maximisation over all segmentations. A null text,
     or one without letters, is ``und`` with score 0, and so is every row where nothing can be learned. Equal
     likelihoods go to the first language in order; repeated rows get the same answer. ``names``: of the two new columns.
     """

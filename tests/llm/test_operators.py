@@ -301,6 +301,16 @@ def test_pipeline_stages(spark, docs):
     assert out.select("doc_id").distinct().count() == have.count() and out.filter(F.col("offset") + F.col("length") > 2048).count() == 0
 
 
+def test_language_id_learns_from_copies(spark):
+    en, fr = "the thing of other ones and there is more to it ", "les choses de cette ville sont dans une autre rue "
+    texts = [(en + f"one{i}", "en") for i in range(3)] + [(fr + f"un{i}", "fr") for i in range(3)]
+    rows = [(i, *texts[i % 6]) for i in range(6000)]  # 2,000 rows a text
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, p = langid.learn(df, "text", "lang", tokencount.default_model(), 10, 1)
+    once = langid.learn(df.filter(f"doc_id < {6 * langid.COPIES}"), "text", "lang", tokencount.default_model(), 10, 1)[1]
+    assert langs == ["en", "fr"] and (p.max(0) > 2 / len(p)).all() and np.allclose(p, once)
+
+
 def brute_languages(rows):
     """rows: (key, text, lang). Expectation maximisation and scores over every segmentation, word by word."""
     import sentencepiece
