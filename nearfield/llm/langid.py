@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -13,21 +12,30 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import cut, in_parts, map_text
 
-#: Characters of a pre-token; longer ones are cut, so that products of probabilities stay in range.
-LONGEST = 32
 FLOOR = 1e-8
 REMEMBERED = 300_000
-#: Copies of a text that count in learning; more count as so many.
-COPIES = 16
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters of words that are worked on at a time.
+CHARS = 200_000
+#: Copies of a text that count in learning; more count as so many. Languages at most: a dense column each.
+COPIES, LANGUAGES = 16, 2_000
 _VOCABULARIES: dict[str, "Vocabulary"] = {}
 
 
-def pre_tokens(text: str) -> list[str]:
-    words = text.lower().split()
-    if max(map(len, words), default=0) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; digits, marks, fractions and numerals of any script are none."""
+    return any(map(str.isalpha, text))
+
+
+def chunks(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of ``words`` of about CHARS characters each."""
+    at = size = 0
+    for i, w in enumerate(words):
+        size += len(w) + 1
+        if size >= CHARS:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(words):
+        yield at, len(words)
 
 
 class Vocabulary:
@@ -39,6 +47,7 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         pieces = sorted({p.lower() for p in pieces})
+        self.longest = max(map(len, pieces))
         self.size = len(pieces) + 1  # the last number stands for a character that is no piece
         chars = {c: i + 1 for i, c in enumerate(sorted({c for p in pieces for c in p}))}
         self.char = np.zeros(0x110000, np.int32)
@@ -57,21 +66,32 @@ class Vocabulary:
         self.keys = np.array(sorted(step), np.int64)
         self.to = np.array([step[k] for k in self.keys.tolist()], np.int32)
 
-    def matches(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every piece at every place of the marked words: flat start and end nodes, end offset, piece; and each word's last node.
-
-        Word w of n characters has n + 2 nodes (a mark precedes it). A place where not even its character is a piece
-        gets the unknown piece there.
-        """
-        marked = ["▁" + w for w in words]
-        sizes = np.array([len(w) for w in marked])
-        sym = self.char[np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)]
+    def words(self, text: str) -> list[str]:
+        """A text's words in lower case, each behind a mark; longer ones than CHARS in parts, cut where no piece crosses."""
+        words = ["▁" + w for w in text.lower().split()]
+        if max(map(len, words), default=0) <= CHARS:
+            return words
+        return [part for w in words for part in (self._cut(w) if len(w) > CHARS else [w])]
+
+    def _cut(self, word: str) -> Iterator[str]:
+        at, width = 0, CHARS
+        while len(word) - at > width:
+            parts = self.matches([word[at : at + width]]).parts
+            safe = parts[parts <= width - self.longest]  # what crosses the window's end is not seen
+            if safe[-1]:
+                yield word[at : at + int(safe[-1])]
+                at, width = at + int(safe[-1]), CHARS
+            else:
+                width *= 2
+        yield word[at:]
+
+    def matches(self, words: list[str]) -> "Matches":
+        """Every piece at every place of the words; a place where not even its character is a piece gets the unknown piece."""
+        sizes = np.array([len(w) for w in words])
+        sym = self.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         ends = np.cumsum(sizes)
-        word = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(sym))
-        node_of = place + word  # each word has one node more than characters
-        stop = ends[word]
-        state, at, start = np.zeros(len(sym), np.int64), place.copy(), place.copy()
+        stop = np.repeat(ends, sizes)
+        state, at, start = np.zeros(len(sym), np.int64), np.arange(len(sym)), np.arange(len(sym))
         found = []
         single = np.zeros(len(sym), bool)
         length = 0
@@ -89,46 +109,86 @@ class Vocabulary:
             start, at, state = start[more], at[more], state[more]
         lone = np.flatnonzero(~single)
         found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), self.size - 1)))
-        start, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        first = ends - sizes + np.arange(len(words))
-        offset = start + length - (ends - sizes)[word[start]]
-        order = np.argsort(offset, kind="stable")
-        start, length, piece, offset = start[order], length[order], piece[order], offset[order]
-        return node_of[start], node_of[start] + length, offset, piece, first + sizes
-
-    def forward(self, words: list[str], p: np.ndarray, back: bool = False):
-        """Log probability of each word, summed over all segmentations, under each column of ``p`` (pieces x languages).
-
-        With ``back``: also each match's piece and its expected number in its word.
-        """
-        a, b, offset, piece, last = self.matches(words)
-        sizes = last - np.concatenate(([-1], last[:-1]))
-        alpha = np.zeros((int(last[-1]) + 1, p.shape[1]))
-        alpha[last - sizes + 1] = 1.0
-        cuts = np.concatenate((np.flatnonzero(np.diff(offset, prepend=0)), [len(offset)]))
-        for i, j in zip(cuts, cuts[1:]):
-            order = i + np.argsort(b[i:j], kind="stable")
-            to = b[order]
-            heads = np.flatnonzero(np.diff(to, prepend=-1))
-            alpha[to[heads]] = np.add.reduceat(alpha[a[order]] * p[piece[order]], heads, axis=0)
-        if not back:
-            return np.log(alpha[last])
-        beta = np.zeros_like(alpha)
-        beta[last] = 1.0
-        owner = np.repeat(np.arange(len(last)), sizes)
-        order = np.lexsort((a, offset_of(a, last, sizes, owner)))
-        start = offset_of(a, last, sizes, owner)[order]
-        cuts = np.concatenate((np.flatnonzero(np.diff(start, prepend=-1)), [len(order)]))
-        for i, j in reversed(list(zip(cuts, cuts[1:]))):
-            o = order[i:j]
-            heads = np.flatnonzero(np.diff(a[o], prepend=-1))
-            beta[a[o][heads]] = np.add.reduceat(beta[b[o]] * p[piece[o]], heads, axis=0)
-        share = alpha[a] * p[piece] * beta[b] / alpha[last][owner[a]]
-        return piece, owner[a], share
-
-
-def offset_of(node: np.ndarray, last: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    return node - (last - sizes + 1)[owner[node]]
+        return Matches(sizes, *(np.concatenate(x) for x in zip(*found, strict=True)), self.longest)
+
+
+class Matches:
+    """The pieces of some words as edges between places, for sums over all segmentations.
+
+    Where no piece crosses a place, every segmentation has a cut there: a part of its own begins, and a word's sum is
+    the product of its parts'. Parts are walked together, one place a step. A part of n characters has n + 1 nodes;
+    they are scaled block by block, so that a part of any length stays in range.
+    """
+
+    def __init__(self, sizes: np.ndarray, start: np.ndarray, length: np.ndarray, piece: np.ndarray, longest: int):
+        n = int(sizes.sum())
+        crossed = np.zeros(n + 1, np.int64)
+        long = length > 1
+        np.add.at(crossed, start[long] + 1, 1)
+        np.add.at(crossed, start[long] + length[long], -1)
+        fresh = np.cumsum(crossed)[:n] == 0
+        fresh[np.cumsum(sizes) - sizes] = True
+        part = np.cumsum(fresh) - 1
+        self.parts = first = np.flatnonzero(fresh)  # the characters with which parts begin
+        self.word = np.repeat(np.arange(len(sizes)), sizes)[first]
+        size = np.diff(np.append(first, n))
+        self.last = first + np.arange(len(first)) + size  # a part has a node more than characters
+        self.first = self.last - size
+        self.owner = np.repeat(np.arange(len(first)), size + 1)
+        self.place = np.arange(n + len(first)) - self.first[self.owner]
+        self.block = max(16, longest)
+        a = start + part[start]
+        order = np.lexsort((a + length, self.place[a + length]))
+        self.a, self.b, self.piece = a[order], (a + length)[order], piece[order]
+
+    def _walk(self, p: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the ways to each node (to a part's end from it, if ``back``) and the logs of their scales; ``p``: of each match."""
+        order = np.lexsort((self.a, self.place[self.a]))[::-1] if back else slice(None)
+        a, b = (self.b[order], self.a[order]) if back else (self.a, self.b)
+        p = p[order]
+        step = self.place[b]
+        heads = np.flatnonzero(np.diff(b, prepend=-1))
+        to, ends = b[heads], np.append(heads[1:], len(b))
+        cuts = np.flatnonzero(np.diff(step[heads], prepend=-1))
+        sums = np.zeros((len(self.owner), *p.shape[1:]))
+        sums[self.last if back else self.first] = 1.0
+        scale = np.zeros((len(self.first), *p.shape[1:]))
+        scales = np.zeros_like(sums)
+        done = -1
+        for i, j in zip(cuts, np.append(cuts[1:], len(heads))):
+            at = int(step[heads[i]])
+            block = at // self.block if back else (at - 1) // self.block
+            if block != done and done >= 0:
+                self._rescale(sums, scales, scale, self.owner[to[i:j]], done, back)
+            done = block
+            lo, hi = heads[i], ends[j - 1]
+            sums[to[i:j]] = np.add.reduceat(sums[a[lo:hi]] * p[lo:hi], heads[i:j] - lo, axis=0)
+            scales[to[i:j]] = scale[self.owner[to[i:j]]]
+        return sums, scales
+
+    def _rescale(self, sums: np.ndarray, scales: np.ndarray, scale: np.ndarray, parts: np.ndarray, block: int, back: bool) -> None:
+        """Divides the last block's nodes of ``parts``, that go on, by their largest sum."""
+        places = np.arange(self.block) + block * self.block + (0 if back else 1)
+        at = self.first[parts][:, None] + np.minimum(places, (self.last - self.first)[parts][:, None])
+        most = sums[at].max(1)
+        sums[at] /= most[:, None]
+        scale[parts] += np.log(most)
+        scales[at] = scale[parts][:, None]
+
+    def logs(self, p: np.ndarray) -> np.ndarray:
+        """Log probability of each word under each column of ``p`` (pieces x languages)."""
+        sums, scales = self._walk(p[self.piece], False)
+        each = np.log(sums[self.last]) + scales[self.last]
+        return np.add.reduceat(each, np.flatnonzero(np.diff(self.word, prepend=-1)), axis=0)
+
+    def shares(self, p: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each match's piece, word, and expected number in its word under the word's ``column`` of ``p``."""
+        word = self.word[self.owner[self.a]]
+        own = p[self.piece, column[word]]
+        ahead, up = self._walk(own, False)
+        behind, down = self._walk(own, True)
+        end = self.last[self.owner[self.a]]
+        return self.piece, word, ahead[self.a] * own * behind[self.b] / ahead[end] * np.exp(up[self.a] + down[self.b] - up[end])
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -149,6 +209,8 @@ def learn(docs: DataFrame, text: str, lang: str, model: str, per_language: int,
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     sizes = {r["l"]: r["count"] for r in rows.groupBy("l", F.xxhash64("t").alias("h")).agg(F.lit(1)).groupBy("l").count().collect()}
     langs = sorted(sizes)
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: is {lang} a language column?")
     if not langs:
         return [], np.zeros((0, 0))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / sizes[k]))])
@@ -160,7 +222,7 @@ def learn(docs: DataFrame, text: str, lang: str, model: str, per_language: int,
                 seen: dict[str, Counter] = {}
                 for t, k, n in zip(*(piece.column(c).to_pylist() for c in ("t", "l", "n")), strict=True):
                     words = seen.setdefault(k, Counter())
-                    for w, m in Counter(pre_tokens(t)).items():
+                    for w, m in Counter(vocabulary(model).words(t)).items():
                         words[w] += m * n
                 flat = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
                 yield pa.RecordBatch.from_pydict({"l": [x[0] for x in flat], "w": [x[1] for x in flat], "n": pa.array([x[2] for x in flat], pa.int64())})
@@ -171,26 +233,27 @@ def learn(docs: DataFrame, text: str, lang: str, model: str, per_language: int,
     size = vocabulary(model).size
     p = np.full((size, len(langs)), 1.0 / size)
     for _ in range(rounds):
-        known = p
+        known = docs.sparkSession.sparkContext.broadcast(p)
 
-        def expect(batches: Iterable[pa.RecordBatch], p: np.ndarray = known) -> Iterator[pa.RecordBatch]:
+        def expect(batches: Iterable[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            p = known.value
             total = np.zeros_like(p)
             for batch in batches:
                 k = np.array([number[x] for x in batch.column("l").to_pylist()])
                 n = batch.column("n").to_numpy().astype(float)
                 w = batch.column("w").to_pylist()
-                for i in range(0, len(w), 20_000):
-                    piece, owner, share = vocabulary(model).forward(w[i : i + 20_000], p, back=True)
-                    lang = k[i : i + 20_000][owner]
-                    np.add.at(total, (piece, lang), share[np.arange(len(piece)), lang] * n[i : i + 20_000][owner])
+                for i, j in chunks(w):
+                    piece, owner, share = vocabulary(model).matches(w[i:j]).shares(p, k[i:j])
+                    np.add.at(total, (piece, k[i:j][owner]), share * n[i:j][owner])
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(piece, pa.int32()), "lang": pa.array(lang, pa.int32()), "n": total[piece, lang]})
 
         sums = words.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum(F.round("n", 6).cast("decimal(38,6)")).cast("double").alias("n")).toPandas()
         total = np.zeros_like(p)
         total[sums["piece"], sums["lang"]] = sums["n"]
-        total += 0.01
-        p = np.maximum(total / total.sum(0), FLOOR)
+        p = np.maximum((total + 0.01) / (total + 0.01).sum(0), FLOOR)
+        p /= p.sum(0)
+        known.unpersist()
     return langs, p
 
 
@@ -201,14 +264,15 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, text: str, keep: l
 
     def fn(texts: list[str | None]) -> dict:
         vocab = vocabulary(model)
-        if not memory or len(memory["seen"]) > REMEMBERED:
-            memory.update(seen={}, rows=np.zeros((0, len(langs))))
+        if not memory or len(memory["seen"]) > REMEMBERED or memory["chars"] > 16 * REMEMBERED:
+            memory.update(seen={}, rows=np.zeros((0, len(langs))), chars=0)
         seen = memory["seen"]
-        docs = [pre_tokens(t) if t and langs and _LETTER.search(t) else [] for t in texts]
+        docs = [vocab.words(t) if t and langs and has_letter(t) else [] for t in texts]
         new = list({w for d in docs for w in d if w not in seen})
         if new:
-            got = [vocab.forward(new[i : i + 20_000], ctx.value) for i in range(0, len(new), 20_000)]
+            got = [vocab.matches(new[i:j]).logs(ctx.value) for i, j in chunks(new)]
             seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
+            memory["chars"] += sum(map(len, new))
             memory["rows"] = np.concatenate([memory["rows"], *got])
         sizes = np.array([len(d) for d in docs])
         ids = np.fromiter((i for d in docs for i in map(seen.__getitem__, d)), np.int64, int(sizes.sum()))
@@ -232,8 +296,11 @@ def identify(
 
     ``per_language``: about so many distinct texts of each language are learned from, chosen by a hash (all if there
     are fewer). Piece probabilities come from ``rounds`` of expectation maximisation over all segmentations. A null text,
-    or one without letters, is ``und`` with score 0, and so is every row where nothing can be learned. Equal
-    likelihoods go to the first language in order; repeated rows get the same answer. ``names``: of the two new columns.
+    or one without letters (as ``str.isalpha`` has them), is ``und`` with score 0, and so is every row where nothing can be
+    learned; an empty table gives no rows. Texts and words may be of any length; a word is cut only where no piece crosses, so
+    all its segmentations count. Equal likelihoods go to the first language in order; repeated rows get the same answer.
+    ``names``: of the two new columns, which must not be among ``keep``; other columns may have any name. More than
+    ``LANGUAGES`` languages are an error: the driver holds a number for each piece and language.
     """
     from nearfield.llm.tokencount import default_model
 

@@ -126,14 +126,17 @@ def profile(texts: list[str | None], window: int, least: int) -> dict[str, np.nd
 
 def repetition_rules(
     df: DataFrame, text: str = "text", keep: list[str] | None = None, min_words: int = 10, window: int = 5,
-    max_repeat_share: float = 0.2, least: int = 8, max_covered: float = 0.2, max_longest: int = 100,
+    max_repeat_share: float = 0.2, least: int = 8, max_covered: float = 0.12, max_longest: int = 100,
 ) -> DataFrame:
     """Each row's measures, base_failed and kept.
 
     Repeats are maximal runs of words that a text holds twice or more. A text fails the base rules with fewer than
     ``min_words`` words or more than ``max_repeat_share`` of them in repeats of ``window`` words; it is kept if it
     passes them, repeats of ``least`` words cover at most ``max_covered`` of its words and none is longer than
-    ``max_longest``. A null or empty text has no words and fails. Rows are judged one by one, repeated ones alike.
+    ``max_longest``. As every repeat of 8 words is one of 5, ``max_covered`` says something only below ``max_repeat_share``.
+    A null or empty text has no words and fails. Rows are judged one by one, repeated ones alike; an empty table gives
+    no rows. A very long text is one array of word numbers with a few numbers a word for each doubling that still has
+    ties. Only ``keep`` and the new columns come out, so other columns may have any name.
     """
 
     def fn(texts: list[str | None]) -> dict:
@@ -150,7 +153,7 @@ def op1(df: DataFrame) -> DataFrame:
     return repetition_rules(df).drop("n_covered_words", "longest_repeat")
 
 
-def sql(window: int = 5, least: int = 8, longest: int = 100) -> str:
+def sql(window: int = 5, least: int = 8, longest: int = 100, percent: int = 12) -> str:
     """The rules for DuckDB: a repeat of k words is a window of k words that its text holds twice."""
 
     def twice(k: int) -> str:
@@ -171,5 +174,5 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_su
   FROM w LEFT JOIN d USING (doc_id) LEFT JOIN n{window} a USING (doc_id) LEFT JOIN n{least} b USING (doc_id) LEFT JOIN n{longest + 1} c USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND 5 * n_covered <= n_words AND NOT long AS kept FROM f
+  NOT base_failed AND 100 * n_covered <= {percent} * n_words AND NOT long AS kept FROM f
 """

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -312,16 +314,13 @@ def test_language_id_learns_from_copies(spark):
 
 
 def brute_languages(rows):
-    """rows: (key, text, lang). Expectation maximisation and scores over every segmentation, word by word."""
+    """rows: (key, text, lang). Expectation maximisation and scores over every segmentation, word by word, in logs."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=tokencount.default_model())
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
     longest = max(map(len, pieces))
 
-    def cuts(text):
-        return [w[i : i + 32] for w in text.lower().split() for i in range(0, len(w), 32)]
-
     def steps(w):
         for i in range(len(w)):
             if w[i] not in pieces:
@@ -330,36 +329,39 @@ def brute_languages(rows):
                 if w[i:j] in pieces:
                     yield i, j, w[i:j]
 
+    def both(a, b):
+        return a if b == -math.inf else b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
     def sums(w, p):
-        a = [1.0] + [0.0] * len(w)
+        a = [0.0] + [-math.inf] * len(w)
         for i, j, x in steps(w):
-            a[j] += a[i] * p(x)
+            a[j] = both(a[j], a[i] + p(x))
         return a
 
     train = [(t, k) for d, t, k in rows if d is not None and t is not None and k is not None and zlib.crc32(str(d).encode()) % 3 != 1]
     langs, size, models = sorted({k for _, k in train}), len(pieces) + 1, {}
     for lang in langs:
-        words, now = Counter(w for t, k in train if k == lang for w in cuts(t)), {}
-        p = lambda x: 1.0 / size
+        words, p = Counter("▁" + w for t, k in train if k == lang for w in t.lower().split()), lambda x: -math.log(size)
         for _ in range(3):
             total = Counter()
             for w, n in words.items():
-                w = "▁" + w
-                a, b = sums(w, p), [0.0] * len(w) + [1.0]
+                a, b = sums(w, p), [-math.inf] * len(w) + [0.0]
                 for i, j, x in sorted(steps(w), reverse=True, key=lambda s: s[0]):
-                    b[i] += p(x) * b[j]
+                    b[i] = both(b[i], p(x) + b[j])
                 for i, j, x in steps(w):
-                    total[x] += n * a[i] * p(x) * b[j] / a[-1]
+                    total[x] += n * math.exp(a[i] + p(x) + b[j] - a[-1])
             whole = sum(total.values()) + 0.01 * size
             now = {x: max((n + 0.01) / whole, 1e-8) for x, n in total.items()}
-            p = lambda x, now=now, low=max(0.01 / whole, 1e-8): now.get(x, low)
+            low = max(0.01 / whole, 1e-8)
+            one = sum(now.values()) + (size - len(now)) * low
+            p = lambda x, now=now, low=low, one=one: math.log(now.get(x, low) / one)
         models[lang] = p
     out = {}
     for d, t, _ in rows:
-        if not t or not re.search(r"[^\W\d_]", t):
+        if not t or not any(unicodedata.category(c).startswith("L") for c in t):
             out[d, t] = ("und", 0.0)
             continue
-        logs = [sum(np.log(sums("▁" + w, models[k])[-1]) * n for w, n in Counter(cuts(t)).items()) for k in langs]
+        logs = [sum(sums("▁" + w, models[k])[-1] * n for w, n in Counter(t.lower().split()).items()) for k in langs]
         out[d, t] = (langs[int(np.argmax(logs))], 1 / sum(np.exp(x - max(logs)) for x in logs))
     return out
 
