@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -15,8 +16,11 @@ from nearfield.llm.common import components, cut, map_text, union_find
 #: The 64 bits fall into blocks of 16; two fingerprints that differ in 2 bits agree on 2 of the 4 blocks.
 BLOCKS = 4
 AGREE = tuple(combinations(range(BLOCKS), 2))
-#: Fingerprints that one trie holds (whole groups above it), and node pairs that it holds at a time.
-TRIE_ROWS, TRIE_PAIRS = 300_000, 1_000_000
+#: Fingerprints of several groups that a task walks together, node pairs that it holds at a time, and fingerprints of a
+#: group above which its node pairs are dealt over tasks.
+TRIE_ROWS, TRIE_PAIRS, TRIE_GROUP = 300_000, 1_000_000, 100_000
+#: Bits by which nodes lie deeper each time that a group is dealt anew.
+STEP = 8
 
 
 def fingerprints_of(texts: list[str | None], size: int = 3) -> np.ndarray:
@@ -50,22 +54,25 @@ def simhash(df: DataFrame, text: str = "text", keep: list[str] | None = None, si
     return map_text(df, text, keep or ["doc_id"], lambda texts: {"fp": fingerprints_of(texts, size).view(np.int64)}, "fp long")
 
 
-def trie_links(key: np.ndarray, rest: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal ``key`` whose 32-bit ``rest`` differ in at most ``budget`` bits, as spanning (row, root) pairs.
+def trie_links(group: np.ndarray, side: np.ndarray, rest: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal ``group`` whose 32-bit ``rest`` differ in at most ``budget`` bits, as spanning (row, root) pairs.
 
-    Rows must be distinct and in order of key and rest. They are the leaves of one binary trie for each key. Node
-    pairs are walked together from the tries' roots down: a pair's children pair up at no error where their bits
-    agree and at one more where they don't; a pair beyond the budget is dropped with all below it. A pair of two
-    leaves is settled by its remaining bits at once. Pairs wait on a stack, so memory stays bounded.
+    Rows must be distinct and in order of group, side and rest. A group is the leaves of one binary trie or, where it
+    has rows of side 1, two nodes' leaves of which only pairs across count. Node pairs are walked together from
+    there down: a pair's children pair up at no error where their bits agree and at one more where they don't; a pair
+    beyond the budget is dropped with all below it. A pair of two leaves is settled by its remaining bits at once.
+    Pairs wait on a stack, so memory stays bounded.
     """
-    n = len(key)
-    first = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if n else 0))
+    n = len(group)
+    first = np.flatnonzero(np.diff(group, prepend=group[0] - 1 if n else 0))
     last = np.append(first[1:], n)
-    big = last - first > 1
-    lo, hi = first[big], last[big]
+    middle = last - np.add.reduceat(side, first) if n else last
+    two = middle < last
+    alo, ahi, blo, bhi = first, np.where(two, middle, last), np.where(two, middle, first), last
+    some = (ahi > alo) & (two | (last - first > 1))
     ones = {}
     root = np.arange(n)
-    stack = [(31, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
+    stack = [(31, *(x[some] for x in (alo, ahi, blo, bhi)), np.zeros(int(some.sum()), np.int8))]
     while stack:
         bit, alo, ahi, blo, bhi, err = stack.pop()
         if len(alo) > TRIE_PAIRS:
@@ -106,38 +113,73 @@ def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fingerprint_links(prints: DataFrame, budget: int = 2) -> DataFrame:
     """Spanning links (a, b) of the distinct fingerprints in ``prints`` (fp) that differ in at most ``budget`` (2) bits.
 
-    Each fingerprint goes to six tries, by the two blocks of 16 bits that the tries of one pair of blocks share;
-    links inside a trie leave as a spanning forest, so a dense group gives no more rows than it has members.
+    Each fingerprint goes to six tries, by the two blocks of 16 bits that the tries of one pair of blocks share; the
+    other 32 bits are walked. A trie of very many fingerprints is cut into its nodes 8 bits deeper, and each pair of nodes
+    within the budget becomes a group of its own (37 at most for a node), again and again while groups are too large; so
+    no task holds more than about ``TRIE_GROUP`` of them. Links inside a group leave as a spanning forest, so a dense
+    group gives no more rows than it has members.
     """
     if budget > BLOCKS - 2:
         raise ValueError("with four blocks at most 2 bits may differ")
     block = lambda i: F.shiftrightunsigned("fp", 16 * (BLOCKS - 1 - i)).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*[F.lit(t << 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for t, (i, j) in enumerate(AGREE)])
-    dealt = prints.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
+    two = lambda i, j: F.shiftleft(block(i), 16).bitwiseOR(block(j))
+    left = [tuple(k for k in range(BLOCKS) if k not in pair) for pair in AGREE]
+    each = F.array(*[F.struct(F.lit(t << 32).bitwiseOR(two(*pair)).alias("key"), two(*left[t]).alias("rest")) for t, pair in enumerate(AGREE)])
+    # a and b are the nodes' prefixes of ``rest``; side tells in which of the two a row lies.
+    zero = F.lit(0).cast("long")
+    groups = prints.select("fp", F.explode(each).alias("x")).select("fp", "x.*", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"))
+    by, ready, depth = ["key", "a", "b"], [], 0
+    while depth < 32:
+        sizes = groups.groupBy(*by).count().filter(F.col("count") > TRIE_GROUP)
+        large = cut(sizes.drop("count"))
+        if large.isEmpty():
+            break
+        ready.append(groups.join(large, by, "left_anti").withColumn("depth", F.lit(depth)))
+        depth += STEP
+        groups = cut(_deeper(groups.join(large, by), depth, budget))
+    ready.append(groups.withColumn("depth", F.lit(depth)))
+    dealt = reduce(DataFrame.unionByName, ready).withColumn("group", F.xxhash64("depth", *by)).repartition("group").sortWithinPartitions("group", "depth", *by, "side")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in batches:
-            key = np.concatenate((key, batch.column("key").to_numpy()))
-            fp = np.concatenate((fp, batch.column("fp").to_numpy().view(np.uint64)))
-            to = int(np.searchsorted(key, key[-1])) if len(key) >= TRIE_ROWS else 0  # the last key may go on
-            if to:
-                yield _links(key[:to], fp[:to], budget)
-                key, fp = key[to:], fp[to:]
-        if len(key):
-            yield _links(key, fp, budget)
+            held.append([batch.column(c).to_numpy() for c in ("group", "depth", *by, "side", "rest", "fp")])
+            rows += batch.num_rows
+            if rows >= TRIE_ROWS:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                to = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
+                if to:
+                    yield _links([c[:to] for c in cols], budget)
+                    cols = [c[to:] for c in cols]
+                held, rows = [cols], len(cols[0])
+        if rows:
+            yield _links([np.concatenate(x) for x in zip(*held, strict=True)], budget)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _links(key: np.ndarray, fp: np.ndarray, budget: int) -> pa.RecordBatch:
-    left = np.array([[k for k in range(BLOCKS) if k not in pair] for pair in AGREE], np.uint64)[(key >> 32)]
-    take = lambda k: (fp >> (np.uint64(16) * (np.uint64(BLOCKS - 1) - k))) & np.uint64(0xFFFF)
-    rest = ((take(left[:, 0]) << np.uint64(16)) | take(left[:, 1])).astype(np.uint32)
-    order = np.lexsort((rest, key))
-    rows, roots = trie_links(key[order], rest[order], budget)
-    signed = fp[order].view(np.int64)
-    return pa.RecordBatch.from_pydict({"a": signed[rows], "b": signed[roots]})
+def _deeper(rows: DataFrame, depth: int, budget: int) -> DataFrame:
+    """``rows`` of node pairs ``depth`` - STEP bits deep, dealt to the pairs of their children that the budget allows."""
+    child = F.shiftrightunsigned("rest", 32 - depth)
+    other = F.shiftleft(F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a")), STEP)
+    masks = F.array(*[F.lit(m).cast("long") for m in range(1 << STEP) if m.bit_count() <= budget])
+    # A child that agrees with this one in its last bits, and those that differ from it in some.
+    near = rows.select("fp", "key", "rest", "side", child.alias("x"), F.explode(F.transform(masks, lambda m: other.bitwiseOR(child.bitwiseAND(F.lit((1 << STEP) - 1)).bitwiseXOR(m)))).alias("y"))
+    near = near.filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= budget)
+    side = F.when(F.col("x") == F.col("y"), 0).when(F.shiftrightunsigned("x", STEP) != F.shiftrightunsigned("y", STEP), F.col("side")).otherwise((F.col("x") > F.col("y")).cast("int"))
+    out = near.withColumn("to", side)
+    return out.select("fp", "key", "rest", F.when(F.col("to") == 0, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("to") == 0, F.col("y")).otherwise(F.col("x")).alias("b"), F.col("to").alias("side"))
+
+
+def _links(cols: list[np.ndarray], budget: int) -> pa.RecordBatch:
+    group, depth, key, a, b, side, rest, fp = cols
+    order = np.lexsort((rest, side, b, a, key, depth, group))
+    fresh = np.zeros(len(order), bool)
+    for c in (group, depth, key, a, b):
+        fresh[1:] |= c[order][1:] != c[order][:-1]
+    rows, roots = trie_links(np.cumsum(fresh), side[order].astype(np.int64), rest[order].astype(np.uint32), budget)
+    return pa.RecordBatch.from_pydict({"a": fp[order][rows], "b": fp[order][roots]})
 
 
 def rooted(each: DataFrame, budget: int = 2) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -130,32 +131,38 @@ class PieceMerger:
         self._passes(sym, sizes, owner, total, uneven)
         return total
 
-    def _taken(self, hit: np.ndarray, follows: np.ndarray, unit: np.ndarray, rank: np.ndarray, sym: np.ndarray, into: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _taken(self, hit: np.ndarray, follows: np.ndarray, unit: np.ndarray, rank: np.ndarray, into: np.ndarray, beside: Callable) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs ``hit`` (in order, each of the lowest rank of its sequence) merge at once, and which of those
         bring a pair of lower rank. Of overlapping pairs (``follows``) every second goes, from the left; in each
         sequence all go up to and with the first that brings a pair of lower rank, for that one is next.
 
-        ``before`` and ``after`` are the symbols beside each pair, -1 for none.
+        ``beside`` gives the symbols before and after some of the pairs, -1 for none.
         """
         place = np.arange(len(hit))
         take = (place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0
-        risky = np.flatnonzero(take & ~self.calm[into])
         bad = np.zeros(len(hit), bool)
+        risky = np.flatnonzero(take & ~self.calm[into[hit]])
         if len(risky):
+            first, (before, right) = into[hit[risky]], beside(hit[risky])
             # The pair before a run's second merge has become the first one's piece by then.
-            left = np.where(follows[risky], into[np.maximum(risky - 2, 0)], before[risky])
-            first, right = into[risky], after[risky]
+            left = np.where(follows[risky], into[hit[np.maximum(risky - 2, 0)]], before)
             worse = np.zeros(len(risky), bool)
             for some, x, y in ((left >= 0, left, first), (right >= 0, first, right)):
-                worse[some] |= self.pair(x[some], y[some])[0] <= rank[risky[some]]
+                worse[some] |= self.pair(x[some], y[some])[0] <= rank[hit[risky[some]]]
             bad[risky] = worse
             upto = np.cumsum(bad) - bad
-            base = upto[np.searchsorted(unit, unit)]  # of each sequence's first pair: units are in order
-            take &= upto == base
+            own = unit[hit]
+            take &= upto == upto[np.searchsorted(own, own)]  # none since the sequence's first pair: units are in order
         return take, bad & take
 
     def _passes(self, sym: np.ndarray, sizes: np.ndarray, owner: np.ndarray, total: np.ndarray, uneven: set[int] | None) -> None:
         """Short sequences: each pass over the ragged arrays merges every sequence's pairs of lowest rank."""
+
+        def beside(at: np.ndarray, sym: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            before, after = np.maximum(at - 1, 0), np.minimum(at + 2, len(sym) - 1)
+            has = lambda to, far: (unit[to] == unit[at]) & far
+            return np.where(has(before, at > 0), sym[before], -1), np.where(has(after, at + 2 < len(sym)), sym[after], -1)
+
         unit = np.repeat(np.arange(len(sizes)), sizes)
         rank, into = np.full(len(sym), NONE, np.int32), np.zeros(len(sym), np.int32)
         if len(sym) > 1:
@@ -174,11 +181,8 @@ class PieceMerger:
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == np.repeat(best, sizes))
-            follows = np.concatenate(([False], (hit[1:] == hit[:-1] + 1)))
-            edge = np.concatenate((unit, [-1, -1]))
-            before = np.where((hit > 0) & (edge[hit - 1] == unit[hit]), sym[hit - 1], -1)
-            after = np.where(edge[hit + 2] == unit[hit], sym[np.minimum(hit + 2, len(sym) - 1)], -1)
-            take, bad = self._taken(hit, follows, unit[hit], rank[hit], sym, into[hit], before, after)
+            follows = np.concatenate(([False], hit[1:] == hit[:-1] + 1))
+            take, bad = self._taken(hit, follows, unit, rank, into, lambda at: beside(at, sym, unit))  # noqa: B023
             if uneven is not None:
                 uneven.update(owner[unit[hit[bad]]].tolist())
             hit = hit[take]
@@ -234,13 +238,12 @@ class PieceMerger:
             mate = after[hit]
             follows = np.concatenate(([False], mate[:-1] == hit[1:]))
             past = after[mate]
-            take, bad = self._taken(hit, follows, unit[hit], rank[hit], sym, into[hit], np.where(before[hit] >= 0, sym[before[hit]], -1), np.where(past >= 0, sym[past], -1))
+            sides = lambda at: tuple(np.where(to >= 0, sym[to], -1) for to in (before[at], after[after[at]]))
+            take, bad = self._taken(hit, follows, unit, rank, into, sides)
             if bad.any():
                 waiting[r] = [hit[~take]]
                 heapq.heappush(heap, r)
-                hit, mate, past = hit[take], mate[take], past[take]
-            else:
-                hit, mate, past = hit[take], mate[take], past[take]
+            hit, mate, past = hit[take], mate[take], past[take]
             sym[hit] = into[hit]
             live[mate] = False
             after[hit] = past
@@ -259,11 +262,13 @@ class PieceMerger:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         new = {w for d in docs for w in d if w not in self.seen}
-        found = dict(zip(new, self._all(list(new)), strict=True))
-        self.seen.update((w, n) for w, n in found.items() if len(w) <= SHORT)
-        found.update((w, self.seen[w]) for d in docs for w in d if w not in found)
-        get = found.__getitem__
-        return [sum(map(get, d)) for d in docs]
+        self.seen.update(zip(new, self._all(list(new)), strict=True))
+        get = self.seen.__getitem__
+        counts = [sum(map(get, d)) for d in docs]
+        for w in new:
+            if len(w) > SHORT:  # long words are not remembered
+                del self.seen[w]
+        return counts
 
     def _all(self, words: list[str]) -> list[int]:
         """Tokens of each word, about a million characters at a time; a long run of spaces is shortened by whole pieces."""

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import components, cut, union_find
@@ -17,6 +17,10 @@ from nearfield.llm.common import components, cut, union_find
 BLOCK, BLOCK_BYTES, LEADING, BOXED, SMALL = 1024, 4 << 20, 4, 16, 128
 #: Links that a task holds before it folds them into a forest.
 HELD = 1 << 18
+#: Widths of vectors in one table at most.
+WIDTHS = 64
+#: Blocks of a tile, which a task holds, and blocks that it meets in turn.
+TILE, MET = 8, 64
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
@@ -47,22 +51,24 @@ def unit_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
 def principal_axes(units: DataFrame) -> dict[int, np.ndarray]:
     """For each vector width its leading principal axes, as rows. Each task sends one sum for each pair of dimensions (the
-    first 256 at most), added up by Spark; any orthonormal axes give right results, these prune best."""
+    first 256 at most), added up by Spark; any orthonormal axes give right results, these prune best. A task's sums come
+    from one matrix product a batch and width; the driver gets 33,000 numbers a width and at most WIDTHS widths."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for u in batch.column("unit").to_pylist():
-                x = np.append(np.frombuffer(u)[:256], 1.0)
-                d = len(u) // 8
-                if d not in sums:
-                    sums[d] = np.zeros((len(x), len(x)))
-                sums[d] += np.outer(x, x)
+            units = batch.column("unit").to_pylist()
+            for d in {len(u) // 8 for u in units}:
+                x = np.frombuffer(b"".join(u for u in units if len(u) == 8 * d)).reshape(-1, d)[:, :256]
+                x = np.hstack([x, np.ones((len(x), 1))])
+                sums[d] = sums.get(d, 0.0) + x.T @ x
         for d, s in sums.items():
             i, j = np.triu_indices(len(s))
             yield pa.RecordBatch.from_pydict({"d": np.full(len(i), d), "i": i, "j": j, "s": s[i, j]})
 
     axes = {}
+    if units.select((F.length("unit") / 8).alias("d")).distinct().count() > WIDTHS:
+        raise ValueError(f"vectors of more than {WIDTHS} widths")
     sums = units.select("unit").mapInArrow(run, "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).toPandas()
     for d, part in sums.groupby("d"):
         n = int(part["i"].max()) + 1
@@ -76,6 +82,13 @@ def principal_axes(units: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
+def placed(units: np.ndarray, axis: np.ndarray) -> np.ndarray:
+    """Coordinates on the principal axes, and the length of what they leave out: of two vectors these lie no farther apart
+    than the vectors themselves."""
+    at = units @ axis.T
+    return np.hstack([at, np.sqrt(np.maximum(0.0, 1.0 - (at * at).sum(1, keepdims=True)))])
+
+
 def interval_links(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, least: float, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i in a, j in b; i < j if both are the ``same``) with cosine ``least`` or more, joining intervals recursively.
 
@@ -109,15 +122,17 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     a row without links is its own component (null for a null key, and not kept).
 
     Vectors of a label are put in the order of grid cells of edge eps on the leading principal dimensions (eps: the
-    distance at that cosine), dealt into blocks of about a thousand, and block pairs whose boxes may be near are
-    joined in tasks dealt by block, so a hot label or a dense group spreads over tasks. A task gives for each vector of
-    its two blocks the links counted and one spanning link, never all pairs.
+    distance at that cosine) and dealt into blocks of about a thousand, eight consecutive blocks to a tile. Each block is
+    sent once to every tile that holds a block that may be near; a task holds a tile and joins up to 64 such blocks with
+    it, interval by interval, so a hot label or a dense group spreads over tasks. A task gives for each vector the links
+    counted and one spanning link, never all pairs. Repeated rows are links of each other; an empty table gives no rows;
+    other columns of ``df`` do not come out, so their names may be anything.
     """
     rows = cut(unit_vectors(df, key, vector, label))
     sound = rows.filter("unit IS NOT NULL AND id IS NOT NULL")
     reps = cut(sound.groupBy("grp", "digest").agg(F.first("unit").alias("unit"), F.count("*").alias("weight"), F.min("id").alias("low")).withColumn("rep", F.monotonically_increasing_id()))
     axes = principal_axes(reps)
-    eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6  # lengths that axes leave out are known to about 1e-8
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,51 +146,67 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        grp, nth, tile = None, 0, -1
+
+        def block() -> pa.RecordBatch:
+            nonlocal grp, nth, tile
+            grp, nth = (held[0][0], 0) if held[0][0] != grp else (grp, nth + 1)
+            tile += nth % TILE == 0
+            return _block(held, axes, tile)
+
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "rep", "weight", "unit")), strict=True):
                 if held and (held[0][0] != row[0] or len(held) >= min(BLOCK, max(1, BLOCK_BYTES // len(row[3])))):
-                    yield _block(held, axes)
+                    yield block()
                     held = []
                 held.append(row)
         if held:
-            yield _block(held, axes)
-
-    layout = "grp string, reps binary, weights binary, units binary, low array<double>, high array<double>"
-    blocks = cut(ordered.mapInArrow(deal, layout).withColumn("block", F.monotonically_increasing_id()))
-    box = blocks.select("grp", "block", "low", "high", F.floor(F.col("low")[0] / eps).alias("from"), F.floor(F.col("high")[0] / eps).alias("to"))
-    a = box.select("grp", F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1)).alias("c"), *[F.col(x).alias(f"a_{x}") for x in ("block", "low", "high")])
-    b = box.select("grp", F.explode(F.sequence("from", "to")).alias("c"), *[F.col(x).alias(f"b_{x}") for x in ("block", "low", "high")])
-    gaps = F.zip_with(F.zip_with("a_low", "b_high", lambda x, y: x - y), F.zip_with("b_low", "a_high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+            yield block()
+
+    layout = "grp string, tile long, reps binary, weights binary, units binary, low array<double>, high array<double>"
+    numbered = ordered.mapInArrow(deal, layout).withColumn("tile", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("tile"))
+    blocks = cut(numbered.withColumn("block", F.monotonically_increasing_id()))
+    # Which blocks may be near a tile is found on boxes alone, cell by cell of the first dimension; vectors come in later.
+    cell = lambda x, c: F.floor(x[0] / eps) + c
+    corner = lambda c, f: F.array(*[f(F.get(c, F.lit(i))) for i in range(1 + max((len(x) for x in axes.values()), default=0))])
+    boxes = blocks.groupBy("grp", F.col("tile").alias("at")).agg(corner("low", F.min).alias("from"), corner("high", F.max).alias("to"))
+    boxes = boxes.select("grp", "at", *[F.filter(c, lambda x: x.isNotNull()).alias(c) for c in ("from", "to")])
+    a = blocks.select("grp", F.explode(F.sequence(cell(F.col("low"), -1), cell(F.col("high"), 1))).alias("c"), "block", "tile", "low", "high")
+    b = boxes.select("grp", F.explode(F.sequence(cell(F.col("from"), 0), cell(F.col("to"), 0))).alias("c"), "at", "from", "to")
+    # A pair of tiles meets at the one or the other in turn, so that the work of a long row of tiles is even.
+    host = F.when((F.col("tile") + F.col("at")) % 2 == 1, F.least("tile", "at")).otherwise(F.greatest("tile", "at"))
+    gaps = F.zip_with(F.zip_with("low", "to", lambda x, y: x - y), F.zip_with("from", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
-    near = a.join(b, ["grp", "c"]).filter((F.col("a_block") <= F.col("b_block")) & (apart <= eps * eps)).select("a_block", "b_block").distinct()
-    # Every other pair is turned round, so that each block stands second in about half of its pairs.
-    odd = (F.col("a_block") + F.col("b_block")) % 2 == 1
-    near = near.select(F.when(odd, F.col("b_block")).otherwise(F.col("a_block")).alias("a_block"), F.when(odd, F.col("a_block")).otherwise(F.col("b_block")).alias("b_block"))
-    side = lambda s: blocks.select(F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in ("reps", "weights", "units")])
-    pairs = near.join(side("a"), "a_block").join(side("b"), "b_block")
+    near = a.join(b, ["grp", "c"]).filter((F.col("tile") != F.col("at")) & (F.col("at") == host) & (apart <= eps * eps)).select("at", "block").distinct()
+    share = F.floor((F.row_number().over(Window.partitionBy("at").orderBy("block")) - 1) / MET).cast("int")
+    met = cut(near.select("at", share.alias("share"), "block"))
+    tiles = blocks.select(F.col("tile").alias("at"), F.lit(0).alias("share"), F.lit(True).alias("own"), "block")
+    more = met.select("at", "share").distinct().join(blocks.select(F.col("tile").alias("at"), "block"), "at")
+    tiles = tiles.union(more.filter("share > 0").select("at", "share", F.lit(True).alias("own"), "block"))
+    sent = tiles.union(met.select("at", "share", F.lit(False).alias("own"), "block")).join(blocks.select("block", "reps", "weights", "units"), "block")
+    dealt = sent.repartition("at", "share").sortWithinPartitions("at", "share", F.col("own").desc(), "block")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
         for batch in batches:
-            for row in batch.to_pylist():
-                ra, rb = np.frombuffer(row["a_reps"], np.int64), np.frombuffer(row["b_reps"], np.int64)
-                wa, wb = np.frombuffer(row["a_weights"], np.int64), np.frombuffer(row["b_weights"], np.int64)
-                ua, ub = np.frombuffer(row["a_units"]).reshape(len(ra), -1), np.frombuffer(row["b_units"]).reshape(len(rb), -1)
-                same, axis = row["a_block"] == row["b_block"], axes[ua.shape[1]]
-                na, nb = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
-                root, links, held = np.arange(len(ra) + (0 if same else len(rb))), [], 0
-                for i, j in interval_links(ua, ua @ axis.T, ub, ub @ axis.T, least, eps, same):
-                    np.add.at(na, i, wb[j])
-                    np.add.at(na if same else nb, j, wa[i])
-                    links.append((i, j if same else j + len(ra)))
-                    held += len(i)
-                    if held >= HELD:
-                        root, links, held = _folded(root, links), [], 0
-                root = _folded(root, links)
-                ids, n = (ra, na) if same else (np.concatenate((ra, rb)), np.concatenate((na, nb)))
-                some = n > 0
-                yield pa.RecordBatch.from_pydict({"rep": ids[some], "n": n[some], "root": ids[root[some]]})
-
-    found = cut(pairs.mapInArrow(search, "rep long, n long, root long"))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if (row["at"], row["share"]) != now:
+                    now, held = (row["at"], row["share"]), []
+                ids = np.frombuffer(row["reps"], np.int64)
+                units = np.frombuffer(row["units"]).reshape(len(ids), -1)
+                new = (ids, np.frombuffer(row["weights"], np.int64), units, placed(units, axes[units.shape[1]]))
+                if row["own"]:
+                    held.append(new)
+                    if row["share"] == 0:
+                        for other in held:
+                            yield from _joined(other, new, least, eps)
+                else:
+                    for other in held:
+                        yield from _joined(other, new, least, eps)
+
+    found = cut(dealt.mapInArrow(search, "rep long, n long, root long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = reps.select("rep", "grp", "digest", "weight", "low").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -188,17 +219,36 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     return both.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _joined(x: tuple, y: tuple, least: float, eps: float) -> Iterator[pa.RecordBatch]:
+    """rep, n, root of the vectors of two blocks (or of one) that have links there."""
+    (ra, wa, ua, pa_), (rb, wb, ub, pb), same = x, y, x is y
+    na, nb = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
+    root, links, held = np.arange(len(ra) + (0 if same else len(rb))), [], 0
+    for i, j in interval_links(ua, pa_, ub, pb, least, eps, same):
+        np.add.at(na, i, wb[j])
+        np.add.at(na if same else nb, j, wa[i])
+        links.append((i, j if same else j + len(ra)))
+        held += len(i)
+        if held >= HELD:
+            root, links, held = _folded(root, links), [], 0
+    root = _folded(root, links)
+    ids, n = (ra, na) if same else (np.concatenate((ra, rb)), np.concatenate((na, nb)))
+    some = n > 0
+    if some.any():
+        yield pa.RecordBatch.from_pydict({"rep": ids[some], "n": n[some], "root": ids[root[some]]})
+
+
 def _folded(root: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     a, b = zip((np.arange(len(root)), root), *links)
     return union_find(np.concatenate(a), np.concatenate(b), len(root))
 
 
-def _block(held: list[tuple], axes: dict[int, np.ndarray]) -> pa.RecordBatch:
+def _block(held: list[tuple], axes: dict[int, np.ndarray], tile: int) -> pa.RecordBatch:
     units = np.frombuffer(b"".join(x[3] for x in held)).reshape(len(held), -1)
-    at = units @ axes[units.shape[1]].T
+    at = placed(units, axes[units.shape[1]])
     ints = lambda k: np.array([x[k] for x in held], np.int64).tobytes()
-    row = {"grp": [held[0][0]], "reps": [ints(1)], "weights": [ints(2)], "units": [units.tobytes()], "low": [at.min(0).tolist()], "high": [at.max(0).tolist()]}
-    kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    row = {"grp": [held[0][0]], "tile": [tile], "reps": [ints(1)], "weights": [ints(2)], "units": [units.tobytes()], "low": [at.min(0).tolist()], "high": [at.max(0).tolist()]}
+    kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], list(row))
 
 
