@@ -1,5 +1,8 @@
 """Fixed values of the data model, and the tables' schemas as DDL."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 # Feature names in order, their widths and default weights.
 FEATURES = ("hsv", "cm", "lbp", "glcm", "hog", "hu")
 DIMS = {"hsv": 768, "cm": 9, "lbp": 18, "glcm": 40, "hog": 8100, "hu": 7}
@@ -24,6 +27,29 @@ EVALUATION_RUNS = (
 EVENTS = ("stream_id string, seq bigint, kind string, payload string, at_ms bigint")
 
 
+#: The version of the tables above, and the tables by name. A change of a table raises it.
+SCHEMA_VERSION = 2
+TABLES = {"images": IMAGES, "feature_sets": FEATURE_SETS, "search_runs": SEARCH_RUNS, "evaluation_runs": EVALUATION_RUNS, "events": EVENTS}
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with exactly the columns of ``table`` in its present version, in order and type.
+
+    Columns that an older version lacked are null (``version`` of search_runs is 1); unknown ones are an error.
+    """
+    want = df.sparkSession.createDataFrame([], TABLES[table]).schema
+    extra = set(df.columns) - set(want.fieldNames())
+    if extra:
+        raise SchemaError(f"{table} has no columns {sorted(extra)}")
+    first = {("search_runs", "version"): F.lit(1)}
+    column = lambda f: F.col(f.name) if f.name in df.columns else first.get((table, f.name), F.lit(None))
+    return df.select(*[column(f).cast(f.dataType).alias(f.name) for f in want])
+
+
+class SchemaError(ValueError):
+    """Rows that do not fit a table."""
+
+
 class EmptyCorpusError(ValueError):
     """There is nothing to search."""
 

@@ -1,27 +1,91 @@
-"""Approximate candidates by random-projection hashing, with recall against exact search."""
+"""Approximate candidates: an index of cells round centres, looked into near a query; recall against exact search."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.functions.schema import CANDIDATE_K, FEATURES
+from nearfield.operators.blocks import asking, blocks, each_pair
+from nearfield.operators.retrieval import HITS, each_nearest, ranked
+
+#: Rows that centres are fitted on at most, centres at most, rounds of fitting, and cells looked into for each query.
+SAMPLE, CENTRES, ROUNDS, PROBES = 20_000, 4_096, 8, 16
+#: Parts into which the rows of a cell are dealt, so that a large cell is no one task.
+PARTS = 16
+
+
+def centres_of(sample: np.ndarray, n: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """``n`` unit centres of unit vectors by spherical k-means."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), min(n, len(sample)), replace=False)]
+    for _ in range(rounds):
+        own = (sample @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
+    return centres
 
-def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, tables: int = 12, width: float = 1.0, within: float = 1.4, seed: int = 7) -> DataFrame:
-    """query_id, id, sim: the ``k`` nearest unit vectors among those that share a bucket with a query (id, vec each).
 
-    For unit vectors distance and cosine give the same order.
+def fit(corpus: DataFrame, feature: str, id_col: str = "id", most: int = SAMPLE) -> np.ndarray:
+    """Centres fitted on a sample of at most about ``most`` rows, chosen by a hash of the id; every row is indexed afterwards.
+
+    There are about four times as many centres as the root of the rows.
     """
-    vec = lambda df, i: df.select(F.col("id").alias(i), array_to_vector("vec").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(vec(corpus, "id"))
-    near = model.approxSimilarityJoin(vec(queries, "query_id"), vec(corpus, "id"), within, "dist")
-    near = near.select(F.col("datasetA.query_id"), F.col("datasetB.id"), (1 - F.col("dist") * F.col("dist") / 2).alias("sim")).filter("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    n = corpus.count()
+    part = F.pmod(F.xxhash64(F.lit(feature), F.col(id_col)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, most / max(1, n))) + 1)
+    rows = corpus.filter(part).select(F.col(feature).cast("array<double>").alias("v")).limit(2 * most).toArrow()  # the sample is bounded
+    sample = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
+    return centres_of(sample, int(min(CENTRES, max(1, round(4 * n**0.5)))))
+
+
+def celled(df: DataFrame, feature: str, centres: np.ndarray, id_col: str, probes: int) -> DataFrame:
+    """id, feature, cell: each row in the ``probes`` cells whose centres are nearest."""
+    kept = df.sparkSession.sparkContext.broadcast(centres)  # CENTRES rows at most
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                v = part.column(feature).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                m = min(probes, len(kept.value))
+                near = np.argsort(-(v @ kept.value.T), axis=1, kind="stable")[:, :m]
+                rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), m)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel(), pa.int64())], [*rows.schema.names, "cell"])
+
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(feature).cast("array<double>").alias(feature))
+    return slim.mapInArrow(run, f"id long, {feature} array<double>, cell long")
+
+
+def met(corpus: DataFrame, queries: DataFrame, feature: str, id_col: str = "id", probes: int = PROBES) -> DataFrame:
+    """Blocks of queries (q_ columns) with blocks of the cells that they look into; joined by cell, so only these are sent."""
+    centres = fit(corpus, feature, id_col)
+    side = lambda df, n, parts: celled(df, feature, centres, id_col, n).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("cell")
+    q, c = (blocks(side(df, n, parts), "id", (feature,), by=F.col("cell")) for df, n, parts in ((queries, probes, 1), (corpus, 1, PARTS)))
+    return asking(q).join(c, F.col("q_by") == F.col("by"))
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", feature_names: tuple[str, ...] = FEATURES, probes: int = PROBES) -> DataFrame:
+    """As ``retrieval.nearest``, among the items of the cells that each query looks into."""
+    hits = None
+    for f in feature_names:
+        one = each_pair(met(corpus, queries, f, id_col, probes), each_nearest(k, exclude_self, (f,)), HITS)
+        hits = one if hits is None else hits.unionByName(one)
+    return ranked(hits, ["query_id", "feature"], "sim", k, name="place")
+
+
+def looked_at(pairs_met: DataFrame) -> DataFrame:
+    """pairs: how many pairs of a query and an item the blocks of ``met`` hold."""
+    return pairs_met.agg(F.coalesce(F.sum(F.length("q_ids") / 8 * F.length("ids") / 8), F.lit(0)).cast("long").alias("pairs"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """n_exact, n_found, recall of (query_id, id) pairs."""
-    both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    """n_exact, n_found, recall of (query_id, feature, id) rows."""
+    by = ["query_id", "feature", "id"]
+    both = exact.select(*by).join(found.select(*by, F.lit(1).alias("hit")), by, "left")
     return both.agg(F.count("*").alias("n_exact"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found")).withColumn("recall", F.round(F.col("n_found") / F.col("n_exact"), 4))

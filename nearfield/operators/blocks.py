@@ -16,30 +16,34 @@ BLOCK, BLOCK_BYTES, SENT_BYTES = 1024, 4 << 20, 32 << 20
 SLACK = 1e-9
 
 
-def blocks(df: DataFrame, id_col: str, names: tuple[str, ...], label: Column | None = None) -> DataFrame:
-    """ids, labels, widths, vectors: rows of ``df`` (whole-number ids, one array for each name) packed where they lie.
+def blocks(df: DataFrame, id_col: str, names: tuple[str, ...], label: Column | None = None, by: Column | None = None) -> DataFrame:
+    """ids, labels, widths, vectors, by: rows of ``df`` (whole-number ids, one array for each name) packed where they lie.
 
-    A null vector, or vectors of one name with different widths, are errors.
+    A block holds rows of one ``by`` only, so rows should be sorted by it. A null vector, or vectors of one name with
+    different widths, are errors.
     """
-    label = F.lit(None) if label is None else label
-    flat = df.select(F.col(id_col).cast("long").alias("id"), label.cast("string").alias("label"), *[F.col(f).cast("array<double>").alias(f) for f in names])
-    layout = pa.schema([("ids", pa.binary()), ("labels", pa.list_(pa.string())), ("widths", pa.list_(pa.int32())), ("vectors", pa.binary())])
+    label, by = (F.lit(None) if x is None else x for x in (label, by))
+    flat = df.select(F.col(id_col).cast("long").alias("id"), label.cast("string").alias("label"), F.coalesce(by.cast("long"), F.lit(0)).alias("by"), *[F.col(f).cast("array<double>").alias(f) for f in names])
+    layout = pa.schema([("ids", pa.binary()), ("labels", pa.list_(pa.string())), ("widths", pa.list_(pa.int32())), ("vectors", pa.binary()), ("by", pa.int64())])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             found = [_matrix(batch.column(f), f) for f in names]
-            rows, ids = np.hstack(found), batch.column("id").to_numpy().astype(np.int64)
+            rows, ids, key = np.hstack(found), batch.column("id").to_numpy().astype(np.int64), batch.column("by").to_numpy()
             step = max(1, min(BLOCK, BLOCK_BYTES // max(1, rows[0].nbytes)))
-            for at in range(0, len(rows), step):
-                row = {
-                    "ids": ids[at : at + step].tobytes(), "labels": batch.column("label").slice(at, step).to_pylist(),
-                    "widths": [x.shape[1] for x in found], "vectors": rows[at : at + step].tobytes(),
-                }
-                yield pa.RecordBatch.from_pylist([row], schema=layout)
+            edges = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key))
+            for lo, hi in zip(edges, edges[1:]):
+                for at in range(lo, hi, step):
+                    to = min(at + step, hi)
+                    row = {
+                        "ids": ids[at:to].tobytes(), "labels": batch.column("label").slice(at, to - at).to_pylist(),
+                        "widths": [x.shape[1] for x in found], "vectors": rows[at:to].tobytes(), "by": int(key[at]),
+                    }
+                    yield pa.RecordBatch.from_pylist([row], schema=layout)
 
-    return flat.mapInArrow(pack, "ids binary, labels array<string>, widths array<int>, vectors binary")
+    return flat.mapInArrow(pack, "ids binary, labels array<string>, widths array<int>, vectors binary, by long")
 
 
 def _matrix(column: pa.Array, name: str) -> np.ndarray:
@@ -49,10 +53,15 @@ def _matrix(column: pa.Array, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def asking(df: DataFrame) -> DataFrame:
+    """Blocks as the asking side: q_ columns."""
+    return df.select(*[F.col(c).alias(f"q_{c}") for c in df.columns])
+
+
 def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every block of ``left`` (q_ columns) with every block of ``right``; a left side of checked size is broadcast, and
     ``right`` then stays where it lies."""
-    q = left.select(*[F.col(c).alias(f"q_{c}") for c in left.columns])
+    q = asking(left)
     size = q.agg(F.sum(F.length("q_vectors") + F.length("q_ids"))).first()[0] or 0
     return (F.broadcast(q) if size <= SENT_BYTES else q).crossJoin(right)  # of blocks, for a stated set of queries
 

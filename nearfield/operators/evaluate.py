@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.schema import DEFAULT_WEIGHTS, FEATURES, EvaluationError
-from nearfield.operators.blocks import blocks, each_pair, unpacked
+from nearfield.functions.schema import DEFAULT_WEIGHTS, EVAL_TOP_K, FEATURES, EvaluationError
+from nearfield.functions.weights import ablations, as_map, normalise
+from nearfield.operators.blocks import asking, blocks, each_pair, unpacked
+from nearfield.operators.retrieval import ranked
+from nearfield.operators.shared import written
 
 
 def labelled(features: DataFrame, items: DataFrame, id_col: str, label: str, dims: dict[str, int] | None = None) -> DataFrame:
@@ -29,15 +33,15 @@ def guard(items: DataFrame, label: str) -> None:
 
 
 def _packed(features: DataFrame, id_col: str, label: str) -> DataFrame:
-    """Blocks in a fixed order, so that blocks worked out again after a loss are the same ones."""
+    """Blocks in the shared folder. Pairs of them are made where they are read: no block is shuffled again."""
     dealt = features.repartition(F.col(id_col)).sortWithinPartitions(id_col)
-    return blocks(dealt, id_col, FEATURES, F.col(label)).withColumn("block", F.monotonically_increasing_id()).persist()
+    return written(blocks(dealt, id_col, FEATURES, F.col(label)).withColumn("block", F.monotonically_increasing_id()))
 
 
 def label_pairs(features: DataFrame, id_col: str, label: str, weights: dict[str, float]) -> DataFrame:
     """left_label, right_label, n, mean, best: fused similarity over the ordered pairs of different items, by their labels.
 
-    A pair of blocks leaves one row for each pair of labels in it.
+    A task takes a range of blocks against another one and leaves a row for each pair of labels and blocks in it.
     """
     packed = _packed(features, id_col, label)
     scale = [weights.get(f, 0.0) for f in FEATURES]
@@ -46,35 +50,37 @@ def label_pairs(features: DataFrame, id_col: str, label: str, weights: dict[str,
         (q_ids, q), (ids, c) = unpacked(row, "q_"), unpacked(row)
         scores = (q * np.repeat(scale, row["widths"])) @ c.T
         other = q_ids[:, None] != ids[None, :]
+        left, right = (_numbered(row[x]) for x in ("q_labels", "labels"))
         out: dict[str, list] = {x: [] for x in ("left_label", "right_label", "n", "total", "best")}
-        right = {y: np.array([z == y for z in row["labels"]]) for y in dict.fromkeys(row["labels"])}
-        for x in dict.fromkeys(row["q_labels"]):
-            mine = np.array([z == x for z in row["q_labels"]])
-            for y, theirs in right.items():
-                some = scores[np.ix_(mine, theirs)][other[np.ix_(mine, theirs)]]
+        for i, x in enumerate(left[0]):
+            for j, y in enumerate(right[0]):
+                at = np.ix_(left[1] == i, right[1] == j)
+                some = scores[at][other[at]]
                 if len(some):
                     for name, value in zip(out, (x, y, len(some), float(some.sum()), float(some.max())), strict=True):
                         out[name].append(value)
         kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
-    q = packed.select(*[F.col(c).alias(f"q_{c}") for c in packed.columns])
-    rows = each_pair(q.crossJoin(packed).repartition("q_block", "block"), add, "left_label string, right_label string, n long, total double, best double")
+    rows = each_pair(asking(packed).crossJoin(packed), add, "left_label string, right_label string, n long, total double, best double")  # of blocks
     found = rows.groupBy("left_label", "right_label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
     return found.select("left_label", "right_label", "n", (F.col("total") / F.col("n")).alias("mean"), "best")
 
 
+def _numbered(labels: list) -> tuple[list, np.ndarray]:
+    names = list(dict.fromkeys(labels))
+    return names, np.array([names.index(x) for x in labels])
+
+
 def leave_one_out(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> DataFrame:
-    """variant, query_id, query_label, rank, id, label, rel: each item's ``top_k`` others under each variant's weights.
+    """variant, query_id, query_label, id, label, score, rank, rel: each item's ``top_k`` others under each variant's weights.
 
     Weighted sums of cosines are products of vectors scaled by the roots of the weights. Items lie in blocks; a task
-    takes one block as queries and the others block by block, and keeps only the best so far. Ties go to the lower
-    id. An item is never its own result.
+    takes one block after the other as queries against a range of blocks and leaves only its best, of which those of
+    all ranges are ranked. Ties go to the lower id. An item is never its own result.
     """
     scales = {v: np.sqrt([w.get(f, 0.0) for f in FEATURES]) for v, w in variants.items()}
     packed = _packed(features, id_col, label)
-    q = packed.select(*[F.col(c).alias(f"q_{c}") for c in packed.columns])
-    pairs = q.crossJoin(packed).repartition("q_block").sortWithinPartitions("q_block", "block")  # of blocks: the square of items / 1024
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = {}, None
@@ -92,26 +98,45 @@ def leave_one_out(features: DataFrame, id_col: str, label: str, variants: dict[s
                     scale = np.repeat(s, row["widths"])
                     scores = (a * scale) @ (b * scale).T
                     scores[q_ids[:, None] == ids[None, :]] = -np.inf
-                    old = held.get(v)
-                    all_ids = np.broadcast_to(ids, scores.shape) if old is None else np.hstack([old[0], np.broadcast_to(ids, scores.shape)])
-                    all_scores = scores if old is None else np.hstack([old[1], scores])
-                    all_labels = np.broadcast_to(labels, scores.shape) if old is None else np.hstack([old[2], np.broadcast_to(labels, scores.shape)])
-                    order = np.lexsort((all_ids, -all_scores), axis=1)[:, :top_k]
-                    held[v] = tuple(np.take_along_axis(x, order, 1) for x in (all_ids, all_scores, all_labels))
+                    top, at = _top(scores, ids, top_k)
+                    new = (ids[at], top, labels[at])
+                    if v in held:
+                        new = tuple(np.hstack(x) for x in zip(held[v], new, strict=True))
+                        order = np.lexsort((new[0], -new[1]), axis=1)[:, :top_k]
+                        new = tuple(np.take_along_axis(x, order, 1) for x in new)
+                    held[v] = new
         if held:
             yield _hits(held, q_ids, q_labels)
 
-    return pairs.mapInArrow(best, "variant string, query_id long, query_label string, rank int, id long, label string, score double, rel int")
+    met = asking(packed).crossJoin(packed)  # of blocks: the square of items / 1024, each side read where it lies
+    hits = met.mapInArrow(best, "variant string, query_id long, query_label string, id long, label string, score double, rel int")
+    return ranked(hits, ["variant", "query_id"], "score", top_k)
+
+
+def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best scores of each row and their places, ties at the edge to the lower id."""
+    if k < scores.shape[1]:
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        near = scores >= least[:, None]
+        if near.sum(1).max() <= 4 * k:
+            width = int(near.sum(1).max())
+            places = np.argsort(~near, axis=1, kind="stable")[:, :width]
+            few = np.where(np.take_along_axis(near, places, 1), np.take_along_axis(scores, places, 1), -np.inf)
+            order = np.lexsort((ids[places], -few), axis=1)[:, :k]
+            return np.take_along_axis(few, order, 1), np.take_along_axis(places, order, 1)
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), order
 
 
 def _hits(held: dict, q_ids: np.ndarray, q_labels: list) -> pa.RecordBatch:
-    out: dict[str, list] = {c: [] for c in ("variant", "query_id", "query_label", "rank", "id", "label", "score", "rel")}
+    names, own = ["variant", "query_id", "query_label", "id", "label", "score", "rel"], np.array(q_labels, object)
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32())
+    parts = []
     for v, (ids, scores, labels) in held.items():
-        for i, j in zip(*np.nonzero(scores > -np.inf), strict=True):
-            for c, x in zip(out, (v, int(q_ids[i]), q_labels[i], int(j) + 1, int(ids[i, j]), labels[i, j], float(scores[i, j]), int(labels[i, j] == q_labels[i])), strict=True):
-                out[c].append(x)
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+        i, j = np.nonzero(scores > -np.inf)
+        cols = (np.full(len(i), v, object), q_ids[i], own[i], ids[i, j], labels[i, j], scores[i, j], (labels[i, j] == own[i]).astype(np.int32))
+        parts.append(cols)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)], names)
 
 
 def query_metrics(hits: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
@@ -146,6 +171,52 @@ def evaluation_run(metrics5: DataFrame, metrics10: DataFrame) -> DataFrame:
     return a.crossJoin(metrics10.agg(F.avg("ap").cast("decimal(5,4)").alias("map_at_10")))  # one row by one row
 
 
+def _metrics_struct() -> Column:
+    return F.struct(F.col("precision").alias("precision_at_k"), F.col("map").alias("map_at_k"), F.col("n_queries"))
+
+
+def reports(metrics: DataFrame, variants: dict[str, dict[str, float]], top_k: int) -> DataFrame:
+    """variant, report: method, weights, top_k, overall and per_class (a map by label) of each variant; labels are few beside items."""
+    by_class = per_class(metrics).groupBy("variant").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("query_label"), _metrics_struct())))).alias("per_class"))
+    both = overall(metrics).select("variant", _metrics_struct().alias("overall")).join(by_class, "variant")
+    weights = F.lit(None).cast("map<string,double>")
+    for v, w in variants.items():
+        weights = F.when(F.col("variant") == v, as_map(w)).otherwise(weights)
+    method = F.when(F.col("variant") == "base", "default").otherwise(F.col("variant"))
+    return both.select("variant", F.struct(method.alias("method"), weights.alias("weights"), F.lit(top_k).alias("top_k"), "overall", "per_class").alias("report"))
+
+
+def evaluated(features: DataFrame, id_col: str, label: str, method: str = "default", weights: dict | None = None, top_k: int = EVAL_TOP_K, run_id: int = 1) -> DataFrame:
+    """One row as evaluation_runs keeps it: precision at 5 and MAP at 10 whatever ``top_k``; per_class as JSON for the
+    ``default`` method, ablation as JSON for the ``ablation`` one, which takes the default weights."""
+    if method not in ("default", "ablation"):
+        raise ValueError("method is default or ablation")
+    guard(features, label)
+    started = F.lit(datetime.now(UTC)).cast("timestamp")
+    variants = ablations() if method == "ablation" else {"base": normalise(weights)}
+    hits = written(leave_one_out(features, id_col, label, variants, max(top_k, 10)))
+    sizes = class_sizes(features, label)
+    base = hits.filter("variant = 'base'")
+    numbers = evaluation_run(query_metrics(base, sizes, 5), query_metrics(base, sizes, 10))
+    each = reports(query_metrics(hits, sizes, top_k), variants, top_k)
+    if method == "default":
+        made = each.agg(F.to_json(F.max_by("report.per_class", "variant")).alias("per_class"), F.lit(None).cast("string").alias("ablation"))
+    else:
+        rest = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("variant") != "base", F.struct("variant", F.to_json("report").alias("r"))))))
+        made = each.agg(F.max_by(F.to_json("report"), F.col("variant") == "base").alias("base"), rest.alias("variants"))
+        variant_map = F.transform_values("variants", lambda k, v: F.from_json(v, _REPORT))
+        made = made.select(F.lit(None).cast("string").alias("per_class"), F.to_json(F.struct(F.lit(top_k).alias("top_k"), F.from_json("base", _REPORT).alias("base"), variant_map.alias("variants"))).alias("ablation"))
+    return numbers.crossJoin(made).select(  # one row by one row
+        F.lit(run_id).cast("long").alias("id"), F.lit(method).alias("method"), "precision_at_5", "map_at_10", "per_class", "ablation", started.alias("started_at"), F.current_timestamp().alias("finished_at")
+    )
+
+
+#: The types of a stored report.
+_METRICS = "struct<precision_at_k:double,map_at_k:double,n_queries:bigint>"
+_REPORT = f"struct<method:string,weights:map<string,double>,top_k:int,overall:{_METRICS},per_class:map<string,{_METRICS}>>"
+PER_CLASS, ABLATION = f"map<string,{_METRICS}>", f"struct<top_k:int,base:{_REPORT},variants:map<string,{_REPORT}>>"
+
+
 def precision_at_k(rel: list[int], k: int) -> float:
     k = min(k, len(rel))
     return sum(rel[:k]) / k if k > 0 else 0.0

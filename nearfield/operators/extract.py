@@ -17,24 +17,26 @@ def decode(height: int, width: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width, 3)
 
 
-def extract(images: DataFrame, id_col: str = "id", image: str = "image") -> DataFrame:
-    """id, extractor_ver and six unit vectors of each image struct (as Spark's image source gives it), preprocessed first."""
+def extract(images: DataFrame, id_col: str = "id", image: str = "image", names: tuple[str, ...] = tuple(EXTRACTORS), prepared: bool = False) -> DataFrame:
+    """id, extractor_ver and unit vectors (the six features unless ``names`` are given) of each image struct, as Spark's
+    image source gives it; preprocessed first unless the images are ``prepared``."""
     rows = images.select(F.col(id_col).cast("long").alias("id"), *[F.col(f"{image}.{c}").alias(c) for c in ("height", "width", "data")])
-    kinds = pa.schema([("id", pa.int64()), ("extractor_ver", pa.string()), *[(f, pa.list_(pa.float32())) for f in EXTRACTORS]])
+    kinds = pa.schema([("id", pa.int64()), ("extractor_ver", pa.string()), *[(f, pa.list_(pa.float32())) for f in names]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out: dict[str, list] = {c: [] for c in kinds.names}
                 for r in batch.slice(at, 64).to_pylist():
-                    img = preprocess(decode(r["height"], r["width"], r["data"]))
+                    img = decode(r["height"], r["width"], r["data"])
+                    img = img if prepared else preprocess(img)
                     out["id"].append(r["id"])
                     out["extractor_ver"].append(EXTRACTOR_VERSION)
-                    for f, kernel in EXTRACTORS.items():
-                        out[f].append(kernel(img))
+                    for f in names:
+                        out[f].append(EXTRACTORS[f](img))
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
-    return rows.mapInArrow(run, "id long, extractor_ver string, " + ", ".join(f"{f} array<float>" for f in EXTRACTORS))
+    return rows.mapInArrow(run, "id long, extractor_ver string, " + ", ".join(f"{f} array<float>" for f in names))
 
 
 def preprocess_stages(images: DataFrame, id_col: str = "id", image: str = "image") -> DataFrame:

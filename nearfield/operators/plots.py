@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.schema import EXTRACTOR_VERSION
-from nearfield.sources.ingest import _exists
+from nearfield.operators.shared import exists
 
 # Names of the colour moments' bars and of the texture grid's rows.
-MOMENTS = tuple(f"{c}_{m}" for c in ("H", "S", "V") for m in ("mean", "std", "skew"))
+MOMENTS = ("H mean", "H std", "H skew", "S mean", "S std", "S skew", "V mean", "V std", "V skew")
 TEXTURES = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")
 BARS = ("hsv", "lbp", "hu", "cm")
 
@@ -45,7 +45,7 @@ def kept(spark: SparkSession, root: str, features: DataFrame, id_col: str, featu
     """
     make = {"glcm": grid, "hog": subsample}.get(feature, lambda f, i: bars(f, i, feature))
     path = f"{root}/plots/{feature}_v{version}"
-    stored = _exists(spark, path)
+    stored = exists(spark, path)
     known = spark.read.parquet(path).select(id_col).distinct() if stored else None
     new = features.join(known, id_col, "left_anti") if stored else features
     make(new, id_col).write.mode("append").parquet(path)

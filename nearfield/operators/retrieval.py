@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,17 +15,18 @@ from nearfield.functions.weights import as_map, normalise
 from nearfield.operators.blocks import best, blocks, dots, each_pair, pairs, unpacked
 
 
+#: What a pair of blocks leaves.
+HITS = "query_id long, feature string, id long, sim double"
+
+
 def long_features(features: DataFrame, id_col: str, feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
     """id, feature, vec: a row for each feature of each item."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("vec")) for f in feature_names])
     return features.select(F.col(id_col).alias("id"), F.explode(pairs).alias("p")).select("id", "p.feature", "p.vec")
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
-    """query_id, feature, place, id, sim: the ``k`` nearest items of each query by each feature (unit vectors).
-
-    Both sides meet block by block; a pair of blocks leaves at most ``k`` rows for each query and feature.
-    """
+def each_nearest(k: int, exclude_self: bool, feature_names: tuple[str, ...]) -> Callable[[dict], pa.RecordBatch | None]:
+    """Of a pair of blocks, the ``k`` nearest items of each query by each feature (unit vectors): query_id, feature, id, sim."""
 
     def search(row: dict) -> pa.RecordBatch | None:
         (q_ids, q), (ids, c), at = unpacked(row, "q_"), unpacked(row), np.concatenate(([0], np.cumsum(row["widths"])))
@@ -39,8 +42,16 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude
         query, feature, item, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.RecordBatch.from_pydict({"query_id": query, "feature": pa.array(feature, pa.string()), "id": item, "sim": sim})
 
+    return search
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """query_id, feature, place, id, sim: the ``k`` nearest items of each query by each feature (unit vectors).
+
+    Both sides meet block by block; a pair of blocks leaves at most ``k`` rows for each query and feature.
+    """
     met = pairs(blocks(queries.repartition(F.col(id_col)), id_col, feature_names), blocks(corpus, id_col, feature_names))
-    return ranked(each_pair(met, search, "query_id long, feature string, id long, sim double"), ["query_id", "feature"], "sim", k, name="place")
+    return ranked(each_pair(met, each_nearest(k, exclude_self, feature_names), HITS), ["query_id", "feature"], "sim", k, name="place")
 
 
 def best_fused(corpus: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, exclude_self: bool = False, id_col: str = "id") -> DataFrame:
@@ -88,22 +99,40 @@ def checked_k(k: int) -> int:
 def search(
     corpus: DataFrame, queries: DataFrame, weights: dict | None = None, top_k: int = TOP_K, mode: str = "candidate",
     candidate_k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", role: str | None = None, ef_search: int | None = None,
+    index: Callable[..., DataFrame] | None = None,
 ) -> DataFrame:
     """query_id, rank, id, score and the six sub-scores of each query's ``top_k`` items.
 
-    ``candidate`` mode fuses the union of each feature's ``candidate_k`` nearest, ``exact`` mode all items. Ties go to
-    the lower id. ``role`` keeps corpus rows of one role. ``ef_search`` is taken and has no effect: candidates
-    are exact.
+    ``candidate`` mode fuses the union of each feature's ``candidate_k`` nearest, ``ann`` mode the same as an index finds
+    them (``index``: ``ann.nearest`` unless given, which looks at some cells only), ``exact`` mode all items. Ties go to
+    the lower id. ``role`` keeps corpus rows of one role. ``ef_search`` (``ann`` mode) is how many cells are looked into.
     """
-    if mode not in ("candidate", "exact"):
-        raise ValueError("mode is candidate or exact")
-    w = normalise(weights)
+    if mode not in ("candidate", "exact", "ann"):
+        raise ValueError("mode is candidate, ann or exact")
+    w, k = normalise(weights), checked_k(top_k)
+    return ranked(candidates(corpus, queries, w, k, mode, candidate_k, exclude_self, id_col, role, ef_search, index).withColumn("score", fused(w)), ["query_id"], "score", k)
+
+
+def candidates(
+    corpus: DataFrame, queries: DataFrame, w: dict[str, float], k: int, mode: str = "candidate", candidate_k: int = CANDIDATE_K, exclude_self: bool = False,
+    id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Callable[..., DataFrame] | None = None,
+) -> DataFrame:
+    """query_id, id and the six sub-scores of the items that ``search`` ranks."""
     corpus = corpus.filter(F.col("role") == role) if role else corpus
     if corpus.isEmpty():
         raise EmptyCorpusError("the corpus is empty")
-    k = checked_k(top_k)
-    sub = dense(nearest(corpus, queries, candidate_k, exclude_self, id_col)) if mode == "candidate" else best_fused(corpus, queries, w, k, exclude_self, id_col)
-    return ranked(sub.withColumn("score", fused(w)), ["query_id"], "score", k)
+    if mode == "exact":
+        return best_fused(corpus, queries, w, k, exclude_self, id_col)
+    if mode == "ann":
+        from nearfield.operators import ann
+
+        return dense((index or ann.nearest)(corpus, queries, candidate_k, exclude_self, id_col, **({"probes": ef_search} if ef_search else {})))
+    return dense(nearest(corpus, queries, candidate_k, exclude_self, id_col))
+
+
+def corpus_size(features: DataFrame, id_col: str = "image_id") -> DataFrame:
+    """n: the items that have features."""
+    return features.agg(F.count(id_col).alias("n"))
 
 
 def assembled(results: DataFrame) -> DataFrame:

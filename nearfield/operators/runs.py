@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.schema import FEATURES, NoStashError, UnknownRunError
 from nearfield.functions.weights import as_map, normalise
 from nearfield.operators.retrieval import checked_k, fused, ranked
+from nearfield.operators.shared import written
 
 STASH = "_sub_scores"
 _STASH_TYPE = "struct<image_ids: array<bigint>, scores: map<string, array<double>>>"
@@ -58,6 +64,60 @@ def query_dims(trace: Column) -> Column:
     return F.from_json(F.get_json_object(stage["detail"], "$.dims"), "map<string,int>")
 
 
+class Stages:
+    """Timings of the stages of a run, in whole milliseconds: ``with stages.stage("rank", {...})``."""
+
+    def __init__(self):
+        self.done: list[tuple[str, int, str]] = []
+
+    @contextmanager
+    def stage(self, name: str, detail: dict | None = None) -> Iterator[None]:
+        began = time.perf_counter()
+        yield
+        self.done.append((name, int((time.perf_counter() - began) * 1000), json.dumps(detail or {})))
+
+
+def trace_json(trace: Column) -> Column:
+    """The trace as a JSON list of name, elapsed_ms and detail (an object)."""
+    each = F.transform(trace, lambda s: F.concat(F.lit('{"name":'), F.to_json(F.array(s["name"])).substr(F.lit(2), F.length(F.to_json(F.array(s["name"]))) - 2), F.lit(',"elapsed_ms":'), s["elapsed_ms"].cast("string"), F.lit(',"detail":'), F.coalesce(s["detail"], F.lit("{}")), F.lit("}")))
+    return F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
+
+
+def results_json(results: Column) -> Column:
+    """The results as a JSON list of image_id, score, rank and per_feature."""
+    return F.to_json(results)
+
+
+def _hits(df: DataFrame, by: str) -> DataFrame:
+    """by, results: ranked rows as an array in order of rank, with sub-scores as maps."""
+    # Maps have no order, so hits are sorted by rank with their sub-scores as an array.
+    hit = F.struct(F.col("rank").cast("int").alias("rank"), F.col("id").alias("image_id"), "score", F.array(*FEATURES).alias("v"))
+    names = F.array(*map(F.lit, FEATURES))
+    shaped = lambda h: F.struct(h["image_id"].alias("image_id"), h["score"].alias("score"), h["rank"].alias("rank"), F.map_from_arrays(names, h["v"]).alias("per_feature"))
+    return df.groupBy(by).agg(F.sort_array(F.collect_list(hit)).alias("hs")).select(by, F.transform("hs", shaped).alias("results"))
+
+
+def recorded(sub: DataFrame, weights: dict | None, top_k: int, stages: Stages | None = None, created: str | None = None) -> DataFrame:
+    """A run of each query as search_runs keeps it: weights, the ``top_k`` results, the stages passed and, last, the stash.
+
+    ``sub``: query_id, id and the six sub-scores of the candidates; the query's id names the run.
+    """
+    w = normalise(weights)
+    both = stash(sub).join(_hits(rerank(sub, w, top_k), "query_id"), "query_id")
+    stage = lambda name, ms, detail: F.struct(F.lit(name).alias("name"), F.lit(ms).cast("int").alias("elapsed_ms"), detail.alias("detail"))
+    done = stages.done if stages else []
+    trace = F.array(*[stage(n, ms, F.lit(d)) for n, ms, d in done], stage(STASH, 0, F.col("detail")))
+    return both.select(
+        F.col("query_id").alias("id"), F.lit(1).alias("version"), F.lit(None).cast("bigint").alias("query_image_id"), as_map(w).alias("weights"), "results",
+        trace.alias("pipeline_trace"), F.lit(sum(ms for _, ms, _ in done)).cast("int").alias("elapsed_ms"), (F.lit(created).cast("timestamp") if created else F.current_timestamp()).alias("created_at"),
+    )
+
+
+def candidates_of(runs: DataFrame) -> DataFrame:
+    """query_id, id and the six sub-scores that stored runs hold; a run without a stash gives none."""
+    return parse_stash(runs.withColumnRenamed("id", "query_id"), "query_id", trace_stash(F.col("pipeline_trace")))
+
+
 def current(runs: DataFrame) -> DataFrame:
     """The latest version of each run."""
     row = F.struct(*runs.columns)
@@ -77,19 +137,16 @@ def rerank_run(spark: SparkSession, path: str, run_id: int, weights: dict | None
     if not head["ok"]:
         raise NoStashError(run_id)
     w = normalise(weights)
-    sub = parse_stash(run.withColumnRenamed("id", "query_id"), "query_id", trace_stash(F.col("pipeline_trace")))
-    # Maps have no order, so hits are sorted by rank with their sub-scores as an array.
-    hit = F.struct(F.col("rank").cast("int").alias("rank"), F.col("id").alias("image_id"), "score", F.array(*FEATURES).alias("v"))
-    names = F.array(*map(F.lit, FEATURES))
-    shaped = lambda h: F.struct(h["image_id"].alias("image_id"), h["score"].alias("score"), h["rank"].alias("rank"), F.map_from_arrays(names, h["v"]).alias("per_feature"))
-    hits = rerank(sub, w, top_k).groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hs"))
-    hits = hits.select(F.col("query_id").alias("id"), F.transform("hs", shaped).alias("new_results"))
+    began = time.perf_counter()
+    hits = _hits(rerank(candidates_of(run), w, top_k), "query_id").select(F.col("query_id").alias("id"), F.col("results").alias("new_results"))
+    hits = written(hits)
+    took = int((time.perf_counter() - began) * 1000)
     detail = F.to_json(F.struct(F.lit(top_k).alias("top_k"), as_map(w).alias("weights"), F.col("weights").alias("previous_weights")))
-    stage = F.array(F.struct(F.lit("rerank").alias("name"), F.lit(0).alias("elapsed_ms"), detail.alias("detail")))
+    stage = F.array(F.struct(F.lit("rerank").alias("name"), F.lit(took).alias("elapsed_ms"), detail.alias("detail")))
     trace = F.col("pipeline_trace")
     new = run.join(hits, "id").withColumns({
         "pipeline_trace": F.concat(F.slice(trace, 1, F.size(trace) - 1), stage, F.slice(trace, -1, 1)),
-        "weights": as_map(w), "results": F.col("new_results"), "version": F.col("version") + 1,
+        "weights": as_map(w), "results": F.col("new_results"), "version": F.col("version") + 1, "elapsed_ms": F.lit(took),
     }).drop("new_results")
     save(new.select(*run.columns), path)
     return current(spark.read.parquet(path).filter(F.col("id") == run_id))

@@ -5,22 +5,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import storage, vectors, weights
-from nearfield.functions.schema import CANDIDATE_K, DEFAULT_WEIGHTS, FEATURES
-from nearfield.operators import ann, evaluate, plots, retrieval, runs
+from nearfield.functions.schema import CANDIDATE_K, DEFAULT_WEIGHTS, EVALUATION_RUNS, FEATURES, SEARCH_RUNS, conform
+from nearfield.operators import ann, evaluate, plots, retrieval, runs, shared
 from nearfield.sources import ingest
 from nearfield.streaming import events as timeline
 
 #: 1-based inclusive slices of the 64-wide vectors.
 BOUNDS = {"hsv": (1, 16), "cm": (17, 25), "lbp": (26, 34), "glcm": (35, 44), "hog": (45, 57), "hu": (58, 64)}
-CUSTOM = {"hsv": 0.4, "hog": -0.1, "bogus": 0.5, "cm": 0.6}
-NEW = {"hu": 0.7, "hog": 0.3}
+CUSTOM = {"hsv": 0.5, "hog": -0.2, "other": 0.3, "lbp": 0.25}
+NEW = {"hu": 0.6, "glcm": 0.4}
 RAW_WEIGHTS = (
     (1, {"hsv": 0.4, "hog": -0.1, "cm": 0.6}), (2, {"hsv": 0.0}), (3, {}), (4, {"hu": 1.0}), (5, {"hu": 0.7, "hog": 0.3}), (6, {f: w for f, w in DEFAULT_WEIGHTS.items() if f != "hog"}),
 )
@@ -177,12 +177,57 @@ def similarity_matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lsh_recall")
-def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of hashed candidates against exact search, for every 20th vector as a query."""
-    long = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.l2_normalize(vectors.to_doubles("embedding")).alias("vec"))
-    queries = asked(long)
-    exact = retrieval.nearest(long, queries, 5, exclude_self=True, feature_names=("vec",))
-    return ann.recall(ann.lsh_candidates(long, queries, 5), exact)
+@query("ann_recall")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the six features' indexes against exact search for every 20th item as a query, and the share of all pairs
+    that they look at."""
+    f = features(spark, sf_dir)
+    exact = retrieval.nearest(f, asked(f), 5, exclude_self=True)
+    found = ann.recall(ann.nearest(f, asked(f), 5, exclude_self=True), exact)
+    seen = reduce(DataFrame.unionByName, [ann.looked_at(ann.met(f, asked(f), name)) for name in FEATURES]).agg(F.sum("pairs").alias("pairs"))
+    sizes = f.agg((F.count("*") * F.sum((F.col("id") % 20 == 0).cast("long")) * len(FEATURES)).alias("all"))
+    return found.crossJoin(seen).crossJoin(sizes).withColumn("share", F.round(F.col("pairs") / F.col("all"), 4)).drop("all")  # one row each
+
+
+@query("search_ann_topk")
+def search_ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best items of each query among those that the six features' indexes find."""
+    f = features(spark, sf_dir)
+    return rounded(retrieval.search(f, asked(f), mode="ann", exclude_self=True), "query_id", "rank", "id")
+
+
+@query("assembled_results", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + " SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, round(hsv, 6) AS hsv, round(hog, 6) AS hog, CAST(6 AS INTEGER) AS n_features FROM res")
+def assembled_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features(spark, sf_dir)
+    got = retrieval.assembled(retrieval.search(f, asked(f), exclude_self=True))
+    sub = lambda name: F.round(F.element_at("per_feature", name), 6).alias(name)
+    return got.select("query_id", "rank", "id", F.round("score", 6).alias("score"), sub("hsv"), sub("hog"), F.size("per_feature").alias("n_features"))
+
+
+@query("corpus_count", "SELECT count(*) AS n FROM embeddings")
+def corpus_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.corpus_size(features(spark, sf_dir), "id")
+
+
+_ZERO = "CASE WHEN a.vec_id % 10 = 0 THEN list_transform(b.embedding, lambda x: 0.0::DOUBLE) ELSE CAST(b.embedding AS DOUBLE[]) END"
+
+
+@query("guarded_cosine", f"WITH p AS (SELECT a.vec_id AS id, CAST(a.embedding AS DOUBLE[]) AS x, {_ZERO} AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT id, round(CASE WHEN list_inner_product(y, y) = 0 THEN 0.0 ELSE list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) END, 6) AS cosine FROM p")
+def guarded_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine with the next vector, every tenth of which is taken for zero."""
+    e = table(spark, sf_dir, "embeddings")
+    a = e.select(F.col("vec_id").alias("id"), vectors.to_doubles("embedding").alias("x"))
+    b = e.select((F.col("vec_id") - 1).alias("id"), vectors.to_doubles("embedding").alias("y"))
+    y = F.when(F.col("id") % 10 == 0, F.transform("y", lambda v: F.lit(0.0))).otherwise(F.col("y"))
+    return a.join(b, "id").select("id", F.round(vectors.cosine(F.col("x"), y), 6).alias("cosine"))
+
+
+@query("sql_functions", f"WITH {FEAT}, w AS (SELECT id, max(CASE WHEN feature = 'cm' THEN v END) AS cm, max(CASE WHEN feature = 'lbp' THEN v END) AS lbp, max(CASE WHEN feature = 'hsv' THEN v END) AS hsv FROM feat GROUP BY 1) SELECT id, round(list_inner_product(cm, lbp) / (sqrt(list_inner_product(cm, cm)) * sqrt(list_inner_product(lbp, lbp))), 6) AS cosine, round(hsv[1] / sqrt(list_inner_product(hsv, hsv)), 6) AS first, round(0.4::DOUBLE * cm[1], 6) AS fused FROM w")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions that ``vectors.register`` gives to SQL."""
+    vectors.register(spark)
+    f = features(spark, sf_dir)
+    return f.selectExpr("id", "round(cosine_sim(cm, lbp), 6) AS cosine", "round(l2_normalize(hsv)[0], 6) AS first", "round(fuse(map('cm', cm[0], 'hu', 0.5D), map('cm', 0.4D)), 6) AS fused")
 
 
 # --- weights -------------------------------------------------------------------------------------------------
@@ -212,19 +257,51 @@ def weights_ablated(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stored runs ---------------------------------------------------------------------------------------------
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The present versions of the runs of every 20th item as a query, searched and stored once by a Spark application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        stages, path = runs.Stages(), shared.new_folder(spark, "runs")
+        with stages.stage("extract", {"dims": {f: b - a + 1 for f, (a, b) in BOUNDS.items()}}):
+            f = features(spark, sf_dir)
+        with stages.stage("load_corpus"):
+            f.count()
+        with stages.stage("cosine"):
+            sub = shared.written(retrieval.candidates(f, asked(f), weights.normalise(None), 5, exclude_self=True))
+        with stages.stage("rank"):
+            runs.rerank(sub, None, 5).count()
+        runs.save(runs.recorded(sub, None, 5, stages), path)
+        _STORES[key] = path
+    return runs.current(spark.read.schema(SEARCH_RUNS).parquet(_STORES[key]))
+
+
 @query("rerank_stored", CANDIDATE + top(weights.normalise(NEW), 5) + ", n AS (SELECT query_id, count(*) AS candidate_count FROM sub GROUP BY 1) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, candidate_count FROM res JOIN n USING (query_id)")
 def rerank_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = runs.stash(retrieval.dense(_candidates(spark, sf_dir)))
-    return runs.rerank(runs.parse_stash(stored), NEW, 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "candidate_count")
+    """New weights for the stored runs: only what they hold is read."""
+    sub = runs.candidates_of(stored_runs(spark, sf_dir))
+    return runs.rerank(sub, NEW, 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "candidate_count")
 
 
 @query("rerank_flip_report", CANDIDATE + top(DEFAULT_WEIGHTS, 50, name="old") + top(weights.normalise(NEW), 5) + " SELECT res.query_id, res.id, CAST(res.rank AS INTEGER) AS new_rank, CAST(old.rank AS INTEGER) AS old_rank FROM res LEFT JOIN old ON res.query_id = old.query_id AND res.id = old.id")
 def rerank_flip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sub = retrieval.dense(_candidates(spark, sf_dir))
+    sub = runs.candidates_of(stored_runs(spark, sf_dir))
     old = runs.rerank(sub, None, 50).select("query_id", "id", F.col("rank").alias("old_rank"))
     return runs.rerank(sub, NEW, 5).select("query_id", "id", F.col("rank").alias("new_rank")).join(old, ["query_id", "id"], "left")
 
 
+@query("run_roundtrip", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + f" SELECT query_id AS run_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, {ROUNDED}, n_candidates, CAST(4 AS INTEGER) AS n_stages, CAST(16 AS INTEGER) AS hsv_width, 0.25::DOUBLE AS hog_weight FROM res JOIN (SELECT query_id, count(*) AS n_candidates FROM sub GROUP BY 1) USING (query_id)")
+def run_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored runs written as JSON and read back: results, visible stages, noted widths and weights."""
+    rows = stored_runs(spark, sf_dir).select("id", "weights", "pipeline_trace", F.from_json(runs.results_json(F.col("results")), "array<struct<image_id:bigint,score:double,rank:int,per_feature:map<string,double>>>").alias("results"))
+    trace = F.from_json(runs.trace_json(runs.visible_trace(F.col("pipeline_trace"))), "array<struct<name:string,elapsed_ms:int,detail:string>>")
+    rows = rows.select("id", F.explode("results").alias("r"), F.size(trace).alias("n_stages"), F.element_at(runs.query_dims(trace), "hsv").alias("hsv_width"), F.element_at("weights", "hog").alias("hog_weight"), F.size(runs.trace_stash(F.col("pipeline_trace"))["image_ids"]).cast("long").alias("n_candidates"))
+    subs = [F.round(F.element_at("r.per_feature", f), 6).alias(f) for f in FEATURES]
+    return rows.select(F.col("id").alias("run_id"), "r.rank", F.col("r.image_id").alias("id"), F.round("r.score", 6).alias("score"), *subs, "n_candidates", "n_stages", "hsv_width", "hog_weight")
+
+
 @query("stash_roundtrip", CANDIDATE + f" SELECT query_id, id, {ROUNDED} FROM sub")
 def stash_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(runs.parse_stash(runs.stash(retrieval.dense(_candidates(spark, sf_dir)))), "query_id", "id")
@@ -276,12 +353,45 @@ def eval_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("eval_p5_map10", loo(10, evaluate.BASE) + ", p5 AS (SELECT query_id, avg(rel) AS p FROM rel WHERE rank <= 5 GROUP BY 1) SELECT CAST(round((SELECT avg(p) FROM p5), 4) AS DOUBLE) AS precision_at_5, CAST(round(avg(ap), 4) AS DOUBLE) AS map_at_10 FROM met")
 def eval_p5_map10(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    hits = evaluate.leave_one_out(f, "id", "label", evaluate.BASE, 10).persist()
+    hits = shared.written(evaluate.leave_one_out(f, "id", "label", evaluate.BASE, 10))
     sizes = evaluate.class_sizes(f, "label")
     got = evaluate.evaluation_run(evaluate.query_metrics(hits, sizes, 5), evaluate.query_metrics(hits, sizes, 10))
     return got.select(*[F.col(c).cast("double").alias(c) for c in got.columns])
 
 
+_EACH = "round(avg(p), 6) AS precision, round(avg(ap), 6) AS map, count(*) AS n_queries"
+
+
+@query("evaluation_runs", loo(10, weights.ablations()) + f""", p5 AS (SELECT query_id, avg(rel) AS p FROM rel WHERE variant = 'base' AND rank <= 5 GROUP BY 1),
+n AS (SELECT CAST(round((SELECT avg(p) FROM p5), 4) AS DOUBLE) AS precision_at_5, CAST(round(avg(ap), 4) AS DOUBLE) AS map_at_10 FROM met WHERE variant = 'base'),
+r AS (SELECT 'default' AS method, 'default' AS variant, CAST(label AS VARCHAR) AS label, {_EACH} FROM met WHERE variant = 'base' GROUP BY met.label
+ UNION ALL SELECT 'ablation', CASE WHEN variant = 'base' THEN 'default' ELSE variant END, CAST(label AS VARCHAR), {_EACH} FROM met GROUP BY variant, met.label
+ UNION ALL SELECT 'ablation', CASE WHEN variant = 'base' THEN 'default' ELSE variant END, 'all', {_EACH} FROM met GROUP BY variant)
+SELECT * FROM r CROSS JOIN n""")
+def evaluation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds of stored evaluations, their JSON read back."""
+    f = features(spark, sf_dir)
+    stored = shared.new_folder(spark, "evaluations")
+    for i, method in enumerate(("default", "ablation")):
+        runs.save(evaluate.evaluated(f, "id", "label", method, run_id=i + 1), stored)
+    rows = spark.read.schema(EVALUATION_RUNS).parquet(stored)
+    numbers = [F.col(c).cast("double").alias(c) for c in ("precision_at_5", "map_at_10")]
+    by_class = rows.filter("ablation IS NULL").select("method", F.lit("default").alias("variant"), *numbers, F.explode(F.from_json("per_class", evaluate.PER_CLASS)).alias("label", "m"))
+    found = F.from_json("ablation", evaluate.ABLATION)
+    reports = rows.filter("per_class IS NULL").select("method", *numbers, F.explode(F.concat(F.array(found["base"]), F.map_values(found["variants"]))).alias("r"))
+    each = reports.select("method", F.col("r.method").alias("variant"), "precision_at_5", "map_at_10", F.explode(F.map_concat(F.create_map(F.lit("all"), F.col("r.overall")), F.col("r.per_class"))).alias("label", "m"))
+    return by_class.unionByName(each).select("method", "variant", "label", F.round("m.precision_at_k", 6).alias("precision"), F.round("m.map_at_k", 6).alias("map"), "m.n_queries", "precision_at_5", "map_at_10")
+
+
+@query("labelled_snapshot", f"WITH {FEAT} SELECT id, CAST(label AS VARCHAR) AS label, CAST(sum(len(v)) AS BIGINT) AS width FROM feat GROUP BY ALL")
+def labelled_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features joined to their labels, vectors of a wrong width being errors."""
+    f = features(spark, sf_dir)
+    dims = {name: b - a + 1 for name, (a, b) in BOUNDS.items()}
+    both = evaluate.labelled(f.drop("label"), f.select("id", "label"), "id", "label", dims)
+    return both.select("id", F.col("label").cast("string").alias("label"), sum((F.size(x) for x in FEATURES[1:]), F.size(FEATURES[0])).cast("long").alias("width"))
+
+
 @query("class_counts_guard", "SELECT CAST(label AS VARCHAR) AS label, count(*) - 1 AS relevant FROM embeddings GROUP BY 1 HAVING count(*) > 1")
 def class_counts_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "embeddings").select("vec_id", "label")
@@ -348,6 +458,51 @@ def ingest_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.statuses(docs, "sha", "doc_id", "reason").groupBy("source", "status").agg(F.count("*").alias("n"))
 
 
+@query("validated_rows", "SELECT doc_id, CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty' WHEN length(text) > 900 THEN 'too_large' ELSE 'taken' END AS reason FROM documents WHERE source IS NOT NULL")
+def validated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select("doc_id", "text", "source")
+    good, bad = ingest.validated(docs, "text", "source", 900)
+    return good.select("doc_id", F.lit("taken").alias("reason")).unionByName(bad.select("doc_id", "reason"))
+
+
+@query("shard_rows", "WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) AS row, lang, text FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY row) AS nth FROM n WHERE lang IN ('en', 'de', 'fr') AND length(text) > 0) SELECT row, lang AS label, sha256(text) AS sha256 FROM k WHERE nth <= 40")
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled shards read in order: every row counts, those of other labels are left out, 40 of each class are taken."""
+    classes, paths = ["en", "de", "fr"], []
+    docs = table(spark, sf_dir, "documents")
+    label = F.coalesce(F.array_position(F.array(*map(F.lit, classes)), F.col("lang")) - 1, F.lit(-1))
+    image = F.struct(F.col("text").cast("binary").alias("bytes")).alias("image")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.4)).first()[0]
+    for part in (F.col("doc_id") <= middle, F.col("doc_id") > middle):
+        paths.append(shared.new_folder(spark, "shard"))
+        docs.filter(part).orderBy("doc_id").select(image, F.when(label >= 0, label).otherwise(len(classes)).alias("label")).write.parquet(paths[-1])
+    return ingest.read_shards(spark, paths, classes, 40).select("row", "label", storage.content_hash(F.col("content")).alias("sha256"))
+
+
+@query("items_to_extract", "WITH d AS (SELECT doc_id, sha256(text) AS sha FROM documents), i AS (SELECT sha, min(doc_id) AS id FROM d WHERE doc_id % 3 <> 0 GROUP BY 1) SELECT d.doc_id, i.id, CASE WHEN i.id IS NULL THEN 'new' WHEN i.id % 2 = 0 THEN 'done' ELSE 'lacking' END AS state FROM d LEFT JOIN i USING (sha)")
+def items_to_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch against a store of two thirds of it, half of which has features."""
+    batch = table(spark, sf_dir, "documents").select("doc_id", storage.content_hash(F.col("text")).alias("sha256"))
+    images = ingest.first_of_each(batch.filter("doc_id % 3 <> 0"), "sha256", "doc_id").select("sha256", F.col("doc_id").alias("id"))
+    return ingest.to_extract(batch, images, images.filter("id % 2 = 0").select(F.col("id").alias("image_id"))).select("doc_id", "id", "state")
+
+
+@query("backfilled_vectors", f"WITH {FEAT} SELECT id, feature, round(v[1], 6) AS first, CAST(len(v) AS INTEGER) AS width FROM feat")
+def backfilled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other row has only a JSON map of its vectors, from which the columns are filled."""
+    f = features(spark, sf_dir)
+    as_json = F.to_json(F.create_map(*[x for name in FEATURES for x in (F.lit(name), F.col(name))]))
+    old = f.withColumn("vectors", as_json).withColumns({name: F.when(F.col("id") % 2 == 1, F.col(name)) for name in FEATURES})
+    return retrieval.long_features(ingest.backfilled(old), "id").select("id", "feature", F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.size("vec").alias("width"))
+
+
+@query("schema_conform", "SELECT CAST(doc_id AS BIGINT) AS id, sha256(text) AS sha256, CAST(n_chars AS INTEGER) AS size_bytes, CAST(NULL AS VARCHAR) AS role, CAST(NULL AS INTEGER) AS width FROM documents")
+def schema_conform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an older version of the table of images in its present one."""
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), storage.content_hash(F.col("text")).alias("sha256"), F.col("n_chars").alias("size_bytes"))
+    return conform(old, "images").select("id", "sha256", "size_bytes", "role", "width")
+
+
 # --- events --------------------------------------------------------------------------------------------------
 
 _SEQ = "seq AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CAST(epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS BIGINT) AS at_ms FROM events)"
@@ -377,21 +532,41 @@ def stage_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.order_check(_numbered(spark, sf_dir), "user_id", "event_type", ("view", "click", "purchase"))
 
 
-@query("events_live_sealed")
-def events_live_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, numbered and sealed as they arrive, from the sink's files in the shared folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
+@query("events_closed", f"WITH {_SEQ}, e AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN seq END) OVER (PARTITION BY user_id) AS last FROM seq), k AS (SELECT user_id, seq, event_type AS kind, at_ms FROM e WHERE last IS NULL OR seq <= last) SELECT * FROM k UNION ALL SELECT user_id, max(seq) + 1, 'error', max(at_ms) FROM k GROUP BY 1 HAVING NOT max(kind = 'purchase')")
+def events_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timelines sealed by a purchase; the others end with an error."""
+    rows = timeline.sealed(_numbered(spark, sf_dir), "user_id", "event_type", ("purchase",)).select("user_id", "seq", F.col("event_type").alias("kind"), F.col("props").alias("payload"), "at_ms")
+    return timeline.closed_with_error(rows, "user_id", "boom", ("purchase",)).select("user_id", "seq", "kind", "at_ms")
+
+
+@query("events_unknown_kinds", "SELECT event_type AS kind, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view', 'signup') GROUP BY 1")
+def events_unknown_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.unknown_kinds(table(spark, sf_dir, "events"), "event_type", ("click", "view", "signup"))
+
+
+@query("streams_retained", "WITH s AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN epoch_us(ts) // 1000 END) AS done_ms, max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY 1) SELECT user_id, done_ms - (SELECT max(last_ms) FROM s) AS done_ms FROM s WHERE done_ms IS NULL OR (SELECT max(last_ms) FROM s) - done_ms <= 86400000")
+def streams_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that the registry still holds when the newest event comes; when they ended, before that."""
+    ms = timeline.millis("ts")
+    streams = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", ms)).alias("done_ms"), F.max(ms).alias("last_ms"))
+    now = streams.agg(F.max("last_ms")).first()[0] or 0
+    return timeline.retained(streams, now, most_ms=86_400_000).select("user_id", (F.col("done_ms") - now).alias("done_ms"))
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="nearfield-"))
-    folder = f"{sc.getCheckpointDir()}/live-{uuid.uuid4().hex}"
-    batch = table(spark, sf_dir, "events")
-    batch.select(F.col("user_id").cast("string").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), F.col("props").alias("payload")).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("stream_id string, ts timestamp, kind string, payload string").parquet(f"{folder}/in")
-    out = timeline.live(stream, ("purchase",)).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start(f"{folder}/out")
-    out.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+
+@query("events_live_sealed", f"WITH {_SEQ}, e AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN seq END) OVER (PARTITION BY user_id) AS last FROM seq) SELECT CAST(user_id AS VARCHAR) AS stream_id, seq, event_type AS kind, props AS payload, at_ms FROM e WHERE last IS NULL OR seq <= last")
+def events_live_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of four micro-batches, numbered and sealed as they arrive, from the sink's files."""
+    folder = shared.new_folder(spark, "live")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("event_type").alias("kind"), F.col("props").alias("payload"))
+    cuts = rows.agg(F.percentile_approx(timeline.millis("ts"), [0.25, 0.5, 0.75])).first()[0] or []
+    edges, files = [None, *cuts, None], 2
+    for low, high in zip(edges, edges[1:]):  # in order of time, as events arrive
+        part = rows if low is None else rows.filter(timeline.millis("ts") > low)
+        (part if high is None else part.filter(timeline.millis("ts") <= high)).repartition(files).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("stream_id string, ts timestamp, tie long, kind string, payload string").option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+    sink = timeline.Live(folder, ("purchase",))
+    sink.start(stream, availableNow=True).awaitTermination()
+    return sink.out(spark)
 
 
 # --- plot data -----------------------------------------------------------------------------------------------
@@ -399,7 +574,7 @@ def events_live_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POS = f"WITH {FEAT}, x AS (SELECT id, feature, v, unnest(range(0, len(v))) AS pos FROM feat)"
 
 
-@query("plot_bars_long", _POS + f" SELECT id, pos::INTEGER AS pos, [{', '.join(repr(m) for m in plots.MOMENTS)}][pos + 1] AS label, round(v[pos + 1], 6) AS value FROM x WHERE feature = 'cm'")
+@query("plot_bars_long", _POS + f" SELECT id, pos::INTEGER AS pos, ['H mean', 'H std', 'H skew', 'S mean', 'S std', 'S skew', 'V mean', 'V std', 'V skew'][pos + 1] AS label, round(v[pos + 1], 6) AS value FROM x WHERE feature = 'cm'")
 def plot_bars_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plots.bars(features(spark, sf_dir), "id", "cm").select("id", "pos", "label", F.round("value", 6).alias("value"))
 
@@ -427,3 +602,35 @@ def extract_features_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), image)
     long = retrieval.long_features(extract(items), "id")
     return long.select("id", "feature", F.size("vec").alias("width"), F.round(vectors.norm(F.col("vec").cast("array<double>")), 4).alias("norm"))
+
+
+_PIXEL = """WITH px AS (SELECT p_partkey AS id, (x * 7 + p_partkey * 3 + y) % 256 AS b, (y * 11 + p_partkey * 5) % 256 AS g, (x * y + p_partkey * 17) % 256 AS r FROM part, range(8) t(x), range(8) u(y)),
+m AS (SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS d FROM px),
+k AS (SELECT *, CASE WHEN v > 0 THEN round_even(255 * 4096.0::DOUBLE / v, 0) ELSE 0 END AS pv, CASE WHEN d > 0 THEN round_even(30 * 4096.0::DOUBLE / d, 0) ELSE 0 END AS pc,
+  CASE WHEN v = r THEN g - b WHEN v = g THEN b - r + 2 * d ELSE r - g + 4 * d END AS h0 FROM m),
+h AS (SELECT id, CAST(v AS BIGINT) AS v, CAST(floor((d * pv + 2048) / 4096) AS BIGINT) AS s, CAST(floor((h0 * pc + 2048) / 4096) AS BIGINT) AS h FROM k),
+hsv AS (SELECT id, CASE WHEN h < 0 THEN h + 180 ELSE h END AS h, s, v FROM h)"""
+_MOMENT = ", ".join(f"cbrt(avg(({c} - m{c}) * ({c} - m{c}) * ({c} - m{c}))) AS k{c}, sqrt(avg(({c} - m{c}) * ({c} - m{c}))) AS s{c}, any_value(m{c}) AS m{c}" for c in "hsv")
+
+
+@query("pixel_features", _PIXEL + f""", mean AS (SELECT *, {", ".join(f"avg({c}) OVER (PARTITION BY id) AS m{c}" for c in "hsv")} FROM hsv),
+cm AS (SELECT id, {_MOMENT} FROM mean GROUP BY 1),
+w AS (SELECT id, [mh, sh, kh, ms, ss, ks, mv, sv, kv] AS x FROM cm),
+c AS (SELECT id, unnest(range(0, 9)) AS pos, x, sqrt(list_inner_product(x, x)) AS n FROM w),
+bins AS (SELECT id, (h * 12 // 180) * 64 + (s // 32) * 8 + v // 32 AS pos, count(*) AS k FROM hsv GROUP BY 1, 2),
+b AS (SELECT id, pos, k, sqrt(sum(k * k) OVER (PARTITION BY id)) AS n FROM bins)
+SELECT id, 'cm' AS feature, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(x[pos + 1] / n AS FLOAT) AS DOUBLE), 4) AS value FROM c
+UNION ALL SELECT id, 'hsv', CAST(pos AS INTEGER), round(CAST(CAST(k / n AS FLOAT) AS DOUBLE), 4) FROM b""")
+def pixel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour moments and the bins of the colour histogram that are not empty, of an image of 8 x 8 for each part."""
+    from nearfield.operators.extract import extract
+
+    p = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    value = lambda i, k: [(i % 8) * 7 + p * 3 + F.floor(i / 8), F.floor(i / 8) * 11 + p * 5, (i % 8) * F.floor(i / 8) + p * 17][k]
+    byte = lambda v: F.lpad(F.hex((v % 256).cast("int")), 2, "0")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(*[byte(value(i, k)) for k in range(3)])), ""))
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), data.alias("data")).alias("image")
+    found = extract(part.select(p.alias("id"), image), names=("hsv", "cm"), prepared=True)
+    long = retrieval.long_features(found, "id", ("cm", "hsv")).select("id", "feature", F.posexplode("vec").alias("pos", "value"))
+    return long.filter("feature = 'cm' OR value > 0").select("id", "feature", "pos", F.round(F.col("value").cast("double"), 4).alias("value"))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.schema import FEATURES, MAX_UPLOAD_BYTES
-from nearfield.functions.storage import EXTENSIONS, content_hash, safe_extension, slug, storage_path
+from nearfield.functions.storage import EXTENSIONS, content_hash, is_inside, safe_extension, slug, storage_path
+from nearfield.operators.shared import exists, row_numbers, written
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -22,13 +30,28 @@ def _quoted(s: str) -> str:
     return "".join(c if c.isalnum() or c in "_" else f"\\{c}" for c in s)
 
 
-def read_shards(spark: SparkSession, paths: list[str], classes: list[str], per_class: int | None = None, image: str = "image", label: str = "label", order: str = "row") -> DataFrame:
-    """label, content of labelled Parquet shards: labels are indices into ``classes``, others and empty payloads are
-    left out, and each class gives its first ``per_class`` rows by ``order``."""
-    rows = spark.read.parquet(*paths).select(F.col(image).alias("content"), F.col(label).alias("k"), F.col(order).alias("row"))
-    good = rows.filter(F.col("k").between(0, len(classes) - 1) & (F.length("content") > 0))
-    named = good.withColumn("label", F.get(F.array(*map(F.lit, classes)), F.col("k").cast("int")))
-    return cap(named, "label", "row", per_class).select("label", "row", "content") if per_class else named.select("label", "row", "content")
+def read_shards(spark: SparkSession, paths: list[str], classes: list[str], per_class: int | None = None, image: str = "image.bytes", label: str = "label") -> DataFrame:
+    """row, label, content of labelled Parquet shards, read in the order of ``paths``.
+
+    Labels are indices into ``classes``; others and empty payloads are left out. ``row`` counts all rows of all shards
+    from 1, also those left out. Each class gives its first ``per_class`` rows; only the image and label columns are read.
+    """
+    rows = spark.read.parquet(*paths).select(F.col(image).cast("binary").alias("content"), F.col(label).alias("k"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("nth"))
+    place = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # file paths come as encoded URLs
+    places = [F.when(F.endswith(place, F.lit(_tail(p))) | F.contains(place, F.lit(_tail(p) + "/")), i) for i, p in enumerate(paths)]
+    rows = rows.withColumn("shard", F.coalesce(*places, F.lit(len(paths))))
+    # One row for each file; a path may be a folder of files, which count by name.
+    files = rows.groupBy("shard", "path").agg(F.count("*").alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.orderBy("shard", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("path", start.alias("start"))
+    good = rows.filter(F.col("k").between(0, len(classes) - 1) & (F.length("content") > 0)).join(F.broadcast(files), "path")  # a row for each file
+    named = good.select((F.col("start") + F.col("nth") + 1).alias("row"), F.get(F.array(*map(F.lit, classes)), F.col("k").cast("int")).alias("label"), "content")
+    return cap(named, "label", "row", per_class) if per_class else named
+
+
+def _tail(path: str) -> str:
+    """A path without its scheme, as the end of a file's or the start of its folder's."""
+    return "/" + re.sub("^[A-Za-z0-9]+:/*", "", path).strip("/").removeprefix("./")
 
 
 def cap(df: DataFrame, by: str, order: str, most: int) -> DataFrame:
@@ -43,9 +66,9 @@ def reject_reason(content: Column, label: Column, decodes: Column | None = None,
     return why.when(~F.coalesce(decodes, F.lit(False)), "undecodable") if decodes is not None else why
 
 
-def validated(df: DataFrame, content: str, label: str) -> tuple[DataFrame, DataFrame]:
+def validated(df: DataFrame, content: str, label: str, most: int = MAX_UPLOAD_BYTES) -> tuple[DataFrame, DataFrame]:
     """The rows that can be taken in, and the others with their reason."""
-    marked = df.withColumn("reason", reject_reason(F.col(content), F.col(label)))
+    marked = df.withColumn("reason", reject_reason(F.col(content), F.col(label), most=most))
     return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
 
 
@@ -67,6 +90,44 @@ def against_store(batch: DataFrame, store: DataFrame, key: str = "sha256") -> tu
     return batch.join(known, key, "left_anti"), batch.join(known, key, "left_semi")
 
 
+def to_extract(batch: DataFrame, images: DataFrame, features: DataFrame, key: str = "sha256", id_col: str = "id", image_id: str = "image_id") -> DataFrame:
+    """``batch`` with id (of the stored item, null for a new one) and state: new, lacking (stored without features) or done.
+
+    New and lacking ones need extraction; a lacking one keeps its id.
+    """
+    stored = images.select(key, F.col(id_col).alias("id")).join(features.select(F.col(image_id).alias("id"), F.lit(True).alias("__nf_has")), "id", "left")
+    state = F.when(F.col("id").isNull(), "new").when(F.col("__nf_has"), "done").otherwise("lacking")
+    return batch.join(stored.groupBy(key).agg(F.min("id").alias("id"), F.max("__nf_has").alias("__nf_has")), key, "left").withColumn("state", state).drop("__nf_has")
+
+
+def write_blobs(df: DataFrame, root: str, path: str = "storage_path", content: str = "content") -> DataFrame:
+    """Writes each row's content below ``root`` at its path: path, written (false where a file of that size is there).
+
+    A file is written beside its place and then moved, so a task that runs again or dies leaves no part of one. Paths
+    that lead out of ``root`` are errors.
+    """
+    rows = df.select(F.when(is_inside(F.col(path)), F.col(path)).otherwise(F.raise_error(F.concat(F.lit("not a path inside: "), F.col(path)))).alias("path"), F.col(content).alias("content"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+        for batch in batches:
+            done = []
+            for at in range(batch.num_rows):
+                name, data = batch.column("path")[at].as_py(), batch.column("content")[at].as_py() or b""
+                target = f"{base}/{name}"
+                there = fs.get_file_info(target)
+                done.append(not (there.type == pafs.FileType.File and there.size == len(data)))
+                if done[-1]:
+                    fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    part = f"{target}.{uuid.uuid4().hex}.part"
+                    with fs.open_output_stream(part) as f:
+                        f.write(data)
+                    fs.move(part, target)
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "written": pa.array(done, pa.bool_())})
+
+    return rows.mapInArrow(run, "path string, written boolean")
+
+
 def statuses(df: DataFrame, key: str, order: str, reason: str) -> DataFrame:
     """``df`` with status: failed, inserted (first of its key) or deduped."""
     first = df.filter(F.col(reason).isNull()).groupBy(key).agg(F.min(order).alias("__nf_first"))
@@ -76,27 +137,38 @@ def statuses(df: DataFrame, key: str, order: str, reason: str) -> DataFrame:
 
 
 def seed(spark: SparkSession, root: str, out: str, per_class: int | None = None, dry_run: bool = False) -> DataFrame:
-    """Takes a folder tree in: label, status, n. New images go to ``out`` as Parquet, unless it is a dry run."""
+    """Takes a folder tree in: label, status, n. New images go to ``out`` as Parquet with ids that go on from the last one,
+    unless it is a dry run.
+
+    What is taken is decided on paths, hashes and sizes; bytes are read again for the new images only, and not shuffled
+    as long as their list is small.
+    """
     files = scan_tree(spark, root)
-    files = cap(files, "label", "path", per_class) if per_class else files
-    name = F.regexp_extract("path", "([^/]+)$", 1)
+    if dry_run:
+        files = cap(files.select("label", "path"), "label", "path", per_class) if per_class else files
+        return files.groupBy("label").agg(F.count("*").alias("files_seen"), F.lit(0).cast("long").alias("inserted"))
+    slim = files.select("path", "label", "size_bytes", content_hash(F.col("content")).alias("sha256"), reject_reason(F.col("content"), F.col("label")).alias("reason"))
+    slim = cap(slim, "label", "path", per_class) if per_class else slim
     decoded = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
     # The image source writes an origin as an encoded URL, binaryFile a path as it is.
     origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
     sizes = decoded.select(_place(origin).alias("place"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-    rows = files.withColumn("place", _place(F.col("path"))).join(sizes, "place", "left").drop("place").withColumn("filename", name).withColumn("reason", reject_reason(F.col("content"), F.col("label"), F.col("width") > 0))
-    rows = statuses(addressed(rows, "content", "label", "filename"), "sha256", "path", "reason")
-    if dry_run:
-        return rows.groupBy("label").agg(F.count("*").alias("files_seen"), F.lit(0).cast("long").alias("inserted"))
-    if _exists(spark, out):
-        known = spark.read.parquet(out).select("sha256").withColumn("__nf_known", F.lit(True))
-        rows = rows.join(known, "sha256", "left").withColumn("status", F.when(F.col("__nf_known") & (F.col("status") == "inserted"), "deduped").otherwise(F.col("status")))
-    rows = rows.persist()
+    rows = slim.withColumn("place", _place(F.col("path"))).join(sizes, "place", "left").drop("place")
+    rows = rows.withColumn("filename", F.regexp_extract("path", "([^/]+)$", 1)).withColumn("storage_path", storage_path(F.col("label"), F.col("sha256"), F.col("filename")))
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(~F.coalesce(F.col("width") > 0, F.lit(False)), "undecodable")))
+    rows, last = statuses(rows, "sha256", "path", "reason"), 0
+    if exists(spark, out):
+        store = spark.read.parquet(out)
+        known = store.select("sha256").distinct().withColumn("__nf_known", F.lit(True))
+        rows = rows.join(known, "sha256", "left").withColumn("status", F.when(F.col("__nf_known") & (F.col("status") == "inserted"), "deduped").otherwise(F.col("status"))).drop("__nf_known")
+        last = store.agg(F.max("id")).first()[0] or 0
+    rows = written(rows)
     counts = rows.groupBy("label", "status").agg(F.count("*").alias("n"))
     result = spark.createDataFrame(counts.collect(), counts.schema)  # a row for each label and status
-    new = rows.filter("status = 'inserted'").select("sha256", "filename", "storage_path", F.col("label").alias("animal_type"), "width", "height", F.col("size_bytes").cast("int").alias("size_bytes"), F.lit("corpus").alias("role"), "content")
-    new.write.mode("append").parquet(out)
-    rows.unpersist()
+    new = numbered(rows.filter("status = 'inserted'"), "path", last).select(
+        "id", "sha256", "filename", "storage_path", F.col("label").alias("animal_type"), "width", "height", F.col("size_bytes").cast("int").alias("size_bytes"), F.lit("corpus").alias("role"), F.current_timestamp().alias("uploaded_at"), "path"
+    )
+    new.join(files.select("path", "content"), "path").drop("path").write.mode("append").parquet(out)
     return result
 
 
@@ -104,11 +176,6 @@ def _place(path: Column) -> Column:
     return F.regexp_replace(path, "^([A-Za-z0-9]+:)/+", "$1/")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def backfilled(rows: DataFrame, vectors: str = "vectors") -> DataFrame:
     """Feature columns filled from a JSON map of vectors where they are null."""
     found = F.from_json(vectors, "map<string,array<double>>")
@@ -117,14 +184,7 @@ def backfilled(rows: DataFrame, vectors: str = "vectors") -> DataFrame:
 
 def numbered(df: DataFrame, order: str, start: int = 0) -> DataFrame:
     """Dense ids from ``start`` + 1 in ``order``, by sorted ranges: no single task sees all rows."""
-    ordered = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__nf_p", F.spark_partition_id()).persist()
-    sizes = {r["__nf_p"]: r["count"] for r in ordered.groupBy("__nf_p").count().collect()}
-    base, bases = start, {}
-    for p in sorted(sizes):
-        bases[p], base = base, base + sizes[p]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]), F.col("__nf_p")) if bases else F.lit(start)
-    nth = F.row_number().over(Window.partitionBy("__nf_p").orderBy(order))
-    return ordered.withColumn("id", (offset + nth).cast("long")).drop("__nf_p")
+    return row_numbers(df, [], [order], "id").withColumn("id", F.col("id") + start)
 
 
-__all__ = ["EXTENSIONS", "addressed", "against_store", "backfilled", "cap", "first_of_each", "numbered", "read_shards", "reject_reason", "safe_extension", "scan_tree", "seed", "statuses", "validated"]
+__all__ = ["EXTENSIONS", "addressed", "against_store", "backfilled", "cap", "first_of_each", "numbered", "read_shards", "reject_reason", "safe_extension", "scan_tree", "seed", "statuses", "to_extract", "validated", "write_blobs"]

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from nearfield.sources.ingest import _exists, cap
+from nearfield.operators.shared import exists, new_folder
+from nearfield.sources.ingest import cap
 
 # Rows of a page, seconds before the next page after a failed one, and seconds that a request may take.
 PAGE, WAIT, TIMEOUT = 100, 2.0, 30.0
+#: Pages that are read side by side before it is seen whether more are needed.
+WAVE = 32
 
 
 def _get(url: str) -> bytes:
@@ -29,26 +32,30 @@ class Page(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """A partition for each page, so pages are read side by side; one that can't be read is left out."""
+    """A partition for each page, so pages are read side by side. One that can't be read gives a row that says so, and
+    so does an empty one."""
 
     def __init__(self, options: dict):
-        self.url, self.most = options["url"], int(options["max_rows"])
+        self.url, self.first, self.most = options["url"], int(options.get("first", 0)), int(options["max_rows"])
         self.wait = float(options.get("wait", WAIT))
 
     def partitions(self) -> list[Page]:
-        return [Page(at, min(PAGE, self.most - at)) for at in range(0, self.most, PAGE)]
+        return [Page(at, min(PAGE, self.most - at)) for at in range(self.first, self.most, PAGE)]
 
     def read(self, page: Page) -> Iterator[tuple]:
         try:
             rows = json.loads(_get(f"{self.url}{'&' if '?' in self.url else '?'}offset={page.offset}&length={page.length}")).get("rows", [])
         except OSError:  # URLError and HTTPError are among these
             time.sleep(self.wait)
+            yield page.offset, None, None, "failed"
             return
+        if not rows:
+            yield page.offset, None, None, "empty"
         for nth, entry in enumerate(rows):
             row = entry.get("row") or {}
             label = row.get("label")
             whole = isinstance(label, int) and not isinstance(label, bool)
-            yield entry.get("row_idx", page.offset + nth), label if whole else None, (row.get("image") or {}).get("src")
+            yield entry.get("row_idx", page.offset + nth), label if whole else None, (row.get("image") or {}).get("src"), "row"
 
 
 class PagedRows(DataSource):
@@ -59,7 +66,7 @@ class PagedRows(DataSource):
         return "paged_rows"
 
     def schema(self) -> str:
-        return "row_idx bigint, label bigint, src string"
+        return "row_idx bigint, label bigint, src string, state string"
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
@@ -67,8 +74,27 @@ class PagedRows(DataSource):
 
 def read_pages(spark: SparkSession, url: str, max_rows: int, wait: float = WAIT) -> DataFrame:
     """row_idx, label, src of the first ``max_rows`` rows."""
+    return _pages(spark, url, 0, max_rows, wait).filter("state = 'row'").drop("state")
+
+
+def _pages(spark: SparkSession, url: str, first: int, last: int, wait: float) -> DataFrame:
     spark.dataSource.register(PagedRows)
-    return spark.read.format("paged_rows").option("url", url).option("max_rows", max_rows).option("wait", wait).load()
+    return spark.read.format("paged_rows").option("url", url).option("first", first).option("max_rows", last).option("wait", wait).load()
+
+
+def walked(spark: SparkSession, url: str, classes: list[str], per_class: int, max_rows: int, wait: float = WAIT, wave: int = WAVE) -> DataFrame:
+    """row_idx, label, src of rows with a known label and a source, ``wave`` pages at a time, until every class has
+    ``per_class`` of them, a page is empty, or ``max_rows`` are read. Waves lie in the shared folder."""
+    folder, at = new_folder(spark, "pages"), 0
+    while at < max_rows:
+        rows = _pages(spark, url, at, min(max_rows, at + wave * PAGE), wait)
+        rows.withColumn("label", F.get(F.array(*map(F.lit, classes)), F.when(F.col("label").between(0, len(classes) - 1), F.col("label")).cast("int"))).write.mode("append").parquet(folder)
+        at += wave * PAGE
+        have = spark.read.parquet(folder)
+        counts = {r["label"]: r["count"] for r in have.filter("src <> '' AND label IS NOT NULL").groupBy("label").count().collect()}  # of the classes named
+        if all(counts.get(c, 0) >= per_class for c in classes) or not have.filter("state = 'empty'").isEmpty():
+            break
+    return spark.read.schema("row_idx bigint, label string, src string, state string").parquet(folder).filter("state = 'row' AND src <> '' AND label IS NOT NULL").drop("state") if max_rows > 0 else spark.createDataFrame([], "row_idx bigint, label string, src string")
 
 
 def fetched(rows: DataFrame, delay: float = 0.0) -> DataFrame:
@@ -89,15 +115,14 @@ def fetched(rows: DataFrame, delay: float = 0.0) -> DataFrame:
 
 
 def fetch_subset(spark: SparkSession, url: str, out: str, classes: list[str], per_class: int, max_rows: int, delay: float = 0.0, wait: float = WAIT) -> DataFrame:
-    """Fetches up to ``per_class`` images of each class into Parquet at ``out``: label, n there now.
+    """Fetches up to ``per_class`` images of each class into Parquet at ``out``: label, n there now. Stops reading pages when
+    it has enough, or at an empty one.
 
     Rows with unknown labels or no source are left out. Rows that ``out`` has are not fetched again, so a run that
     was broken off goes on; a row that can't be fetched is tried again by the next run.
     """
-    rows = read_pages(spark, url, max_rows, wait).filter(F.col("label").between(0, len(classes) - 1) & (F.col("src") != ""))
-    named = rows.withColumn("label", F.get(F.array(*map(F.lit, classes)), F.col("label").cast("int")))
-    todo = cap(named, "label", "row_idx", per_class)
-    if _exists(spark, out):
+    todo = cap(walked(spark, url, classes, per_class, max_rows, wait), "label", "row_idx", per_class)
+    if exists(spark, out):
         todo = todo.join(spark.read.parquet(out).select("row_idx"), "row_idx", "left_anti")
     fetched(todo, delay).filter("content IS NOT NULL AND length(content) > 0").drop("src").write.mode("append").parquet(out)
     return spark.read.parquet(out).groupBy("label").agg(F.count("*").alias("n"))

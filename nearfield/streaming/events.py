@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+
+from nearfield.operators.shared import exists, removed, row_numbers, written
 
 # Kinds of events, and those that end a timeline.
 KINDS = ("stage.start", "stage.done", "feature.start", "feature.done", "rank.tick", "rank.done", "error")
@@ -16,30 +18,44 @@ STAGES = ("extract", "load_corpus", "cosine", "rank")
 RETENTION_MS = 60_000
 
 
+def new_stream_id() -> Column:
+    """A fresh id for each row: 32 hexadecimal digits."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
+def unknown_kinds(events: DataFrame, kind: str = "kind", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """kind, n of events of no known kind (null counts as none)."""
+    return events.filter(~F.coalesce(F.col(kind).isin(*kinds), F.lit(False))).groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def millis(column: str) -> Column:
+    return F.unix_millis(F.col(column).cast("timestamp"))
+
+
 def numbered(events: DataFrame, stream: str, ts: str, tie: str) -> DataFrame:
-    """``events`` with seq from 1 and at_ms since the stream's first event."""
-    order = Window.partitionBy(stream).orderBy(ts, tie)
-    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-    first = F.min(ms(ts)).over(Window.partitionBy(stream))
-    return events.withColumn("seq", F.row_number().over(order).cast("long")).withColumn("at_ms", (ms(ts) - first).cast("long"))
+    """``events`` with seq from 1 and at_ms since the stream's first event. A stream of any length spreads over sorted ranges."""
+    first = events.groupBy(F.col(stream).alias("__nf_stream")).agg(F.min(millis(ts)).alias("__nf_first"))
+    rows = row_numbers(events, [stream], [ts, tie]).join(first, F.col(stream).eqNullSafe(F.col("__nf_stream")))
+    return rows.withColumn("at_ms", (millis(ts) - F.col("__nf_first")).cast("long")).drop("__nf_stream", "__nf_first")
 
 
 def sealed(events: DataFrame, stream: str, kind: str = "kind", terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
     """Numbered events up to and with each stream's first terminal one."""
-    end = F.min(F.when(F.col(kind).isin(*terminal), F.col("seq"))).over(Window.partitionBy(stream))
-    return events.withColumn("__nf_end", end).filter("__nf_end IS NULL OR seq <= __nf_end").drop("__nf_end")
+    ends = events.filter(F.col(kind).isin(*terminal)).groupBy(F.col(stream).alias("__nf_stream")).agg(F.min("seq").alias("__nf_end"))
+    both = events.join(ends, F.col(stream).eqNullSafe(F.col("__nf_stream")), "left")
+    return both.filter("__nf_end IS NULL OR seq <= __nf_end").drop("__nf_stream", "__nf_end")
 
 
-def closed_with_error(events: DataFrame, stream: str, message: str) -> DataFrame:
+def closed_with_error(events: DataFrame, stream: str, message: str, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
     """An error event after the last one of each stream that has no terminal event yet."""
-    last = events.groupBy(stream).agg(F.max("seq").alias("seq"), F.max("at_ms").alias("at_ms"), F.max(F.col("kind").isin(*TERMINAL)).alias("done")).filter("NOT done")
+    last = events.groupBy(stream).agg(F.max("seq").alias("seq"), F.max("at_ms").alias("at_ms"), F.max(F.col("kind").isin(*terminal)).alias("done")).filter("NOT done")
     error = last.select(stream, (F.col("seq") + 1).alias("seq"), F.lit("error").alias("kind"), F.to_json(F.struct(F.lit(message).alias("message"))).alias("payload"), "at_ms")
     return events.unionByName(error, allowMissingColumns=True)
 
 
-def retained(streams: DataFrame, now_ms: int, done_ms: str = "done_ms") -> DataFrame:
-    """Streams that are not over, or have been over for no more than the retention time."""
-    return streams.filter(F.col(done_ms).isNull() | (F.lit(now_ms) - F.col(done_ms) <= RETENTION_MS))
+def retained(streams: DataFrame, now_ms: int, done_ms: str = "done_ms", most_ms: int = RETENTION_MS) -> DataFrame:
+    """Streams of the registry that are not over, or have been over for no more than the retention time."""
+    return streams.filter(F.col(done_ms).isNull() | (F.lit(now_ms) - F.col(done_ms) <= most_ms))
 
 
 def order_check(events: DataFrame, stream: str, name: str, stages: tuple[str, ...] = STAGES) -> DataFrame:
@@ -55,28 +71,74 @@ def order_check(events: DataFrame, stream: str, name: str, stages: tuple[str, ..
     return each.select(stream, complete.alias("complete"), ordered.alias("in_order"), ((F.col("n") == F.col("top")) & (F.col("d") == F.col("n"))).alias("increasing"))
 
 
-def live(events: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
-    """A stream of (stream_id, ts, kind, payload) numbered and sealed as it arrives: stream_id, seq, kind, payload, at_ms.
+class Live:
+    """A stream of (stream_id, ts, tie, kind, payload), numbered and sealed as it arrives, for ``foreachBatch``.
 
-    State is three numbers for each open stream. Within a micro-batch events are put in order of ts; over batches
-    the order is that of arrival. A sealed stream's later events are ignored.
+    ``folder``/out gets stream_id, seq, kind, payload, at_ms; ``folder``/state one row for each stream that is known: its
+    last seq, its start, and when it ended. Each micro-batch reads the state that the one before left and writes its
+    own, under its number; one that runs again after a failure writes the same again. Within a micro-batch events are
+    in order of ts and tie, over micro-batches in that of arrival. A sealed stream's later events are ignored. A long stream
+    spreads over sorted ranges, and only its first end and start are joined to its rows. With ``retention_ms``, streams that ended so
+    long before the newest event are forgotten; their ids must not come again.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, start, done = state.get if state.exists else (0, -1, False)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for ts, kind, payload in zip(rows["ts"], rows["kind"], rows["payload"], strict=True):
-            if done:
-                break
-            ms = int(ts.value // 1_000_000)
-            start = ms if start < 0 else start
-            seq += 1
-            out.append((key[0], seq, kind, payload, ms - start))
-            done = kind in terminal
-        state.update((seq, start, done))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "kind", "payload", "at_ms"])
-
-    return events.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id string, seq long, kind string, payload string, at_ms long", "seq long, start long, done boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    STATE = "stream_id string, seq long, start_ms long, done_ms long"
+
+    def __init__(self, folder: str, terminal: tuple[str, ...] = TERMINAL, retention_ms: int | None = None):
+        self.folder, self.terminal, self.retention_ms = folder, terminal, retention_ms
+
+    def state(self, spark: SparkSession, batch: int) -> DataFrame:
+        """The state after micro-batch ``batch``."""
+        path = f"{self.folder}/state/{batch}"
+        return spark.read.schema(self.STATE).parquet(path) if batch >= 0 and exists(spark, path) else spark.createDataFrame([], self.STATE)
+
+    def out(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/out").drop("batch")
+
+    def __call__(self, events: DataFrame, batch: int) -> None:
+        spark = events.sparkSession
+        known = self.state(spark, batch - 1)
+        place = F.struct("ts", "tie")
+        new = events.join(known.filter("done_ms IS NOT NULL").select("stream_id"), "stream_id", "left_anti")
+        ends = new.filter(F.col("kind").isin(*self.terminal)).groupBy("stream_id").agg(F.min(place).alias("end"))
+        # An end counts with all that lies before it; what has the same place as the end is told from it by its number below.
+        upto = new.join(ends, "stream_id", "left").filter(F.col("end").isNull() | (place <= F.col("end"))).drop("end")
+        rows = written(row_numbers(upto, ["stream_id"], ["ts", "tie"], "nth"))
+        sums = rows.groupBy("stream_id").agg(F.min(millis("ts")).alias("first_ms"), F.max(millis("ts")).alias("last_ms"), F.count("*").alias("n"), F.min(F.when(F.col("kind").isin(*self.terminal), F.col("nth"))).alias("end"))
+        both = sums.join(known, "stream_id", "full")
+        seq, start = F.coalesce("seq", F.lit(0).cast("long")), F.coalesce("start_ms", "first_ms")
+        at = both.filter("n IS NOT NULL").select("stream_id", seq.alias("before"), start.alias("start_ms"), "end")
+        made = rows.join(at, "stream_id").filter(F.col("end").isNull() | (F.col("nth") <= F.col("end")))
+        made = made.select("stream_id", (F.col("before") + F.col("nth")).alias("seq"), "kind", "payload", (millis("ts") - F.col("start_ms")).alias("at_ms"))
+        made.write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch}")
+        done = F.coalesce("done_ms", F.when(F.col("end").isNotNull(), F.col("last_ms")))
+        state = both.select("stream_id", (seq + F.coalesce("end", "n", F.lit(0))).alias("seq"), start.alias("start_ms"), done.alias("done_ms"))
+        if self.retention_ms is not None:
+            now = events.agg(F.max(millis("ts"))).first()[0]
+            state = state.filter(F.col("done_ms").isNull() | (F.lit(now) - F.col("done_ms") <= self.retention_ms))
+        state.write.mode("overwrite").parquet(f"{self.folder}/state/{batch}")
+        if exists(spark, f"{self.folder}/state/{batch - 2}"):
+            removed(spark, f"{self.folder}/state/{batch - 2}")
+
+    def start(self, events: DataFrame, **trigger) -> StreamingQuery:
+        """Starts the stream; ``trigger`` as ``DataStreamWriter.trigger`` takes it."""
+        return events.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/offsets").trigger(**trigger).start()
+
+
+def subscribe(spark: SparkSession, folder: str, stream_id: str, terminal: tuple[str, ...] = TERMINAL, wait: float = 0.2, timeout: float = 60.0) -> Iterator[Row]:
+    """One stream's events from the sink of ``Live``: its history in order, then what arrives, up to its terminal event.
+
+    Ends early after ``timeout`` seconds without anything new. Only this stream's rows reach the driver.
+    """
+    seen, quiet = 0, time.monotonic()
+    while time.monotonic() - quiet < timeout:
+        rows = []
+        if exists(spark, f"{folder}/out"):
+            mine = spark.read.parquet(f"{folder}/out").filter((F.col("stream_id") == stream_id) & (F.col("seq") > seen))
+            rows = mine.drop("batch").orderBy("seq").toLocalIterator()
+        for row in rows:
+            seen, quiet = row["seq"], time.monotonic()
+            yield row
+            if row["kind"] in terminal:
+                return
+        time.sleep(wait)
