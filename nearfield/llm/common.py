@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.operators.shared import shared_folder
+
 #: Characters of text that a Python worker holds as words at any time.
 BATCH_CHARS = 1_000_000
 #: Bytes of a batch between the JVM and a Python worker, unless the session sets its own.
@@ -18,11 +19,8 @@ BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")
 
 
 def use_shared_folder(spark: SparkSession) -> None:
-    """Make sure checkpoints have a folder: the cluster's, or a local one where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="nearfield-"))
+    """Make sure checkpoints have a folder that driver and executors share."""
+    shared_folder(spark)
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -85,6 +85,16 @@ class Vocabulary:
                 width *= 2
         yield word[at:]
 
+    def logs(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """Log probability of each word (behind a mark) under each column of ``p``."""
+        out = np.zeros((len(words), p.shape[1]))
+        for i, j in chunks(words):
+            parts = [[("▁" + w)] if len(w) < CHARS else list(self._cut("▁" + w)) for w in words[i:j]]
+            found = self.matches([x for xs in parts for x in xs]).logs(p)
+            sizes = np.array(list(map(len, parts)))
+            out[i:j] = np.add.reduceat(found, np.cumsum(sizes) - sizes, axis=0) if len(found) > j - i else found
+        return out
+
     def matches(self, words: list[str]) -> "Matches":
         """Every piece at every place of the words; a place where not even its character is a piece gets the unknown piece."""
         sizes = np.array([len(w) for w in words])
@@ -267,13 +277,13 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, text: str, keep: l
         if not memory or len(memory["seen"]) > REMEMBERED or memory["chars"] > 16 * REMEMBERED:
             memory.update(seen={}, rows=np.zeros((0, len(langs))), chars=0)
         seen = memory["seen"]
-        docs = [vocab.words(t) if t and langs and has_letter(t) else [] for t in texts]
+        docs = [t.lower().split() if t and langs and has_letter(t) else [] for t in texts]
         new = list({w for d in docs for w in d if w not in seen})
         if new:
-            got = [vocab.matches(new[i:j]).logs(ctx.value) for i, j in chunks(new)]
+            got = vocab.logs(new, ctx.value)
             seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
             memory["chars"] += sum(map(len, new))
-            memory["rows"] = np.concatenate([memory["rows"], *got])
+            memory["rows"] = np.concatenate([memory["rows"], got])
         sizes = np.array([len(d) for d in docs])
         ids = np.fromiter((i for d in docs for i in map(seen.__getitem__, d)), np.int64, int(sizes.sum()))
         logs = np.zeros((len(docs), max(1, len(langs))))
