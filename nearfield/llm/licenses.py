@@ -49,8 +49,10 @@ def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id", templa
     a-z and 0-9 as white space, is its set of word bigrams; it states the template of the highest Dice coefficient
     (then the first licence name) if that is ``least`` or more. Only sizes between m * least / (2 - least) and
     m * (2 - least) / least of a template's m can reach it, and a unit must share one of a few bigrams of
-    each: other units are dropped before any comparison. A null or empty text states none; rows are scanned one
-    by one. Nothing is joined or shuffled: the templates are literals of the plan.
+    each: other units are dropped before any comparison. A null or empty text states none; rows are scanned one by
+    one, so repeated ones and null keys give the same rows each, and an empty table none. A very long text is one array of
+    words. Equal coefficients go to the template that comes first. Only ``key`` and the new columns come out, so other
+    columns may have any name. Nothing is joined or shuffled: the templates are literals of the plan.
     """
     sets = [(name, template_bigrams(t)) for name, t in templates]
     low = min(least_shared(len(b), least) for _, b in sets)
@@ -154,18 +156,42 @@ def _dice(g: Column, name: str, at: int, bigrams: list[str], least: float) -> Co
     return F.when(fits, F.when(dice >= least, F.struct(dice.alias("dice"), F.lit(-at).alias("at"))))
 
 
-def sql(templates: tuple = TEMPLATES, least: float = 0.8) -> str:
-    """``scan_licenses`` for DuckDB: every unit against every template."""
-    rows = ", ".join("({}, '{}', [{}])".format(i, n, ", ".join(f"'{b}'" for b in template_bigrams(t))) for i, (n, t) in enumerate(templates))
+def _rows(templates: tuple) -> str:
+    one = "({}, '{}', {}, [{}])".format
+    return ", ".join(one(i, n, len(template_words(t)), ", ".join(f"'{b}'" for b in template_bigrams(t))) for i, (n, t) in enumerate(templates))
+
+
+def sql(templates: tuple = TEMPLATES, passages: tuple = PASSAGES, least: float = 0.8) -> str:
+    """``scan_licenses`` and ``scan_passages`` for DuckDB: every unit against every template; then of each text that holds
+    enough of a template's bigrams, the windows that begin with one of its first, taken one by one from the best on."""
+    high = 2 - least
     return rf"""
-WITH t(tno, license, b) AS (VALUES {rows}),
+WITH RECURSIVE t(tno, license, n, b) AS (VALUES {_rows(templates)}),
 l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS unit FROM l UNION ALL SELECT doc_id, -1, text FROM l WHERE len(ls) > 1),
 w AS (SELECT doc_id, line_no, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
 g AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
 d AS (SELECT doc_id, line_no, license, tno, len(g) AS n, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t WHERE len(g) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, tno) AS nth FROM d WHERE dice >= {least})
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, license, round(dice, 6) AS dice, CAST(n AS BIGINT) AS n_bigrams FROM r WHERE nth = 1
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, tno) AS nth FROM d WHERE dice >= {least}),
+stated AS (SELECT doc_id, line_no, license, dice, n FROM r WHERE nth = 1),
+p(pno, license, n, b) AS (VALUES {_rows(templates + passages)}),
+q AS (SELECT *, CAST(ceil(len(b) * {least} / {high} - 1e-9) AS INTEGER) AS need FROM p),
+known AS (SELECT list_distinct(flatten(list(b))) AS ks, min(need) AS few FROM q),
+tw AS (SELECT doc_id, ls, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM l WHERE text IS NOT NULL),
+tp AS (SELECT doc_id, ls, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p FROM tw),
+ts AS (SELECT *, list_intersect(list_distinct(p), ks) AS s FROM tp, known WHERE len(list_intersect(list_distinct(p), ks)) >= few),
+likely AS (SELECT doc_id, p, pno, license, n, b, need FROM ts, q WHERE len(list_intersect(s, b)) >= need),
+start AS (SELECT *, unnest(range(0, len(p))) AS i FROM likely),
+win AS (SELECT doc_id, pno, license, n, b, i, least(i + n, len(p) + 1) - 1 AS e, list_distinct(p[i + 1:i + n - 1]) AS own FROM start WHERE coalesce(list_position(b, p[i + 1]), 0) BETWEEN 1 AND len(b) - need + 1),
+hit AS (SELECT doc_id, pno, license, len(b) AS m, i, e, len(own) AS own, 2.0::DOUBLE * len(list_intersect(own, b)) / (len(own) + len(b)) AS dice FROM win),
+best AS (SELECT doc_id, list({{'license': license, 'i': i, 'e': e, 'own': own, 'dice': dice}} ORDER BY dice DESC, m DESC, i, pno) AS x FROM hit WHERE dice >= {least} GROUP BY doc_id),
+pick(doc_id, x, one) AS (SELECT doc_id, x, NULL::STRUCT(license VARCHAR, i BIGINT, e BIGINT, own BIGINT, dice DOUBLE) FROM best
+  UNION ALL SELECT doc_id, list_filter(x, lambda y: y.e < x[1].i OR y.i > x[1].e), x[1] FROM pick WHERE len(x) > 0),
+lines AS (SELECT doc_id, flatten(list_transform(range(0, len(ls)), lambda k: repeat([k], len(list_filter(string_split(trim(regexp_replace(lower(ls[k + 1]), '[^a-z0-9]+', ' ', 'g')), ' '), lambda v: v <> ''))))) AS line FROM ts),
+found AS (SELECT doc_id, one.license AS license, one.own AS own, one.dice AS dice, line[one.i + 1] AS a, line[one.e + 1] AS z FROM pick JOIN lines USING (doc_id) WHERE one IS NOT NULL)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, license, round(dice, 6) AS dice, CAST(n AS BIGINT) AS n_bigrams FROM stated
+UNION ALL SELECT doc_id, CAST(a AS INTEGER), license, round(dice, 6), CAST(own AS BIGINT) FROM found f
+WHERE NOT EXISTS (SELECT 1 FROM stated k WHERE k.doc_id = f.doc_id AND k.license = f.license AND (k.line_no = -1 OR k.line_no BETWEEN f.a AND f.z))
 """
 
 
