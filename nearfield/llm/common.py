@@ -56,8 +56,12 @@ def in_parts(batch: pa.RecordBatch, text: str, most: int = BATCH_CHARS) -> Itera
 def map_text(df: DataFrame, text: str, keep: list[str], fn: Callable[[list[str | None]], dict], schema: str) -> DataFrame:
     """Columns ``keep`` of each row beside what ``fn`` returns for the rows' texts: a list or array for each new column.
 
-    ``schema`` describes the new columns. Rows stay in their partitions; nothing is shuffled.
+    ``schema`` describes the new columns, whose names must not be among ``keep``. Rows stay in their partitions; nothing
+    is shuffled.
     """
+    clash = set(keep) & set(df.sparkSession.createDataFrame([], schema).columns)
+    if clash:
+        raise ValueError(f"kept columns {sorted(clash)} have the names of new ones")
     bound_batches(df.sparkSession)
     source = df.select(*[F.col(k) for k in keep], F.col(text).cast("string").alias("__nf_text"))
     fields = df.select(*keep).schema

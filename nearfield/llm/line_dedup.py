@@ -26,7 +26,9 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", width: i
     so a later exact copy of a document with ``width`` lines or more becomes empty. Windows of white space alone do
     not count; texts of fewer lines, and null ones, stay as they are. Rows with the same key and text are one
     document repeated and come out alike. ``report`` names the columns for the lines before and the lines removed;
-    columns of ``df`` that have these names give way to them. All other columns stay.
+    columns of ``df`` that have these names give way to them. All other columns stay; their names may be anything that
+    does not begin with ``__nf_``. An empty table gives no rows. A very long text is one array of lines, and one row for each
+    of its windows, which carry hashes and not text.
     """
     rows = df.withColumns({"__nf_key": F.col(key), "__nf_hash": F.xxhash64(text)})
     windows = _windows(rows, text, width)

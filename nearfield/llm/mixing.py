@@ -9,8 +9,8 @@ from nearfield.llm.common import cut
 
 #: Weights by value for each level of the tree, and the weight of any other value.
 WEIGHTS = (({"web": 2, "books": 5, "code": 3}, 1), ({"en": 4, "de": 3, "fr": 2, "es": 1}, 1), ({}, 1))
-#: Leaves that are sent to every task; more are joined by shuffling.
-FEW_LEAVES = 20_000
+#: Bytes of leaves that are sent to every task at most; more are joined by shuffling.
+SENT_BYTES = 16 << 20
 
 
 def word_count(text: str) -> Column:
@@ -37,7 +37,8 @@ def allot(leaves: DataFrame, path: list[str], weights: tuple, target: int) -> Da
     Siblings share their parent's budget by weight; one that can't use its share keeps what its subtree holds, and
     the rest goes to its siblings by weight. What a whole family can't use has gone to its parent's siblings
     before, as a parent's own share ends at what its subtree holds. With siblings in order of cap / weight the common
-    share a weight is the largest, over all places, of (budget - caps before) / (weights from here on).
+    share a weight is the largest, over all places, of (budget - caps before) / (weights from here on). Shares are
+    whole; what rounding down leaves goes token by token to the siblings that can use it, the largest fraction first.
     """
     level = leaves
     for c, w in zip(path, weights, strict=True):
@@ -56,8 +57,11 @@ def allot(leaves: DataFrame, path: list[str], weights: tuple, target: int) -> Da
         before = F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap")
         onward = F.sum("w").over(family) - F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("w")
         shared = live.withColumn("__nf_s", (F.col("__nf_b") - before).cast("double") / onward)
-        share = F.least(F.col("cap"), F.floor(F.max("__nf_s").over(family) * F.col("w")).cast("long"))
-        parents = shared.select(*here, F.greatest(share, F.lit(0).cast("long")).alias("__nf_b"))
+        real = shared.withColumn("__nf_x", F.max("__nf_s").over(family) * F.col("w"))
+        whole = real.withColumn("__nf_share", F.greatest(F.least(F.col("cap"), F.floor("__nf_x").cast("long")), F.lit(0).cast("long")))
+        next_ = family.orderBy(F.col("__nf_share") >= F.col("cap"), (F.col("__nf_x") - F.col("__nf_share")).desc(), c)
+        more = (F.row_number().over(next_) <= F.col("__nf_b") - F.sum("__nf_share").over(family)) & (F.col("__nf_share") < F.col("cap"))
+        parents = whole.select(*here, (F.col("__nf_share") + more.cast("long")).alias("__nf_b"))
     return leaves.join(parents.withColumnRenamed("__nf_b", "budget"), path, "left").withColumn("budget", F.coalesce("budget", F.lit(0).cast("long")))
 
 
@@ -71,7 +75,8 @@ def mix(
     fraction ``share`` of all) are allotted to leaves. In each epoch a leaf's rows have a seeded order, by md5 of seed,
     epoch and key; whole epochs take all rows, at most ``epochs`` times, and the last one takes the longest prefix that
     fits what is left. Rows with equal keys are taken together or not at all; rows without tokens go with their
-    place. ``tokens`` is the word count of ``text`` unless given.
+    place. ``tokens`` is the word count of ``text`` unless given. An empty table gives no rows; a very long text is one
+    number here. Columns of ``df`` may have any name that does not begin with ``__nf_``.
 
     A leaf of any size spreads over 4096 ranges of the order: their sums find the range in which the prefix ends,
     and only that range's keys are put in order, rows of one key added up before.
@@ -86,7 +91,8 @@ def mix(
     caps = sums.withColumn("cap", F.col("have") * epochs)
     budgets = allot(caps, names, weights, target).withColumn("whole", F.when(F.col("have") > 0, F.floor(F.col("budget") / F.greatest("have", F.lit(1)))).otherwise(0).cast("int"))
     budgets = cut(budgets.withColumn("left", F.col("budget") - F.col("whole") * F.col("have")).select(*names, "whole", "left"))
-    few = budgets.count() <= FEW_LEAVES
+    size = budgets.agg(F.sum(F.lit(64) + sum((F.length(c) for c in names), F.lit(0)))).first()[0] or 0
+    few = size <= SENT_BYTES
     near = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("__nf_id")))
     placed = slim.join(near(budgets.filter("left > 0")), names).withColumn("at", order).withColumn("range", F.substring("at", 1, 3))
@@ -121,7 +127,10 @@ def sql(epochs: int = 2, seed: int = 42) -> str:
         return f"""{name}_n AS (SELECT {keys}, CAST(sum(cap) AS BIGINT) AS cap, {weight} AS w FROM leaf GROUP BY {keys}),
 {name}_s AS (SELECT *, CAST(b - (sum(cap) OVER (o ROWS UNBOUNDED PRECEDING) - cap) AS DOUBLE) / (sum(w) OVER ({part}) - sum(w) OVER (o ROWS UNBOUNDED PRECEDING) + w) AS s
   FROM {name}_n {join} WINDOW o AS ({part} ORDER BY cap / w, {keys.split(", ")[-1]})),
-{name} AS (SELECT {keys}, greatest(0, least(cap, CAST(floor(max(s) OVER ({part}) * w) AS BIGINT))) AS b FROM {name}_s)"""
+{name}_x AS (SELECT *, max(s) OVER ({part}) * w AS x FROM {name}_s),
+{name}_f AS (SELECT *, greatest(0, least(cap, CAST(floor(x) AS BIGINT))) AS f FROM {name}_x),
+{name}_m AS (SELECT *, row_number() OVER ({part} ORDER BY f >= cap, x - f DESC, {keys.split(", ")[-1]}) AS nth, b - sum(f) OVER ({part}) AS more FROM {name}_f),
+{name} AS (SELECT {keys}, CAST(f + CASE WHEN f < cap AND nth <= more THEN 1 ELSE 0 END AS BIGINT) AS b FROM {name}_m)"""
 
     case = lambda c, w: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in w[0].items()) + f" ELSE {w[1]} END" if w[0] else str(w[1])
     return rf"""

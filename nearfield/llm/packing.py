@@ -60,7 +60,9 @@ def token_pieces(df: DataFrame, capacity: int = 2048, end: int = 1, text: str =
 
     Pieces have ``capacity`` tokens; what is left at a document's end is cut into pieces of ``tail`` tokens, small
     enough for windows to come out nearly equal. A null text is an empty one (its only token is ``end``); rows that
-    repeat give their pieces again. ``tokenizer``: a path for tokenizers, and one of the same vocabulary as ranks or None.
+    repeat give their pieces again, null keys as well; an empty table gives none. A very long text is encoded whole, as one
+    array of ids. Only ``key`` and the new columns come out; ``key`` must not have the name of one of these.
+    ``tokenizer``: a path for tokenizers, and one of the same vocabulary as ranks or None.
     """
     paths, last = tokenizer or default_tokenizer(), np.array([end], "<u4").tobytes()
 
@@ -141,7 +143,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length", window
 
     Rows are dealt by a hash of their number into groups of about ``windows_a_group`` windows, so groups stay of
     one size however large the input and however often rows repeat. Lengths must lie in 1 to ``capacity``; a null
-    length is an error. An empty input gives no rows.
+    length is an error. An empty input gives no rows. Columns named sequence_id or offset give way to the new ones.
     """
     rows = cut(pieces.withColumn("__nf_row", F.monotonically_increasing_id()))
     total = rows.agg(F.sum(length)).first()[0] or 0

@@ -200,7 +200,11 @@ def link(prints: DataFrame, key: str = "doc_id", budget: int = 2) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, budget: int = 2) -> DataFrame:
-    """key, fp and component_id of every row: rows whose fingerprints differ in at most ``budget`` bits are linked."""
+    """key, fp and component_id of every row: rows whose fingerprints differ in at most ``budget`` bits are linked.
+
+    Null texts are empty ones; repeated rows are linked rows each; an empty table gives no rows. A very long text is
+    hashed shingle by shingle in one task. Other columns do not come out, so their names may be anything.
+    """
     return link(cut(simhash(df, text, [key], size)), key, budget)
 
 
@@ -208,7 +212,8 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     """One row of each component of ``df``: that of the smallest key (null last), then the smallest text hash.
 
     Of rows with the same key and text the one with the smallest hash over its columns stays. Texts are shuffled
-    only for rows that stay; groups of any size are aggregated before they are shuffled.
+    only for rows that stay; groups of any size are aggregated before they are shuffled. An empty table gives no rows. All
+    columns stay; their names may be anything that does not begin with ``__nf_``.
     """
     tagged = df.withColumn("__nf_hash", F.xxhash64(text))
     prints = cut(simhash(tagged.select(F.col(key).alias("__nf_k"), "__nf_hash", F.col(text).alias("t")), "t", ["__nf_k", "__nf_hash"], size))

@@ -105,6 +105,43 @@ def test_differencing_is_near_equal():
     assert list(packing.windows_of(np.array([10, 3]), 10)) == [[0], [1]]
 
 
+def test_windows_are_full_and_near_equal(spark):
+    """Many texts of mixed lengths, one very long: windows come out full but for a few tokens."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(("the", "of", "water", "stone", "more"), k=rng.choice((0, 3, 40, 400, 1500)))) for _ in range(300)] + ["stone " * 60_000, None]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, sequence_id string, length string")
+    rows = packing.op2(df).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r["sequence_id"]] += r["length"]
+    total = sum(sizes.values())
+    assert max(sizes.values()) <= 2048 and total > 0.97 * 2048 * len(sizes)
+    assert sum(r["length"] for r in rows if r["doc_id"] == 300) == next(r["doc_tokens"] for r in rows if r["doc_id"] == 300) > 60_000
+
+
+def plain_difference(lengths, windows):
+    """The same on lists: sums with what they hold, the two of largest spread merged crosswise."""
+    parts = [([0] * (windows - 1) + [x], [[] for _ in range(windows - 1)] + [[i]], x, i) for i, x in enumerate(lengths)]
+    turn = len(lengths)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-p[2], p[3]))
+        (s1, h1, *_), (s2, h2, *_) = parts[:2]
+        both = sorted(((a + b, x + y) for a, x, b, y in zip(s1, h1, s2[::-1], h2[::-1])), key=lambda t: t[0])
+        low, turn = both[0][0], turn + 1
+        parts = [([a - low for a, _ in both], [h for _, h in both], both[-1][0] - low, turn), *parts[2:]]
+    return sorted(sum(lengths[i] for i in held) for held in parts[0][1])
+
+
+def test_differencing_by_a_plain_version():
+    rng = random.Random(9)
+    for _ in range(60):
+        lengths, windows = [rng.randint(1, 60) for _ in range(rng.randint(1, 14))], rng.randint(1, 5)
+        got = packing.difference(np.array(lengths), windows)
+        assert sorted(np.bincount(got, lengths, minlength=windows).astype(int).tolist()) == plain_difference(lengths, windows)
+        fit = packing.fit(np.array(lengths), 60)
+        assert np.bincount(fit, lengths).max() <= 60
+
+
 def test_encoder_on_odd_texts():
     e = packing.Encoder(*packing.default_tokenizer())
     rng = random.Random(1)
@@ -229,8 +266,19 @@ def brute_lines(rows):
 
 
 def test_line_dedup(docs, local):
-    want = brute_lines({r for r in local if r[0] is not None})
-    assert {(r["doc_id"], r["text"]) for r in line_dedup.op8(docs).collect() if r["doc_id"] is not None} == set(want.items())
+    null = {t for k, t in local if k is None}
+    want = brute_lines([(-1, t) for t in null] + list({r for r in local if r[0] is not None}))
+    assert {(-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in line_dedup.op8(docs).collect()} == set(want.items())
+    assert line_dedup.op8(docs).count() == len(local)
+
+
+def test_line_dedup_of_long_and_clashing_rows(spark):
+    text = "\n".join(f"line {i}" for i in range(30_000))
+    rows = [(1, text, "a", 1), (2, f"own\n{text}\nend", "b", 2), (None, "line 5\nline 6\nline 7\nnot there", "c", 3), (3, "\n\n\n\n", "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, pos int")
+    got = {r["pos"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()}
+    # a null key comes first, so the long text loses what it has of it
+    assert got[3] == (rows[2][1], 4, 0) and got[1][2] == 3 and got[2] == ("own\nend", 30_002, 30_000) and got[4] == ("\n\n\n\n", 5, 0)
 
 
 def test_mixing_hands_shortage_to_siblings_first(spark):
@@ -242,6 +290,67 @@ def test_mixing_hands_shortage_to_siblings_first(spark):
     assert got == {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 170}
 
 
+def test_mixing_leaves_no_token_unspent(spark):
+    rng = random.Random(12)
+    for _ in range(3):
+        leaves = [(f"d{i % 3}", f"s{i}", rng.randint(0, 90)) for i in range(11)]
+        budget = sum(c for *_, c in leaves) * 2 // 3
+        weights = (({"d0": 5, "d1": 2}, 1), ({"s3": 4, "s7": 3}, 1))
+        got = mixing.allot(spark.createDataFrame(leaves, "d string, s string, cap long"), ["d", "s"], weights, budget).collect()
+        assert sum(r["budget"] for r in got) == budget and all(0 <= r["budget"] <= r["cap"] for r in got)
+        tops = brute_share(budget, {d: (sum(c for x, _, c in leaves if x == d), weights[0][0].get(d, 1)) for d in {x for x, *_ in leaves}})
+        want = {}
+        for d, b in tops.items():
+            want |= brute_share(b, {s: (c, weights[1][0].get(s, 1)) for x, s, c in leaves if x == d})
+        assert {r["s"]: r["budget"] for r in got} == want
+
+
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_mixing_takes_whole_epochs_and_a_prefix(spark, monkeypatch, most):
+    """Two epochs, nulls, repeated and clashing rows, with leaves joined and leaves sent."""
+    import hashlib
+
+    monkeypatch.setattr(mixing, "SENT_BYTES", most)
+    rng = random.Random(5)
+    rows = [(i if i != 7 else None, rng.choice((None, "", "a b c", "one two three four five", "x " * 40)), rng.choice(("en", "fr", None)), rng.choice(("src0", "src1", "src2", "none", None)), i) for i in range(160)]
+    rows += rows[:2]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, budget int")
+    got = Counter((r["doc_id"], r["budget"], r["__nf_epoch"]) for r in mixing.mix(df, mixing.tree(), share=(3, 4), epochs=2).collect())
+
+    def leaf(r):
+        n = re.search("([0-9]+)$", r[3] or "")
+        return ("web", "books", "code")[int(n[1]) % 3] if n else "other", r[2] or "", r[3] or ""
+
+    words = lambda r: len(WORD.findall(r[1] or ""))
+    have = Counter()
+    for r in rows:
+        have[leaf(r)] += words(r)
+    budgets = {(): sum(have.values()) * 3 // 4}
+    for level in range(3):
+        for up in [x for x in budgets if len(x) == level]:
+            kids = {}
+            for path in {leaf(r) for r in rows}:
+                if path[:level] == up:
+                    cap, _ = kids.get(path[level], (0, 0))
+                    kids[path[level]] = (cap + 2 * have[path], mixing.WEIGHTS[level][0].get(path[level], mixing.WEIGHTS[level][1]))
+            budgets.update({(*up, k): v for k, v in brute_share(budgets[up], kids).items()})
+    want = Counter()
+    for path in {leaf(r) for r in rows}:
+        mine = [r for r in rows if leaf(r) == path]
+        whole, left = divmod(budgets[path], have[path]) if have[path] else (0, 0)
+        for e in range(whole):
+            want.update((r[0], r[4], e) for r in mine)
+        run, groups = 0, {}
+        for r in mine:
+            groups.setdefault(hashlib.md5(f"42:{whole}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), []).append(r)
+        for h in sorted(groups):
+            run += sum(map(words, groups[h]))
+            if left <= 0 or run > left:
+                break
+            want.update((r[0], r[4], whole) for r in groups[h])
+    assert got == want and {e for *_, e in got} == {0, 1}
+
+
 def test_mixing_clashing_columns(docs):
     got = mixing.mix(docs, mixing.tree(), epochs=1).select(*docs.columns)
     assert got.columns == docs.columns and 0 < got.count() < docs.count()
@@ -339,6 +448,20 @@ def test_pipeline_stages(spark, docs):
     assert out.select("doc_id").distinct().count() == have.count() and out.filter(F.col("offset") + F.col("length") > 2048).count() == 0
 
 
+def test_pipeline_on_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == packing.op2(docs.limit(0)).columns
+
+
+def test_kept_names_must_not_clash(docs):
+    with pytest.raises(ValueError):
+        tokencount.token_counts(docs.withColumn("n_tokens", F.lit(1)), keep=["doc_id", "n_tokens"])
+    assert tokencount.token_counts(docs.withColumn("n_tokens", F.lit("x"))).count() == docs.count()
+
+
 def test_language_id_learns_from_copies(spark):
     en, fr = "the thing of other ones and there is more to it ", "les choses de cette ville sont dans une autre rue "
     texts = [(en + f"one{i}", "en") for i in range(3)] + [(fr + f"un{i}", "fr") for i in range(3)]
@@ -425,7 +548,10 @@ def brute_share(budget, kids):
         got = {k: c if k in full else rest * w / weight for k, (c, w) in kids.items()}
         more = {k for k in kids if k not in full and kids[k][0] <= got[k]}
         if not more:
-            return {k: int(v + 1e-9) for k, v in got.items()}
+            whole = {k: int(v + 1e-9) for k, v in got.items()}
+            for k in sorted((k for k in kids if whole[k] < kids[k][0]), key=lambda k: (whole[k] - got[k], k))[: budget - sum(whole.values())]:
+                whole[k] += 1
+            return whole
         full |= more
 
 
