@@ -23,8 +23,8 @@ def norm(v: Column | str) -> Column:
 def l2_normalize(v: Column | str) -> Column:
     """The unit vector; a vector of norm 1e-12 or less stays as it is."""
     v = _col(v)
-    n = norm(v)
-    return F.when(n <= EPS, v).otherwise(F.transform(v, lambda x: x / n))
+    scaled = lambda n: F.when(n <= EPS, v).otherwise(F.transform(v, lambda x: x / n))
+    return F.get(F.transform(F.array(norm(v)), scaled), F.lit(0))  # as a lambda's variable the norm is worked out once, not for each element
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -48,6 +48,6 @@ def slices(df: DataFrame, vector: str, bounds: dict[str, tuple[int, int]]) -> Da
 
 def register(spark: SparkSession) -> None:
     """SQL functions cosine_sim(a, b), l2_normalize(v) and fuse(sims, weights) for the session; Catalyst inlines them."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION l2_normalize(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN CASE WHEN sqrt(aggregate(v, 0D, (s, x) -> s + x * x)) <= 1e-12 THEN v ELSE transform(v, y -> y / sqrt(aggregate(v, 0D, (s, x) -> s + x * x))) END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION l2_normalize(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN get(transform(array(sqrt(aggregate(v, 0D, (s, x) -> s + x * x))), n -> CASE WHEN n <= 1e-12 THEN v ELSE transform(v, y -> y / n) END), 0)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cosine_sim(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN coalesce(try_divide(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x), sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x))), 0D)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION fuse(sims MAP<STRING, DOUBLE>, weights MAP<STRING, DOUBLE>) RETURNS DOUBLE RETURN aggregate(map_entries(sims), 0D, (s, e) -> s + e.value * coalesce(element_at(weights, e.key), 0D))")

@@ -58,12 +58,19 @@ def asking(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(f"q_{c}") for c in df.columns])
 
 
-def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every block of ``left`` (q_ columns) with every block of ``right``; a left side of checked size is broadcast, and
-    ``right`` then stays where it lies."""
-    q = asking(left)
-    size = q.agg(F.sum(F.length("q_vectors") + F.length("q_ids"))).first()[0] or 0
-    return (F.broadcast(q) if size <= SENT_BYTES else q).crossJoin(right)  # of blocks, for a stated set of queries
+def pairs(queries: DataFrame, corpus: DataFrame, id_col: str, names: tuple[str, ...]) -> DataFrame:
+    """Blocks of ``queries`` (q_ columns) with every block of ``corpus``. Queries of checked size are broadcast, and the
+    corpus then stays where it lies; more are dealt, and the blocks joined without it."""
+    size = queries.count() * bytes_of(queries, names)
+    small = size <= SENT_BYTES
+    q = asking(blocks(queries.coalesce(1) if small else queries.repartition(F.col(id_col)), id_col, names))
+    return (F.broadcast(q) if small else q).crossJoin(blocks(corpus, id_col, names))  # of blocks, for a stated set of queries
+
+
+def bytes_of(df: DataFrame, names: tuple[str, ...]) -> int:
+    """Bytes of a row's vectors and id in a block."""
+    row = df.select(sum((F.size(f) for f in names), F.lit(1)).alias("n")).first()
+    return 8 * row["n"] if row and row["n"] else 0
 
 
 def unpacked(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:

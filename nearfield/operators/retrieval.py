@@ -50,7 +50,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude
 
     Both sides meet block by block; a pair of blocks leaves at most ``k`` rows for each query and feature.
     """
-    met = pairs(blocks(queries.repartition(F.col(id_col)), id_col, feature_names), blocks(corpus, id_col, feature_names))
+    met = pairs(queries, corpus, id_col, feature_names)
     return ranked(each_pair(met, each_nearest(k, exclude_self, feature_names), HITS), ["query_id", "feature"], "sim", k, name="place")
 
 
@@ -69,7 +69,7 @@ def best_fused(corpus: DataFrame, queries: DataFrame, weights: dict[str, float],
         i, j = best(approx, k, lambda i, j: sum((weights[f] * sims(f, i, j) for f in used), np.zeros(len(i))), ids)
         return pa.RecordBatch.from_pydict({"query_id": q_ids[i], "id": ids[j], **{f: sims(f, i, j) for f in FEATURES}})
 
-    met = pairs(blocks(queries.repartition(F.col(id_col)), id_col, FEATURES), blocks(corpus, id_col, FEATURES))
+    met = pairs(queries, corpus, id_col, FEATURES)
     return each_pair(met, search, "query_id long, id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
