@@ -222,8 +222,9 @@ def hog(img: np.ndarray, cell: int = 8, bins: int = 9) -> np.ndarray:
     near = np.maximum(0.0, 1 - np.abs(place[None, :] - np.arange(2)[:, None])) * np.exp(-away)[None, :]
     n = SIDE // cell - 1
     at = np.arange(n)[:, None] * cell + np.arange(side)[None, :]
-    blocks = np.einsum("cx,dy,iyjxb->jicdb", near, near, votes[at[:, :, None, None], at[None, None, :, :]], optimize=True)
-    blocks = blocks.reshape(n * n, 4 * bins)
+    along = np.matmul(near, votes[:, at])  # rows, blocks across, their two cells, bins
+    blocks = np.matmul(near, along[at].transpose(0, 2, 3, 1, 4))  # blocks down, blocks across, cells across, cells down, bins
+    blocks = blocks.transpose(1, 0, 2, 3, 4).reshape(n * n, 4 * bins)
     blocks = blocks / (np.sqrt((blocks**2).sum(-1, keepdims=True)) + 0.1 * 4 * bins)
     blocks = np.minimum(blocks, 0.2)
     return unit(blocks / (np.sqrt((blocks**2).sum(-1, keepdims=True)) + 1e-3))

@@ -246,6 +246,20 @@ def weights_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(found["hu"], 6).alias("hu"), F.round(found["hog"], 6).alias("hog"), weights.is_valid(raw).alias("valid"))
 
 
+_RAW = ("'{not-json'", "'[1]'", "'{\"hu\": \"x\"}'", "' '", "'{\"hu\": \"0.3\", \"hog\": 0.1}'")
+
+
+@query("weights_parse_invalid", "WITH p AS (SELECT event_id % 5 AS kind FROM events) SELECT kind, kind > 2 AS valid, count(*) AS n, CASE WHEN kind = 4 THEN 0.75 ELSE 0.15 END::DOUBLE AS hu, 0.25::DOUBLE AS hog FROM p GROUP BY 1")
+def weights_parse_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights as text that is no JSON, no object, no numbers, blank, or numbers and their strings; defaults where nothing is given."""
+    kind = F.col("event_id") % 5
+    raw = F.get(F.array(*map(F.expr, _RAW)), kind.cast("int"))
+    rows = table(spark, sf_dir, "events").select(kind.alias("kind"), raw.alias("raw"))
+    found = weights.normalised_columns(weights.parsed_columns(F.col("raw")))
+    each = rows.select("kind", weights.is_valid(F.col("raw")).alias("valid"), F.round(found["hu"], 6).alias("hu"), F.round(found["hog"], 6).alias("hog"))
+    return each.groupBy("kind", "valid", "hu", "hog").agg(F.count("*").alias("n"))
+
+
 @query("weights_ablated", "SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{f}', {round(w, 6)!r}::DOUBLE)" for v, ws in weights.ablations().items() for f, w in ws.items()) + ") t(variant, feature, weight)")
 def weights_ablated(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = weights.frame(spark, {"base": DEFAULT_WEIGHTS}).select("feature", "weight")
@@ -447,6 +461,14 @@ def storage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", path.alias("storage_path")).withColumn("inside", storage.is_inside(F.col("storage_path")))
 
 
+@query("path_guard", "SELECT page_id, page_id % 4 = 3 OR page_id % 4 = 2 AS inside FROM pages")
+def path_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths from the root, through a parent folder, with dots in a name, and plain ones."""
+    tail = F.concat(F.lit("originals/"), F.col("page_id").cast("string"))
+    path = F.get(F.array(F.concat(F.lit("/"), tail), F.concat(F.lit("originals/../"), tail), F.concat(tail, F.lit("..jpg")), tail), (F.col("page_id") % 4).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", storage.is_inside(path).alias("inside"))
+
+
 @query("media_type", rf"WITH p AS (SELECT {_NAME} AS name FROM pages) SELECT CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in storage.MEDIA_TYPES.items()) + f" ELSE '{storage.FALLBACK_TYPE}' END AS media_type, count(*) AS n FROM p GROUP BY 1")
 def media_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select(storage.media_type(F.col("name")).alias("media_type")).groupBy("media_type").agg(F.count("*").alias("n"))
@@ -532,6 +554,13 @@ def stage_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.order_check(_numbered(spark, sf_dir), "user_id", "event_type", ("view", "click", "purchase"))
 
 
+@query("features_done_check", "WITH k AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 6 AS f, event_type FROM events) SELECT user_id, count(DISTINCT CASE WHEN event_type <> 'error' THEN f END) AS n_features, count(DISTINCT CASE WHEN event_type <> 'error' THEN f END) = 6 AS complete FROM k GROUP BY 1")
+def features_done_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams for which all six features came, an event's feature being its number's remainder by 6."""
+    feature = F.get_json_object("props", "$.k").cast("long") % 6
+    return timeline.features_done(table(spark, sf_dir, "events"), "user_id", feature, list(range(6)), F.col("event_type") != "error")
+
+
 @query("events_closed", f"WITH {_SEQ}, e AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN seq END) OVER (PARTITION BY user_id) AS last FROM seq), k AS (SELECT user_id, seq, event_type AS kind, at_ms FROM e WHERE last IS NULL OR seq <= last) SELECT * FROM k UNION ALL SELECT user_id, max(seq) + 1, 'error', max(at_ms) FROM k GROUP BY 1 HAVING NOT max(kind = 'purchase')")
 def events_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timelines sealed by a purchase; the others end with an error."""

@@ -71,6 +71,13 @@ def order_check(events: DataFrame, stream: str, name: str, stages: tuple[str, ..
     return each.select(stream, complete.alias("complete"), ordered.alias("in_order"), ((F.col("n") == F.col("top")) & (F.col("d") == F.col("n"))).alias("increasing"))
 
 
+def features_done(events: DataFrame, stream: str, feature: Column, features: list, done: Column | None = None) -> DataFrame:
+    """stream, n_features, complete: whether each of ``features`` has an event (a ``done`` one, if given)."""
+    named = F.when(feature.isin(*features) & (F.lit(True) if done is None else done), feature)
+    each = events.groupBy(stream).agg(F.count_distinct(named).alias("n_features"))
+    return each.withColumn("complete", F.col("n_features") == len(features))
+
+
 class Live:
     """A stream of (stream_id, ts, tie, kind, payload), numbered and sealed as it arrives, for ``foreachBatch``.
 
