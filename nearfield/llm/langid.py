@@ -224,7 +224,7 @@ def learn(docs: DataFrame, text: str, lang: str, model: str, per_language: int,
     if not langs:
         return [], np.zeros((0, 0))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / sizes[k]))])
-    part = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.element_at(share, F.col("l")) * 1_000_000
+    part = F.pmod(F.xxhash64("t"), F.lit(10**12)) < F.element_at(share, F.col("l")) * 10**12
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
