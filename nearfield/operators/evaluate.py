@@ -211,7 +211,7 @@ def evaluated(features: DataFrame, id_col: str, label: str, method: str = "defau
     )
 
 
-#: The types of a stored report.
+# The names and types in stored reports.
 _METRICS = "struct<precision_at_k:double,map_at_k:double,n_queries:bigint>"
 _REPORT = f"struct<method:string,weights:map<string,double>,top_k:int,overall:{_METRICS},per_class:map<string,{_METRICS}>>"
 PER_CLASS, ABLATION = f"map<string,{_METRICS}>", f"struct<top_k:int,base:{_REPORT},variants:map<string,{_REPORT}>>"

@@ -15,6 +15,7 @@ from nearfield.functions.weights import as_map, normalise
 from nearfield.operators.retrieval import checked_k, fused, ranked
 from nearfield.operators.shared import written
 
+# The stage that holds a run's sub-scores, last in its trace, and what it holds.
 STASH = "_sub_scores"
 _STASH_TYPE = "struct<image_ids: array<bigint>, scores: map<string, array<double>>>"
 
