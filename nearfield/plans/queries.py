@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import storage, vectors, weights
-from nearfield.functions.schema import CANDIDATE_K, DEFAULT_WEIGHTS, EVALUATION_RUNS, FEATURES, SEARCH_RUNS, conform
+from nearfield.functions.schema import CANDIDATE_K, DEFAULT_WEIGHTS, DIMS, EVALUATION_RUNS, FEATURES, SEARCH_RUNS, conform
 from nearfield.operators import ann, evaluate, plots, retrieval, runs, shared
 from nearfield.sources import ingest
 from nearfield.streaming import events as timeline
@@ -618,7 +618,7 @@ def plot_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plots.subsample(features(spark, sf_dir), "id", most=4).select("id", "nth", "pos", F.round("value", 6).alias("value"))
 
 
-@query("extract_features_synthetic")
+@query("extract_features_synthetic", "SELECT p_partkey AS id, feature, CAST(width AS INTEGER) AS width, 1.0::DOUBLE AS norm FROM part, (VALUES " + ", ".join(f"('{f}', {n})" for f, n in DIMS.items()) + ") t(feature, width)")
 def extract_features_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six features of one small synthetic image for each part: id, feature, width, norm."""
     from nearfield.operators.extract import extract
@@ -628,7 +628,9 @@ def extract_features_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = lambda i: F.hex(F.pmod(i * (F.col("p_partkey") % 7 + 1) + F.floor(i / (side * 3)) * 5, F.lit(256)).cast("int"))
     data = F.unhex(F.array_join(F.transform(cells, lambda i: F.lpad(value(i), 2, "0")), ""))
     image = F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), data.alias("data")).alias("image")
-    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), image)
+    # Numbers are dealt before images are made of them: a task of its own for every few, as each takes far longer than to read.
+    parts = table(spark, sf_dir, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    items = parts.select(F.col("p_partkey").alias("id"), image)
     long = retrieval.long_features(extract(items), "id")
     return long.select("id", "feature", F.size("vec").alias("width"), F.round(vectors.norm(F.col("vec").cast("array<double>")), 4).alias("norm"))
 
