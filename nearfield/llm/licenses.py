@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import once
+from nearfield.llm.common import cut, once
 from nearfield.llm.notices import PASSAGES
 
 # Notices by which texts state their licence.
@@ -42,6 +42,26 @@ def least_shared(m: int, least: float) -> int:
     return math.ceil(m * least / (2 - least) - 1e-9)
 
 
+def likely_texts(df: DataFrame, text: str = "text", key: str = "doc_id", templates: tuple = TEMPLATES + PASSAGES, least: float = 0.8) -> DataFrame:
+    """key, t, p, ts: the texts that may state a licence, their word bigrams, and the templates of which they hold enough.
+
+    What reaches a Dice coefficient of ``least``, be it a line or a passage, shares at least m * least / (2 - least) of a
+    template's m bigrams, and its text holds these too. All other texts are dropped here, before any line is looked at.
+    """
+    rows = [(i, name, len(template_words(t)), template_bigrams(t)) for i, (name, t) in enumerate(templates)]
+    need = [least_shared(len(b), least) for *_, b in rows]
+    known = F.array(*map(F.lit, sorted({x for *_, b in rows for x in b})))
+    shown = [
+        F.struct(F.lit(i).alias("at"), F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(k).alias("need"), F.array(*map(F.lit, b)).alias("b"))
+        for (i, name, n, b), k in zip(rows, need, strict=True)
+    ]
+    sized = df.select(F.col(key), F.col(text).alias("t"), once(_words(F.coalesce(F.col(text), F.lit("")))).alias("w")).filter(F.size("w") > min(need))
+    paired = sized.select(key, "t", once(_pairs(F.col("w"))).alias("p"))
+    held = paired.select(key, "t", "p", once(F.array_intersect("p", known)).alias("s")).filter(F.size("s") >= min(need))
+    likely = F.filter(F.array(*shown), lambda t: F.size(F.array_intersect(t["b"], F.col("s"))) >= t["need"])
+    return held.select(key, "t", "p", once(likely).alias("ts")).filter(F.size("ts") > 0)
+
+
 def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id", templates: tuple = TEMPLATES, least: float = 0.8) -> DataFrame:
     """A row for each unit of a text that states a licence: key, line_no, license, dice, n_bigrams.
 
@@ -54,15 +74,19 @@ def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id", templa
     words. Equal coefficients go to the template that comes first. Only ``key`` and the new columns come out, so other
     columns may have any name. Nothing is joined or shuffled: the templates are literals of the plan.
     """
+    return _units(likely_texts(df, text, key, templates, least), key, templates, least)
+
+
+def _units(few: DataFrame, key: str, templates: tuple, least: float) -> DataFrame:
     sets = [(name, template_bigrams(t)) for name, t in templates]
     low = min(least_shared(len(b), least) for _, b in sets)
     high = max(math.floor(len(b) * (2 - least) / least + 1e-9) for _, b in sets)
     # A unit misses at most m - least_shared(m) of a template's bigrams, so it has one of any so many and one more.
     signs = sorted({x for _, b in sets for x in b[: len(b) - least_shared(len(b), least) + 1]})
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.col(text).alias("unit"))))
+    lines = F.split("t", "\n", -1)
+    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.col("t").alias("unit"))))
     each = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("unit")))
-    units = df.select(F.col(key), F.explode(F.concat(F.coalesce(whole, F.array().cast("array<struct<line_no:int,unit:string>>")), each)).alias("u"))
+    units = few.select(key, F.explode(F.concat(F.coalesce(whole, F.array().cast("array<struct<line_no:int,unit:string>>")), each)).alias("u"))
     sized = units.select(key, "u.line_no", once(_words(F.col("u.unit"))).alias("w")).filter(F.size("w") > low)
     grams = sized.select(key, "line_no", once(F.array_distinct(_pairs(F.col("w")))).alias("g")).filter(F.size("g").between(low, high))
     likely = grams.filter(F.arrays_overlap("g", F.array(*map(F.lit, signs))))
@@ -97,19 +121,10 @@ def scan_passages(
     number. A passage goes without a row where a line it touches, or the whole text, is a unit that states the same
     licence. Only texts that hold enough bigrams of a template are looked into; nothing is joined or shuffled.
     """
-    rows = [(i, name, len(template_words(t)), template_bigrams(t)) for i, (name, t) in enumerate(templates + passages)]
-    need = [least_shared(len(b), least) for *_, b in rows]
-    known = F.array(*map(F.lit, sorted({x for *_, b in rows for x in b})))
-    shown = [
-        F.struct(F.lit(i).alias("at"), F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(k).alias("need"), F.array(*map(F.lit, b)).alias("b"))
-        for (i, name, n, b), k in zip(rows, need, strict=True)
-    ]
-    sized = df.select(F.col(key), F.col(text).alias("t"), once(_words(F.coalesce(F.col(text), F.lit("")))).alias("w")).filter(F.size("w") > min(need))
-    paired = sized.select(key, "t", once(_pairs(F.col("w"))).alias("p"))
-    held = paired.select(key, "t", "p", once(F.array_intersect("p", known)).alias("s")).filter(F.size("s") >= min(need))
-    likely = F.filter(F.array(*shown), lambda t: F.size(F.array_intersect(t["b"], F.col("s"))) >= t["need"])
-    few = held.select(key, "t", "p", once(likely).alias("ts")).filter(F.size("ts") > 0)
+    return _passages(likely_texts(df, text, key, templates + passages, least), key, templates, least)
+
 
+def _passages(few: DataFrame, key: str, templates: tuple, least: float) -> DataFrame:
     def windows(t: Column) -> Column:
         size, signs = F.size(t["b"]), F.size(t["b"]) - t["need"] + 1
 
@@ -196,4 +211,5 @@ WHERE NOT EXISTS (SELECT 1 FROM stated k WHERE k.doc_id = f.doc_id AND k.license
 
 
 def op3(df: DataFrame) -> DataFrame:
-    return scan_licenses(df).unionByName(scan_passages(df))
+    few = cut(likely_texts(df).select("doc_id", F.col("t").alias("text")))  # written once for both scans, a small part of the texts
+    return _units(few.withColumnRenamed("text", "t"), "doc_id", TEMPLATES, 0.8).unionByName(scan_passages(few))
