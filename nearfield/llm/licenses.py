@@ -50,11 +50,8 @@ def likely_texts(df: DataFrame, text: str = "text", key: str = "doc_id", templat
     """
     rows = [(i, name, len(template_words(t)), template_bigrams(t)) for i, (name, t) in enumerate(templates)]
     need = [least_shared(len(b), least) for *_, b in rows]
-    known = F.array(*map(F.lit, sorted({x for *_, b in rows for x in b})))
-    shown = [
-        F.struct(F.lit(i).alias("at"), F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(k).alias("need"), F.array(*map(F.lit, b)).alias("b"))
-        for (i, name, n, b), k in zip(rows, need, strict=True)
-    ]
+    known = _listed(sorted({x for *_, b in rows for x in b}))
+    shown = [F.struct(F.lit(i).alias("at"), F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(k).alias("need"), _listed(b).alias("b")) for (i, name, n, b), k in zip(rows, need, strict=True)]
     sized = df.select(F.col(key), F.col(text).alias("t"), once(_words(F.coalesce(F.col(text), F.lit("")))).alias("w")).filter(F.size("w") > min(need))
     paired = sized.select(key, "t", once(_pairs(F.col("w"))).alias("p"))
     held = paired.select(key, "t", "p", once(F.array_intersect("p", known)).alias("s")).filter(F.size("s") >= min(need))
@@ -89,13 +86,18 @@ def _units(few: DataFrame, key: str, templates: tuple, least: float) -> DataFram
     units = few.select(key, F.explode(F.concat(F.coalesce(whole, F.array().cast("array<struct<line_no:int,unit:string>>")), each)).alias("u"))
     sized = units.select(key, "u.line_no", once(_words(F.col("u.unit"))).alias("w")).filter(F.size("w") > low)
     grams = sized.select(key, "line_no", once(F.array_distinct(_pairs(F.col("w")))).alias("g")).filter(F.size("g").between(low, high))
-    likely = grams.filter(F.arrays_overlap("g", F.array(*map(F.lit, signs))))
+    likely = grams.filter(F.arrays_overlap("g", _listed(signs)))
     best = F.array_max(F.array(*[_dice(F.col("g"), name, i, b, least) for i, (name, b) in enumerate(sets)]))
     found = likely.withColumn("best", best).filter("best.dice IS NOT NULL")
     names = F.array(*[F.lit(name) for name, _ in sets])
     return found.select(key, "line_no", F.get(names, -F.col("best.at")).alias("license"), F.round("best.dice", 6).alias("dice"), F.size("g").cast("long").alias("n_bigrams"))
 
 
+def _listed(bigrams: list[str]) -> Column:
+    """An array of bigrams, which hold a-z, 0-9 and a blank only, as one literal: built one by one they take seconds."""
+    return F.expr("array({})".format(", ".join(f"'{x}'" for x in bigrams)))
+
+
 def _words(unit: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " ")), " ")
 
@@ -167,7 +169,7 @@ def _passages(few: DataFrame, key: str, templates: tuple, least: float) -> DataF
 def _dice(g: Column, name: str, at: int, bigrams: list[str], least: float) -> Column:
     m = len(bigrams)
     fits = F.size(g).between(least_shared(m, least), math.floor(m * (2 - least) / least + 1e-9))
-    dice = 2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, bigrams)))) / (F.size(g) + m)
+    dice = 2.0 * F.size(F.array_intersect(g, _listed(bigrams))) / (F.size(g) + m)
     return F.when(fits, F.when(dice >= least, F.struct(dice.alias("dice"), F.lit(-at).alias("at"))))
 
 
