@@ -44,17 +44,18 @@ def removed(spark: SparkSession, path: str) -> None:
 def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str = "seq") -> DataFrame:
     """``df`` with the place of each row from 1 within ``by`` (nothing for all rows), in ``order``.
 
-    Rows lie in sorted ranges that are written once; a group of any size spreads over ranges, which count for
-    themselves and begin where the ranges before ended. Rows equal in ``order`` get some order. Nulls sort first.
+    Rows lie in sorted ranges that are written once. A row's place is the one in its range, less where its group begins
+    there, more what ranges before hold of the group; a group of any size spreads over ranges, and no range is dealt
+    again. Rows equal in ``order`` get some order; ranges don't part them. Nulls sort first.
     """
     ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    ordered = written(ranged.withColumn("__nf_p", F.spark_partition_id()))
-    sizes = ordered.groupBy("__nf_p", *by).agg(F.count("*").alias("__nf_n"))
-    earlier = Window.partitionBy(*by).orderBy("__nf_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("__nf_p").alias("__nf_q"), *[F.col(c).alias(f"__nf_by{i}") for i, c in enumerate(by)], F.coalesce(F.sum("__nf_n").over(earlier), F.lit(0)).alias("__nf_start"))
-    nth = F.row_number().over(Window.partitionBy("__nf_p", *by).orderBy(*order))
-    same: Column = F.col("__nf_p") == F.col("__nf_q")
+    ordered = written(ranged.withColumn("__nf_m", F.monotonically_increasing_id()))  # the range, and 33 bits of the place in it
+    part, nth = F.shiftright("__nf_m", 33), F.col("__nf_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(part.alias("__nf_q"), *by).agg(F.count("*").alias("__nf_n"), F.min(nth).alias("__nf_least"))
+    earlier = Window.partitionBy(*by).orderBy("__nf_q").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.sum("__nf_n").over(earlier), F.lit(0)) - F.col("__nf_least")
+    starts = sizes.select("__nf_q", *[F.col(c).alias(f"__nf_by{i}") for i, c in enumerate(by)], begins.alias("__nf_start"))
+    same: Column = part == F.col("__nf_q")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__nf_by{i}"))
-    both = ordered.withColumn("__nf_nth", nth).join(starts, same)
-    return both.select(*df.columns, (F.col("__nf_start") + F.col("__nf_nth")).cast("long").alias(name))
+    return ordered.join(starts, same).select(*df.columns, (F.col("__nf_start") + nth + 1).cast("long").alias(name))
