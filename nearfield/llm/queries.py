@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontamination, langid, licenses, line_dedup, mixing, packing, repetition, secret_scan, simhash, tokencount, vectors
+from nearfield.llm import decontamination, langid, licenses, line_dedup, merkle, mixing, packing, repetition, secret_scan, simhash, tokencount, vectors
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": _over("documents", line_dedup.op8),
         "op9_source_mixing": _over("documents", mixing.op9),
         "op10_token_counts": _over("documents", tokencount.op10),
+        "op11_merkle_manifest": _over("documents", merkle.op11),
         "op13_benchmark_decontamination": lambda spark, sf_dir: decontamination.op13(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))),
     }
 
@@ -36,5 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_embedding_near_dedup": vectors.SQL,
         "op8_line_dedup": line_dedup.SQL,
         "op9_source_mixing": mixing.sql(),
+        "op11_merkle_manifest": merkle.SQL,
         "op13_benchmark_decontamination": decontamination.SQL,
     }
