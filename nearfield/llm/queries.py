@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontamination, langid, licenses, line_dedup, merkle, mixing, packing, repetition, secret_scan, simhash, tokencount, vectors
+from nearfield.llm import conversations, decontamination, langid, licenses, line_dedup, merkle, mixing, packing, repetition, secret_scan, simhash, tokencount, vectors
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mixing": _over("documents", mixing.op9),
         "op10_token_counts": _over("documents", tokencount.op10),
         "op11_merkle_manifest": _over("documents", merkle.op11),
+        "op12_conversation_repair": _over("conversations", conversations.op12),
         "op13_benchmark_decontamination": lambda spark, sf_dir: decontamination.op13(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))),
     }
 
@@ -38,5 +39,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": line_dedup.SQL,
         "op9_source_mixing": mixing.sql(),
         "op11_merkle_manifest": merkle.SQL,
+        "op12_conversation_repair": conversations.sql(),
         "op13_benchmark_decontamination": decontamination.SQL,
     }
