@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -30,13 +32,15 @@ def _ascending(letters: str) -> str:
     return letters[:10] + "(?:".join(["", *letters[10:]]) + ")?" * len(letters[10:])
 
 
-#: What these match in a candidate is no secret: identifiers, counting sequences, placeholders with the letters and digits
-#: that follow, samples that end in one, paths. The rest of the candidate is scanned.
+#: What these match in a candidate is no secret: identifiers, counting sequences, the word of a placeholder itself, the key
+#: that cloud manuals print, paths. The rest of the candidate is scanned, also what follows a placeholder directly. Each
+#: pattern ends within a bounded length, or is tried at a candidate's start only, so that a long run is read once.
 ALLOW = (
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     "|".join(map(_ascending, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))),
-    r"(?<![A-Za-z0-9])(?:example|EXAMPLE|placeholder|PLACEHOLDER|changeme|lorem)[A-Za-z0-9]*",
-    r"[A-Za-z0-9+/]*[A-Za-z0-9]EXAMPLE(?:KEY)?(?![A-Za-z0-9+/=_-])",
+    r"(?<![A-Za-z0-9])(?:example|EXAMPLE|placeholder|PLACEHOLDER|changeme|lorem)",
+    r"wJalrXUtnFEMI/?K7MDENG/?bPxRfiCY(?:EXAMPLEKEY|zEXAMPLEKEY)",
+    r"EXAMPLE(?:KEY)?(?![A-Za-z0-9+/=_-])",
     r"^/{0,2}[a-z]{1,19}(?:/[a-z_-]{1,19}){2,}$",
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -110,9 +114,11 @@ def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[in
 def entropy_spans(text: str, base: list[tuple[int, int, int]], allow: re.Pattern) -> list[tuple[int, int, int]]:
     """Spans of dense windows in candidate strings, merged over classes, outside the allow list's matches and ``base``."""
     spans = []
+    starts, reached = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in CANDIDATE.finditer(text):
         harmless = [(m.start() + x.start(), m.start() + x.end()) for x in allow.finditer(m[0])]
-        for at, to in outside(m.start(), m.end(), sorted(harmless + [(s, e) for s, _, e in base])):
+        met = base[bisect_right(reached, m.start()) : bisect_left(starts, m.end())]
+        for at, to in outside(m.start(), m.end(), sorted(harmless + [(s, e) for s, _, e in met])):
             for runs, window, least in CLASSES:
                 for r in runs.finditer(text, at, to):
                     spans += [(r.start() + a, r.start() + b) for a, b in dense_windows(r[0], window, least)]
@@ -140,8 +146,8 @@ def secret_spans(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     Spans count code points, end exclusive. ``found`` has kind, start, end and the matched characters. A null text is
     an empty one and has none. Entropy windows lie wholly outside base spans. What the allow list matches in a candidate is left
     out of entropy windows, the rest of it is not. Rows are scanned one by one, repeated ones and null keys too; an empty
-    table gives none. Time grows with a text's length, whatever its runs. Only ``keep`` and the new columns come out, so
-    other columns may have any name.
+    table gives none. Time grows in proportion to a text's length, also where it is one long run (a million characters:
+    some seconds). Only ``keep`` and the new columns come out, so other columns may have any name.
     """
     pattern = "|".join(f"(?:{a})" for a in allow) or r"(?!)"
 
