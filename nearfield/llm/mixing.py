@@ -18,9 +18,12 @@ def word_count(text: str) -> Column:
 
 
 def domain_of(source: str) -> Column:
-    """The domain of a source: by its number's remainder by 3."""
-    number = F.coalesce(F.regexp_extract(source, "([0-9]+)$", 1), F.lit(""))
-    return F.when(number == "", "other").otherwise(F.get(F.array(F.lit("web"), F.lit("books"), F.lit("code")), number.cast("decimal(38,0)").cast("long").cast("int") % 3))
+    """The domain of a source: by the remainder by 3 of the number it ends in, which is that of the sum of its digits, so
+    that a number may have any number of digits. A source that ends in none, or null, is of the domain other."""
+    number = F.coalesce(F.regexp_extract(source, r"([0-9]+)\z", 1), F.lit(""))
+    digits = lambda others: F.length(F.translate(number, others, ""))
+    remainder = (digits("0235689") + 2 * digits("0134679")) % 3
+    return F.when(number == "", "other").otherwise(F.get(F.array(F.lit("web"), F.lit("books"), F.lit("code")), remainder))
 
 
 def _weight(value: Column, weights: tuple) -> Column:
@@ -134,9 +137,9 @@ def sql(epochs: int = 2, seed: int = 42) -> str:
 
     case = lambda c, w: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in w[0].items()) + f" ELSE {w[1]} END" if w[0] else str(w[1])
     return rf"""
-WITH num AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(regexp_extract(source, '([0-9]+)$', 1), '') AS k,
+WITH num AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(regexp_extract(source, '([0-9]+)\z', 1), '') AS k,
   CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n FROM documents),
-d AS (SELECT doc_id, CASE WHEN k = '' THEN 'other' ELSE ['web', 'books', 'code'][CAST(k AS BIGINT) % 3 + 1] END AS domain, lang, source, n FROM num),
+d AS (SELECT doc_id, CASE WHEN k = '' THEN 'other' ELSE ['web', 'books', 'code'][(length(translate(k, '0235689', '')) + 2 * length(translate(k, '0134679', ''))) % 3 + 1] END AS domain, lang, source, n FROM num),
 leaf AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS have, CAST(sum(n) AS BIGINT) * {epochs} AS cap FROM d GROUP BY ALL),
 top AS (SELECT least(CAST(sum(have) AS BIGINT) // 2, CAST(sum(cap) AS BIGINT)) AS b FROM leaf),
 {fill("b1", "domain", "top", case("domain", WEIGHTS[0]), "")},

@@ -17,7 +17,7 @@ from nearfield.llm.common import components, cut, union_find
 BLOCK, BLOCK_BYTES, LEADING, BOXED, SMALL = 1024, 4 << 20, 4, 16, 128
 #: Links that a task holds before it folds them into a forest.
 HELD = 1 << 18
-#: Widths of vectors in one table at most.
+#: Widths of vectors whose axes are fitted, the most frequent ones; vectors of other widths are ordered by their first dimensions.
 WIDTHS = 64
 #: Blocks of a tile, which a task holds, and blocks that it meets in turn.
 TILE, MET = 8, 64
@@ -52,13 +52,15 @@ def unit_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 def principal_axes(units: DataFrame) -> dict[int, np.ndarray]:
     """For each vector width its leading principal axes, as rows. Each task sends one sum for each pair of dimensions (the
     first 256 at most), added up by Spark; any orthonormal axes give right results, these prune best. A task's sums come
-    from one matrix product a batch and width; the driver gets 33,000 numbers a width and at most WIDTHS widths."""
+    from one matrix product a batch and width; the driver gets 33,000 numbers a width, for the WIDTHS widths of the most vectors."""
+    widths = units.groupBy((F.length("unit") / 8).cast("long").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(WIDTHS)
+    fitted = {r["d"] for r in widths.collect()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             units = batch.column("unit").to_pylist()
-            for d in {len(u) // 8 for u in units}:
+            for d in {len(u) // 8 for u in units} & fitted:
                 x = np.frombuffer(b"".join(u for u in units if len(u) == 8 * d)).reshape(-1, d)[:, :256]
                 x = np.hstack([x, np.ones((len(x), 1))])
                 sums[d] = sums.get(d, 0.0) + x.T @ x
@@ -67,8 +69,6 @@ def principal_axes(units: DataFrame) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"d": np.full(len(i), d), "i": i, "j": j, "s": s[i, j]})
 
     axes = {}
-    if units.select((F.length("unit") / 8).alias("d")).distinct().count() > WIDTHS:
-        raise ValueError(f"vectors of more than {WIDTHS} widths")
     sums = units.select("unit").mapInArrow(run, "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).toPandas()
     for d, part in sums.groupby("d"):
         n = int(part["i"].max()) + 1
@@ -82,6 +82,11 @@ def principal_axes(units: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
+def axes_of(axes: dict[int, np.ndarray], width: int) -> np.ndarray:
+    """The fitted axes of a width, else the first dimensions."""
+    return axes[width] if width in axes else np.eye(min(BOXED, width), width)
+
+
 def placed(units: np.ndarray, axis: np.ndarray) -> np.ndarray:
     """Coordinates on the principal axes, and the length of what they leave out: of two vectors these lie no farther apart
     than the vectors themselves."""
@@ -117,7 +122,7 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     """key, n_links, component_id and kept of each row: links join rows of one label whose cosine is ``least`` or more.
 
     A row links with nothing if its label or key is null, or its vector is null, empty, zero or holds a null or a
-    number that is not finite; vectors of different widths do not link. Equal vectors count as one with a weight while
+    number that is not finite; vectors of different widths do not link, and there may be any number of widths. Equal vectors count as one with a weight while
     pairs are sought, and each row of them links with the others. component_id is the smallest key that links reach;
     a row without links is its own component (null for a null key, and not kept).
 
@@ -137,7 +142,7 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = batch.column("unit").to_pylist()
-            cells = [np.floor(axes[len(u) // 8][:LEADING] @ np.frombuffer(u) / eps).astype(int).tolist() for u in units]
+            cells = [np.floor(axes_of(axes, len(u) // 8)[:LEADING] @ np.frombuffer(u) / eps).astype(int).tolist() for u in units]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cell"])
 
     slim = reps.select("rep", "grp", "weight", "unit")
@@ -168,7 +173,7 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     blocks = cut(numbered.withColumn("block", F.monotonically_increasing_id()))
     # Which blocks may be near a tile is found on boxes alone, cell by cell of the first dimension; vectors come in later.
     cell = lambda x, c: F.floor(x[0] / eps) + c
-    corner = lambda c, f: F.array(*[f(F.get(c, F.lit(i))) for i in range(1 + max((len(x) for x in axes.values()), default=0))])
+    corner = lambda c, f: F.array(*[f(F.get(c, F.lit(i))) for i in range(1 + BOXED)])
     boxes = blocks.groupBy("grp", F.col("tile").alias("at")).agg(corner("low", F.min).alias("from"), corner("high", F.max).alias("to"))
     boxes = boxes.select("grp", "at", *[F.filter(c, lambda x: x.isNotNull()).alias(c) for c in ("from", "to")])
     a = blocks.select("grp", F.explode(F.sequence(cell(F.col("low"), -1), cell(F.col("high"), 1))).alias("c"), "block", "tile", "low", "high")
@@ -196,7 +201,7 @@ def linked_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
                     now, held = (row["at"], row["share"]), []
                 ids = np.frombuffer(row["reps"], np.int64)
                 units = np.frombuffer(row["units"]).reshape(len(ids), -1)
-                new = (ids, np.frombuffer(row["weights"], np.int64), units, placed(units, axes[units.shape[1]]))
+                new = (ids, np.frombuffer(row["weights"], np.int64), units, placed(units, axes_of(axes, units.shape[1])))
                 if row["own"]:
                     held.append(new)
                     if row["share"] == 0:
@@ -245,7 +250,7 @@ def _folded(root: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.
 
 def _block(held: list[tuple], axes: dict[int, np.ndarray], tile: int) -> pa.RecordBatch:
     units = np.frombuffer(b"".join(x[3] for x in held)).reshape(len(held), -1)
-    at = placed(units, axes[units.shape[1]])
+    at = placed(units, axes_of(axes, units.shape[1]))
     ints = lambda k: np.array([x[k] for x in held], np.int64).tobytes()
     row = {"grp": [held[0][0]], "tile": [tile], "reps": [ints(1)], "weights": [ints(2)], "units": [units.tobytes()], "low": [at.min(0).tolist()], "high": [at.max(0).tolist()]}
     kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
