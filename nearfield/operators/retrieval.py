@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from nearfield.functions.vectors import dot
 from nearfield.functions.weights import as_map, normalise
 from nearfield.operators.blocks import best, blocks, dots, each_pair, pairs, unpacked
 
+if TYPE_CHECKING:
+    from nearfield.operators.ann import Index
 
 #: What a pair of blocks leaves.
 HITS = "query_id long, feature string, id long, sim double"
@@ -98,14 +101,14 @@ def checked_k(k: int) -> int:
 
 def search(
     corpus: DataFrame, queries: DataFrame, weights: dict | None = None, top_k: int = TOP_K, mode: str = "candidate",
-    candidate_k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", role: str | None = None, ef_search: int | None = None,
-    index: Callable[..., DataFrame] | None = None,
+    candidate_k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Index | None = None,
 ) -> DataFrame:
     """query_id, rank, id, score and the six sub-scores of each query's ``top_k`` items.
 
-    ``candidate`` mode fuses the union of each feature's ``candidate_k`` nearest, ``ann`` mode the same as an index finds
-    them (``index``: ``ann.nearest`` unless given, which looks at some cells only), ``exact`` mode all items. Ties go to
-    the lower id. ``role`` keeps corpus rows of one role. ``ef_search`` (``ann`` mode) is how many cells are looked into.
+    ``candidate`` mode fuses the union of each feature's ``candidate_k`` nearest, ``ann`` mode the same as a stored index
+    finds them, ``exact`` mode all items. Ties go to the lower id. ``role`` keeps corpus rows of one role. In ``ann`` mode
+    ``index`` is needed, made once by ``Index.build`` of the rows to be found (those of one role, if only they are wanted); ``corpus`` is
+    not read then. ``ef_search`` is how many nodes a walk there keeps.
     """
     if mode not in ("candidate", "exact", "ann"):
         raise ValueError("mode is candidate, ann or exact")
@@ -115,18 +118,18 @@ def search(
 
 def candidates(
     corpus: DataFrame, queries: DataFrame, w: dict[str, float], k: int, mode: str = "candidate", candidate_k: int = CANDIDATE_K, exclude_self: bool = False,
-    id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Callable[..., DataFrame] | None = None,
+    id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Index | None = None,
 ) -> DataFrame:
     """query_id, id and the six sub-scores of the items that ``search`` ranks."""
+    if mode == "ann":
+        if index is None or role:
+            raise ValueError("ann mode needs a stored index, made of the rows of the role that is wanted")
+        return dense(index.nearest(queries, candidate_k, exclude_self, id_col, **({"ef_search": ef_search} if ef_search else {})))
     corpus = corpus.filter(F.col("role") == role) if role else corpus
     if corpus.isEmpty():
         raise EmptyCorpusError("the corpus is empty")
     if mode == "exact":
         return best_fused(corpus, queries, w, k, exclude_self, id_col)
-    if mode == "ann":
-        from nearfield.operators import ann
-
-        return dense((index or ann.nearest)(corpus, queries, candidate_k, exclude_self, id_col, **({"probes": ef_search} if ef_search else {})))
     return dense(nearest(corpus, queries, candidate_k, exclude_self, id_col))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import schema
 from nearfield.functions.schema import DEFAULT_WEIGHTS, EVALUATION_RUNS, FEATURES, SEARCH_RUNS, EvaluationError, NoStashError
-from nearfield.operators import ann, evaluate, retrieval, runs, shared, snapshot
+from nearfield.operators import evaluate, retrieval, runs, shared, snapshot
 from nearfield.sources import ingest
 from nearfield.streaming import events
 
@@ -118,20 +118,6 @@ def test_snapshots(spark, tmp_path):
         snapshot.Snapshots(spark, 99, dict.fromkeys(FEATURES, 7)).get(path, "id").collect()
 
 
-def test_index_finds_most_and_looks_at_few(spark):
-    f = items(spark, 1500, width=6, seed=7)
-    asks = f.filter("id % 20 = 0")
-    exact = retrieval.nearest(f, asks, 5, exclude_self=True, feature_names=("hsv", "hu"))
-    got = ann.recall(ann.nearest(f, asks, 5, exclude_self=True, feature_names=("hsv", "hu")), exact).first()
-    assert got["n_exact"] == 75 * 5 * 2 and got["recall"] >= 0.9
-    assert ann.looked_at(ann.met(f, asks, "hsv")).first()["pairs"] < 0.15 * 75 * 1500
-    every = ann.nearest(f, asks, 5, exclude_self=True, feature_names=("hsv",), probes=10**6)
-    assert ann.recall(every, exact.filter("feature = 'hsv'")).first()["recall"] == 1.0
-    assert retrieval.search(f, asks, mode="ann", top_k=3, ef_search=4).count() == 75 * 3
-    with pytest.raises(ValueError):
-        retrieval.search(f, asks, mode="none")
-
-
 def test_row_numbers(spark):
     rows = [(i % 7 if i % 5 else None, (i * 37) % 101, i) for i in range(400)]
     df = spark.createDataFrame(rows, "g int, o int, i int")
