@@ -41,6 +41,13 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str = "seq") -> DataFrame:
     """``df`` with the place of each row from 1 within ``by`` (nothing for all rows), in ``order``.
 

@@ -16,6 +16,7 @@ from nearfield.functions.schema import CANDIDATE_K, DEFAULT_WEIGHTS, DIMS, EVALU
 from nearfield.operators import ann, evaluate, plots, retrieval, runs, shared
 from nearfield.sources import ingest
 from nearfield.streaming import events as timeline
+from nearfield.streaming import live
 
 #: 1-based inclusive slices of the 64-wide vectors.
 BOUNDS = {"hsv": (1, 16), "cm": (17, 25), "lbp": (26, 34), "glcm": (35, 44), "hog": (45, 57), "hu": (58, 64)}
@@ -590,16 +591,16 @@ def streams_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("events_live_sealed", f"WITH {_SEQ}, e AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN seq END) OVER (PARTITION BY user_id) AS last FROM seq) SELECT CAST(user_id AS VARCHAR) AS stream_id, seq, event_type AS kind, props AS payload, at_ms FROM e WHERE last IS NULL OR seq <= last")
 def events_live_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of four micro-batches, numbered and sealed as they arrive, from the sink's files."""
+    """The events as a stream of ten micro-batches, numbered and sealed as they arrive, from the sink's files."""
     folder = shared.new_folder(spark, "live")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("event_type").alias("kind"), F.col("props").alias("payload"))
-    cuts = rows.agg(F.percentile_approx(timeline.millis("ts"), [0.25, 0.5, 0.75])).first()[0] or []
+    cuts = rows.agg(F.percentile_approx(timeline.millis("ts"), [k / 10 for k in range(1, 10)])).first()[0] or []
     edges, files = [None, *cuts, None], 2
     for low, high in zip(edges, edges[1:]):  # in order of time, as events arrive
         part = rows if low is None else rows.filter(timeline.millis("ts") > low)
         (part if high is None else part.filter(timeline.millis("ts") <= high)).repartition(files).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema("stream_id string, ts timestamp, tie long, kind string, payload string").option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
-    sink = timeline.Live(folder, ("purchase",))
+    sink = live.Live(folder, ("purchase",))
     sink.start(stream, availableNow=True).awaitTermination()
     return sink.out(spark)
 

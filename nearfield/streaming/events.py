@@ -1,15 +1,11 @@
-"""Event timelines: numbered, sealed at a terminal event, checked; over tables and as Structured Streaming."""
+"""Event timelines over tables: numbered, sealed at a terminal event, checked. ``live`` does it as events arrive."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from nearfield.operators.shared import exists, removed, row_numbers, written
+from nearfield.operators.shared import row_numbers
 
 # Kinds of events, and those that end a timeline.
 KINDS = ("stage.start", "stage.done", "feature.start", "feature.done", "rank.tick", "rank.done", "error")
@@ -76,76 +72,3 @@ def features_done(events: DataFrame, stream: str, feature: Column, features: lis
     named = F.when(feature.isin(*features) & (F.lit(True) if done is None else done), feature)
     each = events.groupBy(stream).agg(F.count_distinct(named).alias("n_features"))
     return each.withColumn("complete", F.col("n_features") == len(features))
-
-
-class Live:
-    """A stream of (stream_id, ts, tie, kind, payload), numbered and sealed as it arrives, for ``foreachBatch``.
-
-    ``folder``/out gets stream_id, seq, kind, payload, at_ms; ``folder``/state one row for each stream that is known: its
-    last seq, its start, and when it ended. Each micro-batch reads the state that the one before left and writes its
-    own, under its number; one that runs again after a failure writes the same again. Within a micro-batch events are
-    in order of ts and tie, over micro-batches in that of arrival. A sealed stream's later events are ignored. A long stream
-    spreads over sorted ranges, and only its first end and start are joined to its rows. With ``retention_ms``, streams that ended so
-    long before the newest event are forgotten; their ids must not come again.
-    """
-
-    STATE = "stream_id string, seq long, start_ms long, done_ms long"
-
-    def __init__(self, folder: str, terminal: tuple[str, ...] = TERMINAL, retention_ms: int | None = None):
-        self.folder, self.terminal, self.retention_ms = folder, terminal, retention_ms
-
-    def state(self, spark: SparkSession, batch: int) -> DataFrame:
-        """The state after micro-batch ``batch``."""
-        path = f"{self.folder}/state/{batch}"
-        return spark.read.schema(self.STATE).parquet(path) if batch >= 0 and exists(spark, path) else spark.createDataFrame([], self.STATE)
-
-    def out(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/out").drop("batch")
-
-    def __call__(self, events: DataFrame, batch: int) -> None:
-        spark = events.sparkSession
-        known = self.state(spark, batch - 1)
-        place = F.struct("ts", "tie")
-        new = events.join(known.filter("done_ms IS NOT NULL").select("stream_id"), "stream_id", "left_anti")
-        ends = new.filter(F.col("kind").isin(*self.terminal)).groupBy("stream_id").agg(F.min(place).alias("end"))
-        # An end counts with all that lies before it; what has the same place as the end is told from it by its number below.
-        upto = new.join(ends, "stream_id", "left").filter(F.col("end").isNull() | (place <= F.col("end"))).drop("end")
-        rows = written(row_numbers(upto, ["stream_id"], ["ts", "tie"], "nth"))
-        sums = rows.groupBy("stream_id").agg(F.min(millis("ts")).alias("first_ms"), F.max(millis("ts")).alias("last_ms"), F.count("*").alias("n"), F.min(F.when(F.col("kind").isin(*self.terminal), F.col("nth"))).alias("end"))
-        both = sums.join(known, "stream_id", "full")
-        seq, start = F.coalesce("seq", F.lit(0).cast("long")), F.coalesce("start_ms", "first_ms")
-        at = both.filter("n IS NOT NULL").select("stream_id", seq.alias("before"), start.alias("start_ms"), "end")
-        made = rows.join(at, "stream_id").filter(F.col("end").isNull() | (F.col("nth") <= F.col("end")))
-        made = made.select("stream_id", (F.col("before") + F.col("nth")).alias("seq"), "kind", "payload", (millis("ts") - F.col("start_ms")).alias("at_ms"))
-        made.write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch}")
-        done = F.coalesce("done_ms", F.when(F.col("end").isNotNull(), F.col("last_ms")))
-        state = both.select("stream_id", (seq + F.coalesce("end", "n", F.lit(0))).alias("seq"), start.alias("start_ms"), done.alias("done_ms"))
-        if self.retention_ms is not None:
-            now = events.agg(F.max(millis("ts"))).first()[0]
-            state = state.filter(F.col("done_ms").isNull() | (F.lit(now) - F.col("done_ms") <= self.retention_ms))
-        state.write.mode("overwrite").parquet(f"{self.folder}/state/{batch}")
-        if exists(spark, f"{self.folder}/state/{batch - 2}"):
-            removed(spark, f"{self.folder}/state/{batch - 2}")
-
-    def start(self, events: DataFrame, **trigger) -> StreamingQuery:
-        """Starts the stream; ``trigger`` as ``DataStreamWriter.trigger`` takes it."""
-        return events.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/offsets").trigger(**trigger).start()
-
-
-def subscribe(spark: SparkSession, folder: str, stream_id: str, terminal: tuple[str, ...] = TERMINAL, wait: float = 0.2, timeout: float = 60.0) -> Iterator[Row]:
-    """One stream's events from the sink of ``Live``: its history in order, then what arrives, up to its terminal event.
-
-    Ends early after ``timeout`` seconds without anything new. Only this stream's rows reach the driver.
-    """
-    seen, quiet = 0, time.monotonic()
-    while time.monotonic() - quiet < timeout:
-        rows = []
-        if exists(spark, f"{folder}/out"):
-            mine = spark.read.parquet(f"{folder}/out").filter((F.col("stream_id") == stream_id) & (F.col("seq") > seen))
-            rows = mine.drop("batch").orderBy("seq").toLocalIterator()
-        for row in rows:
-            seen, quiet = row["seq"], time.monotonic()
-            yield row
-            if row["kind"] in terminal:
-                return
-        time.sleep(wait)

@@ -1,4 +1,4 @@
-"""Stored runs and evaluations, snapshots, indexes, live timelines, blobs and shards."""
+"""Stored runs and evaluations, snapshots, blobs and shards."""
 
 import json
 
@@ -129,36 +129,6 @@ def test_row_numbers(spark):
     assert shared.row_numbers(df.limit(0), ["g"], ["o"]).count() == 0
 
 
-def test_live_timelines(spark, tmp_path):
-    """Several micro-batches: numbers go on, a sealed stream stays sealed, old ones are forgotten, a batch may run again."""
-    live = events.Live(str(tmp_path), retention_ms=60_000)
-    kinds = {"a": ("stage.start", "stage.done"), "b": ("rank.done", "stage.start")}
-
-    def batch(rows):
-        return spark.createDataFrame(rows, "stream_id string, s double, tie long, kind string, payload string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-
-    first = batch([("a", 10.0, 2, kinds["a"][1], "y"), ("a", 10.0, 1, kinds["a"][0], "x"), ("b", 11.0, 3, kinds["b"][0], None), ("b", 12.0, 4, kinds["b"][1], None)])
-    live(first, 0)
-    live(first, 0)
-    live(batch([("b", 13.0, 5, "stage.start", None), ("a", 12.5, 6, "rank.tick", None), ("c", 13.0, 7, "error", "e"), ("c", 13.0, 8, "rank.done", None)]), 1)
-    live(batch([("a", 75.5, 9, "rank.done", None), ("d", 73.5, 10, "stage.start", None)]), 2)
-    got = sorted((r["stream_id"], r["seq"], r["kind"], r["at_ms"]) for r in live.out(spark).collect())
-    assert got == [("a", 1, "stage.start", 0), ("a", 2, "stage.done", 0), ("a", 3, "rank.tick", 2500), ("a", 4, "rank.done", 65500), ("b", 1, "rank.done", 0), ("c", 1, "error", 0), ("d", 1, "stage.start", 0)]
-    assert {r["stream_id"] for r in live.state(spark, 2).collect()} == {"a", "d"}
-    assert [r["seq"] for r in events.subscribe(spark, str(tmp_path), "a")] == [1, 2, 3, 4]
-    assert [r["kind"] for r in events.subscribe(spark, str(tmp_path), "d", timeout=0.5)] == ["stage.start"]
-
-
-def test_live_as_a_stream(spark, tmp_path):
-    folder = str(tmp_path / "sink")
-    for k in range(3):
-        rows = [("s", k * 100 + i, k * 100 + i, "rank.done" if (k, i) == (2, 30) else "rank.tick", str(i)) for i in range(60)]
-        spark.createDataFrame(rows, "stream_id string, s long, tie long, kind string, payload string").select("stream_id", F.timestamp_seconds("s").alias("ts"), "tie", "kind", "payload").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("stream_id string, ts timestamp, tie long, kind string, payload string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    events.Live(folder).start(stream, availableNow=True).awaitTermination()
-    assert [r["seq"] for r in events.subscribe(spark, folder, "s")] == list(range(1, 152))
-
-
 def test_stream_ids_and_kinds(spark):
     ids = [r["x"] for r in spark.range(50).select(events.new_stream_id().alias("x")).collect()]
     assert len(set(ids)) == 50 and all(len(x) == 32 and int(x, 16) >= 0 for x in ids)
