@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.schema import DEFAULT_WEIGHTS, EVAL_TOP_K, FEATURES, EvaluationError
 from nearfield.functions.weights import ablations, as_map, normalise
-from nearfield.operators.blocks import asking, blocks, each_pair, unpacked
+from nearfield.operators import bounds
 from nearfield.operators.retrieval import ranked
 from nearfield.operators.shared import written
 
@@ -32,39 +32,112 @@ def guard(items: DataFrame, label: str) -> None:
         raise EvaluationError("evaluation needs two items and two labels")
 
 
-def _packed(features: DataFrame, id_col: str, label: str) -> DataFrame:
-    """Blocks in the shared folder. Pairs of them are made where they are read: no block is shuffled again."""
-    dealt = features.repartition(F.col(id_col)).sortWithinPartitions(id_col)
-    return written(blocks(dealt, id_col, FEATURES, F.col(label)).withColumn("block", F.monotonically_increasing_id()))
+def _label_sums(features: DataFrame, label: str, weights: dict[str, float]) -> DataFrame:
+    """block, name, n, own and the weighted sum of the vectors (centre) of each label; own: the sum of each vector with itself."""
+    kept = features.select(F.col(label).cast("string").alias("name"), F.concat(*[F.transform(F.col(f).cast("array<double>"), lambda x: x) for f in FEATURES]).alias("v"), F.array(*[F.size(f) for f in FEATURES]).alias("widths"))
+    scale = [weights.get(f, 0.0) for f in FEATURES]
+    layout = pa.schema([("name", pa.string()), ("widths", pa.list_(pa.int32())), ("n", pa.int64()), ("own", pa.float64()), ("v", pa.binary())])
+
+    def rows_of(sums: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"name": k, "widths": w, "n": n, "own": own, "v": v.tobytes()} for k, (w, n, own, v) in sums.items()], schema=layout)
+
+    def within(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                widths = batch.column("widths")[0].as_py()
+                own = (v * v) @ np.repeat(scale, widths)
+                names, at = _numbered(batch.column("name").to_pylist())
+                for i, k in enumerate(names):
+                    _, n, o, total = sums.get(k, (widths, 0, 0.0, 0.0))
+                    sums[k] = (widths, n + int((at == i).sum()), o + float(own[at == i].sum()), total + v[at == i].sum(0))
+        yield rows_of(sums)
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                _, n, own, v = sums.get(r["name"], (None, 0, 0.0, 0.0))
+                sums[r["name"]] = (r["widths"], n + r["n"], own + r["own"], v + np.frombuffer(r["v"]))
+        yield rows_of(sums)
+
+    kind = "name string, widths array<int>, n long, own double, v binary"
+    every = kept.mapInArrow(within, kind).repartition("name").mapInArrow(over, kind)
+    return every.select(F.xxhash64("name").alias("block"), "name", "n", "own", "widths", F.col("v").alias("centre"), F.array().cast("array<double>").alias("norms"), F.array().cast("array<double>").alias("radii"))
 
 
 def label_pairs(features: DataFrame, id_col: str, label: str, weights: dict[str, float]) -> DataFrame:
     """left_label, right_label, n, mean, best: fused similarity over the ordered pairs of different items, by their labels.
 
-    A task takes a range of blocks against another one and leaves a row for each pair of labels and blocks in it.
+    Means need no pairs: a sum of products of all pairs is the product of the sums of both labels' vectors. The best pair is
+    looked for in blocks of one label: those of each two labels with the highest bound first, then those whose bound reaches what
+    these gave. Ids are those of one row each.
     """
-    packed = _packed(features, id_col, label)
+    names = _label_sums(features, label, weights)
     scale = [weights.get(f, 0.0) for f in FEATURES]
 
-    def add(row: dict) -> pa.RecordBatch | None:
-        (q_ids, q), (ids, c) = unpacked(row, "q_"), unpacked(row)
-        scores = (q * np.repeat(scale, row["widths"])) @ c.T
-        other = q_ids[:, None] != ids[None, :]
-        left, right = (_numbered(row[x]) for x in ("q_labels", "labels"))
-        out: dict[str, list] = {x: [] for x in ("left_label", "right_label", "n", "total", "best")}
-        for i, x in enumerate(left[0]):
-            for j, y in enumerate(right[0]):
-                at = np.ix_(left[1] == i, right[1] == j)
-                some = scores[at][other[at]]
-                if len(some):
-                    for name, value in zip(out, (x, y, len(some), float(some.sum()), float(some.max())), strict=True):
-                        out[name].append(value)
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
-
-    rows = each_pair(asking(packed).crossJoin(packed), add, "left_label string, right_label string, n long, total double, best double")  # of blocks
-    found = rows.groupBy("left_label", "right_label").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
-    return found.select("left_label", "right_label", "n", (F.col("total") / F.col("n")).alias("mean"), "best")
+    def total(a: dict, b: dict) -> dict:
+        one = (a["centre"] * np.repeat(scale, a["widths"])) @ b["centre"].T
+        same = a["block"][:, None] == b["block"][None, :]
+        n = np.outer(a["n"], b["n"]) - same * a["n"][:, None]
+        one -= same * a["own"][:, None]
+        i, j = np.nonzero(n)
+        return {"left_label": a["name"][i], "right_label": b["name"][j], "n": n[i, j].astype(int), "total": one[i, j]}
+
+    means = bounds.head_pairs(names, total, "left_label string, right_label string, n long, total double", {k: F.col(k) for k in ("name", "n", "own")})
+    best = _best_of_labels(features, id_col, label, weights)
+    same = [F.col(f"{x}_label").eqNullSafe(F.col(f"{x}_b")) for x in ("left", "right")]
+    both = means.join(best.withColumnsRenamed({"left_label": "left_b", "right_label": "right_b"}), same)
+    return both.select("left_label", "right_label", "n", (F.col("total") / F.col("n")).alias("mean"), "best")
+
+
+def _best_of_labels(features: DataFrame, id_col: str, label: str, weights: dict[str, float]) -> DataFrame:
+    """left_label, right_label, best."""
+    packed, few = bounds.near_blocks(features, id_col, label, weights, by_label=True)
+    scale = [weights.get(f, 0.0) for f in FEATURES]
+
+    def search(own: dict, row: dict) -> None:
+        scores = (own["vectors"] * np.repeat(scale, row["widths"])) @ row["vectors"].T
+        scores[own["ids"][:, None] == row["ids"][None, :]] = -np.inf
+        (left, at), (right, to), held = _numbered(own["labels"]), _numbered(row["labels"]), own.setdefault("held", {})
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                top = float(scores[np.ix_(at == i, to == j)].max())
+                if top > held.get((x, y), -np.inf):
+                    held[x, y] = top
+
+    def done(own: dict) -> pa.RecordBatch | None:
+        found = own.get("held")
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)] + [pa.array(list(found.values()), pa.float64())], ["left_label", "right_label", "best"]) if found else None
+
+    schema = "left_label string, right_label string, best double"
+    over = lambda rows: rows.groupBy("left_label", "right_label").agg(F.max("best").alias("best"))
+    if few:
+        return over(bounds.meet_all(packed, search, done, schema))
+    name = F.get("labels", F.lit(0))
+
+    def first(a: dict, b: dict) -> dict:
+        top = bounds.upper(a, b, weights)
+        i, j = (x.ravel() for x in np.indices(top.shape))
+        (_, x), (_, y) = _numbered(a["name"].tolist()), _numbered(b["name"].tolist())
+        order = np.lexsort((-top.ravel(), y[j], x[i]))
+        pair = np.column_stack([x[i], y[j]])[order]
+        order = order[np.append(True, (pair[1:] != pair[:-1]).any(1))]
+        i, j = i[order], j[order]
+        return {"left_label": a["name"][i], "right_label": b["name"][j], "asking": a["block"][i], "met": b["block"][j], "top": top[i, j]}
+
+    found = bounds.head_pairs(packed, first, "left_label string, right_label string, asking long, met long, top double", {"name": name})
+    highest = found.groupBy("left_label", "right_label").agg(F.max_by(F.struct("asking", "met"), "top").alias("p"))
+    begun = written(highest.select("p.asking", "p.met").distinct())
+    hits = written(over(bounds.meet(packed, begun, search, done, schema)))
+    # A block asks for others by the least score of its label with any; which of them may hold a better pair is told by both labels.
+    least = hits.groupBy(F.col("left_label").alias("l")).agg(F.min("best").alias("least_0"), F.count("*").alias("k"))
+    labels = hits.select("left_label").distinct().count()
+    asking = packed.select("block", name.alias("l0")).join(least, F.col("l0").eqNullSafe(F.col("l")), "left")
+    asking = asking.select(F.col("block").alias("asking"), F.when(F.col("k") == labels, F.col("least_0")).alias("least_0"))
+    more = written(bounds.further_pairs(packed, begun, asking, {"one": weights}))
+    return over(hits.unionByName(bounds.meet(packed, more, search, done, schema)))
 
 
 def _numbered(labels: list) -> tuple[list, np.ndarray]:
@@ -75,42 +148,57 @@ def _numbered(labels: list) -> tuple[list, np.ndarray]:
 def leave_one_out(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> DataFrame:
     """variant, query_id, query_label, id, label, score, rank, rel: each item's ``top_k`` others under each variant's weights.
 
-    Weighted sums of cosines are products of vectors scaled by the roots of the weights. Items lie in blocks; a task
-    takes one block after the other as queries against a range of blocks and leaves only its best, of which those of
-    all ranges are ranked. Ties go to the lower id. An item is never its own result.
+    Weighted sums of cosines are products of vectors scaled by the roots of the weights. Ties go to the lower id; an item is
+    never its own result. Items lie in blocks of near ones. Each block first meets itself and those of the highest
+    bounds, which gives every item a ``top_k``-th score; then it meets only blocks whose bound reaches the least of these in it.
     """
-    scales = {v: np.sqrt([w.get(f, 0.0) for f in FEATURES]) for v, w in variants.items()}
-    packed = _packed(features, id_col, label)
+    return ranked(_hits_of(features, id_col, label, variants, top_k)[0], ["variant", "query_id"], "score", top_k)
 
-    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = {}, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if now is not None and row["q_block"] != now:
-                    yield _hits(held, q_ids, q_labels)
-                    held = {}
-                now, q_ids, q_labels = row["q_block"], np.frombuffer(row["q_ids"], np.int64), row["q_labels"]
-                ids, labels = np.frombuffer(row["ids"], np.int64), np.array(row["labels"], object)
-                a = np.frombuffer(row["q_vectors"]).reshape(len(q_ids), -1)
-                b = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
-                for v, s in scales.items():
-                    scale = np.repeat(s, row["widths"])
-                    scores = (a * scale) @ (b * scale).T
-                    scores[q_ids[:, None] == ids[None, :]] = -np.inf
-                    top, at = _top(scores, ids, top_k)
-                    new = (ids[at], top, labels[at])
-                    if v in held:
-                        new = tuple(np.hstack(x) for x in zip(held[v], new, strict=True))
-                        order = np.lexsort((new[0], -new[1]), axis=1)[:, :top_k]
-                        new = tuple(np.take_along_axis(x, order, 1) for x in new)
-                    held[v] = new
-        if held:
-            yield _hits(held, q_ids, q_labels)
-
-    met = asking(packed).crossJoin(packed)  # of blocks: the square of items / 1024, each side read where it lies
-    hits = met.mapInArrow(best, "variant string, query_id long, query_label string, id long, label string, score double, rel int")
-    return ranked(hits, ["variant", "query_id"], "score", top_k)
+
+def _hits_of(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hits among which the best are, blocks, and the pairs of them that met."""
+    scales = {v: np.sqrt([w.get(f, 0.0) for f in FEATURES]) for v, w in variants.items()}
+    mean = {f: float(np.mean([w.get(f, 0.0) for w in variants.values()])) for f in FEATURES}
+    packed, few = bounds.near_blocks(features, id_col, label, mean)
+
+    def search(own: dict, row: dict) -> None:
+        q_ids, ids, labels, held = own["ids"], row["ids"], np.array(row["labels"], object), own.setdefault("held", {})
+        for v, s in scales.items():
+            scale = np.repeat(s, row["widths"])
+            scores = (own["vectors"] * scale) @ (row["vectors"] * scale).T
+            scores[q_ids[:, None] == ids[None, :]] = -np.inf
+            top, at = _top(scores, ids, top_k)
+            new = (ids[at], top, labels[at])
+            if v in held:
+                new = tuple(np.hstack(x) for x in zip(held[v], new, strict=True))
+                order = np.lexsort((new[0], -new[1]), axis=1)[:, :top_k]
+                new = tuple(np.take_along_axis(x, order, 1) for x in new)
+            held[v] = new
+
+    def done(own: dict) -> pa.RecordBatch | None:
+        return _hits(own["held"], own["block"], own["ids"], own["labels"]) if "held" in own else None
+
+    schema = "variant string, query_id long, query_label string, id long, label string, score double, rel int, block long"
+    if few:
+        every = packed.select(F.col("block").alias("asking")).crossJoin(packed.select(F.col("block").alias("met")))  # of FEW blocks
+        return bounds.meet_all(packed, search, done, schema).drop("block"), packed, every
+    first = written(bounds.first_pairs(packed, mean))
+    hits = written(bounds.meet(packed, first, search, done, schema))
+    near = ranked(hits, ["variant", "query_id"], "score", top_k, name="nth")
+    # An item with fewer results than are wanted has no least score, so its block meets all others.
+    each = near.groupBy("block", "query_id", "variant").agg(F.when(F.count("*") >= top_k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("s"))
+    least = each.groupBy(F.col("block").alias("asking")).agg(*[F.min(F.when(F.col("variant") == v, F.col("s"))).alias(f"least_{k}") for k, v in enumerate(variants)])
+    more = written(bounds.further_pairs(packed, first, least, variants))
+    further = bounds.meet(packed, more, search, done, schema)
+    return hits.unionByName(further).drop("block"), packed, first.unionByName(more)
+
+
+def pairs_met(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> DataFrame:
+    """blocks, pairs, met, skipped: of all ordered pairs of blocks how many ``leave_one_out`` worked on, and the share that it left out."""
+    _, packed, met = _hits_of(features, id_col, label, variants, top_k)
+    n = packed.agg(F.count("*").alias("blocks"))
+    counted = n.crossJoin(met.agg(F.count("*").alias("met")))  # one row by one row
+    return counted.select("blocks", (F.col("blocks") * F.col("blocks")).alias("pairs"), "met", F.round(1 - F.col("met") / (F.col("blocks") * F.col("blocks")), 4).alias("skipped"))
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,13 +216,13 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(scores, order, 1), order
 
 
-def _hits(held: dict, q_ids: np.ndarray, q_labels: list) -> pa.RecordBatch:
-    names, own = ["variant", "query_id", "query_label", "id", "label", "score", "rel"], np.array(q_labels, object)
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32())
+def _hits(held: dict, block: int, q_ids: np.ndarray, q_labels: list) -> pa.RecordBatch:
+    names, own = ["variant", "query_id", "query_label", "id", "label", "score", "rel", "block"], np.array(q_labels, object)
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64())
     parts = []
     for v, (ids, scores, labels) in held.items():
         i, j = np.nonzero(scores > -np.inf)
-        cols = (np.full(len(i), v, object), q_ids[i], own[i], ids[i, j], labels[i, j], scores[i, j], (labels[i, j] == own[i]).astype(np.int32))
+        cols = (np.full(len(i), v, object), q_ids[i], own[i], ids[i, j], labels[i, j], scores[i, j], (labels[i, j] == own[i]).astype(np.int32), np.full(len(i), block))
         parts.append(cols)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)], names)
 
