@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import argparse
 import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.schema import FEATURES, MAX_UPLOAD_BYTES
+from nearfield.functions.schema import FEATURE_SETS, FEATURES, MAX_UPLOAD_BYTES
 from nearfield.functions.storage import EXTENSIONS, content_hash, is_inside, safe_extension, slug, storage_path
+from nearfield.operators.extract import extract
 from nearfield.operators.shared import exists, row_numbers, written
+from nearfield.sources.blobs import register
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -136,24 +140,53 @@ def statuses(df: DataFrame, key: str, order: str, reason: str) -> DataFrame:
     return both.withColumn("status", status).drop("__nf_first")
 
 
+@dataclass
+class Seeded:
+    """What an ingest did: label, status, n as rows; totals as they were counted while rows passed; images whose features were made."""
+
+    counts: DataFrame
+    files_seen: int
+    inserted: int
+    deduped: int
+    failed: int
+    extracted: int
+
+    @property
+    def code(self) -> int:
+        """0 if no file failed, else 1."""
+        return int(self.failed > 0)
+
+
 def seed(spark: SparkSession, root: str, out: str, per_class: int | None = None, dry_run: bool = False) -> DataFrame:
     """Takes a folder tree in: label, status, n. New images go to ``out`` as Parquet with ids that go on from the last one,
-    unless it is a dry run.
+    unless it is a dry run."""
+    return take_in(spark, root, out, per_class, dry_run).counts
+
+
+def take_in(spark: SparkSession, root: str, out: str, per_class: int | None = None, dry_run: bool = False, features: str | None = None, blobs: str | None = None) -> Seeded:
+    """Takes a folder tree in: files to ``blobs`` at their storage paths, images to ``out``, vectors to ``features``; what
+    has no path given is left out. A tree that is not there is a FileNotFoundError.
 
     What is taken is decided on paths, hashes and sizes; bytes are read again for the new images only, and not shuffled
-    as long as their list is small.
+    as long as their list is small. One bad file fails alone. Files come first, then rows, then vectors, so that what
+    a broken run leaves undone is done by the next: images without features get them whenever their files come again.
+    A run that finds nothing new changes nothing. Totals are observed in the pass that writes the decisions.
     """
+    if not exists(spark, root):
+        raise FileNotFoundError(root)
     files = scan_tree(spark, root)
     if dry_run:
         files = cap(files.select("label", "path"), "label", "path", per_class) if per_class else files
-        return files.groupBy("label").agg(F.count("*").alias("files_seen"), F.lit(0).cast("long").alias("inserted"))
+        counts = files.groupBy("label").agg(F.count("*").alias("files_seen"), F.lit(0).cast("long").alias("inserted"))
+        counts = spark.createDataFrame(counts.collect(), counts.schema)  # a row for each label
+        return Seeded(counts, counts.agg(F.coalesce(F.sum("files_seen"), F.lit(0))).first()[0], 0, 0, 0, 0)
     slim = files.select("path", "label", "size_bytes", content_hash(F.col("content")).alias("sha256"), reject_reason(F.col("content"), F.col("label")).alias("reason"))
     slim = cap(slim, "label", "path", per_class) if per_class else slim
     decoded = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
     # The image source writes an origin as an encoded URL, binaryFile a path as it is.
-    origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
-    sizes = decoded.select(_place(origin).alias("place"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-    rows = slim.withColumn("place", _place(F.col("path"))).join(sizes, "place", "left").drop("place")
+    place = _place(F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B"))))
+    sizes = decoded.select(place.alias("place"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    rows = slim.withColumn("place", _place(F.col("path"))).join(sizes, "place", "left")
     rows = rows.withColumn("filename", F.regexp_extract("path", "([^/]+)$", 1)).withColumn("storage_path", storage_path(F.col("label"), F.col("sha256"), F.col("filename")))
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(~F.coalesce(F.col("width") > 0, F.lit(False)), "undecodable")))
     rows, last = statuses(rows, "sha256", "path", "reason"), 0
@@ -162,16 +195,48 @@ def seed(spark: SparkSession, root: str, out: str, per_class: int | None = None,
         known = store.select("sha256").distinct().withColumn("__nf_known", F.lit(True))
         rows = rows.join(known, "sha256", "left").withColumn("status", F.when(F.col("__nf_known") & (F.col("status") == "inserted"), "deduped").otherwise(F.col("status"))).drop("__nf_known")
         last = store.agg(F.max("id")).first()[0] or 0
-    rows = written(rows)
+    seen = Observation()
+    rows = written(rows.observe(seen, F.count("*").alias("files_seen"), *[F.count_if(F.col("status") == s).alias(s) for s in ("inserted", "deduped", "failed")]))
     counts = rows.groupBy("label", "status").agg(F.count("*").alias("n"))
-    result = spark.createDataFrame(counts.collect(), counts.schema)  # a row for each label and status
-    new = numbered(rows.filter("status = 'inserted'"), "path", last).select(
-        "id", "sha256", "filename", "storage_path", F.col("label").alias("animal_type"), "width", "height", F.col("size_bytes").cast("int").alias("size_bytes"), F.lit("corpus").alias("role"), F.current_timestamp().alias("uploaded_at"), "path"
-    )
-    new.join(files.select("path", "content"), "path").drop("path").write.mode("append").parquet(out)
+    result = Seeded(spark.createDataFrame(counts.collect(), counts.schema), **seen.get, extracted=0)  # a row for each label and status
+    if result.inserted:
+        new = numbered(rows.filter("status = 'inserted'"), "path", last)
+        if blobs:
+            register(spark)
+            new.join(files.select("path", "content"), "path").select("storage_path", "content").write.format("blobs").mode("append").save(blobs)
+        new.select(
+            "id", "sha256", "filename", "storage_path", F.col("label").alias("animal_type"), "width", "height", F.col("size_bytes").cast("int").alias("size_bytes"), F.lit("corpus").alias("role"), F.current_timestamp().alias("uploaded_at")
+        ).write.mode("append").parquet(out)
+    if features and exists(spark, out):
+        have = spark.read.parquet(features) if exists(spark, features) else spark.createDataFrame([], FEATURE_SETS)
+        first = rows.filter("status <> 'failed'").groupBy("sha256").agg(F.min("place").alias("place"))
+        lacking = written(to_extract(first, spark.read.parquet(out), have).filter("state = 'lacking'").select("id", "place"))
+        if not lacking.isEmpty():
+            made, done = extract(decoded.withColumn("place", place).join(lacking, "place").select("id", "image")), Observation()
+            made.withColumnRenamed("id", "image_id").observe(done, F.count("*").alias("n")).write.mode("append").parquet(features)
+            result.extracted = done.get["n"]
     return result
 
 
+def main(argv: list[str] | None = None) -> int:
+    """``python -m nearfield.sources.ingest --source TREE --out TABLE``: 0, 1 if files failed, 2 if there is no such tree."""
+    p = argparse.ArgumentParser(description="Take a tree of labelled images in.")
+    for name in ("source", "out"):
+        p.add_argument(f"--{name}", required=True)
+    for name in ("features", "blobs"):
+        p.add_argument(f"--{name}")
+    p.add_argument("--max-per-class", type=int)
+    p.add_argument("--dry-run", action="store_true")
+    a = p.parse_args(argv)
+    try:
+        got = take_in(SparkSession.builder.getOrCreate(), a.source, a.out, a.max_per_class, a.dry_run, a.features, a.blobs)
+    except FileNotFoundError as e:
+        print(f"no such tree: {e}")
+        return 2
+    got.counts.show(10_000, False)
+    return got.code
+
+
 def _place(path: Column) -> Column:
     return F.regexp_replace(path, "^([A-Za-z0-9]+:)/+", "$1/")
 
@@ -187,4 +252,7 @@ def numbered(df: DataFrame, order: str, start: int = 0) -> DataFrame:
     return row_numbers(df, [], [order], "id").withColumn("id", F.col("id") + start)
 
 
-__all__ = ["EXTENSIONS", "addressed", "against_store", "backfilled", "cap", "first_of_each", "numbered", "read_shards", "reject_reason", "safe_extension", "scan_tree", "seed", "statuses", "to_extract", "validated", "write_blobs"]
+__all__ = ["EXTENSIONS", "addressed", "against_store", "backfilled", "cap", "first_of_each", "numbered", "read_shards", "reject_reason", "safe_extension", "scan_tree", "seed", "statuses", "take_in", "to_extract", "validated", "write_blobs"]
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -1,19 +1,23 @@
 """Folder trees and paged rows, taken in whole."""
 
+import hashlib
 import json
 import struct
 import threading
 import zlib
+from datetime import timedelta
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.functions.schema import DIMS
 from nearfield.operators import plots
 from nearfield.operators.extract import extract, preprocess_stages
-from nearfield.sources import ingest, pages
+from nearfield.sources import blobs, ingest, pages
+from nearfield.sources.blobs import BlobWriter, register
 
 
 def png(shade: int, side: int = 16) -> bytes:
@@ -52,6 +56,61 @@ def test_seed(spark, tree, tmp_path):
     assert stored.count() == 4 and stored.filter("width = 16 AND startswith(storage_path, 'originals/')").count() == 4
 
 
+def test_files_rows_and_features_are_taken_in(spark, tree, tmp_path, capsys):
+    out, features, files = (str(tmp_path / x) for x in ("images", "features", "blobs"))
+    first = ingest.take_in(spark, tree, out, per_class=2)  # neither files nor features
+    assert (first.files_seen, first.inserted, first.deduped, first.failed, first.extracted, first.code) == (4, 3, 1, 0, 0, 0)
+    got = ingest.take_in(spark, tree, out, features=features, blobs=files)
+    assert (got.files_seen, got.inserted, got.deduped, got.failed, got.extracted, got.code) == (6, 1, 4, 1, 4, 1)
+    assert {s: sum(r["n"] for r in got.counts.collect() if r["status"] == s) for s in ("inserted", "deduped", "failed")} == {"inserted": 1, "deduped": 4, "failed": 1}
+    images, vectors = spark.read.parquet(out), spark.read.parquet(features)
+    assert sorted(r["id"] for r in images.collect()) == sorted(r["image_id"] for r in vectors.collect()) == [1, 2, 3, 4]
+    assert all(len(vectors.first()[f]) == n for f, n in DIMS.items())
+    new = images.filter("id = 4").first()
+    assert hashlib.sha256((tmp_path / "blobs" / new["storage_path"]).read_bytes()).hexdigest() == new["sha256"]
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*") if p.is_file()}
+    again = ingest.take_in(spark, tree, out, features=features, blobs=files)
+    assert (again.inserted, again.deduped, again.failed, again.extracted) == (0, 5, 1, 0)
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*") if p.is_file()} == before
+    assert ingest.main(["--source", tree, "--out", out, "--dry-run"]) == 0 and "files_seen" in capsys.readouterr().out
+    assert ingest.main(["--source", tree, "--out", out]) == 1
+    assert ingest.main(["--source", str(tmp_path / "none"), "--out", out]) == 2
+
+
+def test_files_are_written_all_or_none(spark, tmp_path):
+    register(spark)
+    root = str(tmp_path / "tree")
+    kind = "storage_path string, content binary, other int"
+    rows = spark.createDataFrame([(f"originals/c{i % 3}/{i}.jpg", bytearray(f"data {i}".encode()), i) for i in range(40)] + [("originals/empty.bin", None, 40)], kind).repartition(4)
+    files = lambda: {str(p.relative_to(root)): p.read_bytes() for p in (tmp_path / "tree").glob("[!.]*/**/*") if p.is_file()}
+    with pytest.raises(Exception, match="stop"):
+        rows.withColumn("content", F.when(F.col("other") == 33, F.raise_error(F.lit("stop"))).otherwise(F.col("content"))).write.format("blobs").mode("append").save(root)
+    assert not files()
+    for _ in range(2):
+        rows.write.format("blobs").mode("append").save(root)
+        assert files() == {f"originals/c{i % 3}/{i}.jpg": f"data {i}".encode() for i in range(40)} | {"originals/empty.bin": b""}
+    for bad in ("../x", "/x", "a/../../x"):
+        with pytest.raises(Exception, match="not a path inside"):
+            spark.createDataFrame([(bad, bytearray(b"y"), 1)], kind).write.format("blobs").mode("append").save(root)
+    with pytest.raises(Exception, match="append"):
+        rows.write.format("blobs").mode("overwrite").save(root)
+    named = rows.limit(1).selectExpr("'a/b.bin' AS place", "content AS data")
+    named.write.format("blobs").mode("append").option("name", "place").option("content", "data").save(root)
+    assert "a/b.bin" in files() and len(files()) == 42
+
+
+def test_a_task_that_ran_twice_leaves_one_file(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(blobs, "STALE", timedelta(0))
+    (tmp_path / ".staged-old").mkdir()  # of a job that was stopped
+    writer = BlobWriter(str(tmp_path), 0, 1)
+    batch = pa.RecordBatch.from_pydict({"p": ["a/x", "a/y"], "c": [b"1", b"2"]})
+    messages = [writer.write(iter([batch])) for _ in range(2)]
+    writer.commit([messages[1], None])
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["a/x", "a/y"] and not list(tmp_path.glob(".staged*"))
+
+
 def test_stages_and_kept_plots(spark, tree, tmp_path):
     images = spark.read.format("image").load(f"{tree}/cat").selectExpr("crc32(image.origin) AS id", "image")
     panel = preprocess_stages(images).orderBy("id", "nth").collect()
