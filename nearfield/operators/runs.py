@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.schema import FEATURES, NoStashError, UnknownRunError
 from nearfield.functions.weights import as_map, normalise
 from nearfield.operators.retrieval import checked_k, fused, ranked
-from nearfield.operators.shared import written
+from nearfield.operators.shared import appended, claimed, written
 
 # The stage that holds a run's sub-scores, last in its trace, and what it holds.
 STASH = "_sub_scores"
@@ -130,9 +130,13 @@ def save(runs: DataFrame, path: str) -> None:
 
 
 def rerank_run(spark: SparkSession, path: str, run_id: int, weights: dict | None, top_k: int) -> DataFrame:
-    """Appends the next version of a stored run: new weights and results, a ``rerank`` stage before the stash."""
+    """Appends the next version of a stored run, and gives it: new weights and results, a ``rerank`` stage before the stash.
+
+    A version belongs to the caller that first makes its mark in ``path``/_versions; others take the next one. So callers at the
+    same time get versions of their own, each on top of the one that it has read.
+    """
     run = current(spark.read.parquet(path).filter(F.col("id") == run_id))
-    head = run.select("weights", trace_stash(F.col("pipeline_trace")).isNotNull().alias("ok")).first()
+    head = run.select("version", trace_stash(F.col("pipeline_trace")).isNotNull().alias("ok")).first()
     if head is None:
         raise UnknownRunError(run_id)
     if not head["ok"]:
@@ -141,13 +145,17 @@ def rerank_run(spark: SparkSession, path: str, run_id: int, weights: dict | None
     began = time.perf_counter()
     hits = _hits(rerank(candidates_of(run), w, top_k), "query_id").select(F.col("query_id").alias("id"), F.col("results").alias("new_results"))
     hits = written(hits)
+    version = head["version"] + 1
+    while not claimed(spark, f"{path}/_versions/{run_id}/{version}"):
+        version += 1
     took = int((time.perf_counter() - began) * 1000)
     detail = F.to_json(F.struct(F.lit(top_k).alias("top_k"), as_map(w).alias("weights"), F.col("weights").alias("previous_weights")))
     stage = F.array(F.struct(F.lit("rerank").alias("name"), F.lit(took).alias("elapsed_ms"), detail.alias("detail")))
     trace = F.col("pipeline_trace")
     new = run.join(hits, "id").withColumns({
         "pipeline_trace": F.concat(F.slice(trace, 1, F.size(trace) - 1), stage, F.slice(trace, -1, 1)),
-        "weights": as_map(w), "results": F.col("new_results"), "version": F.col("version") + 1, "elapsed_ms": F.lit(took),
+        "weights": as_map(w), "results": F.col("new_results"), "version": F.lit(version), "elapsed_ms": F.lit(took),
     }).drop("new_results")
-    save(new.select(*run.columns), path)
-    return current(spark.read.parquet(path).filter(F.col("id") == run_id))
+    appended(new.select(*run.columns), path)
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path).filter((F.col("id") == run_id) & (F.col("version") == version))

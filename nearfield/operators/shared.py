@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,37 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def claimed(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file that nobody else has made; False if somebody has. Of several callers one gets True."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    try:
+        if fs.getScheme() == "file":  # whose create looks first and makes then
+            jvm.java.nio.file.Files.createFile(jvm.java.io.File(p.toUri().getPath()).toPath(), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            fs.create(p, False).close()
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def appended(df: DataFrame, path: str) -> None:
+    """Adds few rows to a Parquet table, as one file that is moved into it: appends at the same time do not meet."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    staged = f"{path}/_staged-{name}"
+    df.coalesce(1).write.parquet(staged)
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in children(spark, staged):
+        if part.endswith(".parquet"):
+            fs.rename(p(f"{staged}/{part}"), p(f"{path}/{name}-{part}"))
+    fs.delete(p(staged), True)
+
+
 def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str = "seq") -> DataFrame:
     """``df`` with the place of each row from 1 within ``by`` (nothing for all rows), in ``order``.
 

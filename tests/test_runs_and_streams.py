@@ -1,6 +1,7 @@
 """Stored runs and evaluations, snapshots, blobs and shards."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -47,6 +48,19 @@ def test_runs_are_recorded_and_ranked_anew(spark, tmp_path):
     assert detail["top_k"] == 3 and detail["previous_weights"]["hu"] == 1
 
 
+def test_runs_ranked_anew_at_the_same_time_are_versions_of_their_own(spark, tmp_path):
+    f, path = items(spark, 20), str(tmp_path / "runs")
+    runs.save(runs.recorded(retrieval.candidates(f, f.filter("id < 2"), DEFAULT_WEIGHTS, 5, exclude_self=True), None, 4), path)
+    weights = [{"hog": 1.0, "hu": k / 10} for k in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda w: runs.rerank_run(spark, path, 1, w, 3).first(), weights))
+    assert sorted(r["version"] for r in got) == list(range(2, 10))
+    stored = {r["version"]: r["weights"] for r in spark.read.parquet(path).filter("id = 1").collect()}
+    assert sorted(stored) == list(range(1, 10)) and all(stored[r["version"]] == r["weights"] for r in got)
+    assert {round(r["weights"]["hu"] / r["weights"]["hog"], 6) for r in got} == {k / 10 for k in range(8)}
+    assert spark.read.parquet(path).filter("id = 0").count() == 1 and not list((tmp_path / "runs").glob("_staged*"))
+
+
 def test_runs_without_a_stash_are_refused(spark, tmp_path):
     path = str(tmp_path / "runs")
     bad = ([], [("extract", 1, "{}")], [(runs.STASH, 0, '{"image_ids": "bad", "scores": {}}')], [(runs.STASH, 0, '{"image_ids": [1], "scores": {"hsv": null}}')])
