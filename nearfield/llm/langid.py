@@ -17,7 +17,7 @@ REMEMBERED = 300_000
 #: Characters of words that are worked on at a time.
 CHARS = 200_000
 #: Copies of a text that count in learning; more count as so many. Languages at most: a dense column each.
-COPIES, LANGUAGES = 16, 2_000
+COPIES, MODEL_BYTES = 16, 128 << 20
 _VOCABULARIES: dict[str, "Vocabulary"] = {}
 
 
@@ -217,10 +217,11 @@ def learn(docs: DataFrame, text: str, lang: str, model: str, per_language: int,
     text, which bounds the words counted; up to ``COPIES`` copies of one count. What reaches the driver is one number for each piece and language.
     """
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l", F.xxhash64("t").alias("h")).agg(F.lit(1)).groupBy("l").count().collect()}
+    most = max(1, MODEL_BYTES // (8 * vocabulary(model).size))
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l", F.xxhash64("t").alias("h")).agg(F.lit(1)).groupBy("l").count().limit(most + 1).collect()}
     langs = sorted(sizes)
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages: is {lang} a language column?")
+    if len(langs) > most:
+        raise ValueError(f"more than {most} languages: is {lang} a language column?")
     if not langs:
         return [], np.zeros((0, 0))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / sizes[k]))])
@@ -310,7 +311,7 @@ def identify(
     learned; an empty table gives no rows. Texts and words may be of any length; a word is cut only where no piece crosses, so
     all its segmentations count. Equal likelihoods go to the first language in order; repeated rows get the same answer.
     ``names``: of the two new columns, which must not be among ``keep``; other columns may have any name. More than
-    ``LANGUAGES`` languages are an error: the driver holds a number for each piece and language.
+    ``MODEL_BYTES`` (some 500 languages of 32,000 pieces) are an error: the driver holds a number for each piece and language.
     """
     from nearfield.llm.tokencount import default_model
 

@@ -191,6 +191,13 @@ def test_secrets_brute_force(spark):
         assert r["spans"] == write(spans), text
 
 
+def test_more_languages_than_the_model_may_hold(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(12)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MODEL_BYTES", 8 * 40_000 * 3)
+    with pytest.raises(ValueError, match="languages"):
+        langid.op6(rows)
+
+
 @pytest.mark.parametrize("kind", ["base64", "letters", "one letter", "paths", "many", "samples"])
 def test_secrets_of_a_million_characters(kind):
     """One run of any kind takes seconds; these took hours while patterns looked for an end from every place."""
