@@ -13,6 +13,7 @@ FALLBACK_TYPE = "application/octet-stream"
 
 def slug(label: Column) -> Column:
     """Trimmed and lower case, other characters than letters, digits, _ and - as single _; null where nothing is left."""
+    # The characters that stay.
     s = F.regexp_replace(F.lower(F.trim(label)), "[^a-zA-Z0-9_-]+", "_")
     s = F.regexp_replace(s, "^_+|_+$", "")
     return F.when(s != "", s)

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,9 +23,6 @@ from nearfield.streaming import live
 BOUNDS = {"hsv": (1, 16), "cm": (17, 25), "lbp": (26, 34), "glcm": (35, 44), "hog": (45, 57), "hu": (58, 64)}
 CUSTOM = {"hsv": 0.5, "hog": -0.2, "other": 0.3, "lbp": 0.25}
 NEW = {"hu": 0.6, "glcm": 0.4}
-RAW_WEIGHTS = (
-    (1, {"hsv": 0.4, "hog": -0.1, "cm": 0.6}), (2, {"hsv": 0.0}), (3, {}), (4, {"hu": 1.0}), (5, {"hu": 0.7, "hog": 0.3}), (6, {f: w for f, w in DEFAULT_WEIGHTS.items() if f != "hog"}),
-)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,10 +238,25 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- weights -------------------------------------------------------------------------------------------------
 
 
-@query("weights_normalise", "WITH w(run, hsv, cm, lbp, glcm, hog, hu) AS (VALUES " + ", ".join("({}, {})".format(i, ", ".join(f"{float(w.get(f, 0.0))!r}::DOUBLE" for f in FEATURES)) for i, w in RAW_WEIGHTS) + "), g AS (SELECT run, " + ", ".join(f"greatest({f}, 0.0) AS {f}" for f in FEATURES) + " FROM w), t AS (SELECT *, hsv + cm + lbp + glcm + hog + hu AS total FROM g) SELECT CAST(run AS BIGINT) AS run, " + ", ".join(f"round(CASE WHEN total > 0 THEN {f} / total ELSE {w!r}::DOUBLE END, 6) AS {f}" for f, w in DEFAULT_WEIGHTS.items()) + " FROM t")
+#: Raw weights of an event; every thirteenth has none over 0.
+_GIVEN = {
+    f: f"CASE WHEN event_id % 13 = 0 THEN 0.0 ELSE {x} END"
+    for f, x in zip(FEATURES, ("value - 50", "CAST(event_id % 7 - 3 AS DOUBLE)", "CAST(event_id % 5 AS DOUBLE)", "0 - value", "CASE WHEN event_id % 11 = 0 THEN NULL ELSE value / 10 END", "CAST(user_id % 3 AS DOUBLE)"), strict=True)
+}
+
+
+def _weight_sql(gone: str) -> str:
+    """SQL for an event's normalised weights, without the feature whose number is ``gone``."""
+    raw = ", ".join(f"CAST(greatest(coalesce(CASE WHEN {gone} = {i} THEN 0.0 ELSE {x} END, 0.0), 0.0) AS DOUBLE) AS {f}" for i, (f, x) in enumerate(_GIVEN.items()))
+    out = ", ".join(f"round(CASE WHEN total > 0 THEN {f} / total ELSE {w!r}::DOUBLE END, 6) AS {f}" for f, w in DEFAULT_WEIGHTS.items())
+    return f"WITH g AS (SELECT event_id, {raw} FROM events), t AS (SELECT *, {' + '.join(FEATURES)} AS total FROM g) SELECT event_id, {out} FROM t"
+
+
+@query("weights_normalise", _weight_sql("-1"))
 def weights_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(i, *[w.get(f) for f in FEATURES]) for i, w in RAW_WEIGHTS], "run long, " + ", ".join(f"{f} double" for f in FEATURES))
-    return raw.select("run", *[F.round(c, 6).alias(f) for f, c in weights.normalised_columns({f: F.col(f) for f in FEATURES}).items()])
+    """Each event's raw weights (null, negative or none over 0 among them) as they are used."""
+    found = weights.normalised_columns({f: F.expr(x).cast("double") for f, x in _GIVEN.items()})
+    return table(spark, sf_dir, "events").select("event_id", *[F.round(c, 6).alias(f) for f, c in found.items()])
 
 
 @query("weights_parse_json", "WITH p AS (SELECT event_id, coalesce(try_cast(json_extract_string(replace(props, '\"k\"', '\"hu\"'), '$.hu') AS DOUBLE), 0.0) AS hu FROM events) SELECT event_id, round(CASE WHEN hu > 0 THEN 1.0 ELSE 0.15 END, 6)::DOUBLE AS hu, round(CASE WHEN hu > 0 THEN 0.0 ELSE 0.25 END, 6)::DOUBLE AS hog, TRUE AS valid FROM p")
@@ -267,12 +280,11 @@ def weights_parse_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("kind", "valid", "hu", "hog").agg(F.count("*").alias("n"))
 
 
-@query("weights_ablated", "SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{f}', {round(w, 6)!r}::DOUBLE)" for v, ws in weights.ablations().items() for f, w in ws.items()) + ") t(variant, feature, weight)")
+@query("weights_ablated", _weight_sql("event_id % 6"))
 def weights_ablated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = weights.frame(spark, {"base": DEFAULT_WEIGHTS}).select("feature", "weight")
-    names = spark.createDataFrame([("base", "")] + [(f"minus_{f}", f) for f in FEATURES], "variant string, gone string")
-    kept = names.crossJoin(base).withColumn("weight", F.when(F.col("gone") == F.col("feature"), 0.0).otherwise(F.col("weight")))  # 7 by 6 rows
-    return kept.select("variant", "feature", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy("variant")), 6).alias("weight"))
+    """Each event's weights without one feature, the rest making up for it."""
+    left = {f: F.when(F.col("event_id") % 6 != i, F.expr(x).cast("double")) for i, (f, x) in enumerate(_GIVEN.items())}
+    return table(spark, sf_dir, "events").select("event_id", *[F.round(c, 6).alias(f) for f, c in weights.normalised_columns(left).items()])
 
 
 # --- stored runs ---------------------------------------------------------------------------------------------
@@ -610,7 +622,11 @@ def events_live_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POS = f"WITH {FEAT}, x AS (SELECT id, feature, v, unnest(range(0, len(v))) AS pos FROM feat)"
 
 
-@query("plot_bars_long", _POS + f" SELECT id, pos::INTEGER AS pos, ['H mean', 'H std', 'H skew', 'S mean', 'S std', 'S skew', 'V mean', 'V std', 'V skew'][pos + 1] AS label, round(v[pos + 1], 6) AS value FROM x WHERE feature = 'cm'")
+# The labels of the nine colour moments.
+_MOMENTS = ("H mean", "H std", "H skew", "S mean", "S std", "S skew", "V mean", "V std", "V skew")
+
+
+@query("plot_bars_long", _POS + f" SELECT id, pos::INTEGER AS pos, {list(_MOMENTS)!r}[pos + 1] AS label, round(v[pos + 1], 6) AS value FROM x WHERE feature = 'cm'")
 def plot_bars_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plots.bars(features(spark, sf_dir), "id", "cm").select("id", "pos", "label", F.round("value", 6).alias("value"))
 
@@ -661,6 +677,13 @@ SELECT id, 'cm' AS feature, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(x[pos +
 UNION ALL SELECT id, 'hsv', CAST(pos AS INTEGER), round(CAST(CAST(k / n AS FLOAT) AS DOUBLE), 4) FROM b""")
 def pixel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour moments and the bins of the colour histogram that are not empty, of an image of 8 x 8 for each part."""
+    found = _extracted(spark, sf_dir, ("hsv", "cm"))
+    long = retrieval.long_features(found, "id", ("cm", "hsv")).select("id", "feature", F.posexplode("vec").alias("pos", "value"))
+    return long.filter("feature = 'cm' OR value > 0").select("id", "feature", "pos", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+def _extracted(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """Features of an image of 8 x 8 for each part."""
     from nearfield.operators.extract import extract
 
     p = F.col("p_partkey")
@@ -669,6 +692,41 @@ def pixel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte = lambda v: F.lpad(F.hex((v % 256).cast("int")), 2, "0")
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(*[byte(value(i, k)) for k in range(3)])), ""))
     image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), data.alias("data")).alias("image")
-    found = extract(part.select(p.alias("id"), image), names=("hsv", "cm"), prepared=True)
-    long = retrieval.long_features(found, "id", ("cm", "hsv")).select("id", "feature", F.posexplode("vec").alias("pos", "value"))
-    return long.filter("feature = 'cm' OR value > 0").select("id", "feature", "pos", F.round(F.col("value").cast("double"), 4).alias("value"))
+    return extract(part.select(p.alias("id"), image), names=names, prepared=True)
+
+
+def _corners() -> str:
+    """(point, dy, dx, weight) of the pixels that a point of the circle of radius 2 lies between, sixteen points round it."""
+    rows = []
+    for k in range(16):
+        a = 2 * math.pi * k / 16
+        y, x = -2 * round(math.sin(a), 10), 2 * round(math.cos(a), 10)
+        for dy in (math.floor(y), math.floor(y) + 1):
+            for dx in (math.floor(x), math.floor(x) + 1):
+                w = (1 - abs(y - dy)) * (1 - abs(x - dx))
+                if w > 0:
+                    rows.append(f"({k}, {dy}, {dx}, {w!r}::DOUBLE)")
+    return ", ".join(rows)
+
+
+_STEPS = ", ".join(f"({n}, {dy}, {dx})" for n, (dy, dx) in enumerate((dy, dx) for d, r in ((1, 1), (3, 2)) for dy, dx in ((0, d), (r, r), (d, 0), (r, -r))))
+
+
+@query("pixel_textures", f"""WITH px AS (SELECT p_partkey AS id, x, y, (1868 * ((x * 7 + p_partkey * 3 + y) % 256) + 9617 * ((y * 11 + p_partkey * 5) % 256) + 4899 * ((x * y + p_partkey * 17) % 256) + 8192) >> 14 AS v FROM part, range(8) t(x), range(8) u(y)),
+pair AS (SELECT a.id, n, a.v // 8 AS i, b.v // 8 AS j FROM px a, (VALUES {_STEPS}) s(n, dy, dx), px b WHERE b.id = a.id AND b.y = a.y + dy AND b.x = a.x + dx),
+twice AS (SELECT id, n, i, j FROM pair UNION ALL SELECT id, n, j, i FROM pair),
+m AS (SELECT id, n, i, j, count(*) / sum(count(*)) OVER (PARTITION BY id, n) AS p FROM twice GROUP BY 1, 2, 3, 4),
+mu AS (SELECT *, sum(i * p) OVER (PARTITION BY id, n) AS mi FROM m),
+g AS (SELECT id, n, sum((i - j) * (i - j) * p) AS f0, sum(abs(i - j) * p) AS f1, sum(p / (1 + (i - j) * (i - j))) AS f2, sqrt(sum(p * p)) AS f3,
+  CASE WHEN sum((i - mi) * (i - mi) * p) > 1e-15 THEN sum((i - mi) * (j - mi) * p) / sum((i - mi) * (i - mi) * p) ELSE 1.0 END AS f4 FROM mu GROUP BY 1, 2),
+flat AS (SELECT id, 8 * k + n AS pos, CASE k WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN f3 ELSE f4 END AS x FROM g, range(5) t(k)),
+around AS (SELECT a.id, a.x, a.y, k, round(sum(coalesce(b.v, 0) * w), 9) >= any_value(a.v) AS bit FROM px a CROSS JOIN (VALUES {_corners()}) c(k, dy, dx, w) LEFT JOIN px b ON b.id = a.id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3, 4),
+turn AS (SELECT *, lag(bit) OVER o AS before, last_value(bit) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS at_end FROM around WINDOW o AS (PARTITION BY id, x, y ORDER BY k)),
+code AS (SELECT id, x, y, CASE WHEN count(*) FILTER (bit <> coalesce(before, at_end)) <= 2 THEN count(*) FILTER (bit) ELSE 17 END AS pos FROM turn GROUP BY 1, 2, 3),
+bins AS (SELECT id, pos, count(*) AS x FROM code GROUP BY 1, 2)
+SELECT id, 'glcm' AS feature, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE), 4) AS value FROM flat
+UNION ALL SELECT id, 'lbp', CAST(pos AS INTEGER), round(CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE), 4) FROM bins""")
+def pixel_textures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Textures of co-occurring grays, and the binary patterns that occur, of an image of 8 x 8 for each part."""
+    long = retrieval.long_features(_extracted(spark, sf_dir, ("lbp", "glcm")), "id", ("glcm", "lbp")).select("id", "feature", F.posexplode("vec").alias("pos", "value"))
+    return long.filter("feature = 'glcm' OR value > 0").select("id", "feature", "pos", F.round(F.col("value").cast("double"), 4).alias("value"))
