@@ -156,6 +156,8 @@ def manifest(df: DataFrame, values: list[str], key: str = "doc_id", group: str =
     size lies in sorted ranges and blocks.
     """
     keep = keep or {}
+    if clash := {"g", "n", "h", "idx", "digest", "leaf", "path", "subroot", "root"} & set(keep):
+        raise ValueError(f"kept columns {sorted(clash)} have the names of new ones")
     slim = cut(df.select(F.col(group).cast("string").alias("__nf_group"), F.col(key).alias("__nf_key"), leaf_hash([F.col(v) for v in values]).alias("digest"), *[c.alias(k) for k, c in keep.items()]))
     groups = slim.groupBy("__nf_group").agg(F.count("*").alias("n"))
     groups = cut(row_numbers(groups, [], ["__nf_group"], "g").select("__nf_group", (F.col("g") - 1).alias("g"), "n", _height(F.col("n"), fan).alias("h")))

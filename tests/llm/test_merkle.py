@@ -98,3 +98,5 @@ def test_wider_runs(docs, rows, monkeypatch, fan):
 
 def test_empty_table(docs):
     assert merkle.op11(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="names of new ones"):
+        merkle.manifest(docs, ["text"], keep={"digest": F.col("digest")})
