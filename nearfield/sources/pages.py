@@ -6,6 +6,7 @@ import json
 import time
 import urllib.request
 from collections.abc import Iterable, Iterator
+from http.client import HTTPException
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,11 @@ class PagedReader(DataSourceReader):
 
     def read(self, page: Page) -> Iterator[tuple]:
         try:
-            rows = json.loads(_get(f"{self.url}{'&' if '?' in self.url else '?'}offset={page.offset}&length={page.length}")).get("rows", [])
-        except OSError:  # URLError and HTTPError are among these
+            body = json.loads(_get(f"{self.url}{'&' if '?' in self.url else '?'}offset={page.offset}&length={page.length}"))
+            rows = body.get("rows", [])
+            if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+                raise ValueError("no rows")
+        except (OSError, ValueError, AttributeError, HTTPException):  # no answer, a broken one, or one of another shape
             time.sleep(self.wait)
             yield page.offset, None, None, "failed"
             return
@@ -72,9 +76,11 @@ class PagedRows(DataSource):
         return PagedReader(self.options)
 
 
-def read_pages(spark: SparkSession, url: str, max_rows: int, wait: float = WAIT) -> DataFrame:
-    """row_idx, label, src of the first ``max_rows`` rows."""
-    return _pages(spark, url, 0, max_rows, wait).filter("state = 'row'").drop("state")
+def read_pages(spark: SparkSession, url: str, max_rows: int, wait: float = WAIT, states: bool = False) -> DataFrame:
+    """row_idx, label, src of the first ``max_rows`` rows. With ``states`` also a row for each page that failed or was empty
+    (row_idx: its offset), told by state."""
+    pages = _pages(spark, url, 0, max_rows, wait)
+    return pages if states else pages.filter("state = 'row'").drop("state")
 
 
 def _pages(spark: SparkSession, url: str, first: int, last: int, wait: float) -> DataFrame:
@@ -106,7 +112,7 @@ def fetched(rows: DataFrame, delay: float = 0.0) -> DataFrame:
                 one = batch.slice(i, 1)
                 try:
                     got = _get(one.column("src")[0].as_py())
-                except (OSError, ValueError):
+                except (OSError, ValueError, HTTPException):
                     got = None
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.array([got], pa.binary())], [*one.schema.names, "content"])
                 time.sleep(delay)

@@ -162,3 +162,27 @@ def test_paged_rows(spark, tmp_path):
         assert again["b"] >= 40 and not any(x == "/image/1" for x in asked)
     finally:
         server.shutdown()
+
+
+def test_broken_pages_are_told_and_end_nothing(spark):
+    bodies = {0: json.dumps({"rows": [{"row_idx": 0, "row": {"label": 1, "image": {"src": "x"}}}]}).encode(), 100: b"<html>", 200: b"[1]", 300: b'{"rows": [', 400: b'{"rows": 3}', 500: b"{}"}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = bodies[int(parse_qs(urlparse(self.path).query)["offset"][0])]
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body) + (500 if body.endswith(b"[") else 0)))  # one breaks off
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/rows"
+        assert {(r["row_idx"], r["state"]) for r in pages.read_pages(spark, url, 600, wait=0, states=True).collect()} == {(0, "row"), (100, "failed"), (200, "failed"), (300, "failed"), (400, "failed"), (500, "empty")}
+        assert [tuple(r) for r in pages.read_pages(spark, url, 600, wait=0).collect()] == [(0, 1, "x")]
+    finally:
+        server.shutdown()
