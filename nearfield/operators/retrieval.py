@@ -17,9 +17,11 @@ from nearfield.operators.blocks import best, blocks, dots, each_pair, pairs, unp
 
 if TYPE_CHECKING:
     from nearfield.operators.ann import Index
+    from nearfield.operators.threshold import Lists
 
 #: What a pair of blocks leaves.
 HITS = "query_id long, feature string, id long, sim double"
+FUSED_HITS = "query_id long, id long, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def long_features(features: DataFrame, id_col: str, feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -57,11 +59,11 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude
     return ranked(each_pair(met, each_nearest(k, exclude_self, feature_names), HITS), ["query_id", "feature"], "sim", k, name="place")
 
 
-def best_fused(corpus: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, exclude_self: bool = False, id_col: str = "id") -> DataFrame:
-    """query_id, id and the six sub-scores: each query's ``k`` best of each block by fused score, its ``k`` best of all among them."""
+def each_best(weights: dict[str, float], k: int, exclude_self: bool) -> Callable[[dict], pa.RecordBatch]:
+    """Of a pair of blocks, the ``k`` best items of each query by fused score: query_id, id and the six sub-scores."""
     used = [f for f in FEATURES if weights.get(f)]
 
-    def search(row: dict) -> pa.RecordBatch | None:
+    def search(row: dict) -> pa.RecordBatch:
         (q_ids, q), (ids, c), at = unpacked(row, "q_"), unpacked(row), np.concatenate(([0], np.cumsum(row["widths"])))
         side = dict(zip(FEATURES, zip(at, at[1:])))
         sims = lambda f, i, j: dots(q[i, slice(*side[f])], c[j, slice(*side[f])])
@@ -72,8 +74,12 @@ def best_fused(corpus: DataFrame, queries: DataFrame, weights: dict[str, float],
         i, j = best(approx, k, lambda i, j: sum((weights[f] * sims(f, i, j) for f in used), np.zeros(len(i))), ids)
         return pa.RecordBatch.from_pydict({"query_id": q_ids[i], "id": ids[j], **{f: sims(f, i, j) for f in FEATURES}})
 
-    met = pairs(queries, corpus, id_col, FEATURES)
-    return each_pair(met, search, "query_id long, id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return search
+
+
+def best_fused(corpus: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, exclude_self: bool = False, id_col: str = "id") -> DataFrame:
+    """query_id, id and the six sub-scores: each query's ``k`` best of each block by fused score, its ``k`` best of all among them."""
+    return each_pair(pairs(queries, corpus, id_col, FEATURES), each_best(weights, k, exclude_self), FUSED_HITS)
 
 
 def ranked(df: DataFrame, by: list[str], score: str, k: int | None, id_col: str = "id", name: str = "rank") -> DataFrame:
@@ -101,30 +107,35 @@ def checked_k(k: int) -> int:
 
 def search(
     corpus: DataFrame, queries: DataFrame, weights: dict | None = None, top_k: int = TOP_K, mode: str = "candidate",
-    candidate_k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Index | None = None,
+    candidate_k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Index | None = None, lists: Lists | None = None,
 ) -> DataFrame:
     """query_id, rank, id, score and the six sub-scores of each query's ``top_k`` items.
 
     ``candidate`` mode fuses the union of each feature's ``candidate_k`` nearest, ``ann`` mode the same as a stored index
     finds them, ``exact`` mode all items. Ties go to the lower id. ``role`` keeps corpus rows of one role. In ``ann`` mode
     ``index`` is needed, made once by ``Index.build`` of the rows to be found (those of one role, if only they are wanted); ``corpus`` is
-    not read then. ``ef_search`` is how many nodes a walk there keeps.
+    not read then. ``ef_search`` is how many nodes a walk there keeps. In ``exact`` mode with ``lists``, made once by ``Lists.build``,
+    only those parts of them are read that may matter, and ``corpus`` is not.
     """
     if mode not in ("candidate", "exact", "ann"):
         raise ValueError("mode is candidate, ann or exact")
     w, k = normalise(weights), checked_k(top_k)
-    return ranked(candidates(corpus, queries, w, k, mode, candidate_k, exclude_self, id_col, role, ef_search, index).withColumn("score", fused(w)), ["query_id"], "score", k)
+    return ranked(candidates(corpus, queries, w, k, mode, candidate_k, exclude_self, id_col, role, ef_search, index, lists).withColumn("score", fused(w)), ["query_id"], "score", k)
 
 
 def candidates(
     corpus: DataFrame, queries: DataFrame, w: dict[str, float], k: int, mode: str = "candidate", candidate_k: int = CANDIDATE_K, exclude_self: bool = False,
-    id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Index | None = None,
+    id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Index | None = None, lists: Lists | None = None,
 ) -> DataFrame:
     """query_id, id and the six sub-scores of the items that ``search`` ranks."""
     if mode == "ann":
         if index is None or role:
             raise ValueError("ann mode needs a stored index, made of the rows of the role that is wanted")
         return dense(index.nearest(queries, candidate_k, exclude_self, id_col, **({"ef_search": ef_search} if ef_search else {})))
+    if lists is not None:
+        if mode != "exact" or role:
+            raise ValueError("lists are for exact mode, and made of the rows of the role that is wanted")
+        return lists.search(queries, w, k, exclude_self, id_col).drop("looked", "score")
     corpus = corpus.filter(F.col("role") == role) if role else corpus
     if corpus.isEmpty():
         raise EmptyCorpusError("the corpus is empty")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import storage, vectors, weights
 from nearfield.functions.schema import CANDIDATE_K, DEFAULT_WEIGHTS, DIMS, EVALUATION_RUNS, FEATURES, SEARCH_RUNS, conform
-from nearfield.operators import ann, evaluate, plots, retrieval, runs, shared
+from nearfield.operators import ann, evaluate, plots, retrieval, runs, shared, threshold
 from nearfield.sources import ingest
 from nearfield.streaming import events as timeline
 from nearfield.streaming import live
@@ -101,6 +101,14 @@ def search_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.search(f, asked(f), mode="exact", exclude_self=True), "query_id", "rank", "id")
 
 
+@query("search_threshold_topk", sims("q.id % 20 = 0") + wide("sims") + top(DEFAULT_WEIGHTS, 5) + f" SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, {ROUNDED} FROM res")
+def search_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact five best items of each query from stored lists, one for each feature."""
+    f = features(spark, sf_dir)
+    lists = threshold.Lists(spark, shared.new_folder(spark, "lists")).build(f)
+    return rounded(retrieval.search(f, asked(f), mode="exact", exclude_self=True, lists=lists), "query_id", "rank", "id")
+
+
 @query("search_batch_topk", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + f" SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, {ROUNDED} FROM res")
 def search_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
