@@ -18,7 +18,8 @@ from nearfield.operators.shared import written
 
 
 def labelled(features: DataFrame, items: DataFrame, id_col: str, label: str, dims: dict[str, int] | None = None) -> DataFrame:
-    """Features joined to labels; a null vector, or one of the wrong width, is an error when the rows are read."""
+    """Features joined to labels; a null vector, or one of the wrong width, is an error when the rows are read. Kept tables of the same
+    number of buckets (``kept.Kept``) are not dealt again."""
     both = features.join(items.select(id_col, label), id_col)
     for f in FEATURES:
         good = F.col(f).isNotNull() if dims is None else F.coalesce(F.size(f) == dims[f], F.lit(False))

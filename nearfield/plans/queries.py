@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import storage, vectors, weights
 from nearfield.functions.schema import CANDIDATE_K, DEFAULT_WEIGHTS, DIMS, EVALUATION_RUNS, FEATURES, SEARCH_RUNS, conform
-from nearfield.operators import ann, evaluate, plots, retrieval, runs, shared, threshold
+from nearfield.operators import ann, evaluate, kept, plots, retrieval, runs, shared, threshold
 from nearfield.sources import ingest
 from nearfield.streaming import events as timeline
 from nearfield.streaming import live
@@ -433,6 +433,23 @@ def labelled_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", F.col("label").cast("string").alias("label"), sum((F.size(x) for x in FEATURES[1:]), F.size(FEATURES[0])).cast("long").alias("width"))
 
 
+@query("bucketed_snapshot", f"WITH {FEAT} SELECT id, CAST(label AS VARCHAR) AS label, CAST(sum(len(v)) AS BIGINT) AS width FROM feat GROUP BY ALL")
+def bucketed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labelled_snapshot`` of features and labels that lie in buckets of their ids."""
+    f, folder = features(spark, sf_dir), shared.new_folder(spark, "kept")
+    sides = [kept.Kept(spark, f"{folder}/{name}").write(df, buckets=8).read() for name, df in (("features", f.drop("label")), ("items", f.select("id", "label")))]
+    both = evaluate.labelled(*sides, "id", "label", {name: b - a + 1 for name, (a, b) in BOUNDS.items()})
+    return both.select("id", F.col("label").cast("string").alias("label"), sum((F.size(x) for x in FEATURES[1:]), F.size(FEATURES[0])).cast("long").alias("width"))
+
+
+@query("runs_raised", "SELECT user_id AS id, 1 AS version, count(*)::INTEGER AS elapsed_ms FROM events GROUP BY 1")
+def runs_raised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each user, kept under the first version of the schema and raised to the present one."""
+    old = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("elapsed_ms"))
+    runs_ = kept.Kept(spark, shared.new_folder(spark, "kept")).write(conform(old, "search_runs").drop("version"), buckets=8, version=1)
+    return runs_.raised("search_runs").select("id", "version", "elapsed_ms")
+
+
 @query("class_counts_guard", "SELECT CAST(label AS VARCHAR) AS label, count(*) - 1 AS relevant FROM embeddings GROUP BY 1 HAVING count(*) > 1")
 def class_counts_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "embeddings").select("vec_id", "label")
