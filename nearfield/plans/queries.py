@@ -676,13 +676,17 @@ def extract_features_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = lambda i: F.hex(F.pmod(i * (F.col("p_partkey") % 7 + 1) + F.floor(i / (side * 3)) * 5, F.lit(256)).cast("int"))
     data = F.unhex(F.array_join(F.transform(cells, lambda i: F.lpad(value(i), 2, "0")), ""))
     image = F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), data.alias("data")).alias("image")
-    # Numbers are dealt before images are made of them: a task of its own for every few, as each takes far longer than to read.
-    parts = table(spark, sf_dir, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
-    items = parts.select(F.col("p_partkey").alias("id"), image)
+    items = _dealt_parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), image)
     long = retrieval.long_features(extract(items), "id")
     return long.select("id", "feature", F.size("vec").alias("width"), F.round(vectors.norm(F.col("vec").cast("array<double>")), 4).alias("norm"))
 
 
+def _dealt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' numbers, dealt before images are made of them: a task of its own for every few, as each takes far longer than to
+    read, and a table of millions of numbers may be one file that one task reads."""
+    return table(spark, sf_dir, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 _PIXEL = """WITH px AS (SELECT p_partkey AS id, (x * 7 + p_partkey * 3 + y) % 256 AS b, (y * 11 + p_partkey * 5) % 256 AS g, (x * y + p_partkey * 17) % 256 AS r FROM part, range(8) t(x), range(8) u(y)),
 m AS (SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS d FROM px),
 k AS (SELECT *, CASE WHEN v > 0 THEN round_even(255 * 4096.0::DOUBLE / v, 0) ELSE 0 END AS pv, CASE WHEN d > 0 THEN round_even(30 * 4096.0::DOUBLE / d, 0) ELSE 0 END AS pc,
@@ -712,7 +716,7 @@ def _extracted(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> Data
     from nearfield.operators.extract import extract
 
     p = F.col("p_partkey")
-    part = table(spark, sf_dir, "part").select("p_partkey")
+    part = _dealt_parts(spark, sf_dir)
     value = lambda i, k: [(i % 8) * 7 + p * 3 + F.floor(i / 8), F.floor(i / 8) * 11 + p * 5, (i % 8) * F.floor(i / 8) + p * 17][k]
     byte = lambda v: F.lpad(F.hex((v % 256).cast("int")), 2, "0")
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(*[byte(value(i, k)) for k in range(3)])), ""))
