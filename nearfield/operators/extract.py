@@ -13,27 +13,43 @@ from nearfield.functions.kernels import EXTRACTORS, preprocess, stages
 from nearfield.functions.schema import EXTRACTOR_VERSION
 
 
+#: Bytes of images and of their vectors that a task keeps at most, so that equal images are worked out once.
+KEPT_BYTES = 64 << 20
+
+
 def decode(height: int, width: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width, 3)
 
 
 def extract(images: DataFrame, id_col: str = "id", image: str = "image", names: tuple[str, ...] = tuple(EXTRACTORS), prepared: bool = False) -> DataFrame:
     """id, extractor_ver and unit vectors (the six features unless ``names`` are given) of each image struct, as Spark's
-    image source gives it; preprocessed first unless the images are ``prepared``."""
+    image source gives it; preprocessed first unless the images are ``prepared``.
+
+    Images that a task has met before, byte for byte, take the vectors that it keeps (``KEPT_BYTES``) instead of new ones.
+    """
     rows = images.select(F.col(id_col).cast("long").alias("id"), *[F.col(f"{image}.{c}").alias(c) for c in ("height", "width", "data")])
     kinds = pa.schema([("id", pa.int64()), ("extractor_ver", pa.string()), *[(f, pa.list_(pa.float32())) for f in names]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out: dict[str, list] = {c: [] for c in kinds.names}
                 for r in batch.slice(at, 64).to_pylist():
-                    img = decode(r["height"], r["width"], r["data"])
-                    img = img if prepared else preprocess(img)
+                    key = (r["height"], r["width"], r["data"])
+                    if key not in kept:
+                        img = decode(*key)
+                        img = img if prepared else preprocess(img)
+                        found = [EXTRACTORS[f](img) for f in names]
+                        size = len(r["data"]) + sum(v.nbytes for v in found)
+                        if held + size > KEPT_BYTES:
+                            kept, held = {}, 0
+                        kept[key], held = found, held + size
                     out["id"].append(r["id"])
                     out["extractor_ver"].append(EXTRACTOR_VERSION)
-                    for f in names:
-                        out[f].append(EXTRACTORS[f](img))
+                    for f, v in zip(names, kept[key], strict=True):
+                        out[f].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     return rows.mapInArrow(run, "id long, extractor_ver string, " + ", ".join(f"{f} array<float>" for f in names))
