@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BLOCK, BLOCK_BYTES, SENT_BYTES = 1024, 4 << 20, 32 << 20
 #: Scores from matrix products may differ by this much from those worked out pair by pair.
 SLACK = 1e-9
+#: Pairs of items that are scored one by one at a time, and bytes of hits that a task gathers at most.
+PAIRS, HELD_BYTES = 1 << 16, 384 << 20
 
 
 def blocks(df: DataFrame, id_col: str, names: tuple[str, ...], label: Column | None = None, by: Column | None = None) -> DataFrame:
@@ -91,20 +93,77 @@ def each_pair(rows: DataFrame, fn: Callable[[dict], pa.RecordBatch | None], sche
     return rows.mapInArrow(run, schema)
 
 
-def best(approx: np.ndarray, k: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the ``k`` best columns of each row of ``approx``, by exact score, then lower id; -inf is no hit.
+class Best:
+    """The ``k`` best hits so far of each of ``n`` queries: score (-inf: none), id and ``extra`` numbers of each, best first.
 
-    Equal vectors must score equally wherever they lie, which matrix products do not promise: what comes near the k-th
-    score is scored again pair by pair.
+    Blocks are met one after the other, so what is kept does not grow with them, and of a further block only those items
+    are looked at whose score reaches the k-th one so far.
     """
-    k = min(k, approx.shape[1])
-    least = np.partition(approx, -k, axis=1)[:, -k]
-    i, j = np.nonzero((approx >= least[:, None] - SLACK) & (approx > -np.inf))
-    order = np.lexsort((ids[j], -exact(i, j), i))
-    i, j = i[order], j[order]
-    first = np.searchsorted(i, i, side="left")
-    head = np.arange(len(i)) - first < k
-    return i[head], j[head]
+
+    def __init__(self, n: int, k: int, extra: int = 0):
+        self.score, self.id, self.extra = np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.zeros((n, k, extra))
+
+    @property
+    def nbytes(self) -> int:
+        return self.score.nbytes + self.id.nbytes + self.extra.nbytes
+
+    def meet(self, approx: np.ndarray, ids: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray | None]], slack: float = SLACK) -> None:
+        """Takes in a block: ``approx`` scores of each query (row) with each item, -inf is no hit; by exact score, then lower id.
+
+        Equal vectors must score equally wherever they lie, which matrix products do not promise: what comes near the k-th
+        score is scored again pair by pair by ``exact`` (scores and extra numbers of index pairs). ``approx`` may be off by ``slack``.
+        """
+        k, least = self.score.shape[1], self.score[:, -1].copy()
+        short = np.flatnonzero(least == -np.inf)
+        if len(short) and k < approx.shape[1]:
+            least[short] = np.partition(approx[short], -k, axis=1)[:, -k]
+        place = np.flatnonzero((approx >= (np.maximum(least, -1e300) - slack)[:, None]).ravel())
+        for at in range(0, len(place), PAIRS):
+            i, j = np.divmod(place[at : at + PAIRS], approx.shape[1])
+            score, extra = exact(i, j)
+            good = score >= self.score[i, -1]
+            i, j, score = i[good], j[good], score[good]
+            if not len(i):
+                continue
+            who = np.unique(i)
+            old, nth = np.nonzero(self.score[who] > -np.inf)
+            every = np.concatenate([who[old], i]), np.concatenate([self.score[who[old], nth], score]), np.concatenate([self.id[who[old], nth], ids[j]])
+            more = np.concatenate([self.extra[who[old], nth], np.zeros((len(i), 0)) if extra is None else extra[good]])
+            order = np.lexsort((every[2], -every[1], every[0]))
+            i, score, id_ = (x[order] for x in every)
+            nth = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+            head = nth < k
+            i, nth = i[head], nth[head]
+            self.score[i, nth], self.id[i, nth], self.extra[i, nth] = score[head], id_[head], more[order][head]
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray]:
+        """Query and place of each hit."""
+        return np.nonzero(self.score > -np.inf)
+
+
+def gathered(rows: DataFrame, meet: Callable[[dict, dict], None], told: Callable[[dict], pa.RecordBatch], schema: str) -> DataFrame:
+    """For each block of queries what it gathers from all blocks that it meets in a task: ``meet`` is called with what it has gathered
+    (a dict of Best) and a pair of blocks, ``told`` with that and its q_ids when the task ends or holds ``HELD_BYTES``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[bytes, bytes], dict] = {}
+        size = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                key = row["q_ids"], row["q_vectors"]
+                if key not in held:
+                    if size > HELD_BYTES:
+                        yield from (told({"q_ids": np.frombuffer(k[0], np.int64)} | h) for k, h in held.items())
+                        held, size = {}, 0
+                    held[key] = {}
+                    meet(held[key], row)
+                    size += sum(map(len, key)) + sum(b.nbytes for b in held[key].values())
+                else:
+                    meet(held[key], row)
+        yield from (told({"q_ids": np.frombuffer(k[0], np.int64)} | h) for k, h in held.items())
+
+    return rows.mapInArrow(run, schema)
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:

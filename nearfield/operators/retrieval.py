@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from nearfield.functions.schema import CANDIDATE_K, FEATURES, MAX_TOP_K, TOP_K, EmptyCorpusError
 from nearfield.functions.vectors import dot
 from nearfield.functions.weights import as_map, normalise
-from nearfield.operators.blocks import best, blocks, dots, each_pair, pairs, unpacked
+from nearfield.operators.blocks import Best, dots, gathered, pairs, unpacked
 
 if TYPE_CHECKING:
     from nearfield.operators.ann import Index
     from nearfield.operators.threshold import Lists
 
-#: What a pair of blocks leaves.
-HITS = "query_id long, feature string, id long, sim double"
+#: What a block of queries leaves in a task; the fall is the negative similarity, so that hits sort as they rank.
+HITS = "query_id long, feature string, hits array<struct<fall: double, id: long>>"
 FUSED_HITS = "query_id long, id long, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
@@ -30,56 +30,76 @@ def long_features(features: DataFrame, id_col: str, feature_names: tuple[str, ..
     return features.select(F.col(id_col).alias("id"), F.explode(pairs).alias("p")).select("id", "p.feature", "p.vec")
 
 
-def each_nearest(k: int, exclude_self: bool, feature_names: tuple[str, ...]) -> Callable[[dict], pa.RecordBatch | None]:
-    """Of a pair of blocks, the ``k`` nearest items of each query by each feature (unit vectors): query_id, feature, id, sim."""
+def nearest_of(k: int, exclude_self: bool, feature_names: tuple[str, ...]) -> tuple[Callable[[dict, dict], None], Callable[[dict], pa.RecordBatch]]:
+    """For ``gathered``: the ``k`` nearest items of each query by each feature (unit vectors), as a row of HITS for each query and feature."""
 
-    def search(row: dict) -> pa.RecordBatch | None:
+    def meet(held: dict, row: dict) -> None:
         (q_ids, q), (ids, c), at = unpacked(row, "q_"), unpacked(row), np.concatenate(([0], np.cumsum(row["widths"])))
-        same = q_ids[:, None] == ids[None, :] if exclude_self else None
-        parts = []
+        same = np.nonzero(q_ids[:, None] == ids[None, :]) if exclude_self else None
         for name, lo, hi in zip(feature_names, at, at[1:]):
             a, b = q[:, lo:hi], c[:, lo:hi]
             approx = a @ b.T
             if same is not None:
                 approx[same] = -np.inf
-            i, j = best(approx, k, lambda i, j: dots(a[i], b[j]), ids)  # noqa: B023
-            parts.append((q_ids[i], np.full(len(i), name, object), ids[j], dots(a[i], b[j])))
-        query, feature, item, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.RecordBatch.from_pydict({"query_id": query, "feature": pa.array(feature, pa.string()), "id": item, "sim": sim})
+            held.setdefault(name, Best(len(q_ids), k)).meet(approx, ids, lambda i, j: (dots(a[i], b[j]), None))  # noqa: B023
 
-    return search
+    def told(held: dict) -> pa.RecordBatch:
+        query, feature, starts, falls, items = [], [], [0], [], []
+        for name in feature_names:
+            i, nth = held[name].hits()
+            who, count = np.unique(i, return_counts=True)
+            query.append(held["q_ids"][who])
+            feature += [name] * len(who)
+            starts.extend(starts[-1] + np.cumsum(count))
+            falls.append(-held[name].score[i, nth])
+            items.append(held[name].id[i, nth])
+        hits = pa.StructArray.from_arrays([pa.array(np.concatenate(falls)), pa.array(np.concatenate(items))], ["fall", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.array(feature, pa.string()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), hits)], ["query_id", "feature", "hits"])
+
+    return meet, told
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
     """query_id, feature, place, id, sim: the ``k`` nearest items of each query by each feature (unit vectors).
 
-    Both sides meet block by block; a pair of blocks leaves at most ``k`` rows for each query and feature.
+    Both sides meet block by block; a task leaves one row for each query and feature, with at most ``k`` hits, whatever the
+    number of blocks that it meets.
     """
-    met = pairs(queries, corpus, id_col, feature_names)
-    return ranked(each_pair(met, each_nearest(k, exclude_self, feature_names), HITS), ["query_id", "feature"], "sim", k, name="place")
+    found = gathered(pairs(queries, corpus, id_col, feature_names), *nearest_of(k, exclude_self, feature_names), HITS)
+    best = found.groupBy("query_id", "feature").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))  # k of each task
+    rows = best.select("query_id", "feature", F.posexplode("hits").alias("pos", "h"))
+    return rows.select("query_id", "feature", (F.col("pos") + 1).alias("place"), "h.id", (-F.col("h.fall")).alias("sim"))
 
 
-def each_best(weights: dict[str, float], k: int, exclude_self: bool) -> Callable[[dict], pa.RecordBatch]:
-    """Of a pair of blocks, the ``k`` best items of each query by fused score: query_id, id and the six sub-scores."""
+def fused_of(weights: dict[str, float], k: int, exclude_self: bool) -> tuple[Callable[[dict, dict], None], Callable[[dict], pa.RecordBatch]]:
+    """For ``gathered``: the ``k`` best items of each query by fused score, as rows of FUSED_HITS."""
     used = [f for f in FEATURES if weights.get(f)]
 
-    def search(row: dict) -> pa.RecordBatch:
+    def meet(held: dict, row: dict) -> None:
         (q_ids, q), (ids, c), at = unpacked(row, "q_"), unpacked(row), np.concatenate(([0], np.cumsum(row["widths"])))
         side = dict(zip(FEATURES, zip(at, at[1:])))
-        sims = lambda f, i, j: dots(q[i, slice(*side[f])], c[j, slice(*side[f])])
         scale = np.repeat([weights.get(f, 0.0) for f in FEATURES], row["widths"])
         approx = (q * scale) @ c.T
         if exclude_self:
             approx[q_ids[:, None] == ids[None, :]] = -np.inf
-        i, j = best(approx, k, lambda i, j: sum((weights[f] * sims(f, i, j) for f in used), np.zeros(len(i))), ids)
-        return pa.RecordBatch.from_pydict({"query_id": q_ids[i], "id": ids[j], **{f: sims(f, i, j) for f in FEATURES}})
 
-    return search
+        def exact(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sims = np.column_stack([dots(q[i, slice(*side[f])], c[j, slice(*side[f])]) for f in FEATURES])
+            return sum((weights[f] * sims[:, FEATURES.index(f)] for f in used), np.zeros(len(i))), sims
+
+        held.setdefault("best", Best(len(q_ids), k, len(FEATURES))).meet(approx, ids, exact)
+
+    def told(held: dict) -> pa.RecordBatch:
+        best = held["best"]
+        i, nth = best.hits()
+        return pa.RecordBatch.from_pydict({"query_id": held["q_ids"][i], "id": best.id[i, nth], **{f: best.extra[i, nth, n] for n, f in enumerate(FEATURES)}})
+
+    return meet, told
 
 
 def best_fused(corpus: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, exclude_self: bool = False, id_col: str = "id") -> DataFrame:
-    """query_id, id and the six sub-scores: each query's ``k`` best of each block by fused score, its ``k`` best of all among them."""
-    return each_pair(pairs(queries, corpus, id_col, FEATURES), each_best(weights, k, exclude_self), FUSED_HITS)
+    """query_id, id and the six sub-scores: each query's ``k`` best of each task by fused score, its ``k`` best of all among them."""
+    return gathered(pairs(queries, corpus, id_col, FEATURES), *fused_of(weights, k, exclude_self), FUSED_HITS)
 
 
 def ranked(df: DataFrame, by: list[str], score: str, k: int | None, id_col: str = "id", name: str = "rank") -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.schema import EXTRACTOR_VERSION, FEATURES, EmptyCorpusError
 from nearfield.operators import ann
-from nearfield.operators.blocks import BLOCK, SENT_BYTES, asking, blocks, bytes_of, each_pair
-from nearfield.operators.retrieval import FUSED_HITS, each_best, fused, ranked
+from nearfield.operators.blocks import BLOCK, SENT_BYTES, asking, blocks, bytes_of, gathered
+from nearfield.operators.retrieval import FUSED_HITS, fused, fused_of, ranked
 from nearfield.operators.shared import exists, written
 
 #: Items of a cell, rings of a cell at most, and items of a ring (more if a cell has more than so many rings).
@@ -106,7 +106,7 @@ class Lists:
         while not active.isEmpty():
             last = depth > SHARE * total and depth > DEPTH
             asked = written(_asked(active, heads, weights, before, before if last else depth, last))
-            found = each_pair(self._met(asked, active, used, size), each_best(weights, k, exclude_self), FUSED_HITS).withColumn("score", fused(weights))
+            found = gathered(self._met(asked, active, used, size), *fused_of(weights, k, exclude_self), FUSED_HITS).withColumn("score", fused(weights))
             tops = written(ranked(tops.unionByName(found).dropDuplicates(["query_id", "id"]), ["query_id"], "score", k).drop("rank"))
             marks = asked.filter("feature IS NULL")
             looked = written(looked.unionByName(marks.select("query_id", "looked")).groupBy("query_id").agg(F.sum("looked").alias("looked")))
