@@ -117,7 +117,8 @@ class Best:
         short = np.flatnonzero(least == -np.inf)
         if len(short) and k < approx.shape[1]:
             least[short] = np.partition(approx[short], -k, axis=1)[:, -k]
-        place = np.flatnonzero((approx >= (np.maximum(least, -1e300) - slack)[:, None]).ravel())
+        least = (np.maximum(least, np.finfo(approx.dtype).min / 4) - slack).astype(approx.dtype)
+        place = np.flatnonzero((approx >= least[:, None]).ravel())
         for at in range(0, len(place), PAIRS):
             i, j = np.divmod(place[at : at + PAIRS], approx.shape[1])
             score, extra = exact(i, j)

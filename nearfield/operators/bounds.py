@@ -13,10 +13,13 @@ from nearfield.functions.schema import FEATURES
 from nearfield.operators import ann, blocks
 from nearfield.operators.shared import row_numbers, written
 
-#: Blocks up to which all pairs are met, as bounds cost more than they save; blocks of a tile; blocks that a task meets in turn.
-FEW, TILE, MET = 16, 8, 64
+#: Blocks up to which all pairs are met, as bounds cost more than they save; full blocks that a tile holds, and that a task meets in
+#: turn: every block goes to each tile, and every tile to each turn, so few and large ones keep what is dealt small.
+FEW, TILE, MET = 16, 64, 64
 #: Heads of blocks that are compared at a time; blocks that each block meets before bounds are known.
 HEADS, FIRST = 256, 4
+#: Labels by which cells are made larger at most, so that blocks of one label are full.
+LABELS = 64
 #: Bounds may fall below the scores that they bound by this much, as both are rounded.
 SLACK = 1e-9
 
@@ -35,17 +38,21 @@ def near_blocks(features: DataFrame, id_col: str, label: str, weights: Weights,
     few = n <= FEW * min(blocks.BLOCK, blocks.BLOCK_BYTES // max(1, blocks.bytes_of(features, FEATURES)))
     if not few:
         rows = features.select(F.col(id_col).alias("id"), scaled.alias("v"))
-        cells = ann.celled(rows, "v", ann.fit(rows, "v", n, cell=blocks.BLOCK), "id", 1).select(F.col("id").alias("__nf_id"), "cell")
+        labels = min(LABELS, features.select(mark.alias("m")).distinct().count()) if by_label else 1  # a cell is cut by labels
+        cells = ann.celled(rows, "v", ann.fit(rows, "v", n, cell=blocks.BLOCK * labels), "id", 1).select(F.col("id").alias("__nf_id"), "cell")
         features = features.join(cells, F.col(id_col) == F.col("__nf_id")).withColumn("__nf_by", F.when(F.lit(by_label), F.xxhash64(mark, F.col("cell"))).otherwise(F.col("cell")))
-        dealt = features.repartitionByRange("__nf_by", id_col).sortWithinPartitions("__nf_by", id_col)
+        parts = max(features.sparkSession.sparkContext.defaultParallelism, -(-n // (TILE * blocks.BLOCK)))
+        dealt = features.repartitionByRange(parts, "__nf_by", id_col).sortWithinPartitions("__nf_by", id_col)
     else:
         dealt = features.withColumn("__nf_by", mark).repartition(max(1, FEW), F.col(id_col)).sortWithinPartitions("__nf_by", id_col)
     packed = blocks.blocks(dealt, id_col, FEATURES, F.col(label), by=F.col("__nf_by"))
-    layout = "ids binary, labels array<string>, widths array<int>, vectors binary, centre binary, norms array<double>, radii array<double>"
+    layout = "ids binary, labels array<string>, widths array<int>, vectors binary, centre binary, norms array<double>, radii array<double>, tile long"
     lists = {"labels": pa.string(), "widths": pa.int32(), "norms": pa.float64(), "radii": pa.float64()}
-    kinds = pa.schema([(c, pa.list_(lists[c]) if c in lists else pa.binary()) for c in ("ids", "labels", "widths", "vectors", "centre", "norms", "radii")])
+    kinds = pa.schema([(c, pa.list_(lists[c]) if c in lists else pa.binary()) for c in ("ids", "labels", "widths", "vectors", "centre", "norms", "radii")] + [("tile", pa.int64())])
+    room = TILE * blocks.BLOCK
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = held = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
@@ -54,12 +61,14 @@ def near_blocks(features: DataFrame, id_col: str, label: str, weights: Weights,
                 parts = [slice(a, b) for a, b in zip(at, at[1:])]
                 norms = [float(np.linalg.norm(mean[s])) for s in parts]
                 radii = [float(np.linalg.norm(v[:, s] - mean[s], axis=1).max()) for s in parts]
-                one = {c: row[c] for c in ("ids", "labels", "widths", "vectors")} | {"centre": mean.tobytes(), "norms": norms, "radii": radii}
+                if held and held + len(v) > room:
+                    tile, held = tile + 1, 0
+                held += len(v)
+                one = {c: row[c] for c in ("ids", "labels", "widths", "vectors")} | {"tile": tile, "centre": mean.tobytes(), "norms": norms, "radii": radii}
                 yield pa.RecordBatch.from_pylist([one], schema=kinds)
 
     numbered = packed.mapInArrow(summed, layout).withColumn("block", F.monotonically_increasing_id())
-    tile = F.shiftleft(F.shiftright("block", 33), 33) + F.floor(F.col("block").bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(TILE))
-    return written(numbered.withColumn("tile", tile.cast("long"))), few
+    return written(numbered.withColumn("tile", F.shiftleft(F.shiftright("block", 33), 33) + F.col("tile"))), few
 
 
 def upper(a: dict, b: dict, weights: Weights) -> np.ndarray:
@@ -117,8 +126,9 @@ def meet(packed: DataFrame, pairs: DataFrame, fn: Callable[[dict, dict], None],
     A met block is sent once to each tile (consecutive blocks, which a task holds) that has a block that asks for it.
     """
     asks = pairs.join(packed.select(F.col("block").alias("asking"), "tile"), "asking").groupBy("tile", F.col("met").alias("block")).agg(F.collect_set("asking").alias("by"))
-    shared = F.floor((F.row_number().over(Window.partitionBy("tile").orderBy("block")) - 1) / MET).cast("int")
-    asks = written(asks.withColumn("share", shared))
+    before = F.sum("n").over(Window.partitionBy("tile").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    shared = F.floor(F.coalesce(before, F.lit(0)) / (MET * blocks.BLOCK)).cast("int")
+    asks = written(asks.join(packed.select("block", F.size("labels").alias("n")), "block").withColumn("share", shared).drop("n"))
     payload = packed.select("block", "ids", "labels", "widths", "vectors")
     own = asks.groupBy("tile", "share").agg(F.flatten(F.collect_set("by")).alias("by")).select("tile", "share", F.explode(F.array_distinct("by")).alias("block"))
     rows = asks.select("tile", "share", F.lit(False).alias("own"), "block", "by").unionByName(own.select("tile", "share", F.lit(True).alias("own"), "block", F.array().cast("array<long>").alias("by")))

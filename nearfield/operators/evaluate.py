@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from nearfield.functions.schema import DEFAULT_WEIGHTS, EVAL_TOP_K, FEATURES, EvaluationError
 from nearfield.functions.weights import ablations, as_map, normalise
 from nearfield.operators import bounds
+from nearfield.operators.blocks import SLACK, Best, dots
 from nearfield.operators.retrieval import ranked
 from nearfield.operators.shared import written
 
+#: Products of single precision differ from those of double by no more than this share of the lengths and the largest weight.
+ROUGH = 2e-5
+
 
 def labelled(features: DataFrame, items: DataFrame, id_col: str, label: str, dims: dict[str, int] | None = None) -> DataFrame:
     """Features joined to labels; a null vector, or one of the wrong width, is an error when the rows are read. Kept tables of the same
@@ -149,7 +153,7 @@ def _numbered(labels: list) -> tuple[list, np.ndarray]:
 def leave_one_out(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> DataFrame:
     """variant, query_id, query_label, id, label, score, rank, rel: each item's ``top_k`` others under each variant's weights.
 
-    Weighted sums of cosines are products of vectors scaled by the roots of the weights. Ties go to the lower id; an item is
+    Blocks meet in single precision first; what reaches an item's ``top_k``-th score is scored in double. Ties go to the lower id; an item is
     never its own result. Items lie in blocks of near ones. Each block first meets itself and those of the highest
     bounds, which gives every item a ``top_k``-th score; then it meets only blocks whose bound reaches the least of these in it.
     """
@@ -158,26 +162,38 @@ def leave_one_out(features: DataFrame, id_col: str, label: str, variants: dict[s
 
 def _hits_of(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hits among which the best are, blocks, and the pairs of them that met."""
-    scales = {v: np.sqrt([w.get(f, 0.0) for f in FEATURES]) for v, w in variants.items()}
     mean = {f: float(np.mean([w.get(f, 0.0) for w in variants.values()])) for f in FEATURES}
     packed, few = bounds.near_blocks(features, id_col, label, mean)
 
     def search(own: dict, row: dict) -> None:
-        q_ids, ids, labels, held = own["ids"], row["ids"], np.array(row["labels"], object), own.setdefault("held", {})
-        for v, s in scales.items():
-            scale = np.repeat(s, row["widths"])
-            scores = (own["vectors"] * scale) @ (row["vectors"] * scale).T
-            scores[q_ids[:, None] == ids[None, :]] = -np.inf
-            top, at = _top(scores, ids, top_k)
-            new = (ids[at], top, labels[at])
-            if v in held:
-                new = tuple(np.hstack(x) for x in zip(held[v], new, strict=True))
-                order = np.lexsort((new[0], -new[1]), axis=1)[:, :top_k]
-                new = tuple(np.take_along_axis(x, order, 1) for x in new)
-            held[v] = new
+        at = np.concatenate(([0], np.cumsum(row["widths"])))
+        side = dict(zip(FEATURES, zip(at, at[1:])))
+        held, codes, names = own.setdefault("held", {}), own.setdefault("codes", {}), np.array(row["labels"], object)
+        code = np.array([codes.setdefault(x, len(codes)) for x in names], float)
+        # Products are worked out once by feature, roughly, for all variants; what may be a hit is scored again in double.
+        a, b = (own.setdefault("single", own["vectors"].astype(np.float32)), row["vectors"].astype(np.float32))
+        used = [f for f in FEATURES if any(w.get(f) for w in variants.values())]
+        rough = {f: a[:, slice(*side[f])] @ b[:, slice(*side[f])].T for f in used} if len(variants) > 1 else {}
+        longest = [float(np.sqrt((x.astype(float) ** 2).sum(1).max(initial=0.0))) for x in (a, b)]
+        itself = np.nonzero(own["ids"][:, None] == row["ids"][None, :])
+        for v, w in variants.items():
+            mine = [f for f in FEATURES if w.get(f)]
+            if rough:
+                approx = np.zeros((len(a), len(b)), np.float32)
+                for f in mine:
+                    approx += np.float32(w[f]) * rough[f]
+            else:
+                approx = (a * np.repeat([w.get(f, 0.0) for f in FEATURES], row["widths"]).astype(np.float32)) @ b.T
+            approx[itself] = -np.inf
+
+            def exact(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                sims = (w[f] * dots(own["vectors"][i, slice(*side[f])], row["vectors"][j, slice(*side[f])]) for f in mine)  # noqa: B023
+                return sum(sims, np.zeros(len(i))), code[j][:, None]
+
+            held.setdefault(v, Best(len(own["ids"]), top_k, 1)).meet(approx, row["ids"], exact, SLACK + ROUGH * max(w.values()) * longest[0] * longest[1])
 
     def done(own: dict) -> pa.RecordBatch | None:
-        return _hits(own["held"], own["block"], own["ids"], own["labels"]) if "held" in own else None
+        return _hits(own["held"], own["block"], own["ids"], own["labels"], own["codes"]) if "held" in own else None
 
     schema = "variant string, query_id long, query_label string, id long, label string, score double, rel int, block long"
     if few:
@@ -202,28 +218,14 @@ def pairs_met(features: DataFrame, id_col: str, label: str, variants: dict[str,
     return counted.select("blocks", (F.col("blocks") * F.col("blocks")).alias("pairs"), "met", F.round(1 - F.col("met") / (F.col("blocks") * F.col("blocks")), 4).alias("skipped"))
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best scores of each row and their places, ties at the edge to the lower id."""
-    if k < scores.shape[1]:
-        least = np.partition(scores, -k, axis=1)[:, -k]
-        near = scores >= least[:, None]
-        if near.sum(1).max() <= 4 * k:
-            width = int(near.sum(1).max())
-            places = np.argsort(~near, axis=1, kind="stable")[:, :width]
-            few = np.where(np.take_along_axis(near, places, 1), np.take_along_axis(scores, places, 1), -np.inf)
-            order = np.lexsort((ids[places], -few), axis=1)[:, :k]
-            return np.take_along_axis(few, order, 1), np.take_along_axis(places, order, 1)
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), order
-
-
-def _hits(held: dict, block: int, q_ids: np.ndarray, q_labels: list) -> pa.RecordBatch:
-    names, own = ["variant", "query_id", "query_label", "id", "label", "score", "rel", "block"], np.array(q_labels, object)
+def _hits(held: dict[str, Best], block: int, q_ids: np.ndarray, q_labels: list, codes: dict) -> pa.RecordBatch:
+    names, own, known = ["variant", "query_id", "query_label", "id", "label", "score", "rel", "block"], np.array(q_labels, object), np.array(list(codes), object)
     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64())
     parts = []
-    for v, (ids, scores, labels) in held.items():
-        i, j = np.nonzero(scores > -np.inf)
-        cols = (np.full(len(i), v, object), q_ids[i], own[i], ids[i, j], labels[i, j], scores[i, j], (labels[i, j] == own[i]).astype(np.int32), np.full(len(i), block))
+    for v, best in held.items():
+        i, j = best.hits()
+        labels = known[best.extra[i, j, 0].astype(int)]
+        cols = (np.full(len(i), v, object), q_ids[i], own[i], best.id[i, j], labels, best.score[i, j], (labels == own[i]).astype(np.int32), np.full(len(i), block))
         parts.append(cols)
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)], names)
 

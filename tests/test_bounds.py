@@ -77,3 +77,11 @@ def test_label_pairs(spark, small):
     assert got.keys() == found.keys()
     for k, x in found.items():
         assert got[k][0] == len(x) and got[k][1:] == pytest.approx((np.mean(x), max(x)), abs=1e-9)
+
+
+def test_tiles_are_full_of_small_blocks(spark, small):
+    df, _, _ = items(spark, 160, labels=40)
+    packed, few = bounds.near_blocks(df, "id", "label", DEFAULT_WEIGHTS, by_label=True)
+    rows = packed.selectExpr("tile", "size(labels) AS n").collect()
+    assert not few and sum(r["n"] for r in rows) == 160
+    assert len({r["tile"] for r in rows}) <= 3 * 7  # seven times three blocks of eight, and what is left over in a partition
