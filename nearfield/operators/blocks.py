@@ -55,6 +55,23 @@ def _matrix(column: pa.Array, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def joined(packed: DataFrame) -> DataFrame:
+    """ids, widths, vectors: small blocks that lie side by side as full ones."""
+    layout, most = pa.schema([("ids", pa.binary()), ("widths", pa.list_(pa.int32())), ("vectors", pa.binary())]), 8 * BLOCK
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for row in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            if held and sum(len(r["ids"]) for r in held) + len(row["ids"]) > most:
+                yield pa.RecordBatch.from_pylist([held[0] | {c: b"".join(r[c] for r in held) for c in ("ids", "vectors")}], schema=layout)
+                held = []
+            held.append(row)
+        if held:
+            yield pa.RecordBatch.from_pylist([held[0] | {c: b"".join(r[c] for r in held) for c in ("ids", "vectors")}], schema=layout)
+
+    return packed.select("ids", "widths", "vectors").mapInArrow(run, "ids binary, widths array<int>, vectors binary")
+
+
 def asking(df: DataFrame) -> DataFrame:
     """Blocks as the asking side: q_ columns."""
     return df.select(*[F.col(c).alias(f"q_{c}") for c in df.columns])
@@ -63,10 +80,15 @@ def asking(df: DataFrame) -> DataFrame:
 def pairs(queries: DataFrame, corpus: DataFrame, id_col: str, names: tuple[str, ...]) -> DataFrame:
     """Blocks of ``queries`` (q_ columns) with every block of ``corpus``. Queries of checked size are broadcast, and the
     corpus then stays where it lies; more are dealt, and the blocks joined without it."""
+    return crossed(queries, blocks(corpus, id_col, names), id_col, names)
+
+
+def crossed(queries: DataFrame, packed: DataFrame, id_col: str, names: tuple[str, ...]) -> DataFrame:
+    """The same with a corpus that lies in blocks."""
     size = queries.count() * bytes_of(queries, names)
     small = size <= SENT_BYTES
     q = asking(blocks(queries.coalesce(1) if small else queries.repartition(F.col(id_col)), id_col, names))
-    return (F.broadcast(q) if small else q).crossJoin(blocks(corpus, id_col, names))  # of blocks, for a stated set of queries
+    return (F.broadcast(q) if small else q).crossJoin(packed)  # of blocks, for a stated set of queries
 
 
 def bytes_of(df: DataFrame, names: tuple[str, ...]) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.schema import EXTRACTOR_VERSION, FEATURES, EmptyCorpusError
 from nearfield.operators import ann
-from nearfield.operators.blocks import BLOCK, SENT_BYTES, asking, blocks, bytes_of, gathered
+from nearfield.operators.blocks import BLOCK, SENT_BYTES, asking, blocks, bytes_of, crossed, gathered, joined
 from nearfield.operators.retrieval import FUSED_HITS, fused, fused_of, ranked
 from nearfield.operators.shared import exists, written
 
@@ -21,6 +21,8 @@ from nearfield.operators.shared import exists, written
 CELL, RINGS, RING = 64, 16, 64
 #: Items of each list that are read first, how many times as many next, and the share of a list after which one list does the rest.
 DEPTH, TIMES, SHARE = 256, 4, 0.125
+#: Rows that queries are dealt to rings in at most, after the first round, as a multiple of all items.
+DEALT = 6
 #: Angles come from rounded products, and scores from rounded sums: bounds are wider by this much.
 ANGLE_SLACK, SLACK = 1e-6, 1e-9
 #: Queries whose bounds are worked out at a time.
@@ -95,6 +97,9 @@ class Lists:
         yet scores at most the sum of what their next rings can give: once the k-th score is higher, or a list is at
         its end, the query is closed. Queries that are still open when ``SHARE`` of the lists is read take what rest of the
         heaviest list can matter, as every item stands in it: no query is held against more than 1 + 6 * SHARE times all items, up to whole rings.
+
+        A query's vectors are dealt to each ring that it asks for. Where a round after the first, or that rest, would deal more rows than
+        ``DEALT`` times all items, the open queries go to the blocks of the heaviest list instead, and meet all of it.
         """
         used = [f for f in FEATURES if weights.get(f, 0.0) > 0]
         heads, total = self._heads(used)
@@ -105,6 +110,17 @@ class Lists:
         active, before, depth = asks.withColumn("kth", F.lit(None).cast("double")), 0, DEPTH
         while not active.isEmpty():
             last = depth > SHARE * total and depth > DEPTH
+            if before:
+                rings = {f: len(heads[f]["at"]) / total for f in used}
+                last = last or active.count() * (depth - before) * sum(rings.values()) > DEALT * total
+                main = max(used, key=lambda f: weights[f])
+                if last and _asked(active, heads, weights, before, before, last, False).agg(F.sum("looked")).first()[0] * rings[main] > DEALT * total:
+                    every = joined(self._stored().filter(F.col("feature") == main))
+                    found = gathered(crossed(active.drop("kth"), every, "id", FEATURES), *fused_of(weights, k, exclude_self), FUSED_HITS).withColumn("score", fused(weights))
+                    tops = written(ranked(tops.unionByName(found).dropDuplicates(["query_id", "id"]), ["query_id"], "score", k).drop("rank"))
+                    rest = active.select(F.col("id").alias("query_id"), F.lit(total).cast("long").alias("looked"))
+                    looked = looked.unionByName(rest).groupBy("query_id").agg(F.sum("looked").alias("looked"))
+                    break
             asked = written(_asked(active, heads, weights, before, before if last else depth, last))
             found = gathered(self._met(asked, active, used, size), *fused_of(weights, k, exclude_self), FUSED_HITS).withColumn("score", fused(weights))
             tops = written(ranked(tops.unionByName(found).dropDuplicates(["query_id", "id"]), ["query_id"], "score", k).drop("rank"))
@@ -126,10 +142,13 @@ class Lists:
             out[f] = {"centres": np.array([r["centre"] for r in cells if r["feature"] == f])} | {c: mine[c].to_numpy() for c in ("at", "n", "low", "high", "shortest", "longest")}
         return out, int(out[used[0]]["n"].sum())
 
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema("widths array<int>, ids binary, vectors binary, at long, feature string, cell long").parquet(self._at("blocks"))
+
     def _met(self, asked: DataFrame, active: DataFrame, used: list[str], size: int) -> DataFrame:
         """Blocks of queries (q_ columns) with the blocks of the rings that they ask for; other cells' files are not read."""
         cells = asked.filter("feature IS NOT NULL").groupBy("feature", F.floor(F.col("at") / RINGS).alias("cell")).agg(F.count("*").alias("n")).collect()  # of CENTRES a feature
-        stored = self.spark.read.schema("widths array<int>, ids binary, vectors binary, at long, feature string, cell long").parquet(self._at("blocks"))
+        stored = self._stored()
         met = []
         for f in used:
             mine = {r["cell"]: r["n"] for r in cells if r["feature"] == f}
@@ -182,11 +201,12 @@ def highest(q: np.ndarray, head: dict[str, np.ndarray]) -> np.ndarray:
     return length[:, None] * np.maximum(cos * head["longest"], cos * head["shortest"])
 
 
-def _asked(active: DataFrame, heads: dict[str, dict[str, np.ndarray]], weights: dict[str, float], before: int, depth: int, last: bool) -> DataFrame:
+def _asked(active: DataFrame, heads: dict[str, dict[str, np.ndarray]], weights: dict[str, float], before: int, depth: int, last: bool, rings: bool = True) -> DataFrame:
     """query_id, feature, at: the rings from ``before`` items of each list to ``depth``; and a row without feature for each
     query, with the bound of what it has not read then (null: it has read all) and looked, the items of its rings.
 
-    With ``last`` the rings of the heaviest list beyond ``before`` in which an item may come up to kth.
+    With ``last`` the rings of the heaviest list beyond ``before`` in which an item may come up to kth. Without ``rings`` only the
+    rows without feature.
     """
     kept, main = active.sparkSession.sparkContext.broadcast(heads), max(heads, key=lambda f: weights[f])
     layout = pa.schema([("query_id", pa.int64()), ("feature", pa.string()), ("at", pa.int64()), ("bound", pa.float64()), ("looked", pa.int64())])
@@ -213,13 +233,13 @@ def _asked(active: DataFrame, heads: dict[str, dict[str, np.ndarray]], weights:
                         elif not last:
                             at[i].append((f, head["at"][order[i, old:new]]))
                             looked[i] += head["n"][order[i, old:new]].sum()
-                for i, (rings, top, next_) in rest.items():
+                for i, (unread, top, next_) in rest.items():
                     others = bound[i] - weights[main] * next_
-                    good = rings if kth[i] is None else rings[weights[main] * top + others + SLACK >= kth[i]]
+                    good = unread if kth[i] is None else unread[weights[main] * top + others + SLACK >= kth[i]]
                     at[i].append((main, kept.value[main]["at"][good]))
                     looked[i] += kept.value[main]["n"][good].sum()
                 rows = [{"query_id": int(q), "bound": None if last or ended[i] else float(bound[i]), "looked": int(looked[i])} for i, q in enumerate(ids)]
-                rows += [{"query_id": int(q), "feature": f, "at": int(x)} for i, q in enumerate(ids) for f, rings in at[i] for x in rings]
+                rows += [{"query_id": int(q), "feature": f, "at": int(x)} for i, q in enumerate(ids) if rings for f, mine in at[i] for x in mine]
                 yield pa.RecordBatch.from_pylist(rows, schema=layout)
 
     return active.select("id", "kth", *heads).mapInArrow(run, "query_id long, feature string, at long, bound double, looked long")

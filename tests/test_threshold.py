@@ -95,3 +95,15 @@ def test_errors(spark, tmp_path):
     for bad in ({"mode": "candidate"}, {"mode": "exact", "role": "corpus"}):
         with pytest.raises(ValueError):
             retrieval.search(f, f, lists=lists, **bad)
+
+
+def test_what_would_deal_too_much_is_scanned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(threshold, "DEPTH", 16)
+    monkeypatch.setattr(threshold, "DEALT", 0)
+    met, rounds = threshold.Lists._met, []
+    monkeypatch.setattr(threshold.Lists, "_met", lambda self, *a: rounds.append(1) or met(self, *a))
+    f = table(spark, 900, 0)
+    lists, asks = threshold.Lists(spark, str(tmp_path / "lists")).build(f), f.filter("id % 20 = 0")
+    want = results(retrieval.search(f, asks, None, 5, "exact", exclude_self=True))
+    assert want and results(retrieval.search(f, asks, None, 5, "exact", exclude_self=True, lists=lists)) == want
+    assert len(rounds) == 1  # vectors were dealt to rings once
