@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.schema import CANDIDATE_K, EXTRACTOR_VERSION, FEATURES, EmptyCorpusError
 from nearfield.operators.blocks import SENT_BYTES, asking, blocks, dots, each_pair
-from nearfield.operators.retrieval import ranked
+from nearfield.operators.retrieval import HITS, hits_batch, merged, rows_of
 from nearfield.operators.shared import exists, written
 
 # Links of a node, and nodes that are looked at to choose them.
@@ -291,15 +291,15 @@ class Index:
         return out
 
     def walked(self, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", ef_search: int = EF_SEARCH, probes: int = PROBES) -> DataFrame:
-        """query_id, feature, id, sim, looked: of each graph a query's ``k`` best; how many vectors its walk there looked at stands in the first of them."""
+        """HITS and looked: of each graph a query's ``k`` best, and how many vectors its walk there looked at."""
         found = []
         for f, pairs in self.met(queries, probes, id_col).items():
-            found.append(each_pair(pairs, _walks(f, k, exclude_self, max(ef_search, k + 1)), "query_id long, feature string, id long, sim double, looked long"))
+            found.append(each_pair(pairs, _walks(f, k, exclude_self, max(ef_search, k + 1)), f"{HITS}, looked long"))
         return reduce(DataFrame.unionByName, found)
 
     def nearest(self, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", ef_search: int = EF_SEARCH, probes: int = PROBES) -> DataFrame:
         """As ``retrieval.nearest``: query_id, feature, place, id, sim, of the items that walks of ``ef_search`` nodes (k + 1 at least) find."""
-        return ranked(self.walked(queries, k, exclude_self, id_col, ef_search, probes).drop("looked"), ["query_id", "feature"], "sim", k, name="place")
+        return rows_of(self.walked(queries, k, exclude_self, id_col, ef_search, probes), k, self.features)
 
 
 def _walks(feature: str, k: int, exclude_self: bool, ef: int):
@@ -315,8 +315,9 @@ def _walks(feature: str, k: int, exclude_self: bool, ef: int):
         order = np.lexsort((ids[j], -sim, i))
         i, j, sim = i[order], j[order], sim[order]
         nth = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j, sim, nth = (x[nth < k] for x in (i, j, sim, nth))
-        return pa.RecordBatch.from_pydict({"query_id": q_ids[i], "feature": pa.array([feature] * len(i), pa.string()), "id": ids[j], "sim": sim, "looked": np.where(nth == 0, seen.sum(1)[i], 0)})
+        i, j, sim = (x[nth < k] for x in (i, j, sim))
+        hits = hits_batch(q_ids, [feature] * len(q_ids), np.append(0, np.cumsum(np.bincount(i, minlength=len(q_ids)))), ids[j], sim)
+        return hits.append_column("looked", pa.array(seen.sum(1)))
 
     return search
 
@@ -336,6 +337,23 @@ def _rows(graphs: DataFrame) -> DataFrame:
     return graphs.select("ids", "vectors", "cell").mapInArrow(run, "id long, v array<double>, cell long")
 
 
+def recall_of(found: DataFrame, exact: DataFrame, k: int, feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """The same of the ``k`` best hits out of HITS: both sides' hits of a query meet in one task, and only the numbers leave it."""
+    sides = tuple(f"{side}.{f}" for f in feature_names for side in ("exact", "found"))
+    named = [df.select("query_id", F.concat(F.lit(f"{side}."), F.col("feature")).alias("feature"), "hits", "sims") for side, df in (("exact", exact), ("found", found))]
+
+    def tell(query: np.ndarray, feature: np.ndarray, place: np.ndarray, sim: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
+        rows = []
+        for n, f in enumerate(feature_names):
+            want, got = (np.rec.fromarrays([query[feature == c], id_[feature == c]]) for c in (2 * n, 2 * n + 1))
+            rows.append({"feature": f, "n_exact": len(want), "n_found": int(np.isin(want, got).sum())})
+        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("feature", pa.string()), ("n_exact", pa.int64()), ("n_found", pa.int64())]))
+
+    parts = merged(named[0].unionByName(named[1]), k, sides, tell, "feature string, n_exact long, n_found long")
+    sums = parts.groupBy("feature").agg(F.sum("n_exact").alias("n_exact"), F.sum("n_found").alias("n_found"))
+    return sums.filter("n_exact > 0").withColumn("recall", F.round(F.col("n_found") / F.col("n_exact"), 4))
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """feature, n_exact, n_found, recall of (query_id, feature, id) rows."""
     by = ["query_id", "feature", "id"]

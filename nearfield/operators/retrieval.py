@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,11 @@ if TYPE_CHECKING:
     from nearfield.operators.ann import Index
     from nearfield.operators.threshold import Lists
 
-#: What a block of queries leaves in a task; the fall is the negative similarity, so that hits sort as they rank.
-HITS = "query_id long, feature string, hits array<struct<fall: double, id: long>>"
+#: What a task leaves of a query and feature: ids and similarities of its best hits.
+HITS = "query_id long, feature string, hits array<long>, sims array<double>"
+NEAREST = "query_id long, feature string, place int, id long, sim double"
+#: Hits that wait in a task before they are sorted in, if no more are held already, and queries that are told at a time.
+WAITING, TOLD = 1 << 20, 256
 FUSED_HITS = "query_id long, id long, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
@@ -44,31 +48,105 @@ def nearest_of(k: int, exclude_self: bool, feature_names: tuple[str, ...]) -> tu
             held.setdefault(name, Best(len(q_ids), k)).meet(approx, ids, lambda i, j: (dots(a[i], b[j]), None))  # noqa: B023
 
     def told(held: dict) -> pa.RecordBatch:
-        query, feature, starts, falls, items = [], [], [0], [], []
+        query, feature, starts, sims, items = [], [], [0], [], []
         for name in feature_names:
             i, nth = held[name].hits()
             who, count = np.unique(i, return_counts=True)
             query.append(held["q_ids"][who])
             feature += [name] * len(who)
             starts.extend(starts[-1] + np.cumsum(count))
-            falls.append(-held[name].score[i, nth])
+            sims.append(held[name].score[i, nth])
             items.append(held[name].id[i, nth])
-        hits = pa.StructArray.from_arrays([pa.array(np.concatenate(falls)), pa.array(np.concatenate(items))], ["fall", "id"])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.array(feature, pa.string()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), hits)], ["query_id", "feature", "hits"])
+        return hits_batch(np.concatenate(query), feature, starts, np.concatenate(items), np.concatenate(sims))
 
     return meet, told
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
-    """query_id, feature, place, id, sim: the ``k`` nearest items of each query by each feature (unit vectors).
+def hits_batch(query: np.ndarray, feature: list[str], starts: Iterable[int], ids: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
+    """Rows of HITS, of which each has the hits from its start to the next one's."""
+    starts = pa.array(starts, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(feature, pa.string()), pa.ListArray.from_arrays(starts, pa.array(ids)), pa.ListArray.from_arrays(starts, pa.array(sims))], ["query_id", "feature", "hits", "sims"])
+
+
+def merged(found: DataFrame, k: int, feature_names: tuple[str, ...], tell: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``tell`` makes of each query's ``k`` best hits by feature, out of what all tasks left of it (HITS).
+
+    Queries are dealt by id, and their best hits so far are kept in arrays: a task holds the hits of its own queries, whatever the
+    number of tasks that found some, and Spark neither sorts nor hashes them. ``tell`` gets a few queries at a time: query, number of the
+    feature, place from 1, similarity and id of each hit, in order.
+    """
+    names = pa.array(feature_names, pa.string())
+
+    def best(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        query, feature, _, sim, id_ = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((id_, -sim, feature, query))
+        query, feature, sim, id_ = (x[order] for x in (query, feature, sim, id_))
+        first = np.flatnonzero(np.append(True, (np.diff(query) != 0) | (np.diff(feature) != 0)))
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) + 1
+        return tuple(x[place <= k] for x in (query, feature, place, sim, id_))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, n = [], [], 0
+        for batch in batches:
+            count = pc.list_value_length(batch.column("hits")).to_numpy(zero_copy_only=False)
+            ids, sims = (batch.column(c).flatten().to_numpy() for c in ("hits", "sims"))
+            if not len(ids):
+                continue
+            feature = pc.index_in(batch.column("feature"), names).to_numpy()
+            waiting.append((np.repeat(batch.column("query_id").to_numpy(), count), np.repeat(feature, count), np.zeros(len(ids), int), sims, ids))
+            n += len(ids)
+            if n > max(WAITING, sum(len(x[0]) for x in held)):
+                held, waiting, n = [best(held + waiting)], [], 0
+        if held or waiting:
+            hits = best(held + waiting)
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(hits[0]) != 0))[::TOLD], len(hits[0]))
+            yield from (tell(*(x[lo:hi] for x in hits)) for lo, hi in zip(edges, edges[1:]))
+
+    return found.select("query_id", "feature", "hits", "sims").repartition("query_id").mapInArrow(run, schema)
+
+
+def rows_of(found: DataFrame, k: int, feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """query_id, feature, place, id, sim: the ``k`` best hits out of HITS."""
+    names = pa.array(feature_names, pa.string())
+
+    def tell(query: np.ndarray, feature: np.ndarray, place: np.ndarray, sim: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(query), names.take(pa.array(feature)), pa.array(place, pa.int32()), pa.array(id_), pa.array(sim)], ["query_id", "feature", "place", "id", "sim"])
+
+    return merged(found, k, feature_names, tell, NEAREST)
+
+
+def lists_of(found: DataFrame, k: int, feature_names: tuple[str, ...] = FEATURES, missing: float | None = 0.0) -> DataFrame:
+    """query_id, found: a row for each query with the union of each feature's ``k`` best hits out of HITS, by id: structs of id and the
+    features, ``missing`` where a feature did not propose the item."""
+
+    def tell(query: np.ndarray, feature: np.ndarray, place: np.ndarray, sim: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((id_, query))[::-1]  # backwards, so that of an item that comes twice the better one stays
+        query, id_ = query[order], id_[order]
+        new = np.append(True, (np.diff(query) != 0) | (np.diff(id_) != 0))
+        at = np.cumsum(new) - 1
+        at = at[-1] - at
+        sims, gone = np.full((at[0] + 1, len(feature_names)), missing or 0.0), np.full((at[0] + 1, len(feature_names)), missing is None)
+        sims[at, feature[order]], gone[at, feature[order]] = sim[order], False
+        query, id_ = query[new][::-1], id_[new][::-1]
+        who, first = np.unique(query, return_index=True)
+        items = pa.StructArray.from_arrays([pa.array(id_), *[pa.array(np.ascontiguousarray(sims[:, n]), mask=gone[:, n]) for n in range(len(feature_names))]], ["id", *feature_names])
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.ListArray.from_arrays(pa.array(np.append(first, len(query)), pa.int32()), items)], ["query_id", "found"])
+
+    return merged(found, k, feature_names, tell, f"query_id long, found array<struct<id: long, {', '.join(f'{f}: double' for f in feature_names)}>>")
+
+
+def near_hits(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """HITS: of each query and feature the ``k`` nearest items (unit vectors) that a task has met, the ``k`` nearest of all among them.
 
     Both sides meet block by block; a task leaves one row for each query and feature, with at most ``k`` hits, whatever the
     number of blocks that it meets.
     """
-    found = gathered(pairs(queries, corpus, id_col, feature_names), *nearest_of(k, exclude_self, feature_names), HITS)
-    best = found.groupBy("query_id", "feature").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))  # k of each task
-    rows = best.select("query_id", "feature", F.posexplode("hits").alias("pos", "h"))
-    return rows.select("query_id", "feature", (F.col("pos") + 1).alias("place"), "h.id", (-F.col("h.fall")).alias("sim"))
+    return gathered(pairs(queries, corpus, id_col, feature_names), *nearest_of(k, exclude_self, feature_names), HITS)
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int = CANDIDATE_K, exclude_self: bool = False, id_col: str = "id", feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """query_id, feature, place, id, sim: the ``k`` nearest items of each query by each feature (unit vectors)."""
+    return rows_of(near_hits(corpus, queries, k, exclude_self, id_col, feature_names), k, feature_names)
 
 
 def fused_of(weights: dict[str, float], k: int, exclude_self: bool) -> tuple[Callable[[dict, dict], None], Callable[[dict], pa.RecordBatch]]:
@@ -109,14 +187,22 @@ def ranked(df: DataFrame, by: list[str], score: str, k: int | None, id_col: str
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def dense(sims: DataFrame, feature_names: tuple[str, ...] = FEATURES) -> DataFrame:
-    """query_id, id and a column for each feature; a feature that did not propose the item counts 0."""
-    return sims.groupBy("query_id", "id").pivot("feature", list(feature_names)).agg(F.first("sim")).fillna(0.0, list(feature_names))
+def fused(weights: dict[str, float], feature_names: tuple[str, ...] = FEATURES, of: Callable[[str], Column] = F.col) -> Column:
+    terms = [F.lit(float(weights[f])) * of(f) for f in feature_names if weights.get(f)]
+    return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
 
 
-def fused(weights: dict[str, float], feature_names: tuple[str, ...] = FEATURES) -> Column:
-    terms = [F.lit(float(weights[f])) * F.col(f) for f in feature_names if weights.get(f)]
-    return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
+def top_listed(weights: dict[str, float], k: int) -> Column:
+    """The ``k`` best of ``found`` by fused score, then id: structs of fall (the negative score), id and the six sub-scores."""
+    hit = lambda e: F.struct((-fused(weights, of=lambda f: e[f])).alias("fall"), e["id"].alias("id"), *[e[f].alias(f) for f in FEATURES])
+    return F.slice(F.sort_array(F.transform("found", hit)), 1, k)
+
+
+def best_listed(lists: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
+    """id, the six sub-scores, score and rank of the ``k`` best of each row's ``found``, beside the row's other columns."""
+    keep = [c for c in lists.columns if c != "found"]
+    rows = lists.select(*keep, F.posexplode(top_listed(weights, k)).alias("pos", "h"))
+    return rows.select(*keep, "h.id", *[F.col("h")[f].alias(f) for f in FEATURES], (-F.col("h.fall")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def checked_k(k: int) -> int:
@@ -140,6 +226,8 @@ def search(
     if mode not in ("candidate", "exact", "ann"):
         raise ValueError("mode is candidate, ann or exact")
     w, k = normalise(weights), checked_k(top_k)
+    if mode == "ann" or (mode == "candidate" and lists is None):
+        return best_listed(candidate_lists(corpus, queries, mode, candidate_k, exclude_self, id_col, role, ef_search, index), w, k)
     return ranked(candidates(corpus, queries, w, k, mode, candidate_k, exclude_self, id_col, role, ef_search, index, lists).withColumn("score", fused(w)), ["query_id"], "score", k)
 
 
@@ -148,20 +236,32 @@ def candidates(
     id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Index | None = None, lists: Lists | None = None,
 ) -> DataFrame:
     """query_id, id and the six sub-scores of the items that ``search`` ranks."""
-    if mode == "ann":
-        if index is None or role:
-            raise ValueError("ann mode needs a stored index, made of the rows of the role that is wanted")
-        return dense(index.nearest(queries, candidate_k, exclude_self, id_col, **({"ef_search": ef_search} if ef_search else {})))
-    if lists is not None:
+    if lists is not None and mode != "ann":
         if mode != "exact" or role:
             raise ValueError("lists are for exact mode, and made of the rows of the role that is wanted")
         return lists.search(queries, w, k, exclude_self, id_col).drop("looked", "score")
+    if mode == "exact":
+        return best_fused(_of_role(corpus, role), queries, w, k, exclude_self, id_col)
+    return candidate_lists(corpus, queries, mode, candidate_k, exclude_self, id_col, role, ef_search, index).select("query_id", F.inline("found"))
+
+
+def candidate_lists(
+    corpus: DataFrame, queries: DataFrame, mode: str = "candidate", candidate_k: int = CANDIDATE_K, exclude_self: bool = False,
+    id_col: str = "id", role: str | None = None, ef_search: int | None = None, index: Index | None = None,
+) -> DataFrame:
+    """query_id, found: the same of ``candidate`` and ``ann`` mode, a row for each query, its items by id."""
+    if mode == "ann":
+        if index is None or role:
+            raise ValueError("ann mode needs a stored index, made of the rows of the role that is wanted")
+        return lists_of(index.walked(queries, candidate_k, exclude_self, id_col, **({"ef_search": ef_search} if ef_search else {})), candidate_k)
+    return lists_of(near_hits(_of_role(corpus, role), queries, candidate_k, exclude_self, id_col), candidate_k)
+
+
+def _of_role(corpus: DataFrame, role: str | None) -> DataFrame:
     corpus = corpus.filter(F.col("role") == role) if role else corpus
     if corpus.isEmpty():
         raise EmptyCorpusError("the corpus is empty")
-    if mode == "exact":
-        return best_fused(corpus, queries, w, k, exclude_self, id_col)
-    return dense(nearest(corpus, queries, candidate_k, exclude_self, id_col))
+    return corpus
 
 
 def corpus_size(features: DataFrame, id_col: str = "image_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.schema import FEATURES, NoStashError, UnknownRunError
 from nearfield.functions.weights import as_map, normalise
-from nearfield.operators.retrieval import checked_k, fused, ranked
+from nearfield.operators.retrieval import best_listed, checked_k, fused, ranked, top_listed
 from nearfield.operators.shared import appended, claimed, written
 
 # The stage that holds a run's sub-scores, last in its trace, and what it holds.
@@ -25,12 +25,22 @@ def run_scores(sub: DataFrame) -> DataFrame:
     return sub.select(F.col("query_id").alias("run_id"), "id", *FEATURES).unpivot(["run_id", "id"], list(FEATURES), "feature", "sim")
 
 
+def listed(sub: DataFrame) -> DataFrame:
+    """query_id, found: candidate rows as ``retrieval.candidate_lists`` gives them, which stay as they are."""
+    if "found" in sub.columns:
+        return sub
+    return sub.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("id", *FEATURES))).alias("found"))
+
+
 def stash(sub: DataFrame) -> DataFrame:
     """query_id, detail: one JSON object for each run with its items in order of id and each feature's scores."""
-    rows = sub.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("id", *FEATURES))).alias("r"))
-    part = lambda f: F.transform("r", lambda e: e[f])
+    return listed(sub).select("query_id", _detail().alias("detail"))
+
+
+def _detail() -> Column:
+    part = lambda f: F.transform("found", lambda e: e[f])
     scores = F.create_map(*[x for f in FEATURES for x in (F.lit(f), part(f))])
-    return rows.select("query_id", F.to_json(F.struct(F.transform("r", lambda e: e["id"]).alias("image_ids"), scores.alias("scores"))).alias("detail"))
+    return F.to_json(F.struct(part("id").alias("image_ids"), scores.alias("scores")))
 
 
 def trace_stash(trace: Column) -> Column:
@@ -43,18 +53,35 @@ def trace_stash(trace: Column) -> Column:
 
 def parse_stash(stashes: DataFrame, by: str = "query_id", found: Column | None = None) -> DataFrame:
     """by, id and the six sub-scores from stashed JSON (or a parsed ``found``); a missing feature counts 0."""
+    return stash_lists(stashes, by, found).select(by, F.inline("found"))
+
+
+def stash_lists(stashes: DataFrame, by: str = "query_id", found: Column | None = None) -> DataFrame:
+    """by, found: the same, a row for each stash."""
     x = found if found is not None else F.from_json("detail", _STASH_TYPE)
-    rows = stashes.select(by, x.alias("x")).filter("x.image_ids IS NOT NULL AND x.scores IS NOT NULL").select(by, "x.scores", F.posexplode("x.image_ids").alias("at", "id"))
-    value = lambda f: F.coalesce(F.get(F.element_at("scores", f), F.col("at")), F.lit(0.0))
-    return rows.select(by, "id", *[value(f).alias(f) for f in FEATURES])
+    rows = stashes.select(by, x.alias("x")).filter("x.image_ids IS NOT NULL AND x.scores IS NOT NULL")
+    parts = F.struct(F.col("x.image_ids").alias("ids"), *[F.element_at("x.scores", f).alias(f) for f in FEATURES])
+    item = lambda p, i, at: F.struct(i.alias("id"), *[F.coalesce(F.get(p[f], at), F.lit(0.0)).alias(f) for f in FEATURES])
+    lists = F.transform(F.array(parts), lambda p: F.transform(p["ids"], lambda i, at: item(p, i, at)))  # as a lambda's variable the JSON is parsed once, not for each item
+    return rows.select(by, F.get(lists, F.lit(0)).alias("found"))
 
 
 def rerank(sub: DataFrame, weights: dict | None, top_k: int, by: str = "query_id") -> DataFrame:
-    """The stored candidates in the order of new weights; no corpus is read. candidate_count: of each run."""
+    """The stored candidates (rows, or lists) in the order of new weights; no corpus is read. candidate_count: of each run."""
+    if "found" in sub.columns:
+        return best_listed(sub.withColumn("candidate_count", F.size("found").cast("long")), normalise(weights), checked_k(top_k))
     count = F.count("*").over(Window.partitionBy(by))
     return ranked(sub.withColumns({"score": fused(normalise(weights)), "candidate_count": count}), [by], "score", checked_k(top_k))
 
 
+def flips(lists: DataFrame, weights: dict | None, top_k: int, old: dict | None, old_k: int) -> DataFrame:
+    """query_id, id, new_rank, old_rank: the ``top_k`` items of each list under new weights, and their ranks among the ``old_k``
+    best under the old ones, null for those beyond."""
+    before = F.transform(top_listed(normalise(old), checked_k(old_k)), lambda h: h["id"]).alias("before")
+    rows = best_listed(lists.select("query_id", "found", before), normalise(weights), checked_k(top_k))
+    return rows.select("query_id", "id", F.col("rank").alias("new_rank"), F.nullif(F.array_position("before", F.col("id")), F.lit(0)).cast("int").alias("old_rank"))
+
+
 def visible_trace(trace: Column) -> Column:
     return F.filter(trace, lambda s: s["name"] != STASH)
 
@@ -89,22 +116,20 @@ def results_json(results: Column) -> Column:
     return F.to_json(results)
 
 
-def _hits(df: DataFrame, by: str) -> DataFrame:
-    """by, results: ranked rows as an array in order of rank, with sub-scores as maps."""
-    # Maps have no order, so hits are sorted by rank with their sub-scores as an array.
-    hit = F.struct(F.col("rank").cast("int").alias("rank"), F.col("id").alias("image_id"), "score", F.array(*FEATURES).alias("v"))
+def _results(w: dict[str, float], top_k: int) -> Column:
+    """The ``top_k`` best of ``found`` as an array in order of rank, with sub-scores as maps."""
     names = F.array(*map(F.lit, FEATURES))
-    shaped = lambda h: F.struct(h["image_id"].alias("image_id"), h["score"].alias("score"), h["rank"].alias("rank"), F.map_from_arrays(names, h["v"]).alias("per_feature"))
-    return df.groupBy(by).agg(F.sort_array(F.collect_list(hit)).alias("hs")).select(by, F.transform("hs", shaped).alias("results"))
+    shaped = lambda h, at: F.struct(h["id"].alias("image_id"), (-h["fall"]).alias("score"), (at + 1).cast("int").alias("rank"), F.map_from_arrays(names, F.array(*[h[f] for f in FEATURES])).alias("per_feature"))
+    return F.transform(top_listed(w, checked_k(top_k)), shaped)
 
 
 def recorded(sub: DataFrame, weights: dict | None, top_k: int, stages: Stages | None = None, created: str | None = None) -> DataFrame:
     """A run of each query as search_runs keeps it: weights, the ``top_k`` results, the stages passed and, last, the stash.
 
-    ``sub``: query_id, id and the six sub-scores of the candidates; the query's id names the run.
+    ``sub``: query_id, id and the six sub-scores of the candidates, or lists of them; the query's id names the run.
     """
     w = normalise(weights)
-    both = stash(sub).join(_hits(rerank(sub, w, top_k), "query_id"), "query_id")
+    both = listed(sub).select("query_id", _detail().alias("detail"), _results(w, top_k).alias("results"))
     stage = lambda name, ms, detail: F.struct(F.lit(name).alias("name"), F.lit(ms).cast("int").alias("elapsed_ms"), detail.alias("detail"))
     done = stages.done if stages else []
     trace = F.array(*[stage(n, ms, F.lit(d)) for n, ms, d in done], stage(STASH, 0, F.col("detail")))
@@ -116,13 +141,22 @@ def recorded(sub: DataFrame, weights: dict | None, top_k: int, stages: Stages |
 
 def candidates_of(runs: DataFrame) -> DataFrame:
     """query_id, id and the six sub-scores that stored runs hold; a run without a stash gives none."""
-    return parse_stash(runs.withColumnRenamed("id", "query_id"), "query_id", trace_stash(F.col("pipeline_trace")))
+    return candidate_lists_of(runs).select("query_id", F.inline("found"))
+
+
+def candidate_lists_of(runs: DataFrame) -> DataFrame:
+    """query_id, found: the same, a row for each run."""
+    return stash_lists(runs.withColumnRenamed("id", "query_id"), "query_id", trace_stash(F.col("pipeline_trace")))
 
 
 def current(runs: DataFrame) -> DataFrame:
-    """The latest version of each run."""
+    """The latest version of each run. Runs that have one version stay where they lie; only rows of others are dealt by id."""
+    several = runs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if several.isEmpty():
+        return runs
     row = F.struct(*runs.columns)
-    return runs.groupBy("id").agg(F.max_by(row, "version").alias("r")).select("r.*")
+    latest = runs.join(several, "id", "left_semi").groupBy("id").agg(F.max_by(row, "version").alias("r")).select("r.*")
+    return runs.join(several, "id", "left_anti").unionByName(latest)
 
 
 def save(runs: DataFrame, path: str) -> None:
@@ -143,7 +177,7 @@ def rerank_run(spark: SparkSession, path: str, run_id: int, weights: dict | None
         raise NoStashError(run_id)
     w = normalise(weights)
     began = time.perf_counter()
-    hits = _hits(rerank(candidates_of(run), w, top_k), "query_id").select(F.col("query_id").alias("id"), F.col("results").alias("new_results"))
+    hits = candidate_lists_of(run).select(F.col("query_id").alias("id"), _results(w, top_k).alias("new_results"))
     hits = written(hits)
     version = head["version"] + 1
     while not claimed(spark, f"{path}/_versions/{run_id}/{version}"):

@@ -121,19 +121,22 @@ def search_custom_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.search(f, asked(f), CUSTOM, 10, exclude_self=True), "query_id", "rank", "id")
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    return retrieval.nearest(f, asked(f), exclude_self=True)
+    return retrieval.candidate_lists(f, asked(f), exclude_self=True)
 
 
 @query("search_per_feature_topk", sims("q.id % 20 = 0") + placed() + " SELECT query_id, feature, CAST(place AS INTEGER) AS place, id, round(sim, 6) AS sim FROM cand")
 def search_per_feature_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).select("query_id", "feature", "place", "id", F.round("sim", 6).alias("sim"))
+    f = features(spark, sf_dir)
+    return retrieval.nearest(f, asked(f), exclude_self=True).select("query_id", "feature", "place", "id", F.round("sim", 6).alias("sim"))
 
 
 @query("candidate_union", sims("q.id % 20 = 0") + placed() + " SELECT query_id, id, count(*) AS n_features FROM cand GROUP BY 1, 2")
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).groupBy("query_id", "id").agg(F.count("*").alias("n_features"))
+    f = features(spark, sf_dir)
+    lists = retrieval.lists_of(retrieval.near_hits(f, asked(f), exclude_self=True), CANDIDATE_K, missing=None)
+    return lists.select("query_id", F.inline("found")).select("query_id", "id", sum((F.col(f).isNotNull().cast("long") for f in FEATURES), F.lit(0)).alias("n_features"))
 
 
 @query("mode_overlap", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + wide("sims", "exact") + top(DEFAULT_WEIGHTS, 5, "exact", "ex") + " SELECT ex.query_id, count(res.id) AS shared, count(*) AS k FROM ex LEFT JOIN res ON ex.query_id = res.query_id AND ex.id = res.id GROUP BY 1")
@@ -194,10 +197,9 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     that they look at."""
     f, index = features(spark, sf_dir), stored_index(spark, sf_dir)
     found = shared.written(index.walked(asked(f), exclude_self=True))
-    best = retrieval.ranked(found, ["query_id", "feature"], "sim", CANDIDATE_K)
     seen = found.groupBy("feature").agg(F.sum("looked").alias("looked"))
     sizes = f.agg((F.count("*") * F.sum((F.col("id") % 20 == 0).cast("long"))).alias("pairs"))
-    got = ann.recall(best, retrieval.nearest(f, asked(f), exclude_self=True)).join(seen, "feature").crossJoin(sizes)  # one row
+    got = ann.recall_of(found, retrieval.near_hits(f, asked(f), exclude_self=True), CANDIDATE_K).join(seen, "feature").crossJoin(sizes)  # one row
     return got.select("feature", "n_exact", "n_found", "recall", "looked", F.round(F.col("looked") / F.col("pairs"), 4).alias("share"))
 
 
@@ -311,7 +313,7 @@ def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         with stages.stage("load_corpus"):
             f.count()
         with stages.stage("cosine"):
-            sub = shared.written(retrieval.candidates(f, asked(f), weights.normalise(None), 5, exclude_self=True))
+            sub = shared.written(retrieval.candidate_lists(f, asked(f), exclude_self=True))
         with stages.stage("rank"):
             runs.rerank(sub, None, 5).count()
         runs.save(runs.recorded(sub, None, 5, stages), path)
@@ -322,15 +324,13 @@ def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rerank_stored", CANDIDATE + top(weights.normalise(NEW), 5) + ", n AS (SELECT query_id, count(*) AS candidate_count FROM sub GROUP BY 1) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, candidate_count FROM res JOIN n USING (query_id)")
 def rerank_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New weights for the stored runs: only what they hold is read."""
-    sub = runs.candidates_of(stored_runs(spark, sf_dir))
+    sub = runs.candidate_lists_of(stored_runs(spark, sf_dir))
     return runs.rerank(sub, NEW, 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "candidate_count")
 
 
 @query("rerank_flip_report", CANDIDATE + top(DEFAULT_WEIGHTS, 50, name="old") + top(weights.normalise(NEW), 5) + " SELECT res.query_id, res.id, CAST(res.rank AS INTEGER) AS new_rank, CAST(old.rank AS INTEGER) AS old_rank FROM res LEFT JOIN old ON res.query_id = old.query_id AND res.id = old.id")
 def rerank_flip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sub = runs.candidates_of(stored_runs(spark, sf_dir))
-    old = runs.rerank(sub, None, 50).select("query_id", "id", F.col("rank").alias("old_rank"))
-    return runs.rerank(sub, NEW, 5).select("query_id", "id", F.col("rank").alias("new_rank")).join(old, ["query_id", "id"], "left")
+    return runs.flips(runs.candidate_lists_of(stored_runs(spark, sf_dir)), NEW, 5, None, 50)
 
 
 @query("run_roundtrip", CANDIDATE + top(DEFAULT_WEIGHTS, 5) + f" SELECT query_id AS run_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, {ROUNDED}, n_candidates, CAST(4 AS INTEGER) AS n_stages, CAST(16 AS INTEGER) AS hsv_width, 0.25::DOUBLE AS hog_weight FROM res JOIN (SELECT query_id, count(*) AS n_candidates FROM sub GROUP BY 1) USING (query_id)")
@@ -345,12 +345,12 @@ def run_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stash_roundtrip", CANDIDATE + f" SELECT query_id, id, {ROUNDED} FROM sub")
 def stash_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(runs.parse_stash(runs.stash(retrieval.dense(_candidates(spark, sf_dir)))), "query_id", "id")
+    return rounded(runs.parse_stash(runs.stash(_lists(spark, sf_dir))), "query_id", "id")
 
 
 @query("run_scores_long", CANDIDATE + ", long AS (" + " UNION ALL ".join(f"SELECT query_id AS run_id, id, '{f}' AS feature, {f} AS sim FROM sub" for f in FEATURES) + ") SELECT run_id, feature, count(*) AS n, round(sum(sim), 4) AS total FROM long GROUP BY 1, 2")
 def run_scores_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = runs.run_scores(retrieval.dense(_candidates(spark, sf_dir)))
+    rows = runs.run_scores(_lists(spark, sf_dir).select("query_id", F.inline("found")))
     return rows.groupBy("run_id", "feature").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 4).alias("total"))
 
 
