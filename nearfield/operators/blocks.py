@@ -119,11 +119,12 @@ class Best:
     """The ``k`` best hits so far of each of ``n`` queries: score (-inf: none), id and ``extra`` numbers of each, best first.
 
     Blocks are met one after the other, so what is kept does not grow with them, and of a further block only those items
-    are looked at whose score reaches the k-th one so far.
+    are looked at whose score reaches the k-th one so far, and ``floor``, a score that each query's k-th best is known to reach.
     """
 
-    def __init__(self, n: int, k: int, extra: int = 0):
+    def __init__(self, n: int, k: int, extra: int = 0, floor: np.ndarray | None = None):
         self.score, self.id, self.extra = np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.zeros((n, k, extra))
+        self.floor = np.full(n, -np.inf) if floor is None else floor
 
     @property
     def nbytes(self) -> int:
@@ -135,35 +136,76 @@ class Best:
         Equal vectors must score equally wherever they lie, which matrix products do not promise: what comes near the k-th
         score is scored again pair by pair by ``exact`` (scores and extra numbers of index pairs). ``approx`` may be off by ``slack``.
         """
-        k, least = self.score.shape[1], self.score[:, -1].copy()
-        short = np.flatnonzero(least == -np.inf)
-        if len(short) and k < approx.shape[1]:
-            least[short] = np.partition(approx[short], -k, axis=1)[:, -k]
-        least = (np.maximum(least, np.finfo(approx.dtype).min / 4) - slack).astype(approx.dtype)
-        place = np.flatnonzero((approx >= least[:, None]).ravel())
+        place = self.near(approx, slack)
         for at in range(0, len(place), PAIRS):
             i, j = np.divmod(place[at : at + PAIRS], approx.shape[1])
             score, extra = exact(i, j)
-            good = score >= self.score[i, -1]
-            i, j, score = i[good], j[good], score[good]
-            if not len(i):
-                continue
-            who = np.unique(i)
-            old, nth = np.nonzero(self.score[who] > -np.inf)
-            every = np.concatenate([who[old], i]), np.concatenate([self.score[who[old], nth], score]), np.concatenate([self.id[who[old], nth], ids[j]])
-            more = np.concatenate([self.extra[who[old], nth], np.zeros((len(i), 0)) if extra is None else extra[good]])
-            order = np.lexsort((every[2], -every[1], every[0]))
-            i, score, id_ = (x[order] for x in every)
-            nth = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-            head = nth < k
-            i, nth = i[head], nth[head]
-            self.score[i, nth], self.id[i, nth], self.extra[i, nth] = score[head], id_[head], more[order][head]
+            self.take(i, score, ids[j], extra)
+
+    def least(self, first: int, n: int) -> np.ndarray:
+        """What a hit's score must reach, for ``n`` queries from ``first`` on; -inf if that is not known."""
+        return np.maximum(self.score[first : first + n, -1], self.floor[first : first + n])
+
+    def near(self, approx: np.ndarray, slack: float = SLACK, first: int = 0, times: float = 1.0) -> np.ndarray:
+        """Places in ``approx`` (flat) of what may be a hit: its rows are the queries from ``first`` on, its numbers scores over ``times``."""
+        k, least = self.score.shape[1], self.least(first, len(approx))
+        short = np.flatnonzero(least == -np.inf)
+        if len(short):
+            least[short] = _reached(approx[short], k) * times
+        bar = lambda: np.maximum((least - slack) / times, np.finfo(approx.dtype).min / 4).astype(approx.dtype)
+        some = np.flatnonzero(np.fmax.reduce(approx, axis=1, initial=-np.inf) >= bar())
+        mask = approx[some] >= bar()[some, None]
+        if np.count_nonzero(mask) > 4 * k * len(some):  # far better items than all before
+            least[some] = np.maximum(least[some], _reached(approx[some], k) * times)
+            mask = approx[some] >= bar()[some, None]
+        i, j = np.divmod(places(mask), approx.shape[1])
+        return some[i] * approx.shape[1] + j
+
+    def take(self, i: np.ndarray, score: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
+        """Takes in items by exact scores with queries ``i``."""
+        k, good = self.score.shape[1], score >= np.maximum(self.score[i, -1], self.floor[i])
+        if not good.any():
+            return
+        i, score, ids, extra = i[good], score[good], ids[good], np.zeros((good.sum(), 0)) if extra is None else extra[good]
+        order = np.lexsort((ids, -score, i))
+        i, score, ids, extra = i[order], score[order], ids[order], extra[order]
+        who, at = np.unique(i, return_inverse=True)
+        # A new hit comes after the old ones that are better and the new ones before it; an old one goes down by the new ones that are better.
+        old_score, old_id = self.score[i], self.id[i]
+        before = ((old_score > score[:, None]) | ((old_score == score[:, None]) & (old_id <= ids[:, None]))).sum(1)
+        down = np.bincount(at * (k + 1) + before, minlength=len(who) * (k + 1)).reshape(-1, k + 1).cumsum(1)
+        to = np.minimum(before + np.arange(len(i)) - np.searchsorted(i, i), k)
+        row, place = np.arange(len(who))[:, None], np.minimum(np.arange(k) + down[:, :k], k)
+        for held, new in ((self.score, score), (self.id, ids), (self.extra, extra)):
+            out = np.empty((len(who), k + 1, *held.shape[2:]), held.dtype)
+            out[row, place], out[at, to] = held[who], new
+            held[who] = out[:, :k]
 
     def hits(self) -> tuple[np.ndarray, np.ndarray]:
         """Query and place of each hit."""
         return np.nonzero(self.score > -np.inf)
 
 
+def _reached(scores: np.ndarray, k: int) -> np.ndarray:
+    """A score that ``k`` items of each row reach, and few more; -inf without as many. Items are taken by groups, as halves are laid over
+    each other: the k-th best group is reached by k items."""
+    if scores.shape[1] <= k:
+        return np.full(len(scores), -np.inf)
+    while (half := scores.shape[1] // 2) >= 8 * k:
+        scores = np.fmax(scores[:, :half], scores[:, half : 2 * half])
+    return np.partition(scores, -k, axis=1)[:, -k]
+
+
+def places(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the few that are true, by words of eight first."""
+    flat = mask.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    words = np.flatnonzero(flat.view(np.uint64) != 0)
+    within = np.flatnonzero(flat.reshape(-1, 8)[words].ravel())
+    return words[within >> 3] * 8 + (within & 7)
+
+
 def gathered(rows: DataFrame, meet: Callable[[dict, dict], None], told: Callable[[dict], pa.RecordBatch], schema: str) -> DataFrame:
     """For each block of queries what it gathers from all blocks that it meets in a task: ``meet`` is called with what it has gathered
     (a dict of Best) and a pair of blocks, ``told`` with that and its q_ids when the task ends or holds ``HELD_BYTES``."""

@@ -14,8 +14,9 @@ from nearfield.operators import ann, blocks
 from nearfield.operators.shared import row_numbers, written
 
 #: Blocks up to which all pairs are met, as bounds cost more than they save; full blocks that a tile holds, and that a task meets in
-#: turn: every block goes to each tile, and every tile to each turn, so few and large ones keep what is dealt small.
-FEW, TILE, MET = 16, 64, 64
+#: turn at least: every block goes to each tile, and every tile to each turn, so few and large ones keep what is dealt small. Turns are
+#: up to ``LONGER`` times as long while there are ``TURNS`` for each core.
+FEW, TILE, MET, LONGER, TURNS = 16, 64, 64, 8, 4
 #: Heads of blocks that are compared at a time; blocks that each block meets before bounds are known.
 HEADS, FIRST = 256, 4
 #: Labels by which cells are made larger at most, so that blocks of one label are full.
@@ -119,20 +120,29 @@ def head_pairs(packed: DataFrame, fn: Callable[[dict, dict], dict], schema: str,
     return both.select("a", "b").mapInArrow(run, schema)
 
 
-def meet(packed: DataFrame, pairs: DataFrame, fn: Callable[[dict, dict], None], done: Callable[[dict], pa.RecordBatch | None], schema: str) -> DataFrame:
+def meet(packed: DataFrame, pairs: DataFrame, fn: Callable[[dict, dict], None], done: Callable[[dict], pa.RecordBatch | None], schema: str, begun: DataFrame | None = None) -> DataFrame:
     """Meets blocks as ``pairs`` (asking, met) say: ``fn`` is called with the asking block and the met one, ``done`` with the asking
-    one in the end; what a block has gathered lies in the dict of it.
+    one in the end; what a block has gathered lies in the dict of it, with what ``begun`` (block, one binary column) has for it.
 
     A met block is sent once to each tile (consecutive blocks, which a task holds) that has a block that asks for it.
     """
     asks = pairs.join(packed.select(F.col("block").alias("asking"), "tile"), "asking").groupBy("tile", F.col("met").alias("block")).agg(F.collect_set("asking").alias("by"))
+    asks = written(asks.join(packed.select("block", F.size("labels").alias("n")), "block"))
+    turns = TURNS * packed.sparkSession.sparkContext.defaultParallelism
+    length = min(max(MET * blocks.BLOCK, -(-(asks.agg(F.sum("n")).first()[0] or 0) // turns)), LONGER * MET * blocks.BLOCK)
     before = F.sum("n").over(Window.partitionBy("tile").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    shared = F.floor(F.coalesce(before, F.lit(0)) / (MET * blocks.BLOCK)).cast("int")
-    asks = written(asks.join(packed.select("block", F.size("labels").alias("n")), "block").withColumn("share", shared).drop("n"))
+    asks = asks.withColumn("share", F.floor(F.coalesce(before, F.lit(0)) / length).cast("int"))
+    # Each turn of a tile is a task of its own, those with the most pairs first.
+    work = asks.groupBy("tile", "share").agg((-F.sum(F.col("n") * F.size("by"))).alias("less"))
+    tasks = row_numbers(work, [], ["less", "tile", "share"], "task").drop("less")
+    count = max(1, tasks.count())
+    asks = asks.join(tasks, ["tile", "share"]).select("task", "block", "by")
     payload = packed.select("block", "ids", "labels", "widths", "vectors")
-    own = asks.groupBy("tile", "share").agg(F.flatten(F.collect_set("by")).alias("by")).select("tile", "share", F.explode(F.array_distinct("by")).alias("block"))
-    rows = asks.select("tile", "share", F.lit(False).alias("own"), "block", "by").unionByName(own.select("tile", "share", F.lit(True).alias("own"), "block", F.array().cast("array<long>").alias("by")))
-    sent = rows.join(payload, "block").repartition("tile", "share").sortWithinPartitions("tile", "share", F.desc("own"), "block")
+    own = asks.groupBy("task").agg(F.flatten(F.collect_set("by")).alias("by")).select("task", F.explode(F.array_distinct("by")).alias("block"))
+    own, more = (own, []) if begun is None else (own.join(begun, "block", "left"), [c for c in begun.columns if c != "block"])
+    rows = asks.select("task", F.lit(False).alias("own"), "block", "by", *[F.lit(None).cast("binary").alias(c) for c in more])
+    rows = rows.unionByName(own.select("task", F.lit(True).alias("own"), "block", F.array().cast("array<long>").alias("by"), *more))
+    sent = rows.join(payload, "block").repartitionById(count, (F.col("task") - 1).cast("int")).sortWithinPartitions("task", F.desc("own"), "block")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict] = {}
@@ -140,9 +150,9 @@ def meet(packed: DataFrame, pairs: DataFrame, fn: Callable[[dict, dict], None],
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if (row["tile"], row["share"]) != now:
+                if row["task"] != now:
                     yield from filter(None, map(done, held.values()))
-                    now, held = (row["tile"], row["share"]), {}
+                    now, held = row["task"], {}
                 row["ids"], row["vectors"] = blocks.unpacked(row)
                 if row["own"]:
                     held[row["block"]] = row

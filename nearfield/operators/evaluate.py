@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.schema import DEFAULT_WEIGHTS, EVAL_TOP_K, FEATURES, EvaluationError
 from nearfield.functions.weights import ablations, as_map, normalise
 from nearfield.operators import bounds
-from nearfield.operators.blocks import SLACK, Best, dots
-from nearfield.operators.retrieval import ranked
+from nearfield.operators.blocks import PAIRS, SLACK, Best, dots, places
 from nearfield.operators.shared import written
 
 #: Products of single precision differ from those of double by no more than this share of the lengths and the largest weight.
 ROUGH = 2e-5
+#: Share of a block's pairs up to which they are looked at one by one.
+SIFTED = 0.02
 
 
 def labelled(features: DataFrame, items: DataFrame, id_col: str, label: str, dims: dict[str, int] | None = None) -> DataFrame:
@@ -157,57 +158,201 @@ def leave_one_out(features: DataFrame, id_col: str, label: str, variants: dict[s
     never its own result. Items lie in blocks of near ones. Each block first meets itself and those of the highest
     bounds, which gives every item a ``top_k``-th score; then it meets only blocks whose bound reaches the least of these in it.
     """
-    return ranked(_hits_of(features, id_col, label, variants, top_k)[0], ["variant", "query_id"], "score", top_k)
+    names = np.array(list(variants), object)
+
+    def tell(best: dict) -> pa.RecordBatch:
+        i, j = np.nonzero(best["score"] > -np.inf)
+        q, code = i % len(best["ids"]), best["code"][i, j]
+        known, own = np.array(best["known"], object), np.array(best["labels"], object)
+        cols = (names[i // len(best["ids"])], best["ids"][q], own[q], best["id"][i, j], known[code], best["score"][i, j], j + 1, code == best["own"][q])
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if k == pa.int32() else x, k) for x, k in zip(cols, kinds, strict=True)], names_of)
+
+    schema = "variant string, query_id long, query_label string, id long, label string, score double, rank int, rel int"
+    names_of = [x.split()[0] for x in schema.split(", ")]
+    return _told(_hits_of(features, id_col, label, variants, top_k)[0], top_k, tell, schema)
+
+
+def ranks(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> DataFrame:
+    """variant, query_id, query_label, rels: a row for each item and variant with the ``rel`` of what ``leave_one_out`` finds, by rank."""
+    names = np.array(list(variants), object)
+
+    def tell(best: dict) -> pa.RecordBatch:
+        held = best["score"] > -np.inf
+        some = np.flatnonzero(held[:, 0])
+        q = some % len(best["ids"])
+        rel = (best["code"][some] == best["own"][q, None]).astype(np.int32)[held[some]]
+        rels = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held[some].sum(1))), pa.int32()), pa.array(rel))
+        cols = [pa.array(names[some // len(best["ids"])], pa.string()), pa.array(best["ids"][q]), pa.array(np.array(best["labels"], object)[q], pa.string()), rels]
+        return pa.RecordBatch.from_arrays(cols, ["variant", "query_id", "query_label", "rels"])
+
+    return _told(_hits_of(features, id_col, label, variants, top_k)[0], top_k, tell, "variant string, query_id long, query_label string, rels array<int>")
+
+
+#: The best hits of a block's items that a task has found: ids and labels of the items, the labels met (known), and by variant, item and
+#: place the score (-inf: none), id and label's place in known.
+_HITS = "block long, ids binary, labels array<string>, known array<string>, score binary, id binary, code binary"
+
+
+def _told(hits: DataFrame, top_k: int, tell: Callable[[dict], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``tell`` makes of the best hits of each block out of _HITS; the rows of a block meet one by one."""
+
+    def read(row: dict) -> dict:
+        out = {"ids": np.frombuffer(row["ids"], np.int64), "labels": row["labels"], "known": list(row["known"]), "block": row["block"]}
+        return out | {c: np.frombuffer(row[c], kind).reshape(-1, top_k) for c, kind in (("score", np.float64), ("id", np.int64), ("code", np.int32))}
+
+    def both(a: dict, b: dict) -> dict:
+        place = {x: i for i, x in enumerate(a["known"])}
+        b["code"] = np.array([place.setdefault(x, len(place)) for x in b["known"]] or [0], np.int32)[b["code"]]
+        every = {c: np.concatenate([a[c], b[c]], axis=1) for c in ("score", "id", "code")}
+        order = np.lexsort((every["id"], -every["score"]))[:, :top_k]
+        return a | {"known": list(place)} | {c: np.take_along_axis(x, order, 1) for c, x in every.items()}
+
+    def end(best: dict) -> pa.RecordBatch:
+        place = {x: i for i, x in enumerate(best["known"])}
+        return tell(best | {"own": np.array([place.get(x, -1) for x in best["labels"]], np.int32)})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = read(batch.slice(i, 1).to_pylist()[0])
+                if best is not None and row["block"] == best["block"]:
+                    best = both(best, row)
+                    continue
+                if best is not None:
+                    yield end(best)
+                best = row
+        if best is not None:
+            yield end(best)
+
+    return hits.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
+
+
+def _steps(variants: dict[str, dict[str, float]]) -> list[tuple[float, dict[str, float], bool]]:
+    """times, weights, added of each variant: its scores are ``times`` those by ``weights``, which are ``added`` to the first variant's
+    scores where that leaves fewer features to multiply. Without one feature, weights are in proportion, so just this one is taken off."""
+    first, *_ = variants.values()
+    out = []
+    for n, w in enumerate(variants.values()):
+        own = {f: w[f] for f in FEATURES if w.get(f)}
+        found = [(1.0, own, False)]
+        for c in sorted({w[f] / first[f] for f in own if n and first.get(f)}):
+            rest = {f: w.get(f, 0.0) / c - first.get(f, 0.0) for f in FEATURES} if c > 0 else {}
+            found += [(c, {f: x for f, x in rest.items() if abs(x) > 1e-12 * abs(first.get(f, 0.0))}, True)] if rest else []
+        out.append(min(found, key=lambda x: len(x[1])))
+    return out
 
 
 def _hits_of(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Hits among which the best are, blocks, and the pairs of them that met."""
+    """_HITS among which the best are, blocks, and the pairs of them that met."""
     mean = {f: float(np.mean([w.get(f, 0.0) for w in variants.values()])) for f in FEATURES}
     packed, few = bounds.near_blocks(features, id_col, label, mean)
+    steps, spare = _steps(variants), {}
+    # Sums of single precision are off by their parts' errors: those of the first variant's scores and of what is added.
+    largest = [max(map(abs, x.values()), default=0.0) for _, x, _ in steps]
+    off = [ROUGH * times * (most + largest[0] * added) for (times, _, added), most in zip(steps, largest, strict=True)]
+
+    def scaled(own: dict, weights: dict[str, float]) -> tuple[np.ndarray, slice | np.ndarray]:
+        at = np.concatenate(([0], np.cumsum(own["widths"])))
+        cols = np.concatenate([np.arange(at[k], at[k + 1]) for k, f in enumerate(FEATURES) if f in weights] or [np.arange(0)])
+        times = np.concatenate([np.full(own["widths"][k], weights[f]) for k, f in enumerate(FEATURES) if f in weights] or [np.zeros(0)])
+        cols = slice(cols[0], cols[-1] + 1) if len(cols) and cols[-1] - cols[0] + 1 == len(cols) else cols
+        return (own["vectors"][:, cols] * times).astype(np.float32), cols
+
+    def room(name: str, n: int, m: int) -> np.ndarray:
+        if len(spare.get(name, ())) < n * m:
+            spare[name] = np.empty(n * m, np.float32)
+        return spare[name][: n * m].reshape(n, m)
+
+    def near(own: dict, row: dict, itself: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """Places of what may be a hit, by variant. Scores are worked out once, and for the others only what is added; where the first
+        variant's score must be high for any of it to be enough, for these pairs only."""
+        best, n, m = own["best"], len(own["ids"]), len(row["ids"])
+        slack = [SLACK + o * own["longest"] * row["longest"] for o in off]
+        base = np.matmul(own["sides"][0][0], row["met"][0].T, out=room("first", n, m))
+        base[itself] = -np.inf
+        out, sifted = [best.near(base, slack[0], 0, steps[0][0])], {}
+        for v, (times, _, added) in enumerate(steps):
+            bar = (best.least(v * n, n) - slack[v]) / times
+            low = (bar - own["lengths"][v] * row["reach"][v]).astype(np.float32)
+            if v and added and np.isfinite(bar).all() and np.count_nonzero(base[::8] >= low[::8, None]) <= SIFTED * base[::8].size:
+                sifted[v] = bar, low
+        if sifted:
+            some = places(base >= np.min([low for _, low in sifted.values()], axis=0)[:, None])
+            i, j = np.divmod(some, m)
+            high = base.ravel().take(some)
+        for v in range(1, len(steps)):
+            times, _, added = steps[v]
+            a, b = own["sides"][v][0], row["met"][v]
+            if v in sifted:
+                out.append(some[high + np.einsum("ij,ij->i", a.take(i, 0), b.take(j, 0)) >= sifted[v][0].take(i)])
+                continue
+            approx = np.matmul(a, b.T, out=room("more", n, m))
+            if added:
+                approx += base
+            else:
+                approx[itself] = -np.inf
+            out.append(best.near(approx, slack[v], v * n, times))
+        return out
 
     def search(own: dict, row: dict) -> None:
+        n, m = len(own["ids"]), len(row["ids"])
         at = np.concatenate(([0], np.cumsum(row["widths"])))
         side = dict(zip(FEATURES, zip(at, at[1:])))
-        held, codes, names = own.setdefault("held", {}), own.setdefault("codes", {}), np.array(row["labels"], object)
-        code = np.array([codes.setdefault(x, len(codes)) for x in names], float)
-        # Products are worked out once by feature, roughly, for all variants; what may be a hit is scored again in double.
-        a, b = (own.setdefault("single", own["vectors"].astype(np.float32)), row["vectors"].astype(np.float32))
-        used = [f for f in FEATURES if any(w.get(f) for w in variants.values())]
-        rough = {f: a[:, slice(*side[f])] @ b[:, slice(*side[f])].T for f in used} if len(variants) > 1 else {}
-        longest = [float(np.sqrt((x.astype(float) ** 2).sum(1).max(initial=0.0))) for x in (a, b)]
-        itself = np.nonzero(own["ids"][:, None] == row["ids"][None, :])
-        for v, w in variants.items():
-            mine = [f for f in FEATURES if w.get(f)]
-            if rough:
-                approx = np.zeros((len(a), len(b)), np.float32)
-                for f in mine:
-                    approx += np.float32(w[f]) * rough[f]
-            else:
-                approx = (a * np.repeat([w.get(f, 0.0) for f in FEATURES], row["widths"]).astype(np.float32)) @ b.T
-            approx[itself] = -np.inf
-
-            def exact(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                sims = (w[f] * dots(own["vectors"][i, slice(*side[f])], row["vectors"][j, slice(*side[f])]) for f in mine)  # noqa: B023
-                return sum(sims, np.zeros(len(i))), code[j][:, None]
-
-            held.setdefault(v, Best(len(own["ids"]), top_k, 1)).meet(approx, row["ids"], exact, SLACK + ROUGH * max(w.values()) * longest[0] * longest[1])
+        if "best" not in own:
+            floor = np.frombuffer(own["floor"]) if own.get("floor") else None
+            own |= {"best": Best(n * len(steps), top_k, 1, floor), "sides": [scaled(own, x) for _, x, _ in steps], "codes": {}}
+            own |= {"lengths": [np.sqrt((a.astype(float) ** 2).sum(1)) for a, _ in own["sides"]], "longest": float(np.sqrt((own["vectors"] ** 2).sum(1).max(initial=0.0)))}
+        if "met" not in row:  # a block that others meet as well
+            known = {}
+            row |= {"code": np.array([known.setdefault(x, len(known)) for x in row["labels"]], int), "known": known}
+            row["met"] = [np.ascontiguousarray(row["vectors"][:, cols], np.float32) for _, cols in own["sides"]]
+            row["longest"] = float(np.sqrt((row["vectors"] ** 2).sum(1).max(initial=0.0)))
+            row["reach"] = [float(np.sqrt((b.astype(float) ** 2).sum(1).max(initial=0.0))) for b in row["met"]]
+        best, codes = own["best"], own["codes"]
+        code = np.array([codes.setdefault(x, len(codes)) for x in row["known"]], float)[row["code"]]
+        twins = np.flatnonzero(np.isin(own["ids"], row["ids"]))
+        x, y = np.nonzero(own["ids"][twins, None] == row["ids"]) if len(twins) else (twins, twins)
+        found = near(own, row, (twins[x], y))
+        which = np.repeat(np.arange(len(steps)), [len(p) for p in found])
+        place, back = np.unique(np.concatenate(found), return_inverse=True)
+        for lo in range(0, len(place), PAIRS):
+            i, j = np.divmod(place[lo : lo + PAIRS], m)
+            left, right = own["vectors"].take(i, 0), row["vectors"].take(j, 0)
+            sims = {f: dots(left[:, slice(*side[f])], right[:, slice(*side[f])]) for f in FEATURES}
+            score = np.column_stack([sum((w[f] * sims[f] for f in FEATURES if w.get(f)), np.zeros(len(i))) for w in variants.values()])
+            here = np.flatnonzero((back >= lo) & (back < lo + PAIRS))
+            nth, v = back[here] - lo, which[here]
+            best.take(v * n + i[nth], score[nth, v], row["ids"][j[nth]], code[j[nth], None])
 
     def done(own: dict) -> pa.RecordBatch | None:
-        return _hits(own["held"], own["block"], own["ids"], own["labels"], own["codes"]) if "held" in own else None
-
-    schema = "variant string, query_id long, query_label string, id long, label string, score double, rel int, block long"
+        if "best" not in own:
+            return None
+        best = own["best"]
+        found = {"block": own["block"], "ids": own["ids"].tobytes(), "labels": own["labels"], "known": list(own["codes"])}
+        found |= {"score": best.score.tobytes(), "id": best.id.tobytes(), "code": best.extra[:, :, 0].astype(np.int32).tobytes()}
+        return pa.RecordBatch.from_pylist([found], schema=layout)
+
+    texts = pa.list_(pa.string())
+    layout = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("labels", texts), ("known", texts), ("score", pa.binary()), ("id", pa.binary()), ("code", pa.binary())])
     if few:
         every = packed.select(F.col("block").alias("asking")).crossJoin(packed.select(F.col("block").alias("met")))  # of FEW blocks
-        return bounds.meet_all(packed, search, done, schema).drop("block"), packed, every
+        return bounds.meet_all(packed, search, done, _HITS), packed, every
     first = written(bounds.first_pairs(packed, mean))
-    hits = written(bounds.meet(packed, first, search, done, schema))
-    near = ranked(hits, ["variant", "query_id"], "score", top_k, name="nth")
+    hits = written(bounds.meet(packed, first, search, done, _HITS))
+
     # An item with fewer results than are wanted has no least score, so its block meets all others.
-    each = near.groupBy("block", "query_id", "variant").agg(F.when(F.count("*") >= top_k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("s"))
-    least = each.groupBy(F.col("block").alias("asking")).agg(*[F.min(F.when(F.col("variant") == v, F.col("s"))).alias(f"least_{k}") for k, v in enumerate(variants)])
-    more = written(bounds.further_pairs(packed, first, least, variants))
-    further = bounds.meet(packed, more, search, done, schema)
-    return hits.unionByName(further).drop("block"), packed, first.unionByName(more)
+    def reached(best: dict) -> pa.RecordBatch:
+        nth = np.ascontiguousarray(best["score"][:, -1])
+        least = nth.reshape(len(steps), -1).min(1)
+        cols = {"block": [best["block"]], "floor": [nth.tobytes()]} | {f"least_{k}": [float(x)] for k, x in enumerate(least)}
+        return pa.RecordBatch.from_pydict(cols, schema=pa.schema([("block", pa.int64()), ("floor", pa.binary()), *[(f"least_{k}", pa.float64()) for k in range(len(steps))]]))
+
+    least = written(_told(hits, top_k, reached, "block long, floor binary, " + ", ".join(f"least_{k} double" for k in range(len(steps)))))
+    more = written(bounds.further_pairs(packed, first, least.drop("floor").withColumnRenamed("block", "asking"), variants))
+    further = bounds.meet(packed, more, search, done, _HITS, least.select("block", "floor"))
+    return hits.unionByName(further), packed, first.unionByName(more)
 
 
 def pairs_met(features: DataFrame, id_col: str, label: str, variants: dict[str, dict[str, float]], top_k: int) -> DataFrame:
@@ -218,29 +363,25 @@ def pairs_met(features: DataFrame, id_col: str, label: str, variants: dict[str,
     return counted.select("blocks", (F.col("blocks") * F.col("blocks")).alias("pairs"), "met", F.round(1 - F.col("met") / (F.col("blocks") * F.col("blocks")), 4).alias("skipped"))
 
 
-def _hits(held: dict[str, Best], block: int, q_ids: np.ndarray, q_labels: list, codes: dict) -> pa.RecordBatch:
-    names, own, known = ["variant", "query_id", "query_label", "id", "label", "score", "rel", "block"], np.array(q_labels, object), np.array(list(codes), object)
-    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64())
-    parts = []
-    for v, best in held.items():
-        i, j = best.hits()
-        labels = known[best.extra[i, j, 0].astype(int)]
-        cols = (np.full(len(i), v, object), q_ids[i], own[i], best.id[i, j], labels, best.score[i, j], (labels == own[i]).astype(np.int32), np.full(len(i), block))
-        parts.append(cols)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(zip(*parts, strict=True), kinds, strict=True)], names)
-
-
 def query_metrics(hits: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """variant, query_id, query_label, p, ap over ranks up to ``k``. ``sizes``: label, relevant (others of the label, over 0).
+    """variant, query_id, query_label, p, ap over ranks up to ``k``, from rows of ``leave_one_out`` or ``ranks``. ``sizes``: label,
+    relevant (others of the label, over 0).
 
     p divides by the results there are, at most ``k``; ap by the lesser of that and the relevant items there are.
     """
-    top = hits.filter(F.col("rank") <= k)
-    sofar = F.sum("rel").over(Window.partitionBy("variant", "query_id").orderBy("rank"))
-    each = top.withColumn("gain", F.when(F.col("rel") == 1, sofar / F.col("rank")).otherwise(0.0))
-    each = each.groupBy("variant", "query_id", "query_label").agg(F.avg("rel").alias("p"), F.sum("gain").alias("gain"), F.count("*").alias("n"))
+    if "rels" not in hits.columns:
+        rels = F.transform(F.sort_array(F.collect_list(F.struct("rank", "rel"))), lambda x: x["rel"])
+        hits = hits.groupBy("variant", "query_id", "query_label").agg(rels.alias("rels"))
+    top = F.slice("rels", 1, k)
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("found"), F.lit(0.0).alias("gain"))
+
+    def add(s: Column, rel: Column) -> Column:
+        gain = F.when(rel == 1, (s["found"] + 1) / (s["n"] + 1)).otherwise(0.0)
+        return F.struct((s["n"] + 1).alias("n"), (s["found"] + rel).alias("found"), (s["gain"] + gain).alias("gain"))
+
+    each = hits.select("variant", "query_id", "query_label", F.aggregate(top, begin, add).alias("s")).filter("s.n > 0")
     each = each.join(sizes.withColumnRenamed("label", "query_label"), "query_label")
-    return each.select("variant", "query_id", "query_label", "p", (F.col("gain") / F.least("n", "relevant")).alias("ap"))
+    return each.select("variant", "query_id", "query_label", (F.col("s.found") / F.col("s.n")).alias("p"), (F.col("s.gain") / F.least(F.col("s.n"), "relevant")).alias("ap"))
 
 
 def class_sizes(items: DataFrame, label: str) -> DataFrame:
@@ -285,7 +426,7 @@ def evaluated(features: DataFrame, id_col: str, label: str, method: str = "defau
     guard(features, label)
     started = F.lit(datetime.now(UTC)).cast("timestamp")
     variants = ablations() if method == "ablation" else {"base": normalise(weights)}
-    hits = written(leave_one_out(features, id_col, label, variants, max(top_k, 10)))
+    hits = written(ranks(features, id_col, label, variants, max(top_k, 10)))
     sizes = class_sizes(features, label)
     base = hits.filter("variant = 'base'")
     numbers = evaluation_run(query_metrics(base, sizes, 5), query_metrics(base, sizes, 10))

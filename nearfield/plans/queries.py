@@ -369,7 +369,7 @@ met AS (SELECT variant, query_id, gain.label, avg(rel) AS p, sum(g) / least(coun
 
 def _metrics(spark: SparkSession, sf_dir: str, k: int, variants: dict) -> DataFrame:
     f = features(spark, sf_dir)
-    return evaluate.query_metrics(evaluate.leave_one_out(f, "id", "label", variants, k), evaluate.class_sizes(f, "label"), k)
+    return evaluate.query_metrics(evaluate.ranks(f, "id", "label", variants, k), evaluate.class_sizes(f, "label"), k)
 
 
 def _six(df: DataFrame, *keep) -> DataFrame:
@@ -394,7 +394,7 @@ def eval_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("eval_p5_map10", loo(10, evaluate.BASE) + ", p5 AS (SELECT query_id, avg(rel) AS p FROM rel WHERE rank <= 5 GROUP BY 1) SELECT CAST(round((SELECT avg(p) FROM p5), 4) AS DOUBLE) AS precision_at_5, CAST(round(avg(ap), 4) AS DOUBLE) AS map_at_10 FROM met")
 def eval_p5_map10(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    hits = shared.written(evaluate.leave_one_out(f, "id", "label", evaluate.BASE, 10))
+    hits = shared.written(evaluate.ranks(f, "id", "label", evaluate.BASE, 10))
     sizes = evaluate.class_sizes(f, "label")
     got = evaluate.evaluation_run(evaluate.query_metrics(hits, sizes, 5), evaluate.query_metrics(hits, sizes, 10))
     return got.select(*[F.col(c).cast("double").alias(c) for c in got.columns])
