@@ -418,15 +418,17 @@ def reports(metrics: DataFrame, variants: dict[str, dict[str, float]], top_k: in
     return both.select("variant", F.struct(method.alias("method"), weights.alias("weights"), F.lit(top_k).alias("top_k"), "overall", "per_class").alias("report"))
 
 
-def evaluated(features: DataFrame, id_col: str, label: str, method: str = "default", weights: dict | None = None, top_k: int = EVAL_TOP_K, run_id: int = 1) -> DataFrame:
+def evaluated(features: DataFrame, id_col: str, label: str, method: str = "default", weights: dict | None = None, top_k: int = EVAL_TOP_K, run_id: int = 1, found: DataFrame | None = None) -> DataFrame:
     """One row as evaluation_runs keeps it: precision at 5 and MAP at 10 whatever ``top_k``; per_class as JSON for the
-    ``default`` method, ablation as JSON for the ``ablation`` one, which takes the default weights."""
+    ``default`` method, ablation as JSON for the ``ablation`` one, which takes the default weights.
+
+    ``found``: what ``ranks`` gave for this method's variants (others are left out) up to ``top_k``, 10 at least, so that several methods share it."""
     if method not in ("default", "ablation"):
         raise ValueError("method is default or ablation")
     guard(features, label)
     started = F.lit(datetime.now(UTC)).cast("timestamp")
     variants = ablations() if method == "ablation" else {"base": normalise(weights)}
-    hits = written(ranks(features, id_col, label, variants, max(top_k, 10)))
+    hits = written(ranks(features, id_col, label, variants, max(top_k, 10))) if found is None else found.filter(F.col("variant").isin(*variants))
     sizes = class_sizes(features, label)
     base = hits.filter("variant = 'base'")
     numbers = evaluation_run(query_metrics(base, sizes, 5), query_metrics(base, sizes, 10))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import storage, vectors, weights
-from nearfield.functions.schema import CANDIDATE_K, DEFAULT_WEIGHTS, DIMS, EVALUATION_RUNS, FEATURES, SEARCH_RUNS, conform
+from nearfield.functions.schema import CANDIDATE_K, DEFAULT_WEIGHTS, DIMS, EVAL_TOP_K, EVALUATION_RUNS, FEATURES, SEARCH_RUNS, conform
 from nearfield.operators import ann, evaluate, kept, plots, retrieval, runs, shared, threshold
 from nearfield.sources import ingest
 from nearfield.streaming import events as timeline
@@ -413,8 +413,9 @@ def evaluation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both kinds of stored evaluations, their JSON read back."""
     f = features(spark, sf_dir)
     stored = shared.new_folder(spark, "evaluations")
+    hits = shared.written(evaluate.ranks(f, "id", "label", weights.ablations(), EVAL_TOP_K))  # has the default weights as well
     for i, method in enumerate(("default", "ablation")):
-        runs.save(evaluate.evaluated(f, "id", "label", method, run_id=i + 1), stored)
+        runs.save(evaluate.evaluated(f, "id", "label", method, run_id=i + 1, found=hits), stored)
     rows = spark.read.schema(EVALUATION_RUNS).parquet(stored)
     numbers = [F.col(c).cast("double").alias(c) for c in ("precision_at_5", "map_at_10")]
     by_class = rows.filter("ablation IS NULL").select("method", F.lit("default").alias("variant"), *numbers, F.explode(F.from_json("per_class", evaluate.PER_CLASS)).alias("label", "m"))

@@ -88,6 +88,18 @@ def test_evaluations_are_stored(spark, tmp_path):
             evaluate.evaluated(few, "id", "label")
 
 
+def test_both_kinds_of_evaluations_share_a_search(spark, monkeypatch):
+    from nearfield.plans import queries
+
+    calls, real = [], evaluate._hits_of
+    monkeypatch.setattr(evaluate, "_hits_of", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(queries, "features", lambda *_: items(spark, 24))
+    rows = queries.evaluation_runs(spark, "").collect()
+    assert len(calls) == 1 and len(rows) == 3 + 7 * 4
+    each = {(r["method"], r["variant"], r["label"]): (r["precision"], r["map"]) for r in rows}
+    assert all(each["default", "default", x] == each["ablation", "default", x] for x in ("l0", "l1", "l2"))
+
+
 def test_leave_one_out_over_many_blocks(spark, monkeypatch):
     from nearfield.operators import blocks
 
